@@ -56,9 +56,10 @@ class Views:
 
     @property
     def cells(self) -> DataFrame:
+        # one shuffle of the wide rows; every later grouping by (subject, blk, …) is already co-located
+        s = self.samples.withColumn("blk", F.floor(F.col("t") / BLOCK)).repartition("subject", "blk")
         channels = F.posexplode(F.array("c0", "c1", "c2", "c3")).alias("ch", "x")
-        return self.samples.select("subject", F.floor(F.col("t") / BLOCK).alias("blk"), channels,
-                                   (F.col("t") % BLOCK).cast("int").alias("i"))
+        return s.select("subject", "blk", channels, (F.col("t") % BLOCK).cast("int").alias("i"))
 
     @property
     def epochs(self) -> DataFrame:
