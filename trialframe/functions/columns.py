@@ -51,18 +51,34 @@ def dot(a: str | Column, b: str | Column) -> Column:
     return asum(F.zip_with(col(a), col(b), lambda x, y: x * y))
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and use it in ``body``; inside a lambda it would be recomputed per element."""
+    return F.transform(F.array(value), body)[0]
+
+
 def unit(a: str | Column, eps: float = 0.0) -> Column:
     """Array divided by its Euclidean norm (+eps)."""
-    n = F.sqrt(dot(a, a)) + F.lit(eps)
-    return F.transform(col(a), lambda v: F.try_divide(v, n))
+    return let(F.sqrt(dot(a, a)) + F.lit(eps), lambda n: F.transform(col(a), lambda v: F.try_divide(v, n)))
 
 
 def softmax(a: str | Column, scale: float | Column = 1.0) -> Column:
     """exp(scale·(a − max)) / Σ, stable."""
     s = scale if isinstance(scale, Column) else F.lit(float(scale))
-    top = F.array_max(col(a))
-    e = F.transform(col(a), lambda v: F.exp(s * (v - top)))
-    return F.transform(e, lambda v: v / asum(e))
+    e = let(F.array_max(col(a)), lambda top: F.transform(col(a), lambda v: F.exp(s * (v - top))))
+    return let(e, lambda z: let(asum(z), lambda total: F.transform(z, lambda v: v / total)))
+
+
+def amean(a: Column) -> Column:
+    return F.try_divide(asum(a), F.size(a))
+
+
+def centre(a: Column) -> Column:
+    return let(amean(a), lambda m: F.transform(a, lambda v: v - m))
+
+
+def astd(a: Column) -> Column:
+    """Population standard deviation of an array."""
+    return let(centre(a), lambda c: F.sqrt(asum(F.transform(c, lambda v: v * v)) / F.size(c)))
 
 
 def argmax0(a: str | Column) -> Column:

@@ -10,11 +10,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from trialframe.functions import kernels
+from trialframe.functions.columns import asum, let
 from trialframe.operators.ordinal import with_previous
 
 
@@ -44,8 +46,8 @@ def block_epochs(samples: DataFrame, events: DataFrame, fs: float, tmin: float,
     channels = F.sequence(F.lit(0), F.size(F.col("s")[0]["c"]) - 1)
     x = F.transform(channels, lambda k: F.transform("s", lambda e: e["c"][k]))
     if nb > 0:
-        base = lambda row: F.aggregate(F.slice(row, 1, nb), F.lit(0.0), lambda s, v: s + v) / nb
-        x = F.transform(x, lambda row: F.transform(row, lambda v: v - base(row)))
+        x = F.transform(x, lambda row: let(asum(F.slice(row, 1, nb)) / nb,
+                                           lambda base: F.transform(row, lambda v: v - base)))
     return g.select("rec", "event", "onset", "label", x.alias("x"))
 
 
@@ -97,17 +99,34 @@ def resample_linear(samples: DataFrame, step: float, n_grid: int) -> DataFrame:
 # ---- spectral filters (Arrow batches) --------------------------------------------------------------------------
 
 def map_epochs(df: DataFrame, fn, x: str = "x") -> DataFrame:
-    """Apply a stack kernel [n, ch, t] → [n, ch', t'] to the nested array of every row."""
+    """Apply a stack kernel [n, ch, t] → [n, ch', t'] to the nested array of every row, batch by batch."""
+    at = df.columns.index(x)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = [None] * len(pdf)
-            for rows, stack in kernels.stack_epochs(pdf[x]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = [None] * b.num_rows
+            for rows, stack in kernels.stacks(b.column(at)):
+                for i, e in zip(rows, fn(stack)):
+                    out[i] = e
+            yield b.set_column(at, x, kernels.to_nested(out))
+
+    return df.mapInArrow(run, df.schema)
+
+
+def map_vectors(df: DataFrame, keep: list[str], fn, name: str, x: str = "x") -> DataFrame:
+    """Apply a stack kernel [n, ch, t] → [n, d] and return the kept columns and one array per row."""
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = [None] * b.num_rows
+            for rows, stack in kernels.stacks(b.column(len(keep))):
                 for i, e in zip(rows, fn(stack)):
-                    out[i] = [list(map(float, ch)) for ch in e]
-            yield pdf.assign(**{x: out})
+                    out[i] = e
+            cols = [b.column(i) for i in range(len(keep))] + [kernels.to_list(out)]
+            yield pa.RecordBatch.from_arrays(cols, names=[*keep, name])
 
-    return df.mapInPandas(run, df.schema)
+    return df.select(*keep, x).mapInArrow(run, f"{schema}, `{name}` array<double>")
 
 
 def resample_fft(df: DataFrame, n_out: int) -> DataFrame:
