@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -104,4 +106,11 @@ def cosine(a: str | Column, b: str | Column) -> Column:
 
 def edges_above(c: str | Column, edges: list[float]) -> Column:
     """How many of the (few, fixed) edges lie strictly below the value: an exact half-open bin lookup."""
-    return reduce(lambda x, y: x + y, [(col(c) > F.lit(e)).cast("int") for e in edges])
+    if isinstance(c, str):
+        return F.expr(" + ".join(f"int(`{c}` > {e!r}D)" for e in edges))
+    return reduce(lambda x, y: x + y, [(c > F.lit(e)).cast("int") for e in edges])
+
+
+def vector_sum(a: str | Column) -> Column:
+    """Element-wise sum of arrays over a group, with partial sums on the map side."""
+    return vector_to_array(Summarizer.sum(array_to_vector(col(a))))

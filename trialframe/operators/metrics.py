@@ -143,8 +143,8 @@ def bootstrap_draws(df: DataFrame, key: str, values: list[str], n_boot: int, see
     for j in range(4):
         u = F.conv(F.substring("_h", 1 + 8 * j, 8), 16, 10).cast("double") / F.lit(2.0**32)
         d = d.withColumn(f"_u{j}", u)
-        w = edges_count(F.col(f"_u{j}"), cdf)
-        d = d.withColumn(f"_w{j}", w)
+        w = " + ".join(f"int(_u{j} >= {c!r}D)" for c in cdf)
+        d = d.withColumn(f"_w{j}", F.expr(w))
         aggs.append(F.sum(f"_w{j}").alias(f"_n{j}"))
         aggs += [F.sum(F.col(f"_w{j}") * F.col(v)).alias(f"_{v}_{j}") for v in values]
     g = d.groupBy(*by, "_g").agg(*aggs)
@@ -153,13 +153,6 @@ def bootstrap_draws(df: DataFrame, key: str, values: list[str], n_boot: int, see
     return g.select(*by, F.explode(four).alias("s")).select(*by, "s.*").filter(F.col("draw") < n_boot)
 
 
-def edges_count(u: Column, cdf: list[float]) -> Column:
-    w = F.lit(0)
-    for c in cdf:
-        w = w + (u >= F.lit(c)).cast("int")
-    return w
-
-
 def interval(draws: DataFrame, stat: Column, by: list[str], alpha: float) -> DataFrame:
     """Percentile limits over the finite draws (linear interpolation)."""
     d = draws.withColumn("_s", stat).filter(F.col("_s").isNotNull() & ~F.isnan("_s"))
