@@ -238,16 +238,44 @@ def _means_dict(means: DataFrame, key: str, d: int, col: str = "mean") -> dict:
     return {r[key]: np.asarray(r[col]).reshape(d, d) for r in means.select(key, col).collect()}
 
 
+def fit_rotation(a: np.ndarray, b: np.ndarray, rounds: int = 200) -> np.ndarray:
+    """Orthogonal R with the smallest Σ ‖A_k − R B_k Rᵀ‖² over a few symmetric d × d pairs.
+
+    Starts pair the eigenvectors of one class (or of a weighted sum) and settle their signs by the other classes; each
+    start climbs Σ tr(A R B Rᵀ) by polar steps, which cannot fall once both sides are shifted to be positive."""
+    d = a.shape[1]
+    weights = np.vstack([np.eye(len(a)), 1.0 / (1 + np.arange(len(a)))])
+    starts = [np.eye(d)]
+    for w in weights:
+        ua, ub = (np.linalg.eigh(np.einsum("k,kij->ij", w, m))[1] for m in (a, b))
+        pair = np.einsum("kij,kij->ij", np.einsum("ip,kij,jq->kpq", ua, a, ua), np.einsum("ip,kij,jq->kpq", ub, b, ub))
+        np.fill_diagonal(pair, 0.0)
+        sign = np.where(np.linalg.eigh(pair)[1][:, -1] < 0, -1.0, 1.0)
+        starts.append((ua * sign) @ ub.T)
+    lift = lambda m: m + (1e-6 - min(np.linalg.eigvalsh(m).min(), 0.0)) * np.eye(d)
+    score = lambda r: np.einsum("kij,jl,klm,im->", a, r, b, r)
+    pa, pb = lift(a), lift(b)
+
+    def climb(r):
+        for _ in range(rounds):
+            u, _, vt = np.linalg.svd(np.einsum("kij,jl,klm->im", pa, r, pb))
+            moved = np.abs(u @ vt - r).max()
+            r = u @ vt
+            if moved < 1e-12:
+                break
+        return r
+
+    return max((climb(r) for r in starts), key=score)
+
+
 def rotation(source: DataFrame, calib: DataFrame, label: str, d: int) -> np.ndarray:
-    """Orthogonal map that takes the calibration's class means to the source's, by Procrustes on tangent means."""
+    """Orthogonal map that takes the calibration's class means to the source's, fitted on their matrix logs."""
     a = _means_dict(riemannian_mean(source, [label], d), label, d)
     b = _means_dict(riemannian_mean(calib, [label], d), label, d)
     both = sorted(set(a) & set(b))
     if not both:
         raise ValueError("source and calibration share no class")
-    cross = sum(kernels.logm(a[k]) @ kernels.logm(b[k]).T for k in both)
-    u, _, vt = np.linalg.svd(cross)
-    return u @ vt
+    return fit_rotation(*(np.stack([kernels.logm(m[k]) for k in both]) for m in (a, b)))
 
 
 def rotate_alignment(source: DataFrame, calib: DataFrame, target: DataFrame, label: str, d: int) -> DataFrame:

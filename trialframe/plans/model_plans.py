@@ -325,9 +325,9 @@ SQL_SIZES = """cs AS (SELECT label_id, count(*) AS n, row_number() OVER (ORDER B
 
 
 @query("balanced_batches", f"""WITH {SQL_SIZES}, nb AS (SELECT greatest(1, sum(n) // (2 * 8)) AS nb FROM cs),
-       ro AS (SELECT round, label_id, n, row_number() OVER (PARTITION BY round ORDER BY md5('0:' || round || ':' || label_id)) - 1 AS at
-              FROM cs, nb, range(0, 100000) t(round) WHERE round < -(-nb // 2)  AND round * 2 < nb),
-       ch AS (SELECT round * 2 + at // 2 AS batch, label_id, n FROM ro, nb WHERE at < 4 AND round * 2 + at // 2 < nb), {sql_draw('0', 8)}
+       ro AS (SELECT round, label_id, n, row_number() OVER (PARTITION BY round ORDER BY md5('0:' || round || ':' || label_id)) - 1 AS pl
+              FROM cs, nb, range(0, 100000) t(round) WHERE round < (nb + 1) // 2),
+       ch AS (SELECT round * 2 + pl // 2 AS batch, label_id, n FROM ro, nb WHERE pl < 4 AND round * 2 + pl // 2 < nb), {sql_draw('0', 8)}
        SELECT batch, label_id, slot, epoch FROM dr""")
 def _(v):
     return S.balanced_batches(v.trials, "label_id", "epoch", 2, 8)
@@ -468,7 +468,7 @@ def _(v):
 def _(v):
     path = fresh_table_path(v.spark, "views")
     rows = v.trials.select(F.col("label").alias("modality"), "subject", "epoch", "x")
-    m = cloud.write_view_json(rows.repartition("modality"), path)
+    m = cloud.write_view_json(rows, path)
     return m.select("modality", F.concat_ws(",", "subjects").alias("subjects"))
 
 

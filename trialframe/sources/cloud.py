@@ -27,10 +27,12 @@ def haemo_recipe_key(l_freq, h_freq, tmin, tmax, resample, cleaners: list[str] |
                     F.lit("_r"), F.coalesce(_part(resample), F.lit("native")), F.lit("_c"), F.lit("+".join(names) or "none"))
 
 
-def write_epochs(df: DataFrame, path: str, mode: str = "append") -> None:
-    """Partitioned by dataset, recipe and a subject bucket, so a read of a few subjects opens few files."""
-    (df.withColumn("bucket", F.pmod(F.xxhash64("subject"), F.lit(64)).cast("int")).repartition("dataset", "recipe", "bucket", F.pmod(F.xxhash64("epoch"), F.lit(8)))
-     .write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("dataset", "recipe", "bucket").parquet(path))
+def write_epochs(df: DataFrame, path: str, mode: str = "append", buckets: int = 16) -> None:
+    """Partitioned by dataset, recipe and a subject bucket, so a read of a few subjects opens few files. The rebalance
+    hint lets AQE cut a bucket that holds a very large subject into files of even size and merge small ones."""
+    keyed = df.withColumn("bucket", F.pmod(F.xxhash64("subject"), F.lit(buckets)).cast("int"))
+    (keyed.hint("rebalance", "dataset", "recipe", "bucket").write.mode(mode)
+     .option("partitionOverwriteMode", "dynamic").partitionBy("dataset", "recipe", "bucket").parquet(path))
 
 
 def _read(spark: SparkSession, path: str) -> DataFrame | None:
@@ -73,6 +75,7 @@ def subject_manifest(views: DataFrame) -> DataFrame:
 
 def write_view_json(df: DataFrame, path: str) -> DataFrame:
     """Rows as JSON partitioned by modality and subject; returns the manifest of what is on disk."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("modality", "subject").json(path)
-    found = df.sparkSession.read.json(path)
-    return subject_manifest(found.select("modality", F.col("subject").cast("string").alias("subject")).distinct())
+    (df.hint("rebalance", "modality", "subject").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("modality", "subject").json(path))
+    found = df.sparkSession.read.schema(df.schema).json(path)
+    return subject_manifest(found.select("modality", "subject").distinct())
