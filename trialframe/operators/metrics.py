@@ -84,9 +84,8 @@ def ece(cont: DataFrame, by: list[str]) -> DataFrame:
 def evaluate(cont: DataFrame, by: list[str]) -> DataFrame:
     a, k, e = accuracy(cont, by), kappa(cont, by), ece(cont, by)
     if not by:
-        a, k, e = (d.withColumn("_one", F.lit(1)) for d in (a, k, e))
-    on = by or ["_one"]
-    return a.join(k, on, "left").join(e, on, "left").select(*by, "acc", "kappa", "ece", "n")
+        return a.select("acc", k.scalar().alias("kappa"), e.scalar().alias("ece"), "n")
+    return a.join(k, by, "left").join(e, by, "left").select(*by, "acc", "kappa", "ece", "n")
 
 
 def evaluate_folds(cont: DataFrame, fold: str = "fold") -> DataFrame:
@@ -166,10 +165,9 @@ def bootstrap_ci(df: DataFrame, key: str, value: str, n_boot: int = 1000, alpha:
     draws = bootstrap_draws(df, key, [value], n_boot, seed, by)
     ci = interval(draws, F.try_divide(F.col(value), F.col("n")), by, alpha)
     point = df.groupBy(*by).agg(F.avg(value).alias("point"))
-    on = by or ["_one"]
     if not by:
-        ci, point = ci.withColumn("_one", F.lit(1)), point.withColumn("_one", F.lit(1))
-    return point.join(ci, on).select(*by, "point", "lo", "hi")
+        return ci.select(point.scalar().alias("point"), "lo", "hi")
+    return point.join(ci, by).select(*by, "point", "lo", "hi")
 
 
 def paired_bootstrap_delta(a: DataFrame, b: DataFrame, key: str, value: str, n_boot: int = 1000, alpha: float = 0.05,
