@@ -159,17 +159,20 @@ def bandpass_stream(samples: DataFrame, value: str, lo: float, hi: float, fs: fl
 
     def run(batches):
         for pdf in batches:
-            rows = []
-            for rec, c, t0, v in zip(pdf["rec"], pdf["chunk"], pdf["t0"], pdf["v"]):
+            if not len(pdf):
+                continue
+            ts, ys = [], []
+            for c, t0, v in zip(pdf["chunk"], pdf["t0"], pdf["v"]):
                 y = kernels.bandpass(np.asarray(v, dtype=float), lo, hi, fs, order)
                 t = t0 + np.arange(len(y))
                 keep = (t >= c * chunk) & (t < (c + 1) * chunk)
-                if keep.any():
-                    rows.append(pd.DataFrame({"rec": rec, "t": t[keep], "y": y[keep]}))
-            if rows:
-                yield pd.concat(rows)
+                ts.append(t[keep])
+                ys.append(y[keep])
+            rec = np.repeat(pdf["rec"].to_numpy(), [len(t) for t in ts])
+            yield pd.DataFrame({"rec": rec, "t": np.concatenate(ts), "y": np.concatenate(ys)})
 
-    return pieces.filter(F.size("v") > 0).mapInPandas(run, "rec string, t bigint, y double")
+    rec_type = samples.schema["rec"].dataType.simpleString()
+    return pieces.mapInPandas(run, f"rec {rec_type}, t bigint, y double")
 
 
 # ---- windows inside an epoch -----------------------------------------------------------------------------------

@@ -82,19 +82,31 @@ def ece(cont: DataFrame, by: list[str]) -> DataFrame:
 
 
 def evaluate(cont: DataFrame, by: list[str]) -> DataFrame:
-    a, k, e = accuracy(cont, by), kappa(cont, by), ece(cont, by)
-    if not by:
-        return a.select("acc", k.scalar().alias("kappa"), e.scalar().alias("ece"), "n")
-    return a.join(k, by, "left").join(e, by, "left").select(*by, "acc", "kappa", "ece", "n")
+    """acc, kappa, ece, mean confidence and n per group in one chain: every contingency row is dealt to its true class,
+    its predicted class and its bin, and the group totals of those marginals give all metrics without a join."""
+    n, zero, none = F.col("n"), F.lit(0).cast("bigint"), F.lit(0.0)
+    hit = F.when(F.col("y") == F.col("yhat"), n).otherwise(zero)
+    side = lambda kind, ident, r, k, h, s: F.struct(
+        F.lit(kind).alias("kind"), ident.cast("bigint").alias("id"), r.alias("r"), k.alias("k"), h.alias("h"), s.alias("s"))
+    sides = F.array(side(0, F.col("y"), n, zero, zero, none), side(0, F.col("yhat"), zero, n, zero, none),
+                    side(1, F.col("bin"), zero, zero, hit, F.col("sc")))
+    m = cont.select(*by, F.explode(sides).alias("e")).select(*by, "e.*")
+    m = m.groupBy(*by, "kind", "id").agg(*[F.sum(c).alias(c) for c in ("r", "k", "h", "s")])
+    binned = (F.col("kind") == 1) & (F.col("id") >= 0)
+    g = m.groupBy(*by).agg(F.sum("r").alias("n"), F.sum("h").alias("_h"), F.sum("s").alias("_s"),
+                           F.sum(F.col("r").cast("double") * F.col("k")).alias("_rk"),
+                           F.sum(F.when(binned, F.abs(F.col("h") - F.col("s"))).otherwise(0.0)).alias("_gap"))
+    po, pe = F.col("_h") / n, F.col("_rk") / (n.cast("double") * n)
+    return g.select(*by, po.alias("acc"), safe_div(po - pe, 1 - pe).alias("kappa"), (F.col("_gap") / n).alias("ece"),
+                    (F.col("_s") / n).alias("mean_conf"), "n")
 
 
 def evaluate_folds(cont: DataFrame, fold: str = "fold") -> DataFrame:
     """Rows per fold, plus ``fold_mean`` (equal weight per fold) and ``pooled`` (equal weight per row)."""
-    per = evaluate(cont, [fold])
-    mean = per.agg(F.avg("acc").alias("acc"), F.avg("kappa").alias("kappa"), F.avg("ece").alias("ece"),
-                   F.sum("n").alias("n")).withColumn(fold, F.lit("fold_mean"))
-    pooled = evaluate(cont, []).withColumn(fold, F.lit("pooled"))
-    return per.unionByName(mean).unionByName(pooled)
+    both = cont.withColumn(fold, F.explode(F.array(F.col(fold), F.lit("pooled"))))
+    names = F.when(F.col(fold) == "pooled", F.array(fold)).otherwise(F.array(F.col(fold), F.lit("fold_mean")))
+    per = evaluate(both, [fold]).withColumn(fold, F.explode(names))
+    return per.groupBy(fold).agg(*[F.avg(c).alias(c) for c in ("acc", "kappa", "ece", "mean_conf")], F.sum("n").alias("n"))
 
 
 def spread(rows: DataFrame, key: str, by: list[str] | None = None) -> DataFrame:
@@ -137,13 +149,12 @@ def bootstrap_draws(df: DataFrame, key: str, values: list[str], n_boot: int, see
     groups = -(-n_boot // 4)
     d = df.select(*by, key, *values).withColumn("_g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
     d = d.withColumn("_h", F.md5(F.concat_ws(":", F.lit(str(seed)), "_g", F.col(key).cast("string"))))
-    cdf = poisson_cdf()
+    # u ≥ c compares fixed-width hexadecimal digits, which order like the numbers they spell
+    limits = [f"{k:08x}" for k in (int(np.ceil(c * 2.0**32)) for c in poisson_cdf()) if k < 2**32]
     aggs = []
     for j in range(4):
-        u = F.conv(F.substring("_h", 1 + 8 * j, 8), 16, 10).cast("double") / F.lit(2.0**32)
-        d = d.withColumn(f"_u{j}", u)
-        w = " + ".join(f"int(_u{j} >= {c!r}D)" for c in cdf)
-        d = d.withColumn(f"_w{j}", F.expr(w))
+        d = d.withColumn(f"_u{j}", F.substring("_h", 1 + 8 * j, 8))
+        d = d.withColumn(f"_w{j}", F.expr(" + ".join(f"int(_u{j} >= '{k}')" for k in limits)))
         aggs.append(F.sum(f"_w{j}").alias(f"_n{j}"))
         aggs += [F.sum(F.col(f"_w{j}") * F.col(v)).alias(f"_{v}_{j}") for v in values]
     g = d.groupBy(*by, "_g").agg(*aggs)

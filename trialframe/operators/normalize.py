@@ -80,17 +80,25 @@ def compose_normalization(df: DataFrame, links: list[Link]) -> DataFrame:
 # ---- exponential moving standardization -----------------------------------------------------------------------
 
 def _ewm_starts(ends: DataFrame, q: float, chunk: int) -> DataFrame:
-    """Carry into every chunk: fold of the chunk end sums, one small row per chunk."""
+    """Carry into every chunk: fold of the chunk end sums in order. A recording contributes one number per chunk, so its
+    whole list is a short array."""
+    lists = ends.groupBy("rec").agg(F.sort_array(F.collect_list(F.struct("chunk", "s_end"))).alias("e"))
+    lists = lists.select("rec", F.col("e.chunk").alias("chunk"), F.col("e.s_end").alias("s_end"))
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("chunk")
-        carry, out = 0.0, []
-        for end in pdf["s_end"]:
-            out.append(carry)
-            carry = end + carry * q**chunk
-        return pd.DataFrame({"rec": pdf["rec"], "chunk": pdf["chunk"], "s0": out})
+    def fold(batches):
+        for pdf in batches:
+            starts = []
+            for row in pdf["s_end"]:
+                carry, out = 0.0, []
+                for end in row:
+                    out.append(carry)
+                    carry = end + carry * q**chunk
+                starts.append(out)
+            yield pdf[["rec", "chunk"]].assign(s0=starts)
 
-    return ends.groupBy("rec").applyInPandas(fold, "rec string, chunk bigint, s0 double")
+    rec_type = ends.schema["rec"].dataType.simpleString()
+    out = lists.mapInPandas(fold, f"rec {rec_type}, chunk array<bigint>, s0 array<double>")
+    return out.select("rec", F.explode(F.arrays_zip("chunk", "s0")).alias("z")).select("rec", "z.chunk", "z.s0")
 
 
 def ewm_standardize(samples: DataFrame, value: str, factor: float = 1e-3, init: int = 1000, eps: float = 1e-4,
@@ -103,6 +111,7 @@ def ewm_standardize(samples: DataFrame, value: str, factor: float = 1e-3, init:
     """
     q = 1.0 - factor
     pieces = stream_chunks(samples, value, chunk)
+    ends_schema = f"rec {samples.schema['rec'].dataType.simpleString()}, chunk bigint, s_end double"
 
     def weights(t):
         return (1.0 - q ** (t + 1.0)) / (1.0 - q)
@@ -123,24 +132,27 @@ def ewm_standardize(samples: DataFrame, value: str, factor: float = 1e-3, init:
                 yield pd.DataFrame(rows, columns=["rec", "chunk", "s_end"])
         return run
 
-    first = _ewm_starts(pieces.mapInPandas(ends(["rec", "chunk", "t0", "v"]), "rec string, chunk bigint, s_end double"),
+    first = _ewm_starts(pieces.mapInPandas(ends(["rec", "chunk", "t0", "v"]), ends_schema),
                         q, chunk)
     with_mean = pieces.join(first, ["rec", "chunk"])
     second = _ewm_starts(with_mean.mapInPandas(ends(["rec", "chunk", "t0", "v", "s0"]),
-                                               "rec string, chunk bigint, s_end double"), q, chunk)
+                                               ends_schema), q, chunk)
     head = samples.filter(F.col("t") < init).groupBy("rec").agg(F.avg(value).alias("hm"), F.stddev_pop(value).alias("hs"))
     ready = with_mean.join(second.withColumnRenamed("s0", "q0"), ["rec", "chunk"]).join(head, "rec")
 
     def apply(batches):
         for pdf in batches:
-            rows = []
-            for rec, t0, v, s0, q0, hm, hs in zip(*[pdf[k] for k in ("rec", "t0", "v", "s0", "q0", "hm", "hs")]):
+            if not len(pdf):
+                continue
+            ts, zs = [], []
+            for t0, v, s0, q0, hm, hs in zip(*[pdf[k] for k in ("t0", "v", "s0", "q0", "hm", "hs")]):
                 v = np.asarray(v, dtype=float)
                 t = t0 + np.arange(len(v))
                 d = v - mean_of(v, t, s0)
                 z = d / np.maximum(eps, np.sqrt(mean_of(d * d, t, q0)))
-                z = np.where(t < init, (v - hm) / max(eps, hs), z)
-                rows.append(pd.DataFrame({"rec": rec, "t": t, "z": z}))
-            yield pd.concat(rows)
+                ts.append(t)
+                zs.append(np.where(t < init, (v - hm) / max(eps, hs), z))
+            rec = np.repeat(pdf["rec"].to_numpy(), [len(t) for t in ts])
+            yield pd.DataFrame({"rec": rec, "t": np.concatenate(ts), "z": np.concatenate(zs)})
 
-    return ready.mapInPandas(apply, "rec string, t bigint, z double")
+    return ready.mapInPandas(apply, f"rec {samples.schema['rec'].dataType.simpleString()}, t bigint, z double")

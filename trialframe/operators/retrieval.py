@@ -35,20 +35,25 @@ def concept_prototypes(emb: DataFrame, keys: list[str], v: str = "v", eps: float
     return g.withColumn("_m", F.transform("_s", lambda x: x / F.col("n"))).select(*keys, unit("_m", eps).alias(v))
 
 
-def bank_blocks(bank: DataFrame, v: str = "v", block: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(concept ids, [k, d] vectors) in ascending concept order, at most ``block`` concepts at a time."""
+def bank_blocks(bank: DataFrame, v: str = "v", block: int | None = None, extra: list[str] | None = None) -> Iterator[tuple]:
+    """(concept ids, [k, d] vectors, extra columns…) in ascending concept order, at most ``block`` concepts at a time."""
     block = block or BLOCK
-    bank = bank.select("concept", v)
+    bank = bank.select("concept", v, *(extra or []))
+
+    def arrays(rows):
+        rows = sorted(rows, key=lambda x: x[0])
+        return tuple(np.array(c, dtype=float if i else None) for i, c in enumerate(zip(*rows)))
+
     rows = bank.limit(block + 1).collect()
+    if not rows:
+        raise ValueError("empty bank")
     if len(rows) <= block:
-        rows.sort(key=lambda x: x[0])
-        yield np.array([x[0] for x in rows]), np.array([x[1] for x in rows], dtype=float)
+        yield arrays(rows)
         return
     placed = ordinal(bank, [], ["concept"], F.floor(F.col("concept") / 1024), "_pos").withColumn(
         "_blk", F.floor(F.col("_pos") / block))
     for i in range(int(placed.agg(F.max("_blk")).head()[0]) + 1):
-        part = sorted(placed.filter(F.col("_blk") == i).select("concept", v).collect(), key=lambda x: x[0])
-        yield np.array([x[0] for x in part]), np.array([x[1] for x in part], dtype=float)
+        yield arrays(placed.filter(F.col("_blk") == i).select(*bank.columns).collect())
 
 
 STATE = {"s_true": "double", "better": "bigint", "best": "double", "pred": "bigint", "total": "double",
@@ -289,14 +294,13 @@ def keyed_state(trials: DataFrame, train: DataFrame, key: str, arm: str = "cross
     own = sums.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("concept", "n", "s"))).alias("own"))
     totals = sums.groupBy("concept").agg(vector_sum("s").alias("v"), F.sum("n").alias("n"))
     sc = trials.sparkSession.sparkContext
-    counts = {r["concept"]: r["n"] for r in totals.select("concept", "n").collect()}
     size = trials.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / PACK).alias("_m"))
     salted = trials.join(size, key).withColumn("_salt", F.pmod(F.xxhash64(trial), F.col("_m")))
     packs = salted.groupBy(key, "_salt").agg(F.collect_list(F.struct(
         F.col(trial).alias("trial"), F.col("concept").cast("bigint").alias("concept"), F.col(v).alias("v"))).alias("rows"))
     packs = packs.join(own, key, "left")
     out = packs.select(key, "rows", "own")
-    blocks = [(ids, m, np.array([counts[c] for c in ids.tolist()], dtype=float)) for ids, m in bank_blocks(totals, "v")]
+    blocks = list(bank_blocks(totals, "v", extra=["n"]))
     key_type = trials.schema[key].dataType.simpleString()
     trial_type = trials.schema[trial].dataType.simpleString()
     state_cols = ", ".join(f"{k} {t}" for k, t in STATE.items())

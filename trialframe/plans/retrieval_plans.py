@@ -165,12 +165,10 @@ def loso_centroid_retrieval(v):
     e = v.emb
     s = R.keyed_state(e, e, "subject").select(F.col("subject").alias("fold"), F.col("concept").alias("y"),
                                               F.col("pred").alias("yhat"), (1.0 / F.col("rank")).alias("conf"))
-    cont = s.groupBy("fold", "y", "yhat").agg(F.count(F.lit(1)).alias("n"), F.sum("conf").alias("sr"))
-    pooled = cont.withColumn("fold", F.lit("pooled"))
-    both = cont.unionByName(pooled)
-    mrr = both.groupBy("fold").agg((F.sum("sr") / F.sum("n")).alias("mrr"))
-    out = M.accuracy(both, ["fold"]).join(M.kappa(both, ["fold"]), "fold").join(mrr, "fold")
-    return out.select("fold", *[rnd(c).alias(c) for c in ("acc", "kappa", "mrr")], "n")
+    cont = s.groupBy("fold", "y", "yhat").agg(F.count(F.lit(1)).alias("n"), F.sum("conf").alias("sc"))
+    both = cont.withColumn("fold", F.explode(F.array(F.col("fold"), F.lit("pooled")))).withColumn("bin", F.lit(0))
+    out = M.evaluate(both, ["fold"])
+    return out.select("fold", rnd("acc").alias("acc"), rnd("kappa").alias("kappa"), rnd("mean_conf").alias("mrr"), "n")
 
 
 @query("nearest_centroid", f"""WITH {SQL_LONG}, f AS (SELECT subject, (row_number() OVER (ORDER BY subject DESC) - 1) % 5 AS fold
