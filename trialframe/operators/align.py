@@ -103,6 +103,76 @@ def riemannian_mean(cov: DataFrame, by: list[str], d: int, tol: float = 1e-9, ma
     return means.select(*by, "mean", "isqrt")
 
 
+MAX_DRIVER_GROUPS = 512
+
+
+def _driver_means(data: DataFrame, d: int, groups: int, member, tol: float, max_rounds: int) -> list[np.ndarray | None]:
+    """Fréchet means of a few overlapping groups of the same rows. ``member(pdf)`` gives the [groups, rows] membership;
+    the driver keeps one d × d matrix per group and a round is one pass that returns one sum per group."""
+    sc = data.sparkSession.sparkContext
+
+    def sums(weights):
+        shared = sc.broadcast(weights)
+
+        def run(batches):
+            for pdf in batches:
+                if not len(pdf):
+                    continue
+                c, inside = _square(pdf["cov"], d), member(pdf)
+                plain = kernels.logm(c).reshape(len(c), -1) if shared.value is None else None
+                for g in range(groups):
+                    rows = inside[g]
+                    if rows.any():
+                        logs = plain[rows] if plain is not None else kernels.logm(kernels.congruence(shared.value[g], c[rows])).reshape(rows.sum(), -1)
+                        yield pd.DataFrame({"g": [g], "_s": [np.concatenate([[len(logs)], logs.sum(axis=0)])]})
+
+        part = data.mapInPandas(run, "g int, _s array<double>").groupBy("g").agg(vector_sum("_s").alias("_s")).collect()
+        return {r["g"]: np.asarray(r["_s"][1:]).reshape(d, d) / r["_s"][0] for r in part}
+
+    start = sums(None)
+    means = [kernels.expm(start[g]) if g in start else None for g in range(groups)]
+    for _ in range(max_rounds):
+        steps = sums([kernels.powm(m, -0.5) if m is not None else None for m in means])
+        for g, step in steps.items():
+            root = kernels.powm(means[g], 0.5)
+            m = root @ kernels.expm(step) @ root
+            means[g] = (m + m.T) / 2
+        if max((np.linalg.norm(x) for x in steps.values()), default=0.0) < tol:
+            break
+    return means
+
+
+def small_means(cov: DataFrame, key: str | None, d: int, tol: float = 1e-9, max_rounds: int = 50) -> dict:
+    """Means of the few groups of ``key`` (classes, domains), or of all rows, as a dict on the driver. More groups than
+    MAX_DRIVER_GROUPS go through ``riemannian_mean``, which keeps them distributed, before they are fetched."""
+    if key is None:
+        data = checkpointed(cov.select("cov"))
+        return {0: _driver_means(data, d, 1, lambda pdf: np.ones((1, len(pdf)), bool), tol, max_rounds)[0]}
+    data = checkpointed(cov.select(key, "cov"))
+    values = sorted(r[0] for r in data.select(key).distinct().limit(MAX_DRIVER_GROUPS + 1).collect())
+    if len(values) > MAX_DRIVER_GROUPS:
+        return {r[key]: np.asarray(r["mean"]).reshape(d, d) for r in riemannian_mean(cov, [key], d, tol, max_rounds).collect()}
+    member = lambda pdf: np.array(values, dtype=object)[:, None] == pdf[key].to_numpy(dtype=object)[None, :]
+    return dict(zip(values, _driver_means(data, d, len(values), member, tol, max_rounds)))
+
+
+def train_means(cov: DataFrame, fold: str, d: int, label: str | None = None, tol: float = 1e-9, max_rounds: int = 50) -> dict:
+    """Means over the training rows (all other folds) of every fold of a k-fold split, optionally per class: all folds
+    share the passes and no row is copied. Keys are fold or (fold, class)."""
+    cols = [fold, *([label] if label else []), "cov"]
+    data = checkpointed(cov.select(*cols))
+    folds = sorted(r[0] for r in data.select(fold).distinct().collect())
+    classes = sorted(r[0] for r in data.select(label).distinct().collect()) if label else [None]
+    keys = [(f, c) for f in folds for c in classes]
+
+    def member(pdf):
+        fv = pdf[fold].to_numpy(dtype=object)
+        return np.stack([(fv != f) & ((pdf[label].to_numpy(dtype=object) == c) if label else True) for f, c in keys]).astype(bool)
+
+    means = _driver_means(data, d, len(keys), member, tol, max_rounds)
+    return {(k if label else k[0]): m for k, m in zip(keys, means) if m is not None}
+
+
 def recenter_covariances(cov: DataFrame, by: list[str], d: int, means: DataFrame | None = None) -> DataFrame:
     """C → M^{-1/2} C M^{-1/2} with the group's own mean (every target subject too)."""
     means = means if means is not None else riemannian_mean(cov, by, d)
@@ -233,11 +303,6 @@ def noise_whitener(epochs: DataFrame, by: list[str], condition: str, n_ch: int,
 
 # ---- supervised alignment --------------------------------------------------------------------------------------
 
-def _means_dict(means: DataFrame, key: str, d: int, col: str = "mean") -> dict:
-    """A few class means on the driver: one d × d matrix per class."""
-    return {r[key]: np.asarray(r[col]).reshape(d, d) for r in means.select(key, col).collect()}
-
-
 def fit_rotation(a: np.ndarray, b: np.ndarray, rounds: int = 200) -> np.ndarray:
     """Orthogonal R with the smallest Σ ‖A_k − R B_k Rᵀ‖² over a few symmetric d × d pairs.
 
@@ -270,8 +335,8 @@ def fit_rotation(a: np.ndarray, b: np.ndarray, rounds: int = 200) -> np.ndarray:
 
 def rotation(source: DataFrame, calib: DataFrame, label: str, d: int) -> np.ndarray:
     """Orthogonal map that takes the calibration's class means to the source's, fitted on their matrix logs."""
-    a = _means_dict(riemannian_mean(source, [label], d), label, d)
-    b = _means_dict(riemannian_mean(calib, [label], d), label, d)
+    a = small_means(source, label, d)
+    b = small_means(calib, label, d)
     both = sorted(set(a) & set(b))
     if not both:
         raise ValueError("source and calibration share no class")
@@ -292,6 +357,6 @@ def geodesic(a: np.ndarray, b: np.ndarray, t: float) -> np.ndarray:
 
 def weighted_class_means(source: DataFrame, calib: DataFrame, label: str, d: int, lam: float = 0.5) -> dict:
     """Class means blended along the geodesic: λ = 1 keeps the source's, 0 the target's."""
-    a = _means_dict(riemannian_mean(source, [label], d), label, d)
-    b = _means_dict(riemannian_mean(calib, [label], d), label, d)
+    a = small_means(source, label, d)
+    b = small_means(calib, label, d)
     return {k: geodesic(b[k], a[k], lam) if k in a and k in b else a.get(k, b.get(k)) for k in sorted(set(a) | set(b))}

@@ -244,21 +244,52 @@ def distance_probs(df: DataFrame, keep: list[str]) -> DataFrame:
 
 def mdm(train: DataFrame, test: DataFrame, d: int, keep: list[str]) -> DataFrame:
     """Nearest class mean; probabilities are the softmax of the negative squared distances."""
-    means = align._means_dict(align.riemannian_mean(train, ["y"], d), "y", d)
+    means = align.small_means(train, "y", d)
     return distance_probs(riemann_distances(test, means, d), keep)
 
 
-def fgmdm(train: DataFrame, test: DataFrame, d: int, keep: list[str]) -> DataFrame:
+def mdm_folds(cov: DataFrame, fold: str, d: int, keep: list[str]) -> DataFrame:
+    """Nearest class mean for every fold of a k-fold split: the means of all folds are found together and each row is
+    scored against those of its own fold in one pass."""
+    means = align.train_means(cov, fold, d, "y")
+    classes = sorted({c for _, c in means})
+    roots = {k: kernels.powm(m, -0.5) for k, m in means.items()}
+    kept = cov.columns
+    schema = ", ".join(f"`{c}` {cov.schema[c].dataType.simpleString()}" for c in kept)
+
+    def run(batches):
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            c, fv = _square(pdf["cov"], d), pdf[fold].to_numpy()
+            d2 = np.full((len(pdf), len(classes)), 1e30)
+            for f in np.unique(fv):
+                rows = np.flatnonzero(fv == f)
+                for k, cls in enumerate(classes):
+                    if (f, cls) in roots:
+                        lam = np.linalg.eigvalsh(kernels.congruence(roots[f, cls], c[rows]))
+                        d2[rows, k] = (np.log(kernels.floor_eig(lam)) ** 2).sum(axis=1)
+            yield pdf[kept].assign(d2=list(d2))
+
+    return distance_probs(cov.mapInPandas(run, f"{schema}, d2 array<double>"), keep)
+
+
+def tangent_at(cov: DataFrame, ref: np.ndarray, d: int) -> DataFrame:
+    """Tangent vectors ``f`` at one reference matrix."""
+    w = kernels.powm(ref, -0.5)
+    out = map_cov(cov, d, lambda c: kernels.upper_vector(kernels.logm(kernels.congruence(w, c))))
+    return out.withColumnRenamed("cov", "f")
+
+
+def fgmdm(train: DataFrame, test: DataFrame, d: int, keep: list[str], ref: np.ndarray | None = None) -> DataFrame:
     """Project tangent vectors on the discriminant directions, map back, then nearest class mean."""
-    everyone = train.withColumn("_g", F.lit(0))
-    ref = align.riemannian_mean(everyone, ["_g"], d)
-    tang = align.tangent_features(everyone, d, ref, ["_g"])
+    m = ref if ref is not None else align.small_means(train, None, d)[0]
+    tang = tangent_at(train, m, d)
     centre = feature_mean(tang)
     stats = {r["y"]: np.asarray(r["_s"]) for r in lda_statistics(tang, ["y"], centre, False).collect()}
     _, coef, _ = solve_lda(stats, len(centre), 0.0, standardize=False)
     q, _ = np.linalg.qr((coef - coef.mean(axis=0)).T)
     q = q[:, :len(stats) - 1]
-    m = np.asarray(ref.select("mean").head()[0]).reshape(d, d)
     root, inv = kernels.powm(m, 0.5), kernels.powm(m, -0.5)
 
     def project(c):
@@ -268,11 +299,21 @@ def fgmdm(train: DataFrame, test: DataFrame, d: int, keep: list[str]) -> DataFra
     return mdm(map_cov(train, d, project), map_cov(test, d, project), d, keep)
 
 
-def riemann(train: DataFrame, test: DataFrame, d: int, n_classes: int, keep: list[str]) -> DataFrame:
+def riemann(train: DataFrame, test: DataFrame, d: int, n_classes: int, keep: list[str], ref: np.ndarray | None = None) -> DataFrame:
     """Tangent vectors at the training mean, then logistic regression."""
-    ref = align.riemannian_mean(train.withColumn("_g", F.lit(0)), ["_g"], d)
-    tang = lambda df: align.tangent_features(df.withColumn("_g", F.lit(0)), d, ref, ["_g"])
-    return tangent_lr(tang(train), tang(test), n_classes, keep)
+    m = ref if ref is not None else align.small_means(train, None, d)[0]
+    return tangent_lr(tangent_at(train, m, d), tangent_at(test, m, d), n_classes, keep)
+
+
+def with_train_mean(cov: DataFrame, fold: str, d: int, fit_predict) -> DataFrame:
+    """As by_fold, with the training mean of every fold found in shared passes and handed to the method."""
+    refs = align.train_means(cov, fold, d)
+    out = None
+    for f in sorted(refs):
+        test = F.col(fold) == f
+        p = fit_predict(cov.filter(~test), cov.filter(test), refs[f])
+        out = p if out is None else out.unionByName(p)
+    return out
 
 
 def zero_shot_transfer(cov: DataFrame, subject: str, fold: str, d: int, n_classes: int, keep: list[str],

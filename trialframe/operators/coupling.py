@@ -51,32 +51,33 @@ def estimate_coupling(df: DataFrame, by: list[str], fs: float, lag_max: float =
     schema = "".join(f"`{c.name}` {c.dataType.simpleString()}, " for c in df.select(*by).schema)
     group = by or [F.lit(1)]
 
-    def grouped(pdf):
+    def groups(pdf):
+        """(code per row, key frame)."""
         if not by:
-            return [((), np.arange(len(pdf)))]
+            return np.zeros(len(pdf), int), pd.DataFrame(index=[0])
         codes, uniq = pd.factorize(pd.MultiIndex.from_frame(pdf[by]))
-        return [(uniq[k], np.flatnonzero(codes == k)) for k in range(len(uniq))]
+        keys = uniq.to_frame(index=False)
+        keys.columns = by
+        return codes, keys
 
-    def stacks(pdf, rows):
-        d = [np.asarray(pdf["drive"].iloc[i], dtype=float) for i in rows]
-        r = [np.asarray(pdf["resp"].iloc[i], dtype=float) for i in rows]
-        lens = np.array([len(a) for a in d])
+    def stacks(pdf):
+        lens = pdf["drive"].map(len).to_numpy()
         for n in np.unique(lens):
             at = np.flatnonzero(lens == n)
-            yield at, np.stack([d[i] for i in at]), np.stack([r[i] for i in at])
+            yield at, *(np.stack([np.asarray(pdf[c].iloc[i], dtype=float) for i in at]) for c in ("drive", "resp"))
 
     def score(batches):
         for pdf in batches:
-            out = []
-            for key, rows in grouped(pdf):
-                s = np.zeros(len(bank) + 1)
-                for _, d, r in stacks(pdf, rows):
-                    rz = _zscore(r)
-                    s[0] += len(d)
-                    s[1:] += [(_zscore(_convolve(d, g)) * rz).mean(axis=1).sum() for g in bank]
-                out.append((*key, s))
-            if out:
-                yield pd.DataFrame(out, columns=[*by, "_s"])
+            if not len(pdf):
+                continue
+            codes, keys = groups(pdf)
+            s = np.zeros((len(keys), len(bank) + 1))
+            for at, d, r in stacks(pdf):
+                rz = _zscore(r)
+                np.add.at(s[:, 0], codes[at], 1.0)
+                for k, g in enumerate(bank):
+                    np.add.at(s[:, k + 1], codes[at], (_zscore(_convolve(d, g)) * rz).mean(axis=1))
+            yield keys.assign(_s=list(s))
 
     sums = df.select(*by, "drive", "resp").mapInPandas(score, f"{schema}_s array<double>")
     sums = sums.groupBy(*group).agg(vector_sum("_s").alias("_s")).select(*by, "_s")
@@ -86,16 +87,18 @@ def estimate_coupling(df: DataFrame, by: list[str], fs: float, lag_max: float =
 
     def gain(batches):
         for pdf in batches:
-            out = []
-            for key, rows in grouped(pdf):
-                g = bank[int(pdf["_k"].iloc[rows[0]]) - 1]
-                num = den = 0.0
-                for _, d, r in stacks(pdf, rows):
-                    pred = _convolve(d, g)
-                    num, den = num + (pred * r).sum(), den + (pred * pred).sum()
-                out.append((*key, num, den))
-            if out:
-                yield pd.DataFrame(out, columns=[*by, "_num", "_den"])
+            if not len(pdf):
+                continue
+            codes, keys = groups(pdf)
+            num, den = np.zeros(len(keys)), np.zeros(len(keys))
+            chosen = pdf["_k"].to_numpy() - 1
+            for at, d, r in stacks(pdf):
+                for k in np.unique(chosen[at]):
+                    rows = chosen[at] == k
+                    pred = _convolve(d[rows], bank[k])
+                    np.add.at(num, codes[at][rows], (pred * r[rows]).sum(axis=1))
+                    np.add.at(den, codes[at][rows], (pred * pred).sum(axis=1))
+            yield keys.assign(_num=num, _den=den)
 
     if by:
         j = df.select(*by, "drive", "resp").join(best, by)

@@ -73,9 +73,9 @@ def subject_manifest(views: DataFrame) -> DataFrame:
     return views.groupBy("modality").agg(F.sort_array(F.collect_set("subject")).alias("subjects"))
 
 
-def write_view_json(df: DataFrame, path: str) -> DataFrame:
-    """Rows as JSON partitioned by modality and subject; returns the manifest of what is on disk."""
-    (df.hint("rebalance", "modality", "subject").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("modality", "subject").json(path))
-    found = df.sparkSession.read.schema(df.schema).json(path)
-    return subject_manifest(found.select("modality", "subject").distinct())
+def write_view_json(df: DataFrame, path: str, buckets: int = 16) -> DataFrame:
+    """View rows as JSON lines by modality and subject bucket; returns the manifest of what is on disk."""
+    keyed = df.withColumn("bucket", F.pmod(F.xxhash64("subject"), F.lit(buckets)).cast("int"))
+    (keyed.hint("rebalance", "modality", "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("modality", "bucket").json(path))
+    return subject_manifest(df.sparkSession.read.schema(keyed.schema).json(path).select("modality", "subject").distinct())
