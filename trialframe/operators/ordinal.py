@@ -48,9 +48,11 @@ def hash_ordinal(df: DataFrame, keys: list[str], seed, by: list[str], name: str
     return ordinal(hashed, keys, ["_h"], F.substring("_h", 1, HASH_BUCKET_CHARS), name, size).drop("_h")
 
 
-def time_bucket(ts: str | Column, seconds: int = 86400) -> Column:
-    """Time cut in fixed steps, a bucket for streams ordered by timestamp."""
-    return F.floor(col(ts).cast("timestamp").cast("double") / seconds)
+def time_bucket(ts: str | Column, seconds: int = 3600) -> Column:
+    """Time cut in fixed steps, a bucket for streams ordered by timestamp. Counted on the wall clock of the column, so a
+    session time zone with daylight saving cannot make it fall."""
+    since = F.timestamp_diff("SECOND", F.expr("timestamp_ntz'1970-01-01 00:00:00'"), col(ts).cast("timestamp_ntz"))
+    return F.floor(since / seconds)
 
 
 def with_previous(df: DataFrame, keys: list[str], t: str, values: list[str], chunk: int = 65536) -> DataFrame:

@@ -13,7 +13,8 @@ from trialframe.operators.ordinal import hash_ordinal, ordinal
 def stratified_batches(df: DataFrame, concept: str, key: str, batch: int, seed=0) -> DataFrame:
     """Round-robin over concepts, shuffled inside each; cut in batches, every row once."""
     d = hash_ordinal(df.select(concept, key), [concept], seed, [key], "_r")
-    d = ordinal(d, [], ["_r", concept], F.col("_r"), "pos")
+    # round numbers thin out geometrically when one concept is far larger than the rest, so buckets grow with them
+    d = ordinal(d, [], ["_r", concept], F.floor(256 * F.log2(F.col("_r") + 1)), "pos")
     return d.select(concept, key, "pos", F.floor(F.col("pos") / batch).alias("batch"))
 
 

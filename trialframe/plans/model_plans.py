@@ -529,9 +529,9 @@ def event_stream(v):
              stddev_pop(x) FILTER (t < 10) OVER (PARTITION BY rec) AS hs FROM m WINDOW w AS (PARTITION BY rec ORDER BY t))
        SELECT rec, t, {r('CASE WHEN t < 10 THEN (x - hm) / greatest(1e-4, hs) ELSE d / greatest(1e-4, e) END')} AS z FROM q""")
 def _(v):
-    s = event_stream(v).select(F.col("user_id").cast("string").alias("rec"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "event_id",
+    s = event_stream(v).select(F.col("user_id").cast("string").alias("rec"), "ts", "event_id",
                                (F.log(1 + F.col("value")) - 4.0).alias("v"))
-    z = ST.stream_standardize(s, ["us", "event_id"], "v", 0.05, 10)
+    z = ST.stream_standardize(s, ["ts", "event_id"], "v", 0.05, 10)
     return ST.run_to_table(z, fresh_table_path(v.spark, "stream")).withColumn("z", rnd("z"))
 
 

@@ -78,7 +78,7 @@ def _(v):
              FROM g JOIN p ON g.rec = p.rec AND p.s0 <= g.g * 21600 AND g.g * 21600 < p.s1)
        SELECT g.rec, g.g, {r('coalesce(j.v, 0)')} AS v FROM g LEFT JOIN j ON g.rec = j.rec AND g.g = j.g""")
 def _(v):
-    sec = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6 - 1704067200.0
+    sec = F.timestamp_diff("MICROSECOND", F.expr("timestamp_ntz'2024-01-01 00:00:00'"), F.col("ts")) / 1e6
     s = v.samples.select(F.col("subject").alias("rec"), "t", F.round(sec, 6).alias("sec"), F.col("c0").alias("v"))
     return E.resample_linear(s, 21600.0, 124).withColumn("v", rnd("v"))
 
