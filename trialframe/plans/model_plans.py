@@ -539,14 +539,14 @@ def _(v):
        w AS (SELECT event_id AS event FROM events, n WHERE event_type = 'purchase' AND event_id >= 2 AND event_id + 4 <= n)
        SELECT event, CAST(e.event_id - event + 2 AS INTEGER) AS i, value AS v FROM w JOIN events e ON e.event_id BETWEEN event - 2 AND event + 3""")
 def _(v):
-    at = F.timestamp_seconds(F.col("event_id"))
+    at = F.timestamp_seconds(F.col("event_id") + 1704067200)
     one = F.lit("all").alias("rec")
     s = event_stream(v).select(one, F.col("event_id").alias("t"), at.alias("at"), F.array("value").alias("c"))
     e = event_stream(v).filter("event_type = 'purchase'").select(one, F.col("event_id").alias("event"), F.col("event_id").alias("onset"),
                                                                  at.alias("onset_at"), F.col("event_type").alias("label"))
     # one later row per stream closes the last windows, as the next recording would
     path = fresh_table_path(v.spark, "closing")
-    later = F.timestamp_seconds(F.col("event_id") + 3600)
+    later = F.timestamp_seconds(F.col("event_id") + 1704067200 + 3600)
     last = v.table("events").agg(F.max("event_id").alias("event_id"))
     last.select(F.lit("end").alias("rec"), F.lit(0).cast("bigint").alias("t"), later.alias("at"), F.array(F.lit(0.0)).alias("c"),
                 F.lit(-1).cast("bigint").alias("event"), F.lit("end").alias("label")).write.parquet(path)
