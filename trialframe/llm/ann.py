@@ -79,7 +79,7 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, trees: int = 96, s
             block_rows: int = 4096, seed: int = 7, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: each query row's ``k`` nearest other rows, ties to the smaller id.
 
-    ``queries`` selects the query rows of ``vectors``. Trees ascend until their ranges sum to ``share`` of the shard. Vectors
+    ``queries`` selects the query rows of ``vectors``. Trees ascend until their ranges sum to ``share`` of the shard, ``100 * k`` at least. Vectors
     that are null, zero or hold null or non-finite components take no part, nor do rows with a null id; a query with fewer
     than ``k`` candidates found gets those. Of equal vectors only the k + 1 smallest ids can be among a query's nearest, so the
     others aren't indexed. Rows that repeat an id are taken once. An empty table gives no rows; all vectors of one call have
@@ -111,7 +111,7 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, trees: int = 96, s
         unit = q / np.linalg.norm(q / np.abs(q).max(axis=1, keepdims=True), axis=1, keepdims=True) / np.abs(q).max(axis=1, keepdims=True)
         asked_hashes = hash_strings(np.hstack([unit, np.zeros((len(q), 1))]), normals, trees)
         out = []
-        for j, found in enumerate(forest.candidates(asked_hashes, max(1, int(share * len(x))))):
+        for j, found in enumerate(forest.candidates(asked_hashes, max(100 * k, int(share * len(x))))):
             found = found[ids[found] != q_ids[j]]
             score = np.einsum("ij,j->i", x[found], q[j])
             if len(found) > k:

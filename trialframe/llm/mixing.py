@@ -65,8 +65,9 @@ def thresholds(docs: DataFrame, plan: DataFrame) -> DataFrame:
     for level in range(1, LEVELS + 1):
         shift = BITS * (LEVELS - level)
         bucket = F.shiftright("h", shift)
-        inside = docs.join(small_side(state), docs["source"].eqNullSafe(state["source"])).where(
-            F.shiftright("h", shift + BITS) == F.col("prefix")).select(state["source"], "rest", "passed", bucket.alias("b"), "size", "h")
+        at = small_side(state.select(F.col("source").alias("of"), "rest", "passed", "prefix"))
+        inside = docs.join(at, F.col("source").eqNullSafe(F.col("of")) & (F.shiftright("h", shift + BITS) == F.col("prefix"))).select(
+            "source", "rest", "passed", bucket.alias("b"), "size", "h")
         sums = inside.groupBy("source", "rest", "passed", "b").agg(
             F.sum("size").cast("double").alias("size"), F.min("h").alias("lo"), F.max("h").alias("hi"))
         order = Window.partitionBy("source").orderBy("b")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trialframe.llm import ann, chat_format, decontam, mixing, pii, url_filter, warc
+from trialframe.llm import ann, chat_format, decontam, mixing, ngram_join, pii, substring_dedup, toxicity, url_filter, warc
 from trialframe.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +23,11 @@ def query(fn):
     return fn
 
 
+@query
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(read(spark, sf_dir, "documents"), 3, 90)
+
+
 @query
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.summary(read(spark, sf_dir, "documents"))
@@ -55,6 +60,17 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.format_and_read(chat_format.turns_of(read(spark, sf_dir, "conversations")).unionByName(own))
 
 
+@query
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.judged(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+@query
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.without_repeats(read(spark, sf_dir, "documents"), 35)
+    return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 @query
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"))
