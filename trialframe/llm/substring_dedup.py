@@ -1,7 +1,7 @@
 """Removal of repeated word passages with suffix automata of reference shards.
 
 Every window of ``length`` words has a key: the least hash of the shorter word runs inside it. Equal windows have equal keys, and
-consecutive windows mostly share one, so a text is cut into contexts (runs of windows with one key), about two for ``length``
+consecutive windows mostly share one, so a text is cut into contexts (windows with one key at one place), about two for ``length``
 words. Keys with a single occurrence can't hold a repeated window. Where all contexts of a key are equal, all their windows
 repeat. The other contexts are the reference: they are dealt to shards by key, each shard's suffix automaton is built with
 the number of occurrences of every state, and its contexts are streamed through it for matching statistics. Windows that
@@ -60,11 +60,13 @@ def run_hashes(c: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return mixed((c[end] - c[start]) * DOWN.upto(len(c))[start])
 
 
-def sliding_min(a: np.ndarray, width: int) -> np.ndarray:
-    out, have = a, 1
+def sliding_argmin(a: np.ndarray, width: int) -> np.ndarray:
+    """Place of the least value of each run of ``width``, the first of equal ones."""
+    out, have = np.arange(len(a)), 1
     while have < width:
         step = min(have, width - have)
-        out = np.minimum(out[:-step], out[step:])
+        left, right = out[:-step], out[step:]
+        out = np.where(a[left] <= a[right], left, right)
         have += step
     return out
 
@@ -77,8 +79,10 @@ def contexts(words: list[bytes], length: int) -> tuple[np.ndarray, ...]:
     c = sums(np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)))
     run = max(1, length // 3)
     at = np.arange(len(words) - run + 1)
-    key = sliding_min(run_hashes(c, at, at + run), length - run + 1)
-    change = np.concatenate([[0], np.nonzero(key[1:] != key[:-1])[0] + 1, [len(key)]])
+    hashes = run_hashes(c, at, at + run)
+    least = sliding_argmin(hashes, length - run + 1)  # a window that recurs in its own text has its least run at another place there
+    key = hashes[least]
+    change = np.concatenate([[0], np.nonzero(least[1:] != least[:-1])[0] + 1, [len(key)]])
     starts = np.concatenate([np.arange(a, b, CONTEXT) for a, b in zip(change[:-1], change[1:], strict=True)]) if (np.diff(change) > CONTEXT).any() else change[:-1]
     count = np.diff(np.append(starts, len(key)))
     return key[starts].view(np.int64), starts, count, run_hashes(c, starts, starts + count + length - 1).view(np.int64)
