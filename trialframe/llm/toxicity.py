@@ -9,7 +9,6 @@ after each fit. A document scores as its worst sentence, mapped to 0..1 by a log
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -24,14 +23,16 @@ from trialframe.llm.common import stored, text_or_empty
 #: Longest span of a subsequence, decay per character of the span, longest word read as one piece.
 SPAN, DECAY, PIECE = 6, 0.6, 24
 #: Kernel values below count as nothing alike.
-LEAST = 0.45
-#: Labelled documents per class that the model is fitted on (all if there are fewer), landmarks of either kind, and sentences.
-SAMPLE, MARKED, PLAIN, SENTENCES = 3000, 112, 16, 60_000
+LEAST = 0.6
+#: Power of the kernel; it stays a kernel and sets near words further apart from like ones.
+POWER = 3
+#: Labelled documents per class that the model is fitted on (all if there are fewer), sentences of each (those closest to the
+#: landmarks of toxic texts), and landmarks of either kind.
+SAMPLE, PER_DOCUMENT, MARKED, PLAIN = 2500, 6, 112, 16
 #: Distinct words a worker remembers.
 CACHE = 300_000
 TABLE = 1 << 18
-ENDS = re.compile(r"[.!?\n]+")
-SPELLED = re.compile(r"(?:(?<=\s)|^)\S(?:\s\S){2,}(?=\s|$)")
+STOPS = frozenset(".!?")
 
 
 @lru_cache(maxsize=64)
@@ -100,12 +101,10 @@ class Landmarks:
         for a in range(0, len(near), 512):
             rows = near[a:a + 512]
             out[rows] = np.einsum("wtm,t->wm", self.matrix[at[rows]], w) / norm
-        return np.where(out >= LEAST, np.minimum(out, 1), 0)
+        return np.where(out >= LEAST, np.minimum(out, 1) ** POWER, 0)
 
     def learn(self, tokens: set[str]) -> None:
         """Put the kernels of unknown tokens into the cache; None where no landmark is close."""
-        if len(self.held) > CACHE:
-            self.held.clear()
         by_length: dict[int, list[tuple[str, str]]] = {}
         for t in tokens:
             if t not in self.held:
@@ -122,24 +121,29 @@ class Landmarks:
                     self.held[part[i][0]] = k[i] if old is None else np.maximum(old, k[i])
 
     def sentences(self, text: str) -> np.ndarray:
-        """(sentences, landmarks) of those that have a word close to a landmark."""
-        text = text.lower()
-        tokens = set(text.split())
-        spelled = {m[0]: "".join(m[0].split()) for m in SPELLED.finditer(text)}
-        new = (tokens | set(spelled.values())) - self.held.keys()
+        """(sentences, landmarks) of those that have a word close to a landmark. A sentence ends with a word that ends in a stop."""
+        words = text.lower().split()
+        tokens = set(words)
+        single = [i for i, w in enumerate(words) if len(w) == 1] if any(len(t) == 1 for t in tokens) else []
+        spelled = {}  # three or more single characters in a row are one word
+        for run in np.split(single, np.nonzero(np.diff(single) != 1)[0] + 1) if len(single) > 2 else []:
+            if len(run) > 2:
+                spelled[int(run[0])] = "".join(words[i] for i in run)
+        if len(self.held) > CACHE:
+            self.held.clear()
+        new = {t for t in tokens.union(spelled.values()) if t not in self.held}
         if new:
             self.learn(new)
-        close = {t for t in tokens if self.held.get(t) is not None}
-        whole = [s for s, w in spelled.items() if self.held.get(w) is not None]
-        out = []
-        if close or whole:
-            for sentence in ENDS.split(text):
-                rows = [self.held[t] for t in close.intersection(sentence.split())] + [self.held[spelled[s]] for s in whole if s in sentence]
-                if rows:
-                    out.append(np.max(rows, axis=0))
-            for t in close - {t for s in ENDS.split(text) for t in s.split()}:  # a token with a sentence mark inside
-                out.append(self.held[t])
-        return np.array(out, np.float32).reshape(-1, len(self.words))
+        close = {t: k for t in tokens if (k := self.held[t]) is not None}
+        found = [(i, close[w]) for i, w in enumerate(words) if w in close] if close else []
+        found += [(i, k) for i, w in spelled.items() if (k := self.held[w]) is not None]
+        if not found:
+            return np.zeros((0, len(self.words)), np.float32)
+        ends = [i for i, w in enumerate(words) if w[-1] in STOPS]
+        of = np.searchsorted(ends, [i for i, _ in found])
+        order = np.argsort(of, kind="stable")
+        starts = np.nonzero(np.diff(of[order], prepend=-1))[0]
+        return np.maximum.reduceat(np.stack([found[i][1] for i in order]), starts, axis=0)
 
 
 @dataclass
@@ -179,20 +183,20 @@ def choose_landmarks(train: DataFrame, marked: int = MARKED, plain: int = PLAIN)
 
 
 def _sentences(train: DataFrame, words: list[str]) -> DataFrame:
+    """doc_id, toxic, k (float32 bytes) of the sentences to fit on."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks = Landmarks(words)
         for b in batches:
             ids, toxic, rows = [], [], []
             for i, y, text in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
                 own = np.unique(marks.sentences(text), axis=0)
-                if not len(own):
-                    own = np.zeros((1, len(words)), np.float32)
+                own = own[np.argsort(-own[:, :MARKED].sum(axis=1), kind="stable")[:PER_DOCUMENT]] if len(own) else np.zeros((1, len(words)), np.float32)
                 ids += [i] * len(own)
                 toxic += [y] * len(own)
-                rows += list(own)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(toxic, pa.int32()), pa.array(rows, pa.list_(pa.float32()))], names=["doc_id", "toxic", "k"])
+                rows += [k.astype(np.float32).tobytes() for k in own]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(toxic, pa.int32()), pa.array(rows, pa.binary())], names=["doc_id", "toxic", "k"])
 
-    return train.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"), "text").mapInArrow(run, "doc_id bigint, toxic int, k array<float>")
+    return train.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"), "text").mapInArrow(run, "doc_id bigint, toxic int, k binary")
 
 
 def fit_machine(z: np.ndarray, y: np.ndarray, rounds: int = 400, penalty: float = 1e-3) -> np.ndarray:
@@ -233,8 +237,10 @@ def train(docs: DataFrame, labels: DataFrame, keep: Column | None = None, sample
     if not words or classes != {0, 1}:
         share = min(max(float(classes == {1}), 1e-9), 1 - 1e-9)
         return Model(words or ["^  "], np.zeros(max(1, len(words))), 0.0, 0.0, float(np.log(share / (1 - share))))
-    found = _sentences(rows, words).orderBy(F.xxhash64("doc_id", "k")).limit(SENTENCES).collect()
-    ids, y, k = np.array([r[0] for r in found]), np.array([r[1] for r in found]), np.array([r[2] for r in found], float)
+    # at most 2 * sample * PER_DOCUMENT rows of 4 bytes a landmark
+    found = sorted(tuple(r) for r in _sentences(rows, words).collect())
+    ids, y = np.array([r[0] for r in found]), np.array([r[1] for r in found])
+    k = np.stack([np.frombuffer(r[2], np.float32) for r in found]).astype(float)
     marks = Landmarks(words)
     gram = np.vstack([marks.kernel([w]) for w in words]).astype(float)
     value, vector = np.linalg.eigh((gram + gram.T) / 2)
@@ -245,7 +251,7 @@ def train(docs: DataFrame, labels: DataFrame, keep: Column | None = None, sample
     np.maximum.at(y_doc, doc, y)
     s = k[:, :MARKED].sum(axis=1)  # at first the sentence closest to the landmarks of toxic texts
     w = np.zeros(z.shape[1] + 1)
-    for _ in range(4):
+    for _ in range(3):
         best = {d: i for i in np.argsort(s, kind="stable") for d in (doc[i],)}
         take = (y == 0) | np.isin(np.arange(len(y)), [i for d, i in best.items() if y_doc[d] == 1])
         w = fit_machine(z[take], np.where(y[take] == 1, 1.0, -1.0))
