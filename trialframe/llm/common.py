@@ -18,7 +18,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Write to a new table in the shared folder and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = fresh_table_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

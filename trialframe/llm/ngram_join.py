@@ -29,7 +29,9 @@ MOST_ENUMERATED = 24
 #: Cells of the table of frequent n-grams, as bits; its size doesn't depend on the corpus.
 CELL_BITS = 21
 #: n-grams that are counted together in a task before counts are passed on.
-CHUNK = 2_000_000
+CHUNK = 500_000
+#: Rows of an Arrow batch that are worked on at once.
+PIECE = 1000
 #: Members of a list that all others are compared with first.
 PIVOTS = 3
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -77,6 +79,12 @@ def _batch(schema: pa.Schema, columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
+def _in_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for at in range(0, b.num_rows, PIECE):
+            yield b.slice(at, PIECE)
+
+
 def _sketch(docs: DataFrame, n: int) -> DataFrame:
     """One row (doc_id, thash, size, sid) per document; rows (cell, times) of n-grams that repeat within a task's chunk; one row (repeats, grams) per chunk."""
     schema = pa.schema([("doc_id", pa.int64()), ("thash", pa.int64()), ("size", pa.int64()), ("sid", pa.int64()), ("cell", pa.int32()), ("times", pa.int64()), ("repeats", pa.int64()), ("grams", pa.int64())])
@@ -94,7 +102,7 @@ def _sketch(docs: DataFrame, n: int) -> DataFrame:
             none, k = [None], len(cells)
             return _batch(schema, [none * (k + 1)] * 4 + [[*cells.tolist(), None], [*times.tolist(), None], none * k + [int(c.sum())], none * k + [total]])
 
-        for b in batches:
+        for b in _in_pieces(batches):
             sizes, sids = [], []
             for text in b.column(2):
                 g = gram_set(text.as_py(), n)
@@ -135,7 +143,7 @@ def _subset_keys(docs: DataFrame, n: int, t: int, boundary: int) -> DataFrame:
     schema = pa.schema([("key", pa.int64()), ("c", pa.int32()), ("size", pa.int32()), ("sid", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _in_pieces(batches):
             seen: set[int] = set()
             keys, cs, sizes, sids = [], [], [], []
             for text in b.column(0):
@@ -172,7 +180,7 @@ def _prefixes(docs: DataFrame, n: int, t: int, boundary: int, weights) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heavy = weights.value
         seen: set[int] = set()
-        for b in batches:
+        for b in _in_pieces(batches):
             tokens, sids, sizes = [], [], []
             for text in b.column(0):
                 g = gram_set(text.as_py(), n)
@@ -199,7 +207,7 @@ def _sets(docs: DataFrame, n: int) -> DataFrame:
     """sid, grams of the given texts, each set once."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for b in batches:
+        for b in _in_pieces(batches):
             rows = {}
             for text in b.column(0):
                 g = gram_set(text.as_py(), n)

@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trialframe.llm.common import small_side, stored, text_or_empty
@@ -29,7 +29,7 @@ CONTEXT = 24
 #: Words whose automaton one task holds.
 SHARD_WORDS = 40_000
 #: Contexts from which a key is dealt by single windows.
-HOT = 256
+HOT = 2048
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
 MASK = (1 << 64) - 1
@@ -176,12 +176,16 @@ def _cut(docs: DataFrame, length: int) -> DataFrame:
 
 
 def _context_words(texts: DataFrame, length: int) -> DataFrame:
-    """key, ctx, window, whash, weight, words: contexts as they are (window null), those of hot keys window by window. ``texts``: text, wanted."""
+    """key, ctx, window, whash, weight, words: contexts as they are (window null), those of hot keys window by window. ``texts``: thash, text, wanted."""
     schema = pa.schema([("key", pa.int64()), ("ctx", pa.int64()), ("window", pa.int32()), ("whash", pa.int64()), ("weight", pa.int32()), ("words", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for b in batches:
-            for text, wanted in zip(b.column(0), b.column(1), strict=True):
+            for thash, text, wanted in zip(*(b.column(i) for i in range(3)), strict=True):
+                if thash.as_py() in seen:
+                    continue
+                seen.add(thash.as_py())
                 words, out = text.as_py().encode().split(), []
                 for x in wanted.as_py():
                     own = words[x["start"]:x["start"] + x["windows"] + length - 1]
@@ -198,11 +202,13 @@ def _context_words(texts: DataFrame, length: int) -> DataFrame:
 
 
 def _masks(reference: DataFrame, length: int) -> DataFrame:
-    """key, ctx, mask (bit i: window i repeats). ``reference``: shard, key, ctx, weight, words."""
+    """key, ctx, mask (bit i: window i repeats). ``reference``: shard, key, ctx, origin, weight, words; rows that repeat (key, ctx, origin) count once."""
     schema = pa.schema([("key", pa.int64()), ("ctx", pa.int64()), ("mask", pa.int64())])
 
     def shard(table: pa.Table) -> pa.Table:
         number: dict[str, int] = {}
+        once = {k: i for i, k in enumerate(zip(*(table.column(c).to_pylist() for c in ("key", "ctx", "origin")), strict=True))}
+        table = table.take(pa.array(sorted(once.values()), pa.int64()))
         texts = [[number.setdefault(w, len(number)) for w in line.split(" ")] for line in table.column("words").to_pylist()]
         automaton = Automaton(texts, table.column("weight").to_pylist())
         masks = [sum(1 << i for i in automaton.repeated(t, length)) for t in texts]
@@ -251,14 +257,13 @@ def repeated_windows(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame
     keys = each.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     reference = stored(each.join(keys, "key").select("key", "ctx", "full", "thash", "start", "windows", (F.col("n") > HOT).alias("hot")), "sub-reference")
     wanted = reference.groupBy("thash").agg(F.collect_list(F.struct("key", "ctx", "start", "windows", "hot", F.when(F.col("full"), 2).otherwise(1).alias("weight"))).alias("wanted"))
-    some = docs.join(small_side(stored(wanted.select("thash"), "sub-wanted")), "thash", "left_semi").select("thash", "text").dropDuplicates(["thash"])
-    texts = some.join(wanted, "thash").select("text", "wanted")
-    lines = stored(_context_words(texts, length), "sub-lines")
-    cold = lines.where("window is null").select("key", "ctx", "weight", "words").dropDuplicates(["key", "ctx"])
-    hot = lines.where("window is not null")
-    first = Window.partitionBy("key", "whash").orderBy(F.col("weight").desc(), "ctx", "window")
-    evidence = (hot.dropDuplicates(["key", "whash", "ctx", "window"]).withColumn("r", F.row_number().over(first)).where("r <= 2")
-                .select("key", F.col("whash").alias("ctx"), "weight", "words"))
+    some = docs.join(small_side(stored(wanted.select("thash"), "sub-wanted")), "thash", "left_semi").select("thash", "text")
+    lines = stored(_context_words(some.join(wanted, "thash").select("thash", "text", "wanted"), length), "sub-lines")
+    cold = lines.where("window is null").select("key", "ctx", F.lit(0).cast("bigint").alias("origin"), "weight", "words")
+    # of a hot key's equal windows two are evidence enough; those that occur once need none
+    hot = lines.where("window is not null").withColumn("origin", F.xxhash64("ctx", "window"))
+    again = hot.groupBy("key", "whash").agg(F.min("origin").alias("lo"), F.max("origin").alias("hi"), F.max("weight").alias("w")).where("lo <> hi or w > 1")
+    evidence = hot.join(again.select("key", "whash", "lo", "hi"), ["key", "whash"]).where("origin in (lo, hi)").select("key", F.col("whash").alias("ctx"), "origin", "weight", "words")
     total = reference.agg(F.sum(F.col("windows") + length)).first()[0] or 0
     shards = max(1, -(-total // SHARD_WORDS))
     shard = lambda *c: F.pmod(F.xxhash64(*c), F.lit(shards))
