@@ -92,18 +92,16 @@ def proximity_matches(index: DataFrame, plan: DataFrame, within: int) -> DataFra
     return lead.join(second, ["row", "wid", "b"]).where(gap <= within).groupBy("row", "wid", "pos").agg(F.min(gap).alias("distance"))
 
 
-def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text",
-                  item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for every row of ``docs``.
+def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
+    """An id per row that a second reading gives again; equal rows share it and are judged alike."""
+    return F.xxhash64(F.col(id_col), F.col(text_col))
 
-    Null and empty texts have no words; items without words have no windows; null item ids count as one item, written as an
-    empty string. Repeated rows are judged alike and separately. Other columns are ignored.
-    """
+
+def verdicts(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text",
+             item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """row, n_hit, items (sorted ids as text) of the contaminated rows."""
     windows = stored(item_windows(items, window, item_col, item_text_col), "decontam-windows")
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    # an id per row that a second reading gives again; equal rows share it and are judged alike
-    row = F.xxhash64(F.col("doc_id"), F.col("text"))
-    keyed = rows.select("doc_id", row.alias("row"), words_of(text_or_empty()).alias("w"))
+    keyed = docs.select(row_key(id_col, text_col).alias("row"), words_of(text_or_empty(text_col)).alias("w"))
     plan = stored(drivers(windows, stored(frequencies(keyed, windows), "decontam-df")), "decontam-plan")
     index = stored(build_index(keyed, plan, window - 1), "decontam-index")
     hits = stored(exact_matches(index, plan).distinct(), "decontam-hits")
@@ -111,8 +109,25 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_co
         F.transform("c", lambda x: F.sequence(x["start"], x["start"] + x["n"] - 1))))).cast("long").alias("n_hit"))
     named = windows.select(F.sha2(F.concat_ws(" ", "words"), 256).alias("wid"), F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item")).distinct()
     of = hits.select("row", "wid").distinct().join(small_side(named), "wid").groupBy("row").agg(F.array_sort(F.collect_set("item")).alias("items"))
-    verdict = stored(cover.join(of, "row"), "decontam-verdict")
+    return stored(cover.join(of, "row"), "decontam-verdict")
+
+
+def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text",
+                  item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for every row of ``docs``.
+
+    Null and empty texts have no words; items without words have no windows; null item ids count as one item, written as an
+    empty string. Repeated rows are judged alike and separately; without items nothing is contaminated. Other columns are ignored.
+    """
+    verdict = verdicts(docs, items, window, id_col, text_col, item_col, item_text_col)
+    rows = docs.select(F.col(id_col).alias("doc_id"), row_key(id_col, text_col).alias("row"), F.size(words_of(text_or_empty(text_col))).cast("long").alias("n_words"))
     none = F.array().cast("array<string>")
-    return keyed.select("doc_id", "row", F.size("w").cast("long").alias("n_words")).join(small_side(verdict), "row", "left").select(
+    return rows.join(small_side(verdict), "row", "left").select(
         "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(F.coalesce("items", none)).cast("long").alias("n_items"),
         sha256_hex(F.concat_ws(",", F.coalesce("items", none))).alias("items_sha256"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"))
+
+
+def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The rows of ``docs`` that hold no window of ``items``."""
+    bad = verdicts(docs, items, window).select(F.col("row").alias("_row"))
+    return docs.join(small_side(bad), row_key() == F.col("_row"), "left_anti")

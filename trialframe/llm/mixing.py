@@ -8,7 +8,7 @@ on until a boundary bucket holds a single hash. No document is sorted; each roun
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trialframe.llm.common import WORD, small_side, stored, text_or_empty
@@ -19,11 +19,16 @@ BITS, LEVELS = 10, 6
 
 def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """doc_id, source, size (words), h (60 bits of the md5 of the id's decimal text; null ids hash as an empty text)."""
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), _size(text_col).alias("size"), _hash(id_col).alias("h"))
+
+
+def _size(text_col: str) -> Column:
+    return F.regexp_count(text_or_empty(text_col), F.lit(WORD)).cast("long")
+
+
+def _hash(id_col: str) -> Column:
     digest = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
-    return docs.select(
-        F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"),
-        F.regexp_count(text_or_empty(text_col), F.lit(WORD)).cast("long").alias("size"),
-        F.conv(F.substring(digest, 1, 15), 16, 10).cast("long").alias("h"))
+    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -89,6 +94,23 @@ def thresholds(docs: DataFrame, plan: DataFrame) -> DataFrame:
     return state.select("source", "copies", take.cast("long").alias("limit"))
 
 
+def mixing_plan(narrow: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
+    """of (source), source_size, target, whole, limit: what each source's documents are taken by. ``narrow``: as ``sized``, stored."""
+    sizes = stored(narrow.groupBy("source").agg(F.sum("size").alias("source_size")), "mix-sources")
+    plan = stored(targets(sizes, weights, share, most), "mix-targets")
+    cut = thresholds(narrow, plan)
+    per_source = plan.alias("p").join(small_side(cut).alias("c"), F.col("p.source").eqNullSafe(F.col("c.source"))).select(
+        F.col("p.source").alias("of"), "source_size", "target", F.col("copies").alias("whole"), "limit")
+    return stored(per_source, "mix-plan")
+
+
+def with_copies(narrow: DataFrame, plan: DataFrame) -> DataFrame:
+    """``narrow`` plus source_size, target, copies, taken."""
+    out = narrow.join(small_side(plan), F.col("source").eqNullSafe(F.col("of")))
+    copies = F.col("whole") + F.when((F.col("h") <= F.col("limit")) & (F.col("source_size") > 0), 1).otherwise(0)
+    return out.withColumn("copies", copies.cast("long")).withColumn("taken", (F.col("copies") * F.col("size")).cast("long")).drop("of", "whole", "limit", "h")
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, id_col: str = "doc_id",
         text_col: str = "text", source_col: str = "source") -> DataFrame:
     """doc_id, source, size, source_size, target, copies, taken for every row.
@@ -97,13 +119,13 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
     are ignored. A row's copies depend only on its id, source and the source's sizes, so reruns agree.
     """
     narrow = stored(sized(docs, id_col, text_col, source_col), "mix-sizes")
-    sizes = stored(narrow.groupBy("source").agg(F.sum("size").alias("source_size")), "mix-sources")
-    plan = stored(targets(sizes, weights, share, most), "mix-targets")
-    cut = thresholds(narrow, plan)
-    per_source = plan.alias("p").join(small_side(cut).alias("c"), F.col("p.source").eqNullSafe(F.col("c.source"))).select(
-        F.col("p.source").alias("of"), "source_size", "target", F.col("copies").alias("whole"), "limit")
-    per_source = stored(per_source, "mix-plan")
-    out = narrow.join(small_side(per_source), narrow["source"].eqNullSafe(per_source["of"]))
-    copies = F.col("whole") + F.when((F.col("h") <= F.col("limit")) & (F.col("source_size") > 0), 1).otherwise(0)
-    return out.select("doc_id", "source", "size", "source_size", "target", copies.cast("long").alias("copies"),
-                      (copies * F.col("size")).cast("long").alias("taken"))
+    return with_copies(narrow, mixing_plan(narrow, weights, share, most))
+
+
+def mixed_documents(docs: DataFrame, **how) -> DataFrame:
+    """The rows of ``docs`` that the mix takes, as a struct doc, with size, source_size, target, copies, taken."""
+    narrow = stored(sized(docs), "mix-sizes")
+    plan = mixing_plan(narrow, **how)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), "doc_id", "text", "source")
+    rows = rows.select("doc", "source", _size("text").alias("size"), _hash("doc_id").alias("h"))
+    return with_copies(rows, plan).where("copies > 0").drop("source")

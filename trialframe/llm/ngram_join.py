@@ -273,13 +273,14 @@ def _large_links(docs: DataFrame, lists: DataFrame, texts: DataFrame, n: int, t:
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, threshold: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, n_copies for every row.
+    """doc_id, n_shingles, component_id, n_copies, group, thash for every row.
 
     Words are runs of other than space and the control characters 9 to 13, A-Z lower-cased; a text's set has its distinct n-word
     shingles, the whole sequence if it has fewer words, and is empty without words. Two texts link when 100 * intersection >=
     threshold * union; component_id is the smallest doc_id reachable by links. Null and empty texts link with nothing and are
     components of their own; rows with a null id count as texts but give no component_id (null if a component has no other).
-    Equal texts and repeated rows are one set, of which n_copies tells the rows. Shingles and sets are known by 64-bit hashes.
+    Equal texts and repeated rows are one set, of which n_copies tells the rows; group numbers the component (null for empty
+    sets) and thash is xxhash64 of the text. Extra columns are ignored, an empty table gives no rows. Shingles and sets are known by 64-bit hashes.
     """
     if not 50 < threshold <= 100:
         raise ValueError("threshold is a percentage above 50")
@@ -311,6 +312,23 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: int = 80, id_col: st
     comp = stored(comp, "join-comp")
     placed = sets.join(comp, sets["sid"] == comp["node"], "left").select("sid", "low", "n_copies", F.coalesce("comp", "sid").alias("comp"))
     lowest = placed.groupBy("comp").agg(F.min("low").alias("component_id"))
-    known = stored(placed.join(lowest, "comp").select("sid", "component_id", "n_copies"), "join-known")
-    out = rows.where("size > 0").join(known, "sid").select("doc_id", F.col("size").alias("n_shingles"), "component_id", "n_copies")
-    return out.union(rows.where("size = 0").select("doc_id", F.lit(0).cast("bigint"), F.col("doc_id"), F.lit(1).cast("bigint")))
+    known = stored(placed.join(lowest, "comp").select("sid", "component_id", "n_copies", F.col("comp").alias("group")), "join-known")
+    out = rows.where("size > 0").join(known, "sid").select("doc_id", F.col("size").alias("n_shingles"), "component_id", "n_copies", "group", "thash")
+    none = F.lit(None).cast("bigint")
+    return out.union(rows.where("size = 0").select("doc_id", F.lit(0).cast("bigint"), F.col("doc_id"), F.lit(1).cast("bigint"), none, F.col("thash")))
+
+
+def one_of_each(docs: DataFrame, n: int = 5, threshold: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` without near-duplicates: of each component the row with the smallest id (null last) stays, once. Rows without words stay."""
+    found = stored(near_duplicates(docs, n, threshold, id_col, text_col), "join-found")
+    empty = found.where("group is null").select("doc_id", "thash").distinct().withColumn("_rows", F.lit(1))
+    best = found.where("group is not null").groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "thash")).alias("b")).select("b.doc_id", "b.thash")
+    again = found.groupBy("doc_id", "thash").agg(F.count("*").alias("_rows"))
+    same = lambda a, b: F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & (F.col(f"{a}.thash") == F.col(f"{b}.thash"))
+    kept = best.alias("b").join(again.alias("a"), same("a", "b")).select("b.doc_id", "b.thash", "a._rows").union(empty)
+    kept = stored(kept.select(F.col("doc_id").alias("_id"), F.col("thash").alias("_thash"), "_rows"), "join-kept")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.col(id_col).cast("bigint").alias("_id1"), F.xxhash64(text_or_empty(text_col)).alias("_thash1"))
+    out = rows.join(small_side(kept), F.col("_id").eqNullSafe(F.col("_id1")) & (F.col("_thash") == F.col("_thash1")))
+    # a row that is repeated as a whole stays once
+    repeated = out.where("_rows > 1").groupBy("_id", "_thash").agg(F.first("_doc").alias("_doc"))
+    return out.where("_rows = 1").select("_doc.*").union(repeated.select("_doc.*"))

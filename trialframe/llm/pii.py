@@ -95,14 +95,11 @@ def _contexts(text: Column, x: Column) -> Column:
 
 
 def found_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs plus row (an id of the row within this table), base (array of kind, s, e) and slots (kind or null, s, e, v, patterns), stored.
+    """doc (the row as it was, as a struct), row (its id within this table), base (array of kind, s, e, v), slots (kind or null, s, e, v, patterns); stored.
 
     Null texts are empty. Slots are the base spans and the identifier-like tokens that overlap none of them.
     """
-    taken = [c for c in ("_text", "base", "slots", "row") if c in docs.columns]
-    if taken:
-        raise ValueError(f"rename the columns {taken}")
-    df = docs.withColumn("_text", text_or_empty(text_col))
+    df = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), text_or_empty(text_col).alias("_text"))
     text = F.col("_text")
     df = df.withColumns({f"_{k}": c for k, c in base_spans(text).items()})
     df = df.withColumn("base", F.concat(*[F.transform(f"_{k}", _named(k)) for k in KINDS]))
@@ -142,10 +139,10 @@ def confident_instances(slots: DataFrame, rounds: int = 3, least: float = 0.8, s
 
 
 def detect(docs: DataFrame, text_col: str = "text", rounds: int = 3, least: float = 0.8, support: int = 3) -> DataFrame:
-    """docs plus base and spans: arrays of (kind, s, e, v) by kind as listed, then start; ``spans`` has the base and the learnt ones.
+    """doc (the row as it was, as a struct), base and spans: arrays of (kind, s, e, v) by kind as listed, then start; ``spans`` has the base and the learnt ones.
 
     Offsets are code points, ends exclusive. Null and empty texts have none; repeated rows get equal spans; an empty table
-    stays empty; other columns are kept. Learnt spans overlap no base span.
+    stays empty. Learnt spans overlap no base span.
     """
     found = found_spans(docs, text_col)
     slots = found.select("row", F.explode("slots").alias("x")).select("row", "x.*")
@@ -168,7 +165,7 @@ def summary(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """doc_id, n_email, n_ip, n_card, n_phone (base), base_sha256, spans, n_learnt."""
     d = detect(docs.select(id_col, text_col), text_col)
     counts = [F.size(F.filter("base", _is(k))).cast("long").alias(f"n_{k}") for k in KINDS]
-    return d.select(id_col, *counts, sha256_hex(joined("base")).alias("base_sha256"), joined("spans").alias("spans"),
+    return d.select(F.col(f"doc.{id_col}").alias("doc_id"), *counts, sha256_hex(joined("base")).alias("base_sha256"), joined("spans").alias("spans"),
                     (F.size("spans") - F.size("base")).cast("long").alias("n_learnt"))
 
 
@@ -177,7 +174,7 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     d = detect(docs, text_col)
     by_start = F.array_sort(F.transform("spans", lambda x: F.struct(x["s"].alias("s"), (-x["e"]).alias("e"), x["kind"].alias("kind"))))
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    text = F.col(text_col)
+    text = F.col(f"doc.{text_col}")
 
     def step(acc: Column, x: Column) -> Column:
         tag = F.concat(F.lit("["), F.upper(x["kind"]), F.lit("]"))
@@ -185,4 +182,5 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
         return F.when(-x["e"] <= acc["at"], acc).otherwise(F.struct((-x["e"]).alias("at"), inside.alias("out")))
 
     made = F.aggregate(by_start, zero, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
-    return d.withColumn(text_col, F.when(F.size("spans") == 0, text).otherwise(made)).select(*docs.columns)
+    new = F.when(F.size("spans") == 0, text).otherwise(made).alias(text_col)
+    return d.select(*[new if c == text_col else F.col(f"doc.`{c}`") for c in docs.columns])

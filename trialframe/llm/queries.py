@@ -25,7 +25,7 @@ def query(fn):
 
 @query
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.near_duplicates(read(spark, sf_dir, "documents"), 3, 90)
+    return ngram_join.near_duplicates(read(spark, sf_dir, "documents"), 3, 90).select("doc_id", "n_shingles", "component_id", "n_copies")
 
 
 @query

@@ -263,25 +263,22 @@ def train(docs: DataFrame, labels: DataFrame, keep: Column | None = None, sample
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """docs plus toxic_score (0 to 1). Null and empty texts score as texts without a suspicious word."""
-    if "toxic_score" in docs.columns:
-        raise ValueError("rename the column toxic_score")
+    """doc (the row as it was, as a struct), toxic_score (0 to 1). Null and empty texts score as texts without a suspicious word."""
     held = docs.sparkSession.sparkContext.broadcast(model)  # a fixed number of landmarks
-    at = docs.columns.index(text_col)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), text_or_empty(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
         marks = Landmarks(m.landmarks)
         for b in batches:
             worst = np.full(b.num_rows, m.bias)
-            for i, text in enumerate(b.column(at)):
-                rows = marks.sentences(text.as_py() or "")
+            for i, text in enumerate(b.column(1)):
+                rows = marks.sentences(text.as_py())
                 if len(rows):
                     worst[i] = max(m.bias, float((rows @ m.weights).max()) + m.bias)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(m.probability(worst))], names=[*b.schema.names, "toxic_score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(m.probability(worst))], names=["doc", "toxic_score"])
 
-    return docs.mapInArrow(run, f"{fields}, toxic_score double")
+    return rows.mapInArrow(run, f"doc {rows.schema['doc'].dataType.simpleString()}, toxic_score double")
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -292,5 +289,10 @@ def held_out(id_col: str = "doc_id") -> Column:
 def judged(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, score, predicted for every row. Labels of rows with null label or id aren't used; a document with several labels is toxic if one is."""
     model = train(docs, labels, ~held_out(id_col), id_col=id_col, text_col=text_col)
-    out = score(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), model)
+    out = score(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), model).select("doc.doc_id", "toxic_score")
     return out.select("doc_id", held_out().alias("held_out"), F.col("toxic_score").alias("score"), (F.col("toxic_score") >= threshold).cast("int").alias("predicted"))
+
+
+def clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
+    """The rows of ``docs`` that score below ``threshold`` with a model fitted on all labels of ``docs``."""
+    return score(docs, train(docs, labels)).where(F.col("toxic_score") < threshold).select("doc.*")
