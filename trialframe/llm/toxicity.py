@@ -25,7 +25,7 @@ SPAN, DECAY, PIECE = 6, 0.6, 24
 #: Kernel values below count as nothing alike.
 LEAST = 0.6
 #: Power of the kernel; it stays a kernel and sets near words further apart from like ones.
-POWER = 3
+POWER = 2
 #: Labelled documents per class that the model is fitted on (all if there are fewer), sentences of each (those closest to the
 #: landmarks of toxic texts), and landmarks of either kind.
 SAMPLE, PER_DOCUMENT, MARKED, PLAIN = 2500, 6, 112, 16
@@ -109,7 +109,9 @@ class Landmarks:
         for t in tokens:
             if t not in self.held:
                 self.held[t] = None
-                for p in pieces(bare(t)):
+                inner = bare(t)
+                letters = "^" + "".join(c for c in inner if c.isalnum()) if not inner[1:].isalnum() else inner
+                for p in {*pieces(inner), *pieces(letters)}:
                     if len(p) >= 3:
                         by_length.setdefault(len(p), []).append((t, p))
         for group in by_length.values():
