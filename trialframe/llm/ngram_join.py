@@ -32,8 +32,8 @@ CELL_BITS = 21
 CHUNK = 500_000
 #: Rows of an Arrow batch that are worked on at once.
 PIECE = 1000
-#: Members of a list that all others are compared with first.
-PIVOTS = 3
+#: 64-bit words of a list member's bitmap.
+BITMAP = 4
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -75,6 +75,10 @@ def prefix_length(size: int, t: int) -> int:
     return size - least_partner(size, t) + 1
 
 
+def prefix_size(size: Column, t: int) -> Column:
+    return size - F.ceil(t * size / F.lit(100)) + 1
+
+
 def _batch(schema: pa.Schema, columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
@@ -204,7 +208,7 @@ def _prefixes(docs: DataFrame, n: int, t: int, boundary: int, weights) -> DataFr
 
 
 def _sets(docs: DataFrame, n: int) -> DataFrame:
-    """sid, grams of the given texts, each set once."""
+    """sid, grams of the given texts, each set once a task."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for b in _in_pieces(batches):
@@ -216,7 +220,7 @@ def _sets(docs: DataFrame, n: int) -> DataFrame:
                     rows[sid] = g
             yield pa.RecordBatch.from_arrays([pa.array(list(rows), pa.int64()), pa.array([g for g in rows.values()], pa.list_(pa.int64()))], names=["sid", "grams"])
 
-    return docs.mapInArrow(run, "sid bigint, grams array<bigint>").dropDuplicates(["sid"])
+    return docs.mapInArrow(run, "sid bigint, grams array<bigint>")
 
 
 def _need(a: Column, b: Column, t: int) -> Column:
@@ -225,16 +229,23 @@ def _need(a: Column, b: Column, t: int) -> Column:
 
 
 def _possible(a: str, b: str, t: int, boundary: int) -> Column:
-    """Whether two list members, with size and most (n-grams they can have in common with any set), can be similar."""
-    na, nb = F.col(f"{a}.size"), F.col(f"{b}.size")
-    return (F.greatest(na, nb) > boundary) & (100 * F.least(na, nb) >= t * F.greatest(na, nb)) & (
-        F.least(F.col(f"{a}.most"), F.col(f"{b}.most")) >= _need(na, nb, t))
+    """Whether two list members can be similar, by their sizes and by the bitmaps of their k listed n-grams.
+
+    An n-gram that no other set's prefix has can't be common, and one whose bit the other set lacks isn't. Every common n-gram
+    in front of the end of either prefix stands in both; the others are at most what the longer rest has.
+    """
+    na, nb, ka, kb = (F.col(f"{x}.{c}") for c in ("size", "k") for x in (a, b))
+    only_a, only_b = (sum(F.bit_count(F.col(f"{x}.bits{j}").bitwiseAND(F.bitwise_not(F.col(f"{y}.bits{j}")))) for j in range(BITMAP)) for x, y in ((a, b), (b, a)))
+    ra, rb = (F.ceil(t * x / F.lit(100)) - 1 for x in (na, nb))
+    need = _need(na, nb, t)
+    return (F.greatest(na, nb) > boundary) & (100 * F.least(na, nb) >= t * F.greatest(na, nb)) & (F.least(ra + ka, rb + kb) >= need) & (
+        F.least(ka - only_a, kb - only_b) + F.greatest(ra, rb) >= need)
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, texts: DataFrame, n: int, t: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar. ``texts``: sid, thash of one text of each set."""
-    wanted = stored(texts.join(small_side(stored(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), "join-wanted")), "sid", "left_semi").select("thash"), "join-texts")
-    sets = stored(_sets(docs.join(small_side(wanted), "thash", "left_semi").select("text"), n), "join-sets")
+    """The pairs (a, b) whose whole sets are similar. ``texts``: sid, one (thash, low: document) of each set."""
+    wanted = stored(texts.join(small_side(stored(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), "join-wanted")), "sid", "left_semi").select("thash", "low"), "join-texts").alias("w")
+    sets = stored(_sets(docs.alias("d").join(small_side(wanted), (F.col("d.thash") == F.col("w.thash")) & F.col("d.doc_id").eqNullSafe(F.col("w.low")), "left_semi").select("text"), n), "join-sets")
     left = pairs.join(sets.select(F.col("sid").alias("a"), F.col("grams").alias("ga")), "a")
     both = left.join(sets.select(F.col("sid").alias("b"), F.col("grams").alias("gb")), "b")
     o = F.size(F.array_intersect("ga", "gb"))
@@ -242,32 +253,29 @@ def _verified(pairs: DataFrame, docs: DataFrame, texts: DataFrame, n: int, t: in
 
 
 def _large_links(docs: DataFrame, lists: DataFrame, texts: DataFrame, n: int, t: int, boundary: int, links: DataFrame) -> DataFrame:
-    """a, b: enough links among list members to join all that links connect. ``lists``: token, sid, size; ``links``: those known.
-
-    An n-gram that no other set's prefix has can't be common: a set's overlap is at most its size less those in its prefix.
-    """
-    least = F.ceil(t * F.col("size") / F.lit(100))
-    most = lists.groupBy("sid", "size").agg(F.count("*").alias("k")).select("sid", (least - 1 + F.col("k")).alias("most"))
-    rows = stored(lists.join(most, "sid").select("token", "sid", "size", "most"), "join-lists")
-    # every list's members meet a few of them: those with least of their own, and one at random
-    own = F.col("size") - F.col("most")
-    picks = rows.groupBy("token").agg(*[F.min(F.struct((own if k else F.lit(0)).alias("own"), F.xxhash64("sid", F.lit(k)).alias("h"), "sid", "size", "most")).alias(f"p{k}") for k in range(PIVOTS)])
-    picks = picks.select("token", F.explode(F.array_distinct(F.array(*[F.struct(*[F.col(f"p{k}.{c}").alias(c) for c in ("sid", "size", "most")]) for k in range(PIVOTS)]))).alias("p")).select("token", "p.*")
+    """a, b: enough links among list members to join all that links connect. ``lists``: token, sid, size; ``links``: those known."""
+    h = F.xxhash64("token")
+    place = F.expr("shiftleft(1L, cast(pmod(shiftright(xxhash64(token), 8), 64) as int))")
+    bits = [F.bit_or(F.when(F.pmod(h, F.lit(BITMAP)) == j, place).otherwise(F.lit(0).cast("bigint"))).alias(f"bits{j}") for j in range(BITMAP)]
+    members = stored(lists.groupBy("sid", "size").agg(F.count("*").alias("k"), *bits), "join-of")
+    fields = ["sid", "size", "k", *[f"bits{j}" for j in range(BITMAP)]]
+    rows = stored(lists.select("token", "sid").join(members, "sid").select("token", *fields), "join-lists")
+    # every list's members meet a few of them: those with the largest listed share, and one at random
+    own = prefix_size(F.col("size"), t) - F.col("k")
+    picks = rows.groupBy("token").agg(F.min(F.struct(own.alias("own"), "sid"))["sid"].alias("p0"), F.min("sid").alias("p1"), F.max("sid").alias("p2"))
+    picks = picks.select("token", F.explode(F.array_distinct(F.array("p0", "p1", "p2"))).alias("sid")).join(members, "sid").select("token", *fields)
     met = rows.alias("r").join(picks.alias("q"), (F.col("r.token") == F.col("q.token")) & (F.col("r.sid") != F.col("q.sid")) & _possible("r", "q", t, boundary))
     first = stored(met.select(F.greatest("r.sid", "q.sid").alias("a"), F.least("r.sid", "q.sid").alias("b")).distinct(), "join-first")
     links = stored(links.union(_verified(first, docs, texts, n, t)), "join-links")
     # where a list has several components: members outside its largest one meet those of all others
     comp = stored(components(links), "join-comp")
-    placed = rows.join(comp, rows["sid"] == comp["node"], "left").select("token", "sid", "size", "most", F.coalesce("comp", "sid").alias("comp"))
+    placed = rows.join(comp, rows["sid"] == comp["node"], "left").select("token", *fields, F.coalesce("comp", "sid").alias("comp"))
     counts = placed.groupBy("token", "comp").agg(F.count("*").alias("k")).groupBy("token").agg(F.count("*").alias("comps"), F.max(F.struct("k", "comp")).alias("m")).where("comps > 1")
     open_ = stored(placed.join(counts.select("token", F.col("m.comp").alias("largest")), "token"), "join-open")
     few = open_.where("comp <> largest")
     pairs = few.alias("f").join(open_.alias("r"), (F.col("f.token") == F.col("r.token")) & (F.col("f.comp") != F.col("r.comp"))
                                 & ((F.col("r.comp") == F.col("r.largest")) | (F.col("f.sid") < F.col("r.sid"))) & _possible("f", "r", t, boundary))
-    rest = F.greatest(*[F.ceil(t * F.col(c) / F.lit(100)) - 1 for c in ("na", "nb")])
-    # every common n-gram in front of the end of either prefix stands in both; the others are at most what the longer rest has
-    far = pairs.select(F.greatest("f.sid", "r.sid").alias("a"), F.least("f.sid", "r.sid").alias("b"), F.col("f.size").alias("na"), F.col("r.size").alias("nb")).groupBy("a", "b").agg(
-        F.count("*").alias("k"), F.first("na").alias("na"), F.first("nb").alias("nb")).where(F.col("k") + rest >= _need(F.col("na"), F.col("nb"), t)).select("a", "b")
+    far = pairs.select(F.greatest("f.sid", "r.sid").alias("a"), F.least("f.sid", "r.sid").alias("b")).distinct()
     far = stored(far.join(first, ["a", "b"], "left_anti"), "join-rest")
     return links.union(_verified(far, docs, texts, n, t))
 
@@ -289,7 +297,8 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: int = 80, id_col: st
     only = texts.select("text")
     sketch = stored(_sketch(texts.select("doc_id", "thash", "text"), n), "join-sketch")
     rows = sketch.where("sid is not null").select("doc_id", "thash", "size", "sid")
-    sets = stored(rows.where("size > 0").groupBy("sid").agg(F.min("doc_id").alias("low"), F.min("thash").alias("thash"), F.max("size").alias("size"), F.count("*").alias("n_copies")), "join-reps")
+    sets = stored(rows.where("size > 0").groupBy("sid").agg(
+        F.min("doc_id").alias("lowest"), F.min(F.struct("thash", F.col("doc_id").alias("low"))).alias("one"), F.max("size").alias("size"), F.count("*").alias("n_copies")), "join-reps")
     # frequent n-grams: a table of fixed size
     cells = sketch.where("cell is not null").groupBy("cell").agg(F.sum("times").alias("times")).where("times >= 16").collect()
     weights = np.zeros(1 << CELL_BITS, np.uint8)
@@ -304,14 +313,14 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: int = 80, id_col: st
     prefixes = stored(_prefixes(only, n, t, boundary, docs.sparkSession.sparkContext.broadcast(weights)), "join-prefixes")
     # n-grams met by two sets; half the hash is enough to leave the others out
     half = F.shiftright("token", 32).cast("int")
-    shared = prefixes.groupBy(half.alias("half")).agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).where("lo <> hi").select("half")
+    shared = prefixes.groupBy(half.alias("half")).agg(F.count("*").alias("k")).where("k > 1").select("half")
     lists = stored(prefixes.withColumn("half", half).join(shared, "half", "left_semi").drop("half"), "join-shared")
     met = lists.groupBy("token").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).where("lo <> hi").select("token")
     lists = stored(lists.join(met, "token", "left_semi").distinct(), "join-members")
-    comp = components(stored(_large_links(texts, lists, sets.select("sid", "thash"), n, t, boundary, links), "join-all"))
+    comp = components(stored(_large_links(texts, lists, sets.select("sid", "one.thash", "one.low"), n, t, boundary, links), "join-all"))
     comp = stored(comp, "join-comp")
-    placed = sets.join(comp, sets["sid"] == comp["node"], "left").select("sid", "low", "n_copies", F.coalesce("comp", "sid").alias("comp"))
-    lowest = placed.groupBy("comp").agg(F.min("low").alias("component_id"))
+    placed = sets.join(comp, sets["sid"] == comp["node"], "left").select("sid", "lowest", "n_copies", F.coalesce("comp", "sid").alias("comp"))
+    lowest = placed.groupBy("comp").agg(F.min("lowest").alias("component_id"))
     known = stored(placed.join(lowest, "comp").select("sid", "component_id", "n_copies", F.col("comp").alias("group")), "join-known")
     out = rows.where("size > 0").join(known, "sid").select("doc_id", F.col("size").alias("n_shingles"), "component_id", "n_copies", "group", "thash")
     none = F.lit(None).cast("bigint")
