@@ -100,6 +100,8 @@ def riemannian_mean(cov: DataFrame, by: list[str], d: int, tol: float = 1e-9, ma
         means = checkpointed(moved.mapInPandas(move, schema))
         if (means.agg(F.max("crit")).head()[0] or 0.0) < tol:
             break
+    else:
+        raise ArithmeticError(f"the mean did not converge to {tol} in {max_rounds} rounds")
     return means.select(*by, "mean", "isqrt")
 
 
@@ -139,19 +141,21 @@ def _driver_means(data: DataFrame, d: int, groups: int, member, tol: float, max_
             means[g] = (m + m.T) / 2
         if max((np.linalg.norm(x) for x in steps.values()), default=0.0) < tol:
             break
+    else:
+        raise ArithmeticError(f"the means did not converge to {tol} in {max_rounds} rounds")
     return means
 
 
 def small_means(cov: DataFrame, key: str | None, d: int, tol: float = 1e-9, max_rounds: int = 50) -> dict:
-    """Means of the few groups of ``key`` (classes, domains), or of all rows, as a dict on the driver. More groups than
-    MAX_DRIVER_GROUPS go through ``riemannian_mean``, which keeps them distributed, before they are fetched."""
+    """Means of the few groups of ``key`` (classes, domains), or of all rows, as a dict on the driver. For more groups than
+    MAX_DRIVER_GROUPS it raises: ``riemannian_mean`` keeps any number of them distributed."""
     if key is None:
         data = checkpointed(cov.select("cov"))
         return {0: _driver_means(data, d, 1, lambda pdf: np.ones((1, len(pdf)), bool), tol, max_rounds)[0]}
     data = checkpointed(cov.select(key, "cov"))
     values = sorted(r[0] for r in data.select(key).distinct().limit(MAX_DRIVER_GROUPS + 1).collect())
     if len(values) > MAX_DRIVER_GROUPS:
-        return {r[key]: np.asarray(r["mean"]).reshape(d, d) for r in riemannian_mean(cov, [key], d, tol, max_rounds).collect()}
+        raise ValueError(f"more than {MAX_DRIVER_GROUPS} groups of {key}: use riemannian_mean")
     member = lambda pdf: np.array(values, dtype=object)[:, None] == pdf[key].to_numpy(dtype=object)[None, :]
     return dict(zip(values, _driver_means(data, d, len(values), member, tol, max_rounds)))
 
@@ -234,20 +238,22 @@ def whiten_signals(df: DataFrame, weights: DataFrame, by: list[str], w: str = "i
 
 
 def strided_sample(df: DataFrame, keys: list[str], order: list[str], bucket: Column, m: int) -> DataFrame:
-    """Rows linspace(0, n−1, m).astype(int) of every group; all rows when n ≤ m."""
+    """Rows linspace(0, n−1, m).astype(int) of every group; all rows when n ≤ m, the first one for m = 1."""
     d = ordinal(df, keys, order, bucket, "_pos", "_n")
+    if m == 1:
+        return d.filter("_pos = 0").drop("_pos", "_n")
     last, n1 = m - 1, F.col("_n") - 1
     k = F.ceil(F.col("_pos") * last / F.greatest(n1, F.lit(1)))
     hit = F.floor(k * n1 / F.lit(last)) == F.col("_pos")
     return d.filter((F.col("_n") <= m) | hit).drop("_pos", "_n")
 
 
-def recenter_signals(df: DataFrame, by: list[str], order: list[str], bucket: Column, n_ch: int, max_ref: int = 512,
+def recenter_signals(df: DataFrame, by: list[str], order: list[str], bucket: Column, n_ch: int, max_ref: int | None = None,
                      shrinkage: float = 0.0) -> DataFrame:
-    """X → M^{-1/2} X, M the mean covariance of an evenly strided reference per subject, optionally pulled towards
-    its scaled identity."""
+    """X → M^{-1/2} X, M the mean covariance of all the subject's trials, or of ``max_ref`` evenly strided ones where a
+    caller asks for that, optionally pulled towards its scaled identity."""
     from trialframe.operators.spatial import trial_covariance
-    ref = trial_covariance(strided_sample(df, by, order, bucket, max_ref), by)
+    ref = trial_covariance(df if max_ref is None else strided_sample(df, by, order, bucket, max_ref), by)
     means = riemannian_mean(ref, by, n_ch).select(*by, "mean")
 
     def shrink(m):

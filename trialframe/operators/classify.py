@@ -395,7 +395,7 @@ def mutual_information_rank(long: DataFrame, bins: int = 16) -> DataFrame:
 
 def filter_bank_bands(fmin: float, fmax: float, width: float) -> list[tuple[float, float]]:
     """Bands of equal width from fmin; a remainder narrower than the width is dropped."""
-    n = int((fmax - fmin) // width)
+    n = int((fmax - fmin) / width + 1e-6)  # a whole number of bands may come out just below itself
     return [(fmin + i * width, fmin + (i + 1) * width) for i in range(n)]
 
 

@@ -11,8 +11,8 @@ from trialframe.functions import kernels
 from trialframe.functions.columns import amean, astd, centre, dot, let, vector_sum
 from trialframe.operators.epoching import shift_fill
 
-# fixed values: limits of the response spread (s) and of a stable lag (s)
-WIDTH_RANGE, STABLE_STD_S = (2.0, 5.0), 2.0
+# fixed values: least response lag, limits of the response spread, step of both, and deviation of a stable lag, in seconds
+LEAST_LAG_S, SPREAD_S, STEP_S, STABLE_STD_S = 2.0, (2.0, 5.0), 0.5, 2.0
 # fixed values: envelope bands of the cross-modal series in Hz
 SERIES_BANDS = {"theta": (4.0, 8.0), "alpha": (8.0, 13.0), "beta": (13.0, 30.0)}
 
@@ -29,9 +29,11 @@ def shift_scan(df: DataFrame, fs: float, lags_s=range(12)) -> DataFrame:
     return df.select(F.explode(lags).alias("e")).groupBy("e.lag_s").agg(F.avg("e.r").alias("r"))
 
 
-def coupling_grid(lag_max: float = 12.0) -> list[tuple[float, float]]:
-    return [(float(p), float(w)) for p in np.arange(2.0, lag_max + 1e-9, 0.5)
-            for w in np.arange(WIDTH_RANGE[0], min(WIDTH_RANGE[1], p) + 1e-9, 0.5)]
+def coupling_grid(lag_max: float = 12.0) -> np.ndarray:
+    """[kernels, 2]: every (lag, spread) on the half-second lattice whose spread doesn't exceed its lag, by lag."""
+    lattice = lambda low, high: low + STEP_S * np.arange(int(np.floor((high - low) / STEP_S + 1e-9)) + 1)
+    lag, spread = np.meshgrid(lattice(LEAST_LAG_S, lag_max), lattice(*SPREAD_S), indexing="ij")
+    return np.column_stack([lag[spread <= lag], spread[spread <= lag]])
 
 
 def _convolve(d: np.ndarray, g: np.ndarray) -> np.ndarray:
@@ -47,7 +49,7 @@ def estimate_coupling(df: DataFrame, by: list[str], fs: float, lag_max: float =
     """Causal gamma response per group: (by…, lag, decay, beta). The batches add one score per kernel of the grid, the
     kernel with the largest squared mean correlation wins, and its least-squares gain comes from a second pass."""
     grid = coupling_grid(lag_max)
-    bank = [kernels.causal_gamma(fs, p, w, length_s) for p, w in grid]
+    bank = kernels.response_kernels(grid[:, 0], grid[:, 1], fs, length_s)
     schema = "".join(f"`{c.name}` {c.dataType.simpleString()}, " for c in df.select(*by).schema)
     group = by or [F.lit(1)]
 
@@ -83,7 +85,7 @@ def estimate_coupling(df: DataFrame, by: list[str], fs: float, lag_max: float =
     sums = sums.groupBy(*group).agg(vector_sum("_s").alias("_s")).select(*by, "_s")
     strength = F.transform(F.slice("_s", 2, len(bank)), lambda v: F.round(F.pow(v / F.col("_s")[0], 2), 12))
     best = sums.select(*by, F.array_position(strength, F.array_max(strength)).cast("int").alias("_k"))
-    at = F.element_at(F.array(*[F.struct(F.lit(p).alias("p"), F.lit(w).alias("w")) for p, w in grid]), F.col("_k"))
+    at = F.element_at(F.array(*[F.struct(F.lit(p).alias("p"), F.lit(w).alias("w")) for p, w in grid.tolist()]), F.col("_k"))
 
     def gain(batches):
         for pdf in batches:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-# fixed values: family names in column order, and the family subsets compared as recipes
+# the families in the order of this library's columns, and the subsets compared as recipes
 FAMILIES = ["mean", "variance", "min", "max", "range", "auc", "final", "peak", "time_to_peak", "skew", "kurtosis",
             "zero_crossings", "slope", "early_slope", "late_slope"]
 RECIPES = {

@@ -16,9 +16,11 @@ def literal_map(mapping: dict) -> Column:
 
 
 def filter_criteria(df: DataFrame, subjects=(), sessions=()) -> DataFrame:
-    """Rows of the listed subjects or sessions. A DataFrame instead of a list is matched by a semi join."""
+    """Rows of the listed subjects or sessions. A DataFrame instead of a list of subjects is matched by a join."""
     if isinstance(subjects, DataFrame):
-        return df.join(subjects.select("subject"), "subject", "left_semi")
+        listed = subjects.select("subject").distinct().withColumn("_listed", F.lit(True))
+        in_session = F.col("session").isin([str(s) for s in sessions]) if sessions else F.lit(False)
+        return df.join(listed, "subject", "left").filter(F.col("_listed") | in_session).select(*df.columns)
     return df.filter(F.col("subject").isin([str(s) for s in subjects])
                      | F.col("session").isin([str(s) for s in sessions]))
 

@@ -270,7 +270,8 @@ def inflation_grid(rows: DataFrame, robust: str = "cross_single") -> DataFrame:
 
 def check_invariants(runs: DataFrame, strict: bool = False) -> DataFrame:
     """Violated rules per run row; columns run, k, acc, point, lo, hi, chance, a, b, delta. An undefined number skips
-    the rules it takes part in, but an undefined accuracy is itself a violation."""
+    the rules it takes part in, but an undefined accuracy is itself a violation. The delta rule is for runs with a paired
+    arm, those that have any of a, b and delta; there all three must be defined."""
     ok = lambda *cs: [F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(F.col(c)) != F.lit(float("inf"))) for c in cs]
 
     def all_of(cs):
@@ -284,7 +285,8 @@ def check_invariants(runs: DataFrame, strict: bool = False) -> DataFrame:
     bracket = all_of(ok("point", "lo", "hi")) & ~((F.col("lo") <= p) & (p <= F.col("hi")))
     mean = all_of(ok("point", "acc")) & (F.abs(p - acc) > TOLERANCE)
     chance = (F.col("k") == 1) & all_of(ok("acc", "chance")) & (acc < F.col("chance"))
-    delta = ~(all_of(ok("delta", "a", "b")) & (F.abs(F.col("delta") - (F.col("b") - F.col("a"))) <= TOLERANCE))
+    paired = F.coalesce(F.col("delta"), F.col("a"), F.col("b")).isNotNull()
+    delta = paired & ~(all_of(ok("delta", "a", "b")) & (F.abs(F.col("delta") - (F.col("b") - F.col("a"))) <= TOLERANCE))
     rules = [("bounded", bounded), ("bracket", bracket), ("ci_mean", mean), ("chance", chance), ("delta", delta)]
     named = F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in rules]))
     out = runs.select("run", "k", F.explode(named).alias("rule"))

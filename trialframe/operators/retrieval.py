@@ -19,7 +19,6 @@ from pyspark.sql import functions as F
 from trialframe.functions import kernels
 from trialframe.functions.columns import dot, unit, vector_sum
 from trialframe.operators import metrics
-from trialframe.operators.ordinal import ordinal
 
 BLOCK = 4096
 PACK = 256
@@ -36,24 +35,18 @@ def concept_prototypes(emb: DataFrame, keys: list[str], v: str = "v", eps: float
 
 
 def bank_blocks(bank: DataFrame, v: str = "v", block: int | None = None, extra: list[str] | None = None) -> Iterator[tuple]:
-    """(concept ids, [k, d] vectors, extra columns…) in ascending concept order, at most ``block`` concepts at a time."""
-    block = block or BLOCK
-    bank = bank.select("concept", v, *(extra or []))
-
-    def arrays(rows):
-        rows = sorted(rows, key=lambda x: x[0])
-        return tuple(np.array(c, dtype=float if i else None) for i, c in enumerate(zip(*rows)))
+    """(concept ids, [k, d] vectors, extra columns…) of about ``block`` concepts at a time, each block in concept order.
 
-    rows = bank.limit(block + 1).collect()
-    if not rows:
+    Blocks are hash classes of the concept, so one path serves banks of any size and concepts of any type.
+    """
+    bank = bank.select("concept", v, *(extra or []))
+    n = -(-bank.count() // (block or BLOCK))
+    if not n:
         raise ValueError("empty bank")
-    if len(rows) <= block:
-        yield arrays(rows)
-        return
-    placed = ordinal(bank, [], ["concept"], F.floor(F.col("concept") / 1024), "_pos").withColumn(
-        "_blk", F.floor(F.col("_pos") / block))
-    for i in range(int(placed.agg(F.max("_blk")).head()[0]) + 1):
-        yield arrays(placed.filter(F.col("_blk") == i).select(*bank.columns).collect())
+    for i in range(n):
+        rows = sorted(bank.filter(F.pmod(F.xxhash64("concept"), F.lit(n)) == i).collect(), key=lambda x: x[0])
+        if rows:
+            yield tuple(np.array(c, dtype=float if k else None) for k, c in enumerate(zip(*rows)))
 
 
 STATE = {"s_true": "double", "better": "bigint", "best": "double", "pred": "bigint", "total": "double",
@@ -73,7 +66,7 @@ def fold_block(state: dict, labels: np.ndarray, s: np.ndarray, ids: np.ndarray,
     state["better"] += beat.sum(axis=1)
     top = s.argmax(axis=1)
     value = s[np.arange(len(s)), top]
-    new = value > state["best"]
+    new = (value > state["best"]) | ((value == state["best"]) & (ids[top] < state["pred"]))
     peak = np.maximum(state["best"], value)
     old = np.where(np.isfinite(state["best"]), np.exp(scale * (np.where(np.isfinite(state["best"]), state["best"], 0) - peak)), 0)
     state["z"] = state["z"] * old + np.exp(scale * (s - peak[:, None])).sum(axis=1)
@@ -88,6 +81,17 @@ def empty_state(n: int) -> dict:
             "total": np.zeros(n), "z": np.zeros(n), "n_cand": np.zeros(n, int)}
 
 
+def ranked(state: DataFrame) -> DataFrame:
+    """``rank`` of the true concept; NULL, as the true score, for a trial whose concept the bank does not have."""
+    true = F.when(~F.isnan("s_true"), F.col("s_true"))
+    return state.withColumn("s_true", true).withColumn("rank", F.when(F.col("s_true").isNotNull(), F.col("better") + 1))
+
+
+def hit_at(k: int):
+    """Whether the rank is at most k; a trial without a rank is a miss."""
+    return F.coalesce(F.col("rank") <= k, F.lit(False)).cast("int")
+
+
 def retrieval_state(trials: DataFrame, bank: DataFrame, keep: list[str], scale: float = 1.0, label: str = "concept",
                     v: str = "v", block: int | None = None) -> DataFrame:
     """One row per trial: score of the true concept, how many candidates beat it, best candidate, Σ scores and the
@@ -126,7 +130,7 @@ def retrieval_state(trials: DataFrame, bank: DataFrame, keep: list[str], scale:
         for first in (True, False):
             for shared in blocks:
                 out = out.mapInArrow(step(shared, (first,)), schema)
-    return out.select(*keep, F.col("_y").alias(label), *STATE).withColumn("rank", F.col("better") + 1)
+    return ranked(out.select(*keep, F.col("_y").alias(label), *STATE))
 
 
 def score_matrix(trials: DataFrame, bank: DataFrame, keep: list[str], v: str = "v") -> DataFrame:
@@ -156,12 +160,12 @@ def score_matrix(trials: DataFrame, bank: DataFrame, keep: list[str], v: str = "
 
 def retrieval_hits(state: DataFrame, ks=(1, 5)) -> DataFrame:
     """Hit at k by rank: candidates tied with the true one do not push it down."""
-    return state.select("*", *[(F.col("rank") <= k).cast("int").alias(f"hit{k}") for k in ks])
+    return state.select("*", *[hit_at(k).alias(f"hit{k}") for k in ks])
 
 
 def retrieval_metrics(state: DataFrame, by: list[str], ks=(1, 5)) -> DataFrame:
-    recall = [F.avg((F.col("rank") <= k).cast("int")).alias(f"recall{k}") for k in ks]
-    return state.groupBy(*by).agg(*recall, F.avg(1.0 / F.col("rank")).alias("mrr"),
+    recall = [F.avg(hit_at(k)).alias(f"recall{k}") for k in ks]
+    return state.groupBy(*by).agg(*recall, F.avg(F.coalesce(1.0 / F.col("rank"), F.lit(0.0))).alias("mrr"),
                                   F.percentile("rank", F.lit(0.5)).alias("median_rank"))
 
 
@@ -327,8 +331,7 @@ def keyed_state(trials: DataFrame, train: DataFrame, key: str, arm: str = "cross
                         fold_block(st, y, np.where(count > 0, x @ c.T, -2.0), ids, 1.0, first)
                 yield pd.DataFrame({key: k, "trial": [r["trial"] for r in rows], "concept": y, **st})
 
-    return out.mapInPandas(run, f"`{key}` {key_type}, trial {trial_type}, concept bigint, {state_cols}").withColumn(
-        "rank", F.col("better") + 1)
+    return ranked(out.mapInPandas(run, f"`{key}` {key_type}, trial {trial_type}, concept bigint, {state_cols}"))
 
 
 def robustness_rows(df: DataFrame, key: str = "subject", calib: str = "calib", ks=(1, 5)) -> DataFrame:
@@ -339,7 +342,7 @@ def robustness_rows(df: DataFrame, key: str = "subject", calib: str = "calib", k
     for arm in ("within", "cross"):
         for kind, trials in (("single", test), ("avg", means)):
             state = keyed_state(trials.select(key, "trial", "concept", "v"), train, key, arm)
-            acc = state.groupBy(key).agg(*[F.avg((F.col("rank") <= k).cast("int")).alias(f"k{k}") for k in ks])
+            acc = state.groupBy(key).agg(*[F.avg(hit_at(k)).alias(f"k{k}") for k in ks])
             pairs = F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"k{k}").alias("acc")) for k in ks])
             rows = acc.select(key, F.lit(f"{arm}_{kind}").alias("cell"), F.explode(pairs).alias("p")).select(
                 key, "cell", "p.k", "p.acc")

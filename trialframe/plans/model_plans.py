@@ -82,7 +82,7 @@ def _(v):
 @query("recenter_signals")
 def _(v):
     e = v.epochs.filter("n = 8").select(*EPOCH, "x")
-    out = A.recenter_signals(e, ["subject"], ["blk"], F.floor(F.col("blk") / 64), 4, max_ref=5, shrinkage=0.1)
+    out = A.recenter_signals(e, ["subject"], ["blk"], F.floor(F.col("blk") / 64), 4, shrinkage=0.1)
     return long_epochs(out, EPOCH)
 
 

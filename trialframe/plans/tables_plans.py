@@ -109,7 +109,7 @@ def _(v):
        FROM orders""")
 def _(v):
     o = v.table("orders").select("o_orderkey", F.col("o_custkey").cast("string").alias("c"))
-    return labels.dense_ids(o, "c", F.substring("c", 1, 2)).select("o_orderkey", "dense_id")
+    return labels.dense_ids(o, "c", splits.name_bucket(o, "c")).select("o_orderkey", "dense_id")
 
 
 # ---- joins -----------------------------------------------------------------------------------------------------

@@ -26,10 +26,12 @@ def local_session(cpus: int | str = 8, shuffle_partitions: int = 8) -> SparkSess
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one only where the session names none."""
+    """The cluster's checkpoint folder; a temporary one only in a local session that names none."""
     sc = spark.sparkContext
     configured = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if configured is None:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="spark-ckpt-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(configured)

@@ -27,10 +27,14 @@ def haemo_recipe_key(l_freq, h_freq, tmin, tmax, resample, cleaners: list[str] |
                     F.lit("_r"), F.coalesce(_part(resample), F.lit("native")), F.lit("_c"), F.lit("+".join(names) or "none"))
 
 
+def subject_bucket(buckets: int = 16) -> Column:
+    return F.pmod(F.xxhash64("subject"), F.lit(buckets)).cast("int")
+
+
 def write_epochs(df: DataFrame, path: str, mode: str = "append", buckets: int = 16) -> None:
     """Partitioned by dataset, recipe and a subject bucket, so a read of a few subjects opens few files. The rebalance
     hint lets AQE cut a bucket that holds a very large subject into files of even size and merge small ones."""
-    keyed = df.withColumn("bucket", F.pmod(F.xxhash64("subject"), F.lit(buckets)).cast("int"))
+    keyed = df.withColumn("bucket", subject_bucket(buckets))
     (keyed.hint("rebalance", "dataset", "recipe", "bucket").write.mode(mode)
      .option("partitionOverwriteMode", "dynamic").partitionBy("dataset", "recipe", "bucket").parquet(path))
 
@@ -50,10 +54,17 @@ def load_cloud(spark: SparkSession, path: str, datasets: list[str], recipe: str)
 
 def build_cloud(epochs: DataFrame, path: str, rebuild: bool = False) -> DataFrame:
     """Write the (dataset, recipe, subject) groups that the table lacks, or all of them when rebuilding; returns the
-    table. The subjects on disk come from the partition columns and one pruned column."""
+    table. The subjects on disk come from the partition columns and one pruned column. A rebuild replaces whole partitions, so
+    the rows of other subjects in them are carried over."""
     spark = epochs.sparkSession
-    old = None if rebuild else _read(spark, path)
-    if old is not None:
+    old = _read(spark, path)
+    if old is not None and rebuild:
+        keys = ["dataset", "recipe", "subject"]
+        new = epochs.select(*keys).distinct()
+        touched = new.withColumn("bucket", subject_bucket()).select("dataset", "recipe", "bucket").distinct()
+        others = old.join(touched, ["dataset", "recipe", "bucket"], "left_semi").join(new, keys, "left_anti")
+        epochs = epochs.unionByName(others.select(*epochs.columns))
+    elif old is not None:
         have = old.select("dataset", "recipe", F.col("subject")).distinct()
         epochs = epochs.join(have, ["dataset", "recipe", "subject"], "left_anti")
     write_epochs(epochs, path, "overwrite" if rebuild else "append")
@@ -74,8 +85,17 @@ def subject_manifest(views: DataFrame) -> DataFrame:
 
 
 def write_view_json(df: DataFrame, path: str, buckets: int = 16) -> DataFrame:
-    """View rows as JSON lines by modality and subject bucket; returns the manifest of what is on disk."""
-    keyed = df.withColumn("bucket", F.pmod(F.xxhash64("subject"), F.lit(buckets)).cast("int"))
+    """View rows as JSON lines by modality and subject bucket; returns the manifest of what is on disk. The given subjects'
+    rows are replaced, those of other subjects in the same partitions carried over."""
+    keyed = df.withColumn("bucket", subject_bucket(buckets))
+    try:
+        old = df.sparkSession.read.schema(keyed.schema).json(path)
+    except AnalysisException:
+        old = None
+    if old is not None:
+        touched = keyed.select("modality", "bucket").distinct()
+        others = old.join(touched, ["modality", "bucket"], "left_semi").join(keyed.select("modality", "subject").distinct(), ["modality", "subject"], "left_anti")
+        keyed = keyed.unionByName(others.select(*keyed.columns))
     (keyed.hint("rebalance", "modality", "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("modality", "bucket").json(path))
     return subject_manifest(df.sparkSession.read.schema(keyed.schema).json(path).select("modality", "subject").distinct())
