@@ -1,4 +1,4 @@
-"""The registered queries of the training-data operators and, where SQL can say it, their DuckDB text."""
+"""The registered queries of the training-data operators."""
 
 from __future__ import annotations
 
@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from trialframe.llm import ann, chat_format, decontam, mixing, ngram_join, pii, substring_dedup, toxicity, url_filter, warc
 from trialframe.llm.common import read
+from trialframe.llm.oracles import ORACLES
+
+__all__ = ["ORACLES", "QUERIES"]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
 
 #: host, path, verdict
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
