@@ -211,7 +211,8 @@ def _masks(reference: DataFrame, length: int) -> DataFrame:
         table = table.take(pa.array(sorted(once.values()), pa.int64()))
         texts = [[number.setdefault(w, len(number)) for w in line.split(" ")] for line in table.column("words").to_pylist()]
         automaton = Automaton(texts, table.column("weight").to_pylist())
-        masks = [sum(1 << i for i in automaton.repeated(t, length)) for t in texts]
+        # contexts of weight 2 repeat as a whole and are there for the others
+        masks = [sum(1 << i for i in automaton.repeated(t, length)) if w == 1 or s else 0 for t, w, s in zip(texts, *(table.column(c).to_pylist() for c in ("weight", "origin")), strict=True)]
         return pa.Table.from_arrays([table.column("key"), table.column("ctx"), pa.array(masks, pa.int64())], schema=schema)
 
     return reference.groupBy("shard").applyInArrow(shard, "key bigint, ctx bigint, mask bigint")
@@ -254,7 +255,7 @@ def repeated_windows(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame
     found = stored(ctx.withColumn("half", half).join(twice, "half", "left_semi").drop("half"), "sub-found")
     each = found.groupBy("key", "ctx").agg(F.min(place).alias("lo"), F.max(place).alias("hi"), F.min(F.struct("thash", "start", "windows")).alias("x"))
     each = stored(each.select("key", "ctx", (F.col("lo") != F.col("hi")).alias("full"), "x.*"), "sub-contexts")
-    keys = each.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    keys = each.groupBy("key").agg(F.count("*").alias("n"), F.min("full").alias("settled")).where("n > 1 and not settled")
     reference = stored(each.join(keys, "key").select("key", "ctx", "full", "thash", "start", "windows", (F.col("n") > HOT).alias("hot")), "sub-reference")
     wanted = reference.groupBy("thash").agg(F.collect_list(F.struct("key", "ctx", "start", "windows", "hot", F.when(F.col("full"), 2).otherwise(1).alias("weight"))).alias("wanted"))
     some = docs.join(small_side(stored(wanted.select("thash"), "sub-wanted")), "thash", "left_semi").select("thash", "text")
