@@ -409,3 +409,16 @@ def test_name_buckets_are_even(spark):
     names = spark.range(1, 10_001).selectExpr("format_string('sub-%05d', id) AS subject")
     sizes = [r["count"] for r in names.groupBy(splits.name_bucket(names).alias("b")).count().collect()]
     assert max(sizes) <= 500
+
+
+def test_single_precision_epochs_keep_their_type(spark):
+    from trialframe.operators import spatial
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.standard_normal((2, 24)).tolist()) for i in range(3)]
+    wide = frame(spark, rows, "id int, x array<array<double>>")
+    for fn in (lambda d: E.bandpass_epochs(d, 2.0, 9.0, 32.0), lambda d: E.band_envelope(d, 2.0, 9.0, 32.0), lambda d: E.resample_fft(d, 12),
+               lambda d: spatial.channel_mix(d, [[0.5, -0.5]])):
+        narrow = fn(wide.withColumn("x", F.col("x").cast("array<array<float>>")))
+        assert narrow.schema["x"].dataType.simpleString() == "array<array<float>>"
+        a, b = ([r["x"] for r in d.orderBy("id").collect()] for d in (narrow, fn(wide)))
+        assert np.allclose(a, b, atol=1e-5)

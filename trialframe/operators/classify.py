@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trialframe.functions import kernels
-from trialframe.functions.columns import asum, dot, let, softmax, vector_sum
+from trialframe.functions.columns import dot, let, softmax, vector_sum
 from trialframe.operators import align
 from trialframe.operators.align import _square, map_cov
 
@@ -400,13 +400,13 @@ def filter_bank_bands(fmin: float, fmax: float, width: float) -> list[tuple[floa
 
 
 def filter_bank_csp(epochs: DataFrame, train, n_ch: int, fs: float, bands: list[tuple[float, float]], k: int,
-                    k_features: int, keep: list[str]) -> DataFrame:
+                    k_features: int, keep: list[str], order: int = 4) -> DataFrame:
     """CSP per band on the train rows, features of all bands side by side, the k_features most informative kept."""
     from trialframe.operators.epoching import bandpass_epochs
     from trialframe.operators.spatial import trial_covariance
     out = None
     for lo, hi in bands:
-        cov = trial_covariance(bandpass_epochs(epochs.select(*keep, "x"), lo, hi, fs), keep)
+        cov = trial_covariance(bandpass_epochs(epochs.select(*keep, "x"), lo, hi, fs, order), keep)
         f = csp_features(cov, csp_filters(cov.filter(train), n_ch, k), n_ch)
         f = f.withColumnRenamed("f", f"_f{lo}".replace(".", "_"))
         out = f if out is None else out.join(f, keep)

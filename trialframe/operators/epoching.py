@@ -99,7 +99,7 @@ def resample_linear(samples: DataFrame, step: float, n_grid: int) -> DataFrame:
 # ---- spectral filters (Arrow batches) --------------------------------------------------------------------------
 
 def map_epochs(df: DataFrame, fn, x: str = "x") -> DataFrame:
-    """Apply a stack kernel [n, ch, t] → [n, ch', t'] to the nested array of every row, batch by batch."""
+    """Apply a stack kernel [n, ch, t] → [n, ch', t'] to the nested array of every row, batch by batch; the element type stays."""
     at = df.columns.index(x)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,7 +108,7 @@ def map_epochs(df: DataFrame, fn, x: str = "x") -> DataFrame:
             for rows, stack in kernels.stacks(b.column(at)):
                 for i, e in zip(rows, fn(stack)):
                     out[i] = e
-            yield b.set_column(at, x, kernels.to_nested(out))
+            yield b.set_column(at, x, kernels.to_nested(out).cast(b.schema.field(at).type))
 
     return df.mapInArrow(run, df.schema)
 

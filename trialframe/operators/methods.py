@@ -33,6 +33,8 @@ class Task:
     bands: tuple = tuple(spectral.BANDS)
     csp_filters: int = 6
     fb_bands: tuple[tuple[float, float], ...] = ((8.0, 12.0), (12.0, 16.0))
+    fb_features: int = 8
+    fb_order: int = 5
     acm_order: int = 2
     acm_lag: int = 1
     win_s: float = 1.0
@@ -69,7 +71,7 @@ def csp_lda(df: DataFrame, t: Task) -> DataFrame:
     def fit(train, test):
         w = C.csp_filters(train, t.n_ch, t.csp_filters)
         both = C.csp_features(train.withColumn("_g", F.lit(1)).unionByName(test.withColumn("_g", F.lit(0))), w, t.n_ch)
-        models = C.lda_models(both, "_g", t.n_classes, 0.0, F.col("_g") == 1)
+        models = C.lda_models(both, "_g", t.n_classes, "auto", F.col("_g") == 1)
         return C.linear_scores(both.filter("_g = 0"), models, "_g").select(*t.columns, softmax("scores").alias("probs"))
 
     return C.by_fold(cov, "fold", fit)
@@ -79,7 +81,7 @@ def fbcsp(df: DataFrame, t: Task) -> DataFrame:
     out = None
     for row in df.select("fold").distinct().orderBy("fold").collect():
         train = F.col("fold") != row[0]
-        f = C.filter_bank_csp(df, train, t.n_ch, t.fs, list(t.fb_bands), t.csp_filters, t.csp_filters, t.columns)
+        f = C.filter_bank_csp(df, train, t.n_ch, t.fs, list(t.fb_bands), t.csp_filters, t.fb_features, t.columns, order=t.fb_order)
         f = f.withColumn("_g", train.cast("int"))
         models = C.lda_models(f, "_g", t.n_classes, "auto", F.col("_g") == 1)
         p = C.linear_scores(f.filter("_g = 0"), models, "_g").select(*t.columns, softmax("scores").alias("probs"))
