@@ -45,14 +45,14 @@ def subsequences(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
 
 def coded(words: list[str]) -> np.ndarray:
     """Character codes of words of one length."""
-    return np.array([[ord(c) for c in w] for w in words], np.int64)
+    return np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).reshape(len(words), -1).astype(np.int64)
 
 
 def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(words, triples) feature numbers and the triples' weights; all words have one length of at least 3."""
     c = coded(words)
     i, j, k, w = subsequences(c.shape[1])
-    return ((c[:, i] * 1_000_003 + c[:, j]) * 8191 + c[:, k]) * 2_654_435_761 % (1 << 40) >> 22, w
+    return (((c[:, i] * 1_000_003 + c[:, j]) * 8191 + c[:, k]) * 2_654_435_761 & (1 << 40) - 1) >> 22, w
 
 
 def bare(token: str) -> str:
@@ -88,19 +88,18 @@ class Landmarks:
             norm = np.sqrt(sum(v * v for v in own.values()))
             for x, v in own.items():
                 self.matrix[codes[x], m] = v / norm
-        self.most = self.matrix.max(axis=1)
+        self.most = self.matrix.max(axis=1)[self.index]  # by feature number
         self.held: dict[str, np.ndarray | None] = {}
 
     def kernel(self, words: list[str]) -> np.ndarray:
         """(words, landmarks); words of one length."""
         f, w = features(words)
-        at = self.index[f]
         norm = np.float32(np.sqrt((w * w).sum()))
         out = np.zeros((len(words), len(self.words)), np.float32)
-        near = np.nonzero((self.most[at] * w).sum(axis=1) >= LEAST * norm)[0]  # no landmark can be closer than this sum
+        near = np.nonzero(self.most[f] @ w >= LEAST * norm * (1 - 1e-5))[0]  # no landmark can be closer than this sum
         for a in range(0, len(near), 512):
             rows = near[a:a + 512]
-            out[rows] = np.einsum("wtm,t->wm", self.matrix[at[rows]], w) / norm
+            out[rows] = np.einsum("wtm,t->wm", self.matrix[self.index[f[rows]]], w) / norm
         return np.where(out >= LEAST, np.minimum(out, 1) ** POWER, 0)
 
     def learn(self, tokens: set[str]) -> None:
