@@ -18,7 +18,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trialframe.llm.common import small_side, stored, text_or_empty
@@ -259,7 +259,8 @@ def _large_links(docs: DataFrame, lists: DataFrame, texts: DataFrame, n: int, t:
     bits = [F.bit_or(F.when(F.pmod(h, F.lit(BITMAP)) == j, place).otherwise(F.lit(0).cast("bigint"))).alias(f"bits{j}") for j in range(BITMAP)]
     members = stored(lists.groupBy("sid", "size").agg(F.count("*").alias("k"), *bits), "join-of")
     fields = ["sid", "size", "k", *[f"bits{j}" for j in range(BITMAP)]]
-    rows = stored(lists.select("token", "sid").join(members, "sid").select("token", *fields), "join-lists")
+    place_in_set = F.row_number().over(Window.partitionBy("sid").orderBy("token")) - 1  # a set has a prefix of them at most
+    rows = stored(lists.select("token", "sid", place_in_set.alias("place")).join(members, "sid").select("token", "place", *fields), "join-lists")
     # every list's members meet a few of them: those with the largest listed share, and one at random
     own = prefix_size(F.col("size"), t) - F.col("k")
     picks = rows.groupBy("token").agg(F.min(F.struct(own.alias("own"), "sid"))["sid"].alias("p0"), F.min("sid").alias("p1"), F.max("sid").alias("p2"))
@@ -269,11 +270,14 @@ def _large_links(docs: DataFrame, lists: DataFrame, texts: DataFrame, n: int, t:
     links = stored(links.union(_verified(first, docs, texts, n, t)), "join-links")
     # where a list has several components: members outside its largest one meet those of all others
     comp = stored(components(links), "join-comp")
-    placed = rows.join(comp, rows["sid"] == comp["node"], "left").select("token", *fields, F.coalesce("comp", "sid").alias("comp"))
+    placed = rows.join(comp, rows["sid"] == comp["node"], "left").select("token", "place", *fields, F.coalesce("comp", "sid").alias("comp"))
     counts = placed.groupBy("token", "comp").agg(F.count("*").alias("k")).groupBy("token").agg(F.count("*").alias("comps"), F.max(F.struct("k", "comp")).alias("m")).where("comps > 1")
     open_ = stored(placed.join(counts.select("token", F.col("m.comp").alias("largest")), "token"), "join-open")
     few = open_.where("comp <> largest")
-    pairs = few.alias("f").join(open_.alias("r"), (F.col("f.token") == F.col("r.token")) & (F.col("f.comp") != F.col("r.comp"))
+    # a pair that shares enough listed n-grams shares one with that many of its own behind it, in either set
+    enough = _need(F.col("f.size"), F.col("r.size"), t) - F.ceil(t * F.greatest("f.size", "r.size") / F.lit(100)) + 1
+    early = (F.col("f.place") <= F.col("f.k") - enough) & (F.col("r.place") <= F.col("r.k") - enough)
+    pairs = few.alias("f").join(open_.alias("r"), (F.col("f.token") == F.col("r.token")) & early & (F.col("f.comp") != F.col("r.comp"))
                                 & ((F.col("r.comp") == F.col("r.largest")) | (F.col("f.sid") < F.col("r.sid"))) & _possible("f", "r", t, boundary))
     far = pairs.select(F.greatest("f.sid", "r.sid").alias("a"), F.least("f.sid", "r.sid").alias("b")).distinct()
     far = stored(far.join(first, ["a", "b"], "left_anti"), "join-rest")
