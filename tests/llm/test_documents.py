@@ -57,6 +57,33 @@ def test_near_duplicates(spark, documents, n, t):
     assert rows_of(got) == sorted(want, key=str)
 
 
+@pytest.mark.parametrize("t", [80, 90])
+def test_near_duplicates_in_pairs_of_unequal_size(spark, t):
+    """Two texts a group: most groups have no third set that would list the n-grams beyond the end of a prefix."""
+    rng = np.random.default_rng(t)
+    texts = []
+    for g, size in enumerate([100, 100, 200, 400, 700, 1000] * 4):
+        words = sorted((f"w{g}x{i}" for i in range(size + size // 4)), key=lambda w: ngram_join.gram_set(w, 1)[0])
+        other = ngram_join.least_partner(size, t) + int(rng.integers(0, 1 + size - ngram_join.least_partner(size, t)))
+        common = min(other, -(-t * (size + other) // (100 + t)) - g % 2)  # just a link, or one n-gram short of it
+        own = size - common, other - common
+        if g % 4 < 2:  # the larger set's own words come first in the order, the other's last
+            a, b = words[:size], words[own[0]:own[0] + other]
+        else:
+            mixed = rng.permutation(words).tolist()
+            a, b = mixed[:size], mixed[own[0]:own[0] + other]
+        texts += [" ".join(rng.permutation(a)), " ".join(rng.permutation(b))]
+    # 93 of 102 are common, 4 of the larger set's 11 in front and all 10 of the other's
+    words = sorted((f"v{i}" for i in range(102)), key=lambda w: ngram_join.gram_set(w, 1)[0])
+    texts += [" ".join(words[:100]), " ".join(words[7:])]
+    sets = gram_sets([{"text": x} for x in texts], 1)
+    roots = linked(sets, t)
+    low = {k: i for i, k in reversed(list(enumerate(roots)))}
+    got = ngram_join.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), 1, t)
+    assert 2 * len(set(roots)) > len(texts) > len(set(roots))
+    assert rows_of(got.select("doc_id", "component_id")) == sorted(((i, low[k]) for i, k in enumerate(roots)), key=str)
+
+
 def test_near_duplicates_of_nothing(no_documents):
     assert ngram_join.near_duplicates(no_documents).count() == 0
     assert ngram_join.one_of_each(no_documents).count() == 0

@@ -231,14 +231,15 @@ def _need(a: Column, b: Column, t: int) -> Column:
 def _possible(a: str, b: str, t: int, boundary: int) -> Column:
     """Whether two list members can be similar, by their sizes and by the bitmaps of their k listed n-grams.
 
-    An n-gram that no other set's prefix has can't be common, and one whose bit the other set lacks isn't. Every common n-gram
-    in front of the end of either prefix stands in both; the others are at most what the longer rest has.
+    Every common n-gram up to the end of the prefix that ends first stands in both prefixes, so it is listed and has its bit in
+    both; the others are in that set's rest. Of the other prefix, n-grams beyond that end can be common without being listed,
+    so a set's listed n-grams and its own rest don't bound the overlap.
     """
     na, nb, ka, kb = (F.col(f"{x}.{c}") for c in ("size", "k") for x in (a, b))
     only_a, only_b = (sum(F.bit_count(F.col(f"{x}.bits{j}").bitwiseAND(F.bitwise_not(F.col(f"{y}.bits{j}")))) for j in range(BITMAP)) for x, y in ((a, b), (b, a)))
     ra, rb = (F.ceil(t * x / F.lit(100)) - 1 for x in (na, nb))
     need = _need(na, nb, t)
-    return (F.greatest(na, nb) > boundary) & (100 * F.least(na, nb) >= t * F.greatest(na, nb)) & (F.least(ra + ka, rb + kb) >= need) & (
+    return (F.greatest(na, nb) > boundary) & (100 * F.least(na, nb) >= t * F.greatest(na, nb)) & (
         F.least(ka - only_a, kb - only_b) + F.greatest(ra, rb) >= need)
 
 
