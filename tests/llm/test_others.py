@@ -1,6 +1,7 @@
 """Pages, vectors, conversations, toxicity and the pipeline."""
 
 import base64
+import gzip
 import hashlib
 
 import numpy as np
@@ -34,6 +35,32 @@ def test_archives(spark, pages):
     assert warc.round_trip(pages.where("false")).count() == 0
 
 
+def test_archives_of_many_members_and_without_compression(spark, tmp_path):
+    def record(i):
+        return b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:%d>\r\nContent-Length: %d\r\n\r\nhead\r\n\r\n%s\r\n\r\n" % (i, 8 + i, b"x" * i)
+
+    (tmp_path / "many.warc.gz").write_bytes(b"".join(gzip.compress(record(i)) for i in range(5)))
+    (tmp_path / "one.gz").write_bytes(gzip.compress(b"".join(record(i) for i in range(5, 8))))
+    (tmp_path / "plain.warc").write_bytes(b"".join(record(i) for i in range(8, 12)))
+    got = warc.read_archives(spark, str(tmp_path)).select("page_id", "payload_bytes").collect()
+    assert sorted(map(tuple, got)) == [(i, i) for i in range(12)]
+    with pytest.raises(EOFError):
+        warc.whole(gzip.compress(record(1)) + gzip.compress(record(2))[:-9])
+
+
+def test_archives_are_bounded_by_bytes(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(warc, "RECORDS_PER_FILE", 16)
+    monkeypatch.setattr(warc, "BYTES_PER_FILE", 16_000)
+    sizes = [10, 1000, 1001, 2000, 2001, 5000, 16_000, 40_000, 0] * 8
+    df = spark.createDataFrame([(i, f"u{i}", chr(65 + i % 50) * n) for i, n in enumerate(sizes)], "page_id bigint, url string, html string").coalesce(1)
+    warc.write_archives(df, str(tmp_path / "out"))
+    rows = warc.read_archives(spark, str(tmp_path / "out"))
+    assert rows.count() == len(sizes)
+    files = rows.groupBy("path").agg(F.count("*").alias("n"), F.sum("payload_bytes").alias("bytes")).collect()
+    assert all(r["n"] == 1 or r["n"] <= 16 and r["bytes"] <= 16_000 for r in files)
+    assert len(files) < len(sizes)
+
+
 def test_chain_rejects_what_is_not_reachable():
     offset, successor = np.array([0, 10, 15, 40, 90]), np.array([40, 20, 40, 90, 120])
     assert warc.on_chain(offset, successor).tolist() == [True, False, False, True, True]

@@ -8,8 +8,9 @@ payload isn't reachable and goes.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
-import zlib
+import io
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,8 +24,8 @@ from trialframe.session import fresh_table_path
 CRLF = "\r\n"
 MAGIC = b"WARC/1.1\r\n"
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
-#: Records per archive file, which bounds what a reading task holds.
-RECORDS_PER_FILE = 4000
+#: Records and payload bytes per archive file, which bound what a reading task holds; one record may have more bytes.
+RECORDS_PER_FILE, BYTES_PER_FILE = 4000, 1 << 28
 #: Digits of base 32: those of Spark's conv and those of RFC 4648, both in order (fixed values).
 CONV32, RFC32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
@@ -70,10 +71,27 @@ def record_text(rows: DataFrame) -> DataFrame:
         F.octet_length(block).cast("string"), F.lit(CRLF + CRLF), block).alias("value"))
 
 
+def size_class(payload_bytes: Column) -> Column:
+    """The least k so that 2^k times ``BYTES_PER_FILE / RECORDS_PER_FILE`` bytes hold the payload."""
+    fit = BYTES_PER_FILE // RECORDS_PER_FILE
+    return F.when(payload_bytes <= fit, 0).otherwise(F.length(F.bin(F.floor((payload_bytes - 1) / fit))))
+
+
 def write_archives(pages: DataFrame, path: str, **columns) -> None:
-    """One gzip archive per task and ``RECORDS_PER_FILE`` records. The text writer's line separator closes each record."""
-    rows = record_text(with_types(pages, **columns))
-    rows.write.option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    """Gzip archives of up to ``RECORDS_PER_FILE`` records and ``BYTES_PER_FILE`` payload bytes of a task. The text writer's line
+    separator closes each record. Records of a size class are written together, with half as many a file from class to class."""
+    rows = with_types(pages, **columns)
+    length = F.octet_length(text_or_empty(columns.get("html_col", "html"))).cast("bigint")
+    classes = sorted(r["k"] for r in pages.select(size_class(length).alias("k")).distinct().collect()) or [0]
+    for k in classes:
+        own = rows.where(size_class(F.col("payload_bytes")) == k) if len(classes) > 1 else rows
+        out = record_text(own).write.mode("append" if k != classes[0] else "errorifexists").option("lineSep", CRLF * 2).option("compression", "gzip")
+        out.option("maxRecordsPerFile", max(1, RECORDS_PER_FILE >> k)).text(path)
+
+
+def whole(content: bytes) -> bytes:
+    """The bytes of an archive, of all members of a gzip one; one that is cut off or followed by other bytes raises."""
+    return gzip.GzipFile(fileobj=io.BytesIO(content)).read() if content[:2] == b"\x1f\x8b" else content
 
 
 def parse_candidate(data: bytes, at: int) -> tuple[int, dict[str, str], int] | None:
@@ -100,7 +118,7 @@ def candidate_records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
     number = lambda s: int(s) if s.lstrip("-").isdigit() else None
     for b in batches:
         for path, content in zip(b.column("path"), b.column("content"), strict=True):
-            data = zlib.decompress(content.as_py(), 31) if path.as_py().endswith(".gz") else content.as_py()
+            data = whole(content.as_py())
             rows, at = [], data.find(MAGIC)
             while at >= 0:
                 if (found := parse_candidate(data, at)) is not None:
@@ -138,12 +156,12 @@ def chained(table: pa.Table) -> pa.Table:
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """The records of all archives under ``path``; columns as in ``RECORD``.
+    """The records of all archives under ``path``, gzip of one or many members or uncompressed; columns as in ``RECORD``.
 
     An archive is read whole by one task (the writer bounds its records); its candidates, some 100 bytes each, meet in one
     group to be chained. A folder without archives has no records.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("path", "content")
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
     return files.mapInArrow(candidate_records, RECORD).groupBy("path").applyInArrow(chained, RECORD)
 
 
