@@ -422,3 +422,23 @@ def test_single_precision_epochs_keep_their_type(spark):
         assert narrow.schema["x"].dataType.simpleString() == "array<array<float>>"
         a, b = ([r["x"] for r in d.orderBy("id").collect()] for d in (narrow, fn(wide)))
         assert np.allclose(a, b, atol=1e-5)
+
+
+def test_run_matrix_query_runs_every_method(monkeypatch):
+    from trialframe.plans import model_plans
+    from trialframe.plans.catalog import QUERIES
+    asked = []
+
+    class Seen(Exception):
+        pass
+
+    def seen(epochs, task, names, run_prefix=""):
+        asked.extend(names)
+        raise Seen
+
+    frame = type("Frame", (), {"select": lambda self, *c: self})()
+    monkeypatch.setattr(model_plans, "model_epochs", lambda v: frame)
+    monkeypatch.setattr(model_plans.ME, "run_matrix", seen)
+    with pytest.raises(Seen):
+        QUERIES["run_matrix"](None, "")
+    assert asked == list(model_plans.ME.METHODS)

@@ -244,7 +244,7 @@ for _name in ME.METHODS:
 @query("run_matrix")
 def _(v):
     e = model_epochs(v).select(*EPOCH, "y", "fold", "x")
-    rep = ME.matrix_report(ME.run_matrix(e, TASK, ["fnirs_lda", "eeg_bandpower", "fnirs_glm"]))
+    rep = ME.matrix_report(ME.run_matrix(e, TASK, list(ME.METHODS)))
     return rep.select("run", *[rnd(c).alias(c) for c in ("acc", "kappa", "ece")], "n")
 
 
