@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trialframe.llm import ann, chat_format, decontam, mixing, ngram_join, pii, substring_dedup, toxicity, url_filter, warc
-from trialframe.llm.common import read
+from trialframe.llm import ann, byte_bpe, chat_format, decontam, mixing, ngram_join, pii, substring_dedup, toxicity, url_filter, warc
+from trialframe.llm.common import read, sha256_hex
 from trialframe.llm.oracles import ORACLES
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -76,3 +77,12 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"))
+
+
+@query
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    both = byte_bpe.decode(byte_bpe.encode(read(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN), path)
+    return both.select(
+        "doc_id", F.size("ids").cast("bigint").alias("n_tokens"), sha256_hex(F.concat_ws(",", F.col("ids").cast("array<string>"))).alias("ids_sha256"),
+        sha256_hex("bytes").alias("decoded_sha256"))
