@@ -1,15 +1,19 @@
 """Tokenizers against the libraries whose results they must equal, on awkward texts."""
 
 import base64
+import collections
 import hashlib
+import itertools
 import random
 
 import public_tokenizers as P
 import pytest
+import sentencepiece
 import tiktoken
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
-from trialframe.llm import byte_bpe
+from trialframe.llm import byte_bpe, token_alignment
 from trialframe.llm.queries import QUERIES
 
 MULTI = P.path("byte_bpe_multi_50k.tiktoken")
@@ -84,3 +88,69 @@ def test_op12_against_the_library(spark, library):
         digest = [hashlib.sha256(x).hexdigest() for x in (",".join(map(str, ids)).encode(), text.encode())]
         assert got.pop(doc) == (len(ids), *digest)
     assert not got
+
+
+BYTES, PIECES = P.path("byte_bpe_50k.json"), P.path("piece_bpe_32k.model")
+
+
+def plain_alignment(rows):
+    """Measures of (doc_id, text) rows by both libraries themselves and by looking at every byte of a text."""
+    a_tokens, b_tokens = Tokenizer.from_file(BYTES), sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    a_tokens.encode_special_tokens = True
+    letters = {v: k for k, v in token_alignment._byte_of_letter().items()}
+    byte_of = {letters[b]: b for b in range(256)}
+    links, groups = [], []
+    for _, text in rows:
+        ids = a_tokens.encode(" " + (text or ""), add_special_tokens=False).ids, b_tokens.encode(text or "")
+        spelled = [[bytes(byte_of[c] for c in a_tokens.id_to_token(i)) for i in ids[0]],
+                   [bytes([i - 3]) if b_tokens.is_byte(i) else b_tokens.id_to_piece(i).replace("▁", " ").encode() for i in ids[1]]]
+        own, done = [], []
+        if text and all(b"".join(s) == b" " + text.encode() for s in spelled):
+            token_of = [[k for k, t in enumerate(s) for _ in t] for s in spelled]  # of every byte
+            own = [(ids[0][i], ids[1][j]) for i, j in set(zip(*token_of, strict=True))]
+            ends = [{len(t) for t in itertools.accumulate(s)} for s in spelled]
+            low = 0
+            for end in sorted(ends[0] & ends[1]):
+                done.append("|".join(",".join(str(x[k]) for k in sorted(set(of[low:end]))) for x, of in zip(ids, token_of, strict=True)))
+                low = end
+        else:
+            ids = [], []
+        links.append(own)
+        groups.append((len(ids[0]), len(ids[1]), len(done), ";".join(done)))
+    count = collections.Counter(p for own in links for p in set(own))
+    most = collections.defaultdict(int)
+    for (a, _), n in count.items():
+        most[a] = max(most[a], n)
+    return [(i, n_a, n_b, n, len(own), sum(count[p] == most[p[0]] for p in own), sum(count[p] for p in own), line)
+            for (i, _), own, (n_a, n_b, n, line) in zip(rows, links, groups, strict=True)], count
+
+
+def test_alignment_equals_plain_alignment(spark, awkward, monkeypatch):
+    texts = [t for t in awkward if t is None or len(t) < 600]
+    docs = as_docs(spark, texts).withColumn("groups", F.lit("clash")).withColumn("rows", F.lit(3))
+    want, count = plain_alignment([*enumerate(texts), (0, "again"), (None, "no id")])
+    for block, hot in ((1 << 20, 1000), (50, 10)):
+        monkeypatch.setattr(token_alignment, "BLOCK", block)
+        monkeypatch.setattr(token_alignment, "BATCH", block)
+        monkeypatch.setattr(token_alignment, "HOT", hot)
+        out = token_alignment.aligned(docs, BYTES, PIECES, spell_groups=True)
+        assert sorted((tuple(r) for r in out.documents.collect()), key=str) == sorted(want, key=str)
+        assert {(r["a"], r["b"]): r["docs"] for r in out.pairs.collect()} == dict(count)
+    assert sum(w[1] > 0 for w in want) > 8 and sum(w[1] == 0 for w in want) >= 3
+    none = token_alignment.aligned(docs.where("false"), BYTES, PIECES)
+    assert none.documents.count() == none.pairs.count() == 0
+
+
+def test_byte_vocabulary_by_ranks_equals_its_library(awkward):
+    own, library = token_alignment.ByteTokenizer(open(BYTES, "rb").read()), Tokenizer.from_file(BYTES)
+    library.encode_special_tokens = True
+    texts = [t or "" for t in awkward] + ["".join(f"a{chr(c)}1{chr(c)}!{chr(c)} {chr(c)}" for c in range(at, at + 4096) if not 0xD800 <= c < 0xE000) for at in range(0, 0x110000, 4096)]
+    assert own.encode(texts) == [e.ids for e in library.encode_batch([" " + t for t in texts], add_special_tokens=False)]
+
+
+def test_op13_against_plain_alignment(spark):
+    sf = "/root/testdata/sf0.001"
+    got = [tuple(r) for r in QUERIES["op13_token_alignment"](spark, sf).collect()]
+    docs = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    want = plain_alignment(docs)[0]
+    assert sorted(got) == sorted((*w[:7], hashlib.sha256(w[7].encode()).hexdigest() if w[7] else "") for w in want)

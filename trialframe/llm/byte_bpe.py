@@ -248,7 +248,8 @@ class Encoder:
         return pa.ListArray.from_arrays(pa.array(taken.offsets.to_numpy()[starts], pa.int32()), taken.flatten())
 
 
-def _file(path: str) -> bytes:
+def shipped_file(path: str) -> bytes:
+    """A vocabulary file, read on the driver; one of more than FILE_BYTES is refused."""
     size = os.path.getsize(path)
     if size > FILE_BYTES:
         raise ValueError(f"{path} has {size} bytes; at most {FILE_BYTES} are shipped with every task")
@@ -272,7 +273,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     each, equal texts equal ids. An empty table gives no rows. Of equal ranks the leftmost pair is merged first. The rank file
     needs a token for every single byte, else it is refused.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(_file(path))
+    shared = docs.sparkSession.sparkContext.broadcast(shipped_file(path))
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -289,7 +290,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """``encoded`` (with a column ids array<int>) and a column ``bytes``: the tokens' bytes one after another. Null ids decode to
     nothing; an id that the vocabulary lacks stops the job."""
-    shared = encoded.sparkSession.sparkContext.broadcast(_file(path))
+    shared = encoded.sparkSession.sparkContext.broadcast(shipped_file(path))
     place = encoded.columns.index("ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trialframe.llm import ann, byte_bpe, chat_format, decontam, mixing, ngram_join, pii, substring_dedup, toxicity, url_filter, warc
+from trialframe.llm import ann, byte_bpe, chat_format, decontam, mixing, ngram_join, pii, substring_dedup, token_alignment, toxicity, url_filter, warc
 from trialframe.llm.common import read, sha256_hex
 from trialframe.llm.oracles import ORACLES
 
@@ -86,3 +86,9 @@ def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select(
         "doc_id", F.size("ids").cast("bigint").alias("n_tokens"), sha256_hex(F.concat_ws(",", F.col("ids").cast("array<string>"))).alias("ids_sha256"),
         sha256_hex("bytes").alias("decoded_sha256"))
+
+
+@query
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = [public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
+    return token_alignment.aligned(read(spark, sf_dir, "documents"), *paths).documents.withColumnRenamed("groups", "groups_sha256")
