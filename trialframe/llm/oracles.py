@@ -73,4 +73,23 @@ OP10 = f"""WITH d AS (SELECT doc_id, source, CAST(len({words("coalesce(text, '')
   e AS (SELECT *, CASE WHEN source_size > 0 AND upto - CAST(size AS DOUBLE) / 2 <= target - whole * source_size THEN 1 ELSE 0 END AS more FROM c)
   SELECT doc_id, source, size, source_size, target, CASE WHEN size > 0 THEN whole + more END AS copies, (whole + more) * size AS taken FROM e"""
 
-ORACLES = {"op1_ngram_join": OP1, "op3_warc": OP3, "op5_url_filter": OP5, "op6_decontam": OP6, "op7_chat_format": OP7, "op9_substring_dedup": OP9, "op10_mixing": OP10}
+LETTERS = r"'[\x00-\x40\x5B-\x60\x7B-\x7F]+'"
+OP11 = f"""WITH d AS MATERIALIZED (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, {words(LOWER, LETTERS)} AS w FROM documents),
+  c AS MATERIALIZED (SELECT lang, source, term, count(*) AS n, count(DISTINCT id) AS docs FROM (SELECT id, lang, source, unnest(w) AS term FROM d) GROUP BY ALL),
+  k AS MATERIALIZED (SELECT lang, term, CAST(sum(n) AS BIGINT) AS n FROM c GROUP BY lang, term HAVING sum(docs) >= 10),
+  g AS MATERIALIZED (SELECT DISTINCT lang, source FROM d),
+  v AS MATERIALIZED (SELECT lang, count(*) AS kept, CAST(sum(n) AS BIGINT) AS total FROM k GROUP BY lang),
+  dense AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, CAST(sum(coalesce(c.n, 0)) OVER (PARTITION BY g.lang, g.source) AS BIGINT) AS own
+    FROM g JOIN k ON g.lang = k.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+  m AS MATERIALIZED (SELECT dense.lang, source, term, dense.n, 1 + (1000000000 * (dense.n + 2)) // (own + 2 * kept) AS p FROM dense JOIN v ON v.lang = dense.lang),
+  f AS (SELECT a.lang, a.source, b.source AS item, CAST(sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS BIGINT) AS value
+    FROM m a JOIN m b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source),
+  pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+    FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source),
+  terms AS (SELECT m.lang, source, 'term' AS part, m.term AS item, (p - q) * (p - q) // (p + q) AS value
+    FROM m JOIN (SELECT k.lang, term, 1 + (1000000000 * (n + 2)) // (total + 2 * kept) AS q FROM k JOIN v ON k.lang = v.lang) l ON l.lang = m.lang AND l.term = m.term WHERE n > 0 AND p > q),
+  ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+  SELECT * FROM ranked WHERE part = 'pair' OR rank <= 10"""
+
+ORACLES = {"op1_ngram_join": OP1, "op3_warc": OP3, "op5_url_filter": OP5, "op6_decontam": OP6, "op7_chat_format": OP7, "op9_substring_dedup": OP9, "op10_mixing": OP10,
+           "op11_source_divergence": OP11}

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trialframe.llm import ann, byte_bpe, chat_format, decontam, mixing, ngram_join, pii, substring_dedup, token_alignment, toxicity, url_filter, warc
+from trialframe.llm import ann, byte_bpe, chat_format, decontam, divergence, mixing, ngram_join, pii, substring_dedup, token_alignment, toxicity, url_filter, warc
 from trialframe.llm.common import read, sha256_hex
 from trialframe.llm.oracles import ORACLES
 
@@ -79,6 +79,11 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"))
 
 
+@query
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(read(spark, sf_dir, "documents"))
+
+
 @query
 def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
