@@ -163,7 +163,7 @@ def test_mdm_recovers_separated_classes(spark):
     centres = np.stack([np.diag(v) for v in ([4.0, 1, 1], [1, 4.0, 1], [1, 1, 4.0])])
     c = np.stack([K.powm(centres[k], 0.5) @ m @ K.powm(centres[k], 0.5) for k, m in zip(y, spd(rng, 90, 3))])
     df = cov_frame(spark, c, y=y)
-    for p in (C.mdm(df, df, 3, ["id", "y"]), C.fgmdm(df, df, 3, ["id", "y"]), C.riemann(df, df, 3, 3, ["id", "y"])):
+    for p in (C.mdm(df, df, 3, 3, ["id", "y"]), C.fgmdm(df, df, 3, 3, ["id", "y"]), C.riemann(df, df, 3, 3, ["id", "y"])):
         assert M.predict_label(p).filter("yhat = y").count() > 75
 
 

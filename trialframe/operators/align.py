@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from trialframe.functions import kernels
 from trialframe.functions.columns import vector_sum
+from trialframe.operators import foldwise
 from trialframe.operators.ordinal import ordinal
 from trialframe.session import checkpointed
 
@@ -61,120 +62,122 @@ def _partial_logs(by: list[str], d: int, with_mean: bool):
     return run
 
 
-def riemannian_mean(cov: DataFrame, by: list[str], d: int, tol: float = 1e-9, max_rounds: int = 50) -> DataFrame:
-    """Fréchet mean per group: (by…, mean, isqrt). Starts at the log-Euclidean mean; a round moves every group along the
-    mean tangent vector. Groups are never gathered: only sums of d² numbers leave the tasks."""
-    keys = _keys_schema(cov, by)
-    data = checkpointed(cov.select(*by, "cov"))
+#: Means of at most so many bytes together are sent to every task; more are joined by key.
+MEANS_BYTES = 32 << 20
 
-    def sums(df, with_mean):
-        part = df.mapInPandas(_partial_logs(by, d, with_mean), f"{keys}, _s array<double>")
-        return part.groupBy(*by).agg(vector_sum("_s").alias("_s"))
 
-    def start(batches):
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            s = np.stack([np.asarray(a) for a in pdf["_s"]])
-            m = kernels.expm((s[:, 1:] / s[:, :1]).reshape(-1, d, d))
-            yield pdf[by].assign(mean=list(m.reshape(len(m), -1)), isqrt=list(kernels.powm(m, -0.5).reshape(len(m), -1)),
-                                 crit=1.0)
+def start_state(logs: np.ndarray, d: int) -> dict[str, list]:
+    """State of a mean before its first round, from [n, Σ log C]: whitening by the log-Euclidean mean."""
+    w = kernels.powm(kernels.expm((logs[:, 1:] / logs[:, :1]).reshape(-1, d, d)), -0.5)
+    n = len(logs)
+    return {"w": list(w.reshape(n, -1)), "tangent": [np.zeros(d * d)] * n, "step": np.zeros(n), "norm": np.full(n, np.inf), "least": np.full(n, np.inf),
+            "stale": np.zeros(n, np.int32), "open": np.ones(n, bool)}
 
-    def move(batches):
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            s = np.stack([np.asarray(a) for a in pdf["_s"]])
-            step = (s[:, 1:] / s[:, :1]).reshape(-1, d, d)
-            root = kernels.powm(_square(pdf["mean"], d), 0.5)
-            m = kernels.congruence(root, kernels.expm(step))
-            m = (m + np.swapaxes(m, -1, -2)) / 2
-            crit = np.sqrt((step * step).sum(axis=(1, 2)))
-            yield pdf[by].assign(mean=list(m.reshape(len(m), -1)), isqrt=list(kernels.powm(m, -0.5).reshape(len(m), -1)),
-                                 crit=crit)
-
-    schema = f"{keys}, mean array<double>, isqrt array<double>, crit double"
-    means = checkpointed(sums(data, False).mapInPandas(start, schema))
-    for _ in range(max_rounds):
-        moved = sums(data.join(means.select(*by, "isqrt"), by), True).join(means.select(*by, "mean"), by)
-        means = checkpointed(moved.mapInPandas(move, schema))
-        if (means.agg(F.max("crit")).head()[0] or 0.0) < tol:
-            break
-    else:
-        raise ArithmeticError(f"the mean did not converge to {tol} in {max_rounds} rounds")
-    return means.select(*by, "mean", "isqrt")
+
+def next_state(sums: np.ndarray, pdf: pd.DataFrame, d: int, tol: float) -> dict[str, list]:
+    """One round of every mean of ``pdf``. ``w`` whitens by the current mean; it moves with the mean along the geodesic, so the tangents of
+    two rounds share their coordinates, and their change gives the curvature and with it the next step. A step is halved
+    where the gradient grew. A mean is done below ``tol``, or when rounding keeps it from getting lower."""
+    g = (sums[:, 1:] / sums[:, :1]).reshape(-1, d, d)
+    norm = np.sqrt((g * g).sum(axis=(1, 2)))
+    before, last, was = _square(pdf["tangent"], d), pdf["step"].to_numpy(), pdf["norm"].to_numpy()
+    change = before - g
+    curved = (change * change).sum(axis=(1, 2))
+    along = last * (before * change).sum(axis=(1, 2))
+    step = np.where((last > 0) & (curved > 0), along / np.where(curved > 0, curved, 1.0), 1.0)
+    step = np.clip(step, 0.05, 1.0)  # curvature is at least 1
+    step = np.where(norm > was, np.minimum(step, np.maximum(last, 0.1) / 2), step)
+    w = kernels.expm(-step[:, None, None] / 2 * g) @ _square(pdf["w"], d)
+    lower = norm < 0.5 * pdf["least"].to_numpy()
+    stale = np.where(lower, 0, pdf["stale"].to_numpy() + 1)
+    return {"w": list(w.reshape(len(w), -1)), "tangent": list(g.reshape(len(w), -1)), "step": step, "norm": norm, "least": np.where(lower, norm, pdf["least"]),
+            "stale": stale.astype(np.int32), "open": (norm >= tol) & ~((norm < 1e-6) & (stale > 12))}
 
 
-MAX_DRIVER_GROUPS = 512
+STATE = "w array<double>, tangent array<double>, step double, norm double, least double, stale int, open boolean"
 
 
-def _driver_means(data: DataFrame, d: int, groups: int, member, tol: float, max_rounds: int) -> list[np.ndarray | None]:
-    """Fréchet means of a few overlapping groups of the same rows. ``member(pdf)`` gives the [groups, rows] membership;
-    the driver keeps one d × d matrix per group and a round is one pass that returns one sum per group."""
-    sc = data.sparkSession.sparkContext
+def finished(state: DataFrame, by: list[str], d: int) -> DataFrame:
+    """(by…, mean, isqrt, norm) of the states; ``norm`` is the length of the last gradient."""
+    def run(batches):
+        for pdf in batches:
+            if len(pdf):
+                back = np.linalg.inv(_square(pdf["w"], d))
+                m = back @ np.swapaxes(back, -1, -2)
+                m = (m + np.swapaxes(m, -1, -2)) / 2
+                yield pdf[by].assign(mean=list(m.reshape(len(m), -1)), isqrt=list(kernels.powm(m, -0.5).reshape(len(m), -1)), norm=pdf["norm"])
+
+    return state.mapInPandas(run, f"{_keys_schema(state, by)}, mean array<double>, isqrt array<double>, norm double")
 
-    def sums(weights):
-        shared = sc.broadcast(weights)
 
+def _rounds(sums, keys: list[str], key_fields: str, d: int, tol: float, max_rounds: int) -> DataFrame:
+    """Runs ``sums(open states or None)`` → (keys…, _s) until no state is open. Only open groups take part in a round."""
+    def step(fn):
         def run(batches):
             for pdf in batches:
-                if not len(pdf):
-                    continue
-                c, inside = _square(pdf["cov"], d), member(pdf)
-                plain = kernels.logm(c).reshape(len(c), -1) if shared.value is None else None
-                for g in range(groups):
-                    rows = inside[g]
-                    if rows.any():
-                        logs = plain[rows] if plain is not None else kernels.logm(kernels.congruence(shared.value[g], c[rows])).reshape(rows.sum(), -1)
-                        yield pd.DataFrame({"g": [g], "_s": [np.concatenate([[len(logs)], logs.sum(axis=0)])]})
-
-        part = data.mapInPandas(run, "g int, _s array<double>").groupBy("g").agg(vector_sum("_s").alias("_s")).collect()
-        return {r["g"]: np.asarray(r["_s"][1:]).reshape(d, d) / r["_s"][0] for r in part}
-
-    start = sums(None)
-    means = [kernels.expm(start[g]) if g in start else None for g in range(groups)]
+                if len(pdf):
+                    yield pdf[keys].assign(**fn(np.stack([np.asarray(a) for a in pdf["_s"]]), pdf))
+        return run
+
+    schema = f"{key_fields}, {STATE}"
+    state = checkpointed(sums(None).mapInPandas(step(lambda s, pdf: start_state(s, d)), schema))
     for _ in range(max_rounds):
-        steps = sums([kernels.powm(m, -0.5) if m is not None else None for m in means])
-        for g, step in steps.items():
-            root = kernels.powm(means[g], 0.5)
-            m = root @ kernels.expm(step) @ root
-            means[g] = (m + m.T) / 2
-        if max((np.linalg.norm(x) for x in steps.values()), default=0.0) < tol:
+        live = state.filter("open")
+        if live.isEmpty():
             break
-    else:
-        raise ArithmeticError(f"the means did not converge to {tol} in {max_rounds} rounds")
-    return means
+        moved = live.join(sums(live), keys).mapInPandas(step(lambda s, pdf: next_state(s, pdf, d, tol)), schema)
+        state = checkpointed(state.filter("not open").unionByName(moved))
+    return finished(state, keys, d)
+
+
+def riemannian_mean(cov: DataFrame, by: list[str], d: int, tol: float = 1e-9, max_rounds: int = 200) -> DataFrame:
+    """Fréchet mean per group: (by…, mean, isqrt, norm). Starts at the log-Euclidean mean; a round moves every open group along its
+    mean tangent vector by a step of its own. Groups are never gathered: only sums of d² numbers leave the tasks. A group that
+    has not settled after ``max_rounds`` returns as it is, with the length of its last gradient in ``norm``."""
+    data = checkpointed(cov.select(*by, "cov"))
+
+    def sums(live):
+        rows = data
+        if live is not None:
+            w = live.select(*by, F.col("w").alias("isqrt"))
+            rows = data.join(F.broadcast(w) if live.count() * d * d * 8 <= MEANS_BYTES else w, by)
+        part = rows.mapInPandas(_partial_logs(by, d, live is not None), f"{_keys_schema(cov, by)}, _s array<double>")
+        return part.groupBy(*by).agg(vector_sum("_s").alias("_s"))
 
+    return _rounds(sums, by, _keys_schema(cov, by), d, tol, max_rounds)
 
-def small_means(cov: DataFrame, key: str | None, d: int, tol: float = 1e-9, max_rounds: int = 50) -> dict:
-    """Means of the few groups of ``key`` (classes, domains), or of all rows, as a dict on the driver. For more groups than
-    MAX_DRIVER_GROUPS it raises: ``riemannian_mean`` keeps any number of them distributed."""
-    if key is None:
-        data = checkpointed(cov.select("cov"))
-        return {0: _driver_means(data, d, 1, lambda pdf: np.ones((1, len(pdf)), bool), tol, max_rounds)[0]}
-    data = checkpointed(cov.select(key, "cov"))
-    values = sorted(r[0] for r in data.select(key).distinct().limit(MAX_DRIVER_GROUPS + 1).collect())
-    if len(values) > MAX_DRIVER_GROUPS:
-        raise ValueError(f"more than {MAX_DRIVER_GROUPS} groups of {key}: use riemannian_mean")
-    member = lambda pdf: np.array(values, dtype=object)[:, None] == pdf[key].to_numpy(dtype=object)[None, :]
-    return dict(zip(values, _driver_means(data, d, len(values), member, tol, max_rounds)))
 
+def train_means(rows: foldwise.Chunks, fold: str, d: int, label: str | None = None, tol: float = 1e-9, max_rounds: int = 200,
+                refs: DataFrame | None = None, project=None) -> DataFrame:
+    """Means over the training rows (all other folds) of every fold, optionally per class: (fold, [label], mean, isqrt, norm).
 
-def train_means(cov: DataFrame, fold: str, d: int, label: str | None = None, tol: float = 1e-9, max_rounds: int = 50) -> dict:
-    """Means over the training rows (all other folds) of every fold of a k-fold split, optionally per class: all folds
-    share the passes and no row is copied. Keys are fold or (fold, class)."""
-    cols = [fold, *([label] if label else []), "cov"]
-    data = checkpointed(cov.select(*cols))
-    folds = sorted(r[0] for r in data.select(fold).distinct().collect())
-    classes = sorted(r[0] for r in data.select(label).distinct().collect()) if label else [None]
-    keys = [(f, c) for f in folds for c in classes]
+    ``project(matrices, ref)`` maps a fold's rows first, with the fold's ``ref`` of ``refs`` (fold, ref)."""
+    keys = [fold, *([label] if label else [])]
+    groups = rows.df.select(fold).distinct()
+    if label:
+        groups = foldwise.per_class(groups, rows, label)
+    groups = groups.withColumn("ref", F.array().cast("array<double>")) if refs is None else groups.join(refs.select(fold, "ref"), fold)
+    groups = checkpointed(groups.select(*keys, "ref"))
 
-    def member(pdf):
-        fv = pdf[fold].to_numpy(dtype=object)
-        return np.stack([(fv != f) & ((pdf[label].to_numpy(dtype=object) == c) if label else True) for f, c in keys]).astype(bool)
+    def logs(a, b):
+        c, folds = foldwise.matrices(a.column("cov"), d), foldwise.values(a.column(fold))
+        of = foldwise.values(a.column(label)) if label else None
+        ref = b.column("s_ref").combine_chunks()
+        for k, f in enumerate(foldwise.values(b.column(f"s_{fold}"))):
+            at = folds != f
+            if label:
+                at &= of == b.column(f"s_{label}")[k].as_py()
+            if at.any():
+                x = c[at] if project is None else project(c[at], np.asarray(ref[k].as_py(), dtype=float))
+                if "s_w" in b.column_names:
+                    x = kernels.congruence(np.asarray(b.column("s_w")[k].as_py()).reshape(d, d), x)
+                yield k, np.concatenate([[len(x)], kernels.logm(x).sum(axis=0).ravel()])
 
-    means = _driver_means(data, d, len(keys), member, tol, max_rounds)
-    return {(k if label else k[0]): m for k, m in zip(keys, means) if m is not None}
+    def sums(live):
+        state = groups if live is None else live.select(*keys, "w").join(groups, keys)
+        return foldwise.fold_sums(rows, state, keys, logs, 8 * d * d * (2 if refs is None else 4))
+
+    return _rounds(sums, keys, _keys_schema(rows.df, keys), d, tol, max_rounds)
 
 
 def recenter_covariances(cov: DataFrame, by: list[str], d: int, means: DataFrame | None = None) -> DataFrame:
@@ -339,14 +342,21 @@ def fit_rotation(a: np.ndarray, b: np.ndarray, rounds: int = 200) -> np.ndarray:
     return max((climb(r) for r in starts), key=score)
 
 
+def class_mean_pairs(source: DataFrame, calib: DataFrame, label: str, d: int, how: str = "inner") -> DataFrame:
+    """(label, a, b): class means of the source and of the calibration rows."""
+    a, b = (riemannian_mean(df, [label], d).select(label, F.col("mean").alias(n)) for df, n in ((source, "a"), (calib, "b")))
+    return checkpointed(a.join(b, label, how))
+
+
 def rotation(source: DataFrame, calib: DataFrame, label: str, d: int) -> np.ndarray:
-    """Orthogonal map that takes the calibration's class means to the source's, fitted on their matrix logs."""
-    a = small_means(source, label, d)
-    b = small_means(calib, label, d)
-    both = sorted(set(a) & set(b))
-    if not both:
+    """Orthogonal map that takes the calibration's class means to the source's, fitted in a task on their matrix logs."""
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"r": [fit_rotation(kernels.logm(_square(pdf["a"], d)), kernels.logm(_square(pdf["b"], d))).ravel()]})
+
+    found = class_mean_pairs(source, calib, label, d).orderBy(label).groupBy().applyInPandas(fit, "r array<double>").head()
+    if found is None:
         raise ValueError("source and calibration share no class")
-    return fit_rotation(*(np.stack([kernels.logm(m[k]) for k in both]) for m in (a, b)))
+    return np.asarray(found["r"]).reshape(d, d)
 
 
 def rotate_alignment(source: DataFrame, calib: DataFrame, target: DataFrame, label: str, d: int) -> DataFrame:
@@ -361,8 +371,13 @@ def geodesic(a: np.ndarray, b: np.ndarray, t: float) -> np.ndarray:
     return root @ kernels.powm(inv @ b @ inv, t) @ root
 
 
-def weighted_class_means(source: DataFrame, calib: DataFrame, label: str, d: int, lam: float = 0.5) -> dict:
-    """Class means blended along the geodesic: λ = 1 keeps the source's, 0 the target's."""
-    a = small_means(source, label, d)
-    b = small_means(calib, label, d)
-    return {k: geodesic(b[k], a[k], lam) if k in a and k in b else a.get(k, b.get(k)) for k in sorted(set(a) | set(b))}
+def weighted_class_means(source: DataFrame, calib: DataFrame, label: str, d: int, lam: float = 0.5) -> DataFrame:
+    """(label, mean): class means blended along the geodesic, λ = 1 keeps the source's, 0 the target's; a class of one side keeps its mean."""
+    def blend(batches):
+        for pdf in batches:
+            if len(pdf):
+                means = [np.asarray(a if b is None else b if a is None else geodesic(_square([b], d)[0], _square([a], d)[0], lam)).ravel() for a, b in zip(pdf["a"], pdf["b"])]
+                yield pdf[[label]].assign(mean=means)
+
+    pairs = class_mean_pairs(source, calib, label, d, "full")
+    return pairs.mapInPandas(blend, f"{_keys_schema(pairs, [label])}, mean array<double>")

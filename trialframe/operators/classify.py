@@ -9,15 +9,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trialframe.functions import kernels
 from trialframe.functions.columns import dot, let, softmax, vector_sum
-from trialframe.operators import align
-from trialframe.operators.align import _square, map_cov
+from trialframe.operators import align, foldwise
+from trialframe.operators.align import map_cov
 
 
 # ---- linear discriminant ---------------------------------------------------------------------------------------
@@ -197,17 +195,39 @@ def weight_sweep(df: DataFrame, fold: str, families: list[str], trials: list[dic
 
 # ---- covariance classifiers ------------------------------------------------------------------------------------
 
-def tangent_lr(train: DataFrame, test: DataFrame, n_classes: int, keep: list[str], c: float = 1.0,
-               max_iter: int = 500) -> DataFrame:
+def tangent_lr(train: DataFrame, test: DataFrame, n_classes: int, keep: list[str], c: float = 1.0) -> DataFrame:
     """Multinomial logistic regression on tangent vectors ``f`` with an L2 penalty of strength 1/C."""
-    n = train.count()
-    model = LogisticRegression(featuresCol="v", labelCol="y", family="multinomial", maxIter=max_iter,
-                               regParam=1.0 / (c * max(n, 1)), standardization=False).fit(
-        train.select(F.col("y").cast("double").alias("y"), array_to_vector("f").alias("v")))
-    out = model.transform(test.withColumn("v", array_to_vector("f")).drop("probability"))
-    p = vector_to_array("probability")
-    padded = F.concat(p, F.array_repeat(F.lit(0.0), n_classes - model.numClasses)) if n_classes > model.numClasses else p
-    return out.select(*keep, padded.alias("probs"))
+    cols = list(dict.fromkeys([*keep, "y", "f"]))
+    both = tagged(train, test, cols)
+    p = first_length(both, "f")
+    return test_part(foldwise.logistic_folds(foldwise.chunked(both, 8 * p), "_test", n_classes, [*keep, "_test"], _given(p), p, c=c), keep)
+
+
+def tagged(train: DataFrame, test: DataFrame, cols: list[str]) -> DataFrame:
+    """Two frames as two folds: the model of fold 1 is fitted on the rows of fold 0."""
+    return train.select(*cols, F.lit(0).alias("_test")).unionByName(test.select(*cols, F.lit(1).alias("_test")))
+
+
+def test_part(out: DataFrame, keep: list[str]) -> DataFrame:
+    return out.filter("_test = 1").select(*keep, "probs")
+
+
+def first_length(df: DataFrame, name: str) -> int:
+    row = df.select(F.size(name)).head()
+    if row is None:
+        raise ValueError("no rows to fit")
+    return row[0]
+
+
+def _given(p: int):
+    return lambda table, ref: kernels.matrix(table.column("f").combine_chunks(), p)
+
+
+def _tangent(d: int):
+    """Features of matrices at the fold's reference, given as its inverse root."""
+    def run(table, ref):
+        return kernels.upper_vector(kernels.logm(kernels.congruence(ref.reshape(d, d), foldwise.matrices(table.column("cov"), d))))
+    return run
 
 
 def by_fold(df: DataFrame, fold: str, fit_predict) -> DataFrame:
@@ -220,111 +240,119 @@ def by_fold(df: DataFrame, fold: str, fit_predict) -> DataFrame:
     return out
 
 
-def riemann_distances(cov: DataFrame, means: dict, d: int) -> DataFrame:
-    """``d2`` = squared Riemannian distance to every class mean (ascending class)."""
-    order = sorted(means)
-    w = np.stack([kernels.powm(means[k], -0.5) for k in order])
-    kept = cov.columns
-    schema = ", ".join(f"`{c}` {cov.schema[c].dataType.simpleString()}" for c in kept)
+def distance_probs(df: DataFrame, keep: list[str]) -> DataFrame:
+    """Softmax of the negative squared distances; a class without a mean has none and probability 0."""
+    return df.select(*keep, let(F.transform("d2", lambda v: -v), lambda z: softmax(z)).alias("probs"))
 
-    def run(batches):
-        for pdf in batches:
-            if len(pdf):
-                c = _square(pdf["cov"], d)
-                lam = np.linalg.eigvalsh(np.einsum("kij,njl,kml->nkim", w, c, w))
-                d2 = (np.log(kernels.floor_eig(lam)) ** 2).sum(axis=-1)
-                yield pdf[kept].assign(d2=list(d2))
 
-    return cov.mapInPandas(run, f"{schema}, d2 array<double>")
+def nearest_means(rows: foldwise.Chunks, means: DataFrame, fold: str, d: int, n_classes: int, keep: list[str], refs: DataFrame | None = None, project=None) -> DataFrame:
+    """(keep…, probs) of every row by the class means of its own fold (fold, y, isqrt)."""
+    packed = means.groupBy(fold).agg(F.collect_list("y").alias("classes"), F.flatten(F.collect_list("isqrt")).alias("roots"))
+    state = packed.withColumn("ref", F.array().cast("array<double>")) if refs is None else packed.join(refs.select(fold, "ref"), fold)
 
+    def distances(part, one):
+        c = foldwise.matrices(part.column("cov"), d)
+        if project is not None:
+            c = project(c, np.asarray(one.column("s_ref")[0].as_py(), dtype=float))
+        out = np.full((len(c), n_classes), 1e30)
+        roots = np.asarray(one.column("s_roots")[0].as_py()).reshape(-1, d, d)
+        for y, w in zip(one.column("s_classes")[0].as_py(), roots):
+            lam = np.linalg.eigvalsh(kernels.congruence(w, c))
+            out[:, int(y)] = (np.log(kernels.floor_eig(lam)) ** 2).sum(axis=1)
+        return out
 
-def distance_probs(df: DataFrame, keep: list[str]) -> DataFrame:
-    return df.select(*keep, let(F.transform("d2", lambda v: -v), lambda z: softmax(z)).alias("probs"))
+    state = align.checkpointed(state)
+    return distance_probs(foldwise.own_rows(rows, state, fold, keep, "d2", distances, 8 * d * d * (n_classes + 2)), keep)
 
 
-def mdm(train: DataFrame, test: DataFrame, d: int, keep: list[str]) -> DataFrame:
-    """Nearest class mean; probabilities are the softmax of the negative squared distances."""
-    means = align.small_means(train, "y", d)
-    return distance_probs(riemann_distances(test, means, d), keep)
+def mdm_folds(cov: DataFrame, fold: str, d: int, n_classes: int, keep: list[str]) -> DataFrame:
+    """Nearest class mean for every fold of a k-fold split; probabilities are the softmax of the negative squared distances."""
+    rows = foldwise.chunked(cov, 8 * d * d)
+    return nearest_means(rows, align.train_means(rows, fold, d, "y"), fold, d, n_classes, keep)
 
 
-def mdm_folds(cov: DataFrame, fold: str, d: int, keep: list[str]) -> DataFrame:
-    """Nearest class mean for every fold of a k-fold split: the means of all folds are found together and each row is
-    scored against those of its own fold in one pass."""
-    means = align.train_means(cov, fold, d, "y")
-    classes = sorted({c for _, c in means})
-    roots = {k: kernels.powm(m, -0.5) for k, m in means.items()}
-    kept = cov.columns
-    schema = ", ".join(f"`{c}` {cov.schema[c].dataType.simpleString()}" for c in kept)
+def mdm(train: DataFrame, test: DataFrame, d: int, n_classes: int, keep: list[str]) -> DataFrame:
+    return test_part(mdm_folds(tagged(train, test, list(dict.fromkeys([*keep, "y", "cov"]))), "_test", d, n_classes, [*keep, "_test"]), keep)
 
-    def run(batches):
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            c, fv = _square(pdf["cov"], d), pdf[fold].to_numpy()
-            d2 = np.full((len(pdf), len(classes)), 1e30)
-            for f in np.unique(fv):
-                rows = np.flatnonzero(fv == f)
-                for k, cls in enumerate(classes):
-                    if (f, cls) in roots:
-                        lam = np.linalg.eigvalsh(kernels.congruence(roots[f, cls], c[rows]))
-                        d2[rows, k] = (np.log(kernels.floor_eig(lam)) ** 2).sum(axis=1)
-            yield pdf[kept].assign(d2=list(d2))
-
-    return distance_probs(cov.mapInPandas(run, f"{schema}, d2 array<double>"), keep)
-
-
-def tangent_at(cov: DataFrame, ref: np.ndarray, d: int) -> DataFrame:
-    """Tangent vectors ``f`` at one reference matrix."""
-    w = kernels.powm(ref, -0.5)
-    out = map_cov(cov, d, lambda c: kernels.upper_vector(kernels.logm(kernels.congruence(w, c))))
-    return out.withColumnRenamed("cov", "f")
 
+def discriminant_projection(rows: foldwise.Chunks, refs: DataFrame, fold: str, d: int) -> DataFrame:
+    """(fold, ref): the fold's inverse root and root of the training mean, then the projector on the discriminant directions of the
+    training rows' tangent vectors, one after another. Per fold and class only n, Σf and Σffᵀ leave the tasks."""
+    p = d * (d + 1) // 2
+    tangent = _tangent(d)
+    groups = foldwise.per_class(refs.select(fold, "ref"), rows, "y")
+
+    def sums(a, b):
+        folds, y, ref = foldwise.values(a.column(fold)), foldwise.values(a.column("y")), b.column("s_ref").combine_chunks()
+        for k, (f, label) in enumerate(zip(foldwise.values(b.column(f"s_{fold}")), foldwise.values(b.column("s_y")))):
+            at = np.flatnonzero((folds != f) & (y == label))
+            if len(at):
+                x = tangent(a.take(at), np.asarray(ref[k].as_py()))
+                yield k, np.concatenate([[len(x)], x.sum(axis=0), (x.T @ x).ravel()])
 
-def fgmdm(train: DataFrame, test: DataFrame, d: int, keep: list[str], ref: np.ndarray | None = None) -> DataFrame:
-    """Project tangent vectors on the discriminant directions, map back, then nearest class mean."""
-    m = ref if ref is not None else align.small_means(train, None, d)[0]
-    tang = tangent_at(train, m, d)
-    centre = feature_mean(tang)
-    stats = {r["y"]: np.asarray(r["_s"]) for r in lda_statistics(tang, ["y"], centre, False).collect()}
-    _, coef, _ = solve_lda(stats, len(centre), 0.0, standardize=False)
-    q, _ = np.linalg.qr((coef - coef.mean(axis=0)).T)
-    q = q[:, :len(stats) - 1]
-    root, inv = kernels.powm(m, 0.5), kernels.powm(m, -0.5)
+    stats = foldwise.fold_sums(rows, align.checkpointed(groups), [fold, "y"], sums, 8 * d * d)
+    packed = stats.groupBy(fold).agg(F.collect_list(F.struct("y", "_s")).alias("_own")).join(refs.select(fold, "ref"), fold)
+    fields = f"{align._keys_schema(refs, [fold])}, ref array<double>"
 
-    def project(c):
+    def solve(batches):
+        for pdf in batches:
+            out = []
+            for own, ref in zip(pdf["_own"], pdf["ref"]):
+                _, coef, _ = solve_lda({r["y"]: np.asarray(r["_s"]) for r in own}, p, 0.0, standardize=False)
+                q = np.linalg.qr((coef - coef.mean(axis=0)).T)[0][:, :len(own) - 1]
+                inv = np.asarray(ref).reshape(d, d)
+                out.append(np.concatenate([inv.ravel(), np.linalg.inv(inv).ravel(), (q @ q.T).ravel()]))
+            if out:
+                yield pdf[[fold]].assign(ref=out)
+
+    return align.checkpointed(packed.mapInPandas(solve, fields))
+
+
+def projection(d: int):
+    """Matrices to tangent vectors, onto the discriminant directions, and back."""
+    def run(c, ref):
+        inv, root, q = ref[:d * d].reshape(d, d), ref[d * d:2 * d * d].reshape(d, d), ref[2 * d * d:]
         v = kernels.upper_vector(kernels.logm(kernels.congruence(inv, c)))
-        return kernels.congruence(root, kernels.expm(kernels.from_upper_vector(v @ q @ q.T, d)))
+        return kernels.congruence(root, kernels.expm(kernels.from_upper_vector(v @ q.reshape(v.shape[1], v.shape[1]), d)))
+    return run
 
-    return mdm(map_cov(train, d, project), map_cov(test, d, project), d, keep)
 
+def train_refs(rows: foldwise.Chunks, fold: str, d: int) -> DataFrame:
+    """(fold, ref): inverse root of every fold's training mean."""
+    return align.checkpointed(align.train_means(rows, fold, d).select(fold, F.col("isqrt").alias("ref")))
 
-def riemann(train: DataFrame, test: DataFrame, d: int, n_classes: int, keep: list[str], ref: np.ndarray | None = None) -> DataFrame:
-    """Tangent vectors at the training mean, then logistic regression."""
-    m = ref if ref is not None else align.small_means(train, None, d)[0]
-    return tangent_lr(tangent_at(train, m, d), tangent_at(test, m, d), n_classes, keep)
 
+def fgmdm_folds(cov: DataFrame, fold: str, d: int, n_classes: int, keep: list[str]) -> DataFrame:
+    """Project tangent vectors on the discriminant directions, map back, then nearest class mean, all folds together."""
+    rows = foldwise.chunked(cov, 8 * d * d)
+    refs = discriminant_projection(rows, train_refs(rows, fold, d), fold, d)
+    means = align.train_means(rows, fold, d, "y", refs=refs, project=projection(d))
+    return nearest_means(rows, means, fold, d, n_classes, keep, refs, projection(d))
 
-def with_train_mean(cov: DataFrame, fold: str, d: int, fit_predict) -> DataFrame:
-    """As by_fold, with the training mean of every fold found in shared passes and handed to the method."""
-    refs = align.train_means(cov, fold, d)
-    out = None
-    for f in sorted(refs):
-        test = F.col(fold) == f
-        p = fit_predict(cov.filter(~test), cov.filter(test), refs[f])
-        out = p if out is None else out.unionByName(p)
-    return out
+
+def fgmdm(train: DataFrame, test: DataFrame, d: int, n_classes: int, keep: list[str]) -> DataFrame:
+    return test_part(fgmdm_folds(tagged(train, test, list(dict.fromkeys([*keep, "y", "cov"]))), "_test", d, n_classes, [*keep, "_test"]), keep)
+
+
+def riemann_folds(cov: DataFrame, fold: str, d: int, n_classes: int, keep: list[str]) -> DataFrame:
+    """Tangent vectors at the training mean, then logistic regression, all folds together."""
+    rows = foldwise.chunked(cov, 8 * d * d)
+    return foldwise.logistic_folds(rows, fold, n_classes, keep, _tangent(d), d * (d + 1) // 2, train_refs(rows, fold, d), ref_bytes=8 * d * d)
+
+
+def riemann(train: DataFrame, test: DataFrame, d: int, n_classes: int, keep: list[str]) -> DataFrame:
+    return test_part(riemann_folds(tagged(train, test, list(dict.fromkeys([*keep, "y", "cov"]))), "_test", d, n_classes, [*keep, "_test"]), keep)
 
 
 def zero_shot_transfer(cov: DataFrame, subject: str, fold: str, d: int, n_classes: int, keep: list[str],
                        scale: bool = False) -> DataFrame:
     """Recentre every subject on its own mean (± dispersion), then tangent vectors at the identity and logistic
-    regression per fold. The alignment does not depend on the fold and is done once."""
+    regression, all folds together. The alignment does not depend on the fold and is done once."""
     al = align.recenter_covariances(cov, [subject], d)
     if scale:
         al = align.scale_dispersion(al, [subject], d)
-    f = align.checkpointed(align.tangent_features(al, d))
-    return by_fold(f, fold, lambda tr, te: tangent_lr(tr, te, n_classes, keep))
+    p = d * (d + 1) // 2
+    return foldwise.logistic_folds(foldwise.chunked(align.tangent_features(al, d), 8 * p), fold, n_classes, keep, _given(p), p)
 
 
 def calibrated_transfer(kind: str, source: DataFrame, calib: DataFrame, evaluation: DataFrame, d: int, n_classes: int,
@@ -332,13 +360,16 @@ def calibrated_transfer(kind: str, source: DataFrame, calib: DataFrame, evaluati
     """``rpa``: centre, scale and rotate, then logistic regression; ``mdwm``: nearest blended class mean. Labels of the
     evaluation rows are not read."""
     if kind == "mdwm":
-        return distance_probs(riemann_distances(evaluation, align.weighted_class_means(source, calib, "y", d, lam), d), keep)
+        means = align.weighted_class_means(source, calib, "y", d, lam).withColumn("_test", F.lit(1))
+        means = map_cov(means, d, lambda m: kernels.powm(m, -0.5), cov="mean").withColumnRenamed("mean", "isqrt")
+        rows = foldwise.chunked(evaluation.withColumn("_test", F.lit(1)), 8 * d * d)
+        return test_part(nearest_means(rows, means, "_test", d, n_classes, [*keep, "_test"]), keep)
     if kind != "rpa":
         raise ValueError(f"unknown transfer {kind!r}")
     tag = lambda df, g: df.withColumn("_g", F.lit(g))
     src = align.scale_dispersion(align.recenter_covariances(tag(source, 0), ["_g"], d), ["_g"], d)
     unsup = tag(calib, 1)
-    mean = align.riemannian_mean(unsup, ["_g"], d)
+    mean = align.checkpointed(align.riemannian_mean(unsup, ["_g"], d))
     c = align.recenter_covariances(unsup, ["_g"], d, mean)
     e = align.recenter_covariances(tag(evaluation, 1), ["_g"], d, mean)
     p = map_cov(c.select("cov"), d, lambda a: (np.log(kernels.floor_eig(np.linalg.eigvalsh(a))) ** 2).sum(axis=1),
@@ -347,7 +378,7 @@ def calibrated_transfer(kind: str, source: DataFrame, calib: DataFrame, evaluati
     c, e = power(c), power(e)
     r = align.rotation(src, c, "y", d)
     turn = lambda df: map_cov(df, d, lambda a: r @ a @ r.T)
-    cols = ["y", "cov"]
+    cols = list(dict.fromkeys([*keep, "y", "cov"]))
     train = align.tangent_features(src.select(*cols).unionByName(turn(c).select(*cols)), d)
     return tangent_lr(train, align.tangent_features(turn(e), d), n_classes, keep)
 

@@ -90,20 +90,19 @@ def fbcsp(df: DataFrame, t: Task) -> DataFrame:
 
 
 def riemann(df: DataFrame, t: Task) -> DataFrame:
-    return C.with_train_mean(_cov(df, t), "fold", t.n_ch, lambda tr, te, m: C.riemann(tr, te, t.n_ch, t.n_classes, t.columns, m))
+    return C.riemann_folds(_cov(df, t), "fold", t.n_ch, t.n_classes, t.columns)
 
 
 def riemann_acm(df: DataFrame, t: Task) -> DataFrame:
-    aug, d = _cov(time_delay_embed(df, t.acm_order, t.acm_lag), t), t.n_ch * t.acm_order
-    return C.with_train_mean(aug, "fold", d, lambda tr, te, m: C.riemann(tr, te, d, t.n_classes, t.columns, m))
+    return C.riemann_folds(_cov(time_delay_embed(df, t.acm_order, t.acm_lag), t), "fold", t.n_ch * t.acm_order, t.n_classes, t.columns)
 
 
 def riemann_mdm(df: DataFrame, t: Task) -> DataFrame:
-    return C.mdm_folds(_cov(df, t), "fold", t.n_ch, t.columns)
+    return C.mdm_folds(_cov(df, t), "fold", t.n_ch, t.n_classes, t.columns)
 
 
 def riemann_fgmdm(df: DataFrame, t: Task) -> DataFrame:
-    return C.with_train_mean(_cov(df, t), "fold", t.n_ch, lambda tr, te, m: C.fgmdm(tr, te, t.n_ch, t.columns, m))
+    return C.fgmdm_folds(_cov(df, t), "fold", t.n_ch, t.n_classes, t.columns)
 
 
 def fnirs_lda(df: DataFrame, t: Task) -> DataFrame:
