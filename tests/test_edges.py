@@ -236,20 +236,6 @@ def test_confusion_has_zero_cells(spark):
     assert len(c) == 9 and c["n"].sum() == 2
 
 
-def test_bootstrap_brackets_a_known_rate_and_degenerates(spark):
-    hits = spark.range(1000).select(F.col("id").alias("trial"), (F.col("id") < 200).cast("int").alias("hit"))
-    r = metrics.bootstrap_ci(hits, "trial", "hit", 200).head()
-    assert r["point"] == 0.2 and 0.16 < r["lo"] < 0.2 < r["hi"] < 0.24
-    same = metrics.bootstrap_ci(hits.withColumn("hit", F.lit(1)), "trial", "hit", 40).head()
-    assert (same["lo"], same["hi"]) == (1.0, 1.0)
-    zero = metrics.paired_bootstrap_delta(hits, hits, "trial", "hit", 40).head()
-    assert (zero["point"], zero["lo"], zero["hi"], zero["verdict"]) == (0.0, 0.0, 0.0, "noise")
-    better = hits.withColumn("hit", (F.col("trial") < 400).cast("int"))
-    assert metrics.paired_bootstrap_delta(hits, better, "trial", "hit", 100).head()["verdict"] == "REAL"
-    with pytest.raises(Exception, match="different trials"):
-        metrics.paired_bootstrap_delta(hits, hits.filter("trial < 999"), "trial", "hit", 4).collect()
-
-
 def test_complementarity_closed_form(spark):
     df = frame(spark, [(True, True), (True, False), (False, True), (False, False)], "ca boolean, cb boolean")
     r = FU.complementarity(df, []).head()

@@ -104,7 +104,7 @@ def test_no_cross_join_in_any_plan(spark, sf_dir, name):
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
 
 
-@pytest.mark.parametrize("name", ["block_epochs", "extract_bank", "make_split_random_val", "evaluate_folds", "aggregation_sweep", "bootstrap_ci",
+@pytest.mark.parametrize("name", ["block_epochs", "extract_bank", "make_split_random_val", "evaluate_folds", "aggregation_sweep", "bootstrap_ci", "bootstrap_kappa",
                                   "cbsi", "detrend", "zscore_subject", "shift_scan", "balanced_batches", "band_powers_relational"])
 def test_relational_operators_stay_on_the_jvm(spark, sf_dir, name):
     text = plan(QUERIES[name](spark, sf_dir))

@@ -130,69 +130,6 @@ def boundary_accuracy(conf: DataFrame, by: list[str]) -> DataFrame:
         safe_div(100.0 * s((y > 0) & (p == 0)), s(y > 0)).alias("load_to_rest"))
 
 
-# ---- bootstrap -------------------------------------------------------------------------------------------------
-
-def poisson_cdf(top: int = 12) -> list[float]:
-    term, total, out = float(np.exp(-1.0)), 0.0, []
-    for k in range(top):
-        total += term
-        out.append(total)
-        term /= k + 1
-    return out
-
-
-def bootstrap_draws(df: DataFrame, key: str, values: list[str], n_boot: int, seed=0,
-                    by: list[str] | None = None) -> DataFrame:
-    """Weighted sums of every value for each draw. Trial weights are Poisson(1) quantiles of hash words; one md5 gives
-    the weights of four draws, and the sums are combined on the map side, so a draw costs no shuffle of trials."""
-    by = by or []
-    groups = -(-n_boot // 4)
-    d = df.select(*by, key, *values).withColumn("_g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    d = d.withColumn("_h", F.md5(F.concat_ws(":", F.lit(str(seed)), "_g", F.col(key).cast("string"))))
-    # u ≥ c compares fixed-width hexadecimal digits, which order like the numbers they spell
-    limits = [f"{k:08x}" for k in (int(np.ceil(c * 2.0**32)) for c in poisson_cdf()) if k < 2**32]
-    aggs = []
-    for j in range(4):
-        d = d.withColumn(f"_u{j}", F.substring("_h", 1 + 8 * j, 8))
-        d = d.withColumn(f"_w{j}", F.expr(" + ".join(f"int(_u{j} >= '{k}')" for k in limits)))
-        aggs.append(F.sum(f"_w{j}").alias(f"_n{j}"))
-        aggs += [F.sum(F.col(f"_w{j}") * F.col(v)).alias(f"_{v}_{j}") for v in values]
-    g = d.groupBy(*by, "_g").agg(*aggs)
-    four = F.array(*[F.struct((F.col("_g") * 4 + j).alias("draw"), F.col(f"_n{j}").alias("n"),
-                              *[F.col(f"_{v}_{j}").alias(v) for v in values]) for j in range(4)])
-    return g.select(*by, F.explode(four).alias("s")).select(*by, "s.*").filter(F.col("draw") < n_boot)
-
-
-def interval(draws: DataFrame, stat: Column, by: list[str], alpha: float) -> DataFrame:
-    """Percentile limits over the finite draws (linear interpolation)."""
-    d = draws.withColumn("_s", stat).filter(F.col("_s").isNotNull() & ~F.isnan("_s"))
-    return d.groupBy(*by).agg(F.percentile("_s", F.lit(alpha / 2)).alias("lo"),
-                              F.percentile("_s", F.lit(1 - alpha / 2)).alias("hi"))
-
-
-def bootstrap_ci(df: DataFrame, key: str, value: str, n_boot: int = 1000, alpha: float = 0.05, seed=0,
-                 by: list[str] | None = None) -> DataFrame:
-    by = by or []
-    draws = bootstrap_draws(df, key, [value], n_boot, seed, by)
-    ci = interval(draws, F.try_divide(F.col(value), F.col("n")), by, alpha)
-    point = df.groupBy(*by).agg(F.avg(value).alias("point"))
-    if not by:
-        return ci.select(point.scalar().alias("point"), "lo", "hi")
-    return point.join(ci, by).select(*by, "point", "lo", "hi")
-
-
-def paired_bootstrap_delta(a: DataFrame, b: DataFrame, key: str, value: str, n_boot: int = 1000, alpha: float = 0.05,
-                           seed=0) -> DataFrame:
-    """b − a with the same weights for both arms; a trial in only one arm raises."""
-    j = a.select(key, F.col(value).alias("_a")).join(b.select(key, F.col(value).alias("_b")), key, "full_outer")
-    lone = F.raise_error(F.lit("arms cover different trials")).cast("double")
-    j = j.select(key, F.when(F.col("_a").isNull() | F.col("_b").isNull(), lone).otherwise(
-        (F.col("_b") - F.col("_a")).cast("double")).alias("delta"))
-    out = bootstrap_ci(j, key, "delta", n_boot, alpha, seed)
-    verdict = F.when(F.col("lo") > 0, "REAL").when(F.col("hi") >= 0, "noise").otherwise("REVERSED")
-    return out.withColumn("verdict", verdict)
-
-
 # ---- temperature -----------------------------------------------------------------------------------------------
 
 def _loss_sums(by: list[str], points: int):

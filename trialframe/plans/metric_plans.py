@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 from pyspark.sql import functions as F
 
 from trialframe.functions.columns import argmax0, let, rnd, softmax
+from trialframe.operators import bootstrap as B
 from trialframe.operators import fusion as FU
 from trialframe.operators import metrics as M
 from trialframe.operators.labels import restrict_classes
@@ -133,35 +136,83 @@ def _(v):
 
 # ---- bootstrap -------------------------------------------------------------------------------------------------
 
-def sql_boot(src: str, value: str, n_boot: int, seed: str, by: str = "") -> str:
-    cdf = M.poisson_cdf()
-    w = lambda j: " + ".join(f"CAST(('0x' || substr(h, {1 + 8 * j}, 8))::BIGINT / 4294967296.0::DOUBLE >= {c!r}::DOUBLE "
-                             f"AS INTEGER)" for c in cdf)
-    rows = " UNION ALL ".join(f"SELECT {by} g * 4 + {j} AS draw, {value} AS v, {w(j)} AS w FROM h" for j in range(4))
-    return f"""h AS (SELECT *, md5('{seed}:' || g || ':' || trial) AS h FROM {src}, range(0, {-(-n_boot // 4)}) q(g)),
-        b AS (SELECT {by} draw, sum(w * v) / nullif(sum(w), 0) AS s FROM ({rows}) WHERE draw < {n_boot} GROUP BY {by} draw)"""
+def sql_weight() -> str:
+    """Poisson(n) from the words of the digest h."""
+    word = lambda j: f"('0x' || substr(h, {1 + 8 * j}, 8))::BIGINT"
+    small = " + ".join(f"CASE WHEN n & {1 << j} > 0 THEN len(list_filter({B.poisson_limits(1 << j)}, lambda k: k <= {word(j)})) ELSE 0 END" for j in range(6))
+    return f"""({small} + CASE WHEN n >= 64 THEN greatest(CAST(floor((n - n % 64) + sqrt(n - n % 64) * z({word(6)}, {word(7)})
+        + (power(z({word(6)}, {word(7)}), 2) - 1) / 6 + 0.5) AS BIGINT), 0) ELSE 0 END)"""
+
+
+def sql_boot(cells: str, keys: str, stats: str, seed: str, by: str = "", n_boot: int = 1000) -> str:
+    """CTEs from cells (keys, n, …): b (by, draw, s) of the draws, p (by, s) of the cells themselves, i (by, lo, hi). ``stats`` reads weights w
+    from a table t; ``by`` ends with a comma or is empty."""
+    name = " || ':' || ".join(f"coalesce(CAST({k} AS VARCHAR), '')" for k in keys.split(", "))
+    normal = "sqrt(-2 * ln((a + 0.5) / 4294967296.0::DOUBLE)) * cos(2 * pi() * (b / 4294967296.0::DOUBLE))"
+    weight = re.sub(r"z\((.*?\)::BIGINT), (.*?\)::BIGINT)\)", lambda m: "(" + re.sub(r"\b([ab])\b", lambda x: m[1] if x[1] == "a" else m[2], normal) + ")", sql_weight())
+    return f"""hd AS (SELECT c.*, draw, sha256('{seed}:' || draw || ':' || {name}) AS h FROM {cells} c, range(0, {n_boot}) q(draw)),
+        wd AS MATERIALIZED (SELECT *, {weight} AS w FROM hd),
+        b AS ({stats.format(t='wd', draw='draw,', by=by)}), p AS ({stats.format(t=f'(SELECT *, n AS w FROM {cells})', draw='', by=by)}),
+        i AS (SELECT {by} quantile_cont(s, 0.025) AS lo, quantile_cont(s, 0.975) AS hi FROM b WHERE s IS NOT NULL AND NOT isnan(s) {'GROUP BY ' + by.rstrip(',') if by else ''})"""
+
+
+MEAN = "SELECT {by} {draw} sum(w * v) / nullif(sum(w), 0) AS s FROM {t} GROUP BY ALL"
+SQL_CI = f"SELECT fold, {r('s')} AS point, {r('lo')} AS lo, {r('hi')} AS hi FROM p LEFT JOIN i USING (fold)"
+SQL_DELTA = f"SELECT {r('s')} AS point, {r('lo')} AS lo, {r('hi')} AS hi, CASE WHEN lo > 0 THEN 'REAL' WHEN hi >= 0 THEN 'noise' ELSE 'REVERSED' END AS verdict FROM p, i"
+
+
+def sql_kappa_of(y: str, yhat: str) -> str:
+    po = f"(sum(CASE WHEN {y} = {yhat} THEN w ELSE 0 END)::DOUBLE / nullif(sum(w), 0))"
+    pe = "((" + " + ".join(f"sum(CASE WHEN {y} = {k} THEN w ELSE 0 END)::DOUBLE * sum(CASE WHEN {yhat} = {k} THEN w ELSE 0 END)" for k in range(3)) + ") / nullif(sum(w)::DOUBLE * sum(w), 0))"
+    return f"(({po} - {pe}) / nullif(1 - {pe}, 0))"
+
+
+SQL_CELLS = f"""{SQL_PA}, cl AS (SELECT fold, y, yhat, bin, avg(conf) AS conf, count(*) AS n FROM (SELECT *, {sql_bin('conf', 15)} AS bin FROM pa) GROUP BY ALL)"""
+ECE_OF = " + ".join(f"abs(sum(CASE WHEN bin = {b} THEN w * (CAST(y = yhat AS INTEGER) - conf) ELSE 0 END))" for b in range(15))
+
+
+def rounded(out, *keep):
+    return out.select(*keep, *[rnd(c).alias(c) for c in ("point", "lo", "hi")], *[c for c in out.columns if c == "verdict"])
+
+
+def boot_rows(v):
+    return pred_a(v).withColumn("bin", M.conf_bin("conf", 15))
+
+
+@query("bootstrap_ci", f"""WITH {SQL_PA}, cl AS (SELECT fold, CAST(y = yhat AS INTEGER) AS v, count(*) AS n FROM pa GROUP BY ALL),
+       {sql_boot('cl', 'fold, v', MEAN, '0', 'fold,')} {SQL_CI}""")
+def _(v):
+    return rounded(B.bootstrap_ci(pred_a(v).select("fold", (F.col("y") == F.col("yhat")).cast("int").alias("hit")), "hit", by=["fold"]), "fold")
+
+
+@query("bootstrap_kappa", f"""WITH {SQL_CELLS}, c2 AS (SELECT fold, y, yhat, sum(n)::BIGINT AS n FROM cl GROUP BY ALL),
+       {sql_boot('c2', 'fold, y, yhat', 'SELECT {by} {draw} ' + sql_kappa_of('y', 'yhat') + ' AS s FROM {t} GROUP BY ALL', '2', 'fold,')} {SQL_CI}""")
+def _(v):
+    return rounded(B.bootstrap(pred_a(v), B.kappa(3), ["y", "yhat"], seed=2, by=["fold"]), "fold")
+
+
+@query("bootstrap_ece", f"""WITH {SQL_CELLS},
+       {sql_boot('cl', 'fold, y, yhat, bin', 'SELECT {by} {draw} (' + ECE_OF + ') / nullif(sum(w), 0) AS s FROM {t} GROUP BY ALL', '3', 'fold,')} {SQL_CI}""")
+def _(v):
+    return rounded(B.bootstrap(boot_rows(v), B.calibration_error(), ["y", "yhat", "bin"], ["conf"], seed=3, by=["fold"]), "fold")
+
+
+def arm_hit(v, p):
+    return v.preds.select("trial", "y", argmax0(p).alias("yhat"))
 
 
-@query("bootstrap_ci", f"""WITH {SQL_PA}, hit AS (SELECT fold, trial, CAST(y = yhat AS INTEGER) AS hit FROM pa),
-       {sql_boot('hit', 'hit', 40, '0', 'fold,')}
-       SELECT fold, {r('point')} AS point, {r('lo')} AS lo, {r('hi')} AS hi FROM
-       (SELECT fold, avg(hit) AS point FROM hit GROUP BY fold) JOIN
-       (SELECT fold, quantile_cont(s, 0.025) AS lo, quantile_cont(s, 0.975) AS hi FROM b GROUP BY fold) USING (fold)""")
+@query("paired_bootstrap_delta", f"""WITH h AS (SELECT CAST(y = list_position(pa, list_max(pa)) - 1 AS INTEGER) AS a, CAST(y = list_position(pb, list_max(pb)) - 1 AS INTEGER) AS b FROM preds),
+       cl AS (SELECT a, b, b - a AS v, count(*) AS n FROM h GROUP BY ALL), {sql_boot('cl', 'a, b', MEAN, '1')} {SQL_DELTA}""")
 def _(v):
-    hits = pred_a(v).select("fold", "trial", (F.col("y") == F.col("yhat")).cast("int").alias("hit"))
-    ci = M.bootstrap_ci(hits, "trial", "hit", 40, by=["fold"])
-    return ci.select("fold", *[rnd(c).alias(c) for c in ("point", "lo", "hi")])
+    hit = lambda p: arm_hit(v, p).select("trial", (F.col("yhat") == F.col("y")).cast("int").alias("hit"))
+    return rounded(B.paired_bootstrap_delta(hit("pa"), hit("pb"), "trial", "hit", seed=1))
 
 
-@query("paired_bootstrap_delta", f"""WITH d AS (SELECT trial, CAST(y = list_position(pb, list_max(pb)) - 1 AS INTEGER)
-       - CAST(y = list_position(pa, list_max(pa)) - 1 AS INTEGER) AS d FROM preds), {sql_boot('d', 'd', 40, '1')},
-       i AS (SELECT quantile_cont(s, 0.025) AS lo, quantile_cont(s, 0.975) AS hi FROM b)
-       SELECT (SELECT {r('avg(d)')} FROM d) AS point, {r('lo')} AS lo, {r('hi')} AS hi, CASE WHEN lo > 0 THEN 'REAL'
-       WHEN hi >= 0 THEN 'noise' ELSE 'REVERSED' END AS verdict FROM i""")
+@query("paired_bootstrap_kappa", f"""WITH h AS (SELECT y, list_position(pa, list_max(pa)) - 1 AS a, list_position(pb, list_max(pb)) - 1 AS b FROM preds),
+       cl AS (SELECT y AS ya, a, y AS yb, b, count(*) AS n FROM h GROUP BY ALL),
+       {sql_boot('cl', 'ya, a, yb, b', 'SELECT {by} {draw} ' + sql_kappa_of('y', 'b').replace('y', 'yb') + ' - ' + sql_kappa_of('y', 'a').replace('y', 'ya') + ' AS s FROM {t} GROUP BY ALL', '4')} {SQL_DELTA}""")
 def _(v):
-    hit = lambda p: v.preds.select("trial", (argmax0(p) == F.col("y")).cast("int").alias("hit"))
-    out = M.paired_bootstrap_delta(hit("pa"), hit("pb"), "trial", "hit", 40, seed=1)
-    return out.select(*[rnd(c).alias(c) for c in ("point", "lo", "hi")], "verdict")
+    return rounded(B.paired_bootstrap(arm_hit(v, "pa"), arm_hit(v, "pb"), "trial", B.kappa(3), ["y", "yhat"], seed=4))
 
 
 # ---- temperature -----------------------------------------------------------------------------------------------

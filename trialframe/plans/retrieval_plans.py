@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from trialframe.functions.columns import rnd
+from trialframe.operators import bootstrap as B
 from trialframe.operators import metrics as M
 from trialframe.operators import retrieval as R
 from trialframe.operators import splits
-from trialframe.plans.metric_plans import sql_ece, sql_kappa
+from trialframe.plans.metric_plans import sql_boot, sql_ece, sql_kappa
 from trialframe.plans.registry import query, r
 
 SQL_LONG = "lg AS (SELECT trial, subject, concept, generate_subscripts(v, 1) AS i, unnest(v) AS x FROM emb)"
@@ -64,6 +65,14 @@ def _(v):
     return R.retrieval_metrics(state(v), []).select(*[rnd(c).alias(c) for c in ("recall1", "recall5", "mrr", "median_rank")])
 
 
+@query("bootstrap_recall", f"""WITH {SQL_BANK}, cl AS (SELECT rank, count(*) AS n FROM rk GROUP BY rank),
+       {sql_boot('cl', 'rank', 'SELECT {by} {draw} sum(CASE WHEN rank <= 5 THEN w ELSE 0 END)::DOUBLE / nullif(sum(w), 0) AS s FROM {t} GROUP BY ALL', '5')}
+       SELECT {r('s')} AS point, {r('lo')} AS lo, {r('hi')} AS hi FROM p, i""")
+def _(v):
+    out = B.bootstrap(R.retrieval_hits(state(v)), B.recall_at(5), ["rank"], seed=5)
+    return out.select(*[rnd(c).alias(c) for c in ("point", "lo", "hi")])
+
+
 @query("retrieval_pr_auc", f"""WITH {SQL_BANK}, g AS (SELECT s, sum(CAST(cand = label AS INTEGER)) AS p, count(*) AS n FROM sc GROUP BY s),
        c AS (SELECT p, sum(p) OVER w AS cp, sum(n) OVER w AS cn FROM g WINDOW w AS (ORDER BY s DESC))
        SELECT {r('sum(p * cp / cn) / sum(p)')} AS pr_auc FROM c""")
