@@ -12,16 +12,24 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from trialframe.functions import kernels
-from trialframe.functions.columns import dot, unit, vector_sum
-from trialframe.operators import metrics
+from trialframe.functions.columns import dot, let, unit, vector_sum
+from trialframe.operators import foldwise, metrics
+from trialframe.session import checkpointed
 
+#: Concepts of a block, trials of a pack, and trials scored at once.
 BLOCK = 4096
-PACK = 256
+PACK = 4096
+SLICE = 512
+#: A candidate beats the true concept by more than this.
+TIE = 1e-12
+#: What a task returns for a trial and a block.
+PART = {"better": "bigint", "best": "double", "pred": "bigint", "total": "double", "mass": "double", "n_cand": "bigint"}
 
 
 def l2_normalize(df: DataFrame, v: str = "v", eps: float = 1e-8) -> DataFrame:
@@ -286,65 +294,128 @@ def concept_sums(df: DataFrame, keys: list[str], v: str = "v") -> DataFrame:
     return df.groupBy(*keys).agg(vector_sum(v).alias("s"), F.count(F.lit(1)).alias("n"))
 
 
-def keyed_state(trials: DataFrame, train: DataFrame, key: str, arm: str = "cross", trial: str = "trial", v: str = "v",
-                eps: float = 1e-8) -> DataFrame:
-    """Retrieval against centroids that depend on ``key``: ``cross`` = all training rows of other keys (total − own,
-    so no row is copied per fold), ``within`` = the key's own training rows.
+def _centroids(s: np.ndarray, n: np.ndarray, eps: float) -> np.ndarray:
+    c = s / np.maximum(n, 1)[:, None]
+    return c / (np.linalg.norm(c, axis=1, keepdims=True) + eps)
 
-    Trials are packed in blocks of about PACK rows of one key, so the key's sums travel once per block and a key with
-    most of the rows is spread over many blocks.
-    """
-    sums = concept_sums(train, [key, "concept"], v)
-    own = sums.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("concept", "n", "s"))).alias("own"))
-    totals = sums.groupBy("concept").agg(vector_sum("s").alias("v"), F.sum("n").alias("n"))
-    sc = trials.sparkSession.sparkContext
-    size = trials.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / PACK).alias("_m"))
-    salted = trials.join(size, key).withColumn("_salt", F.pmod(F.xxhash64(trial), F.col("_m")))
-    packs = salted.groupBy(key, "_salt").agg(F.collect_list(F.struct(
-        F.col(trial).alias("trial"), F.col("concept").cast("bigint").alias("concept"), F.col(v).alias("v"))).alias("rows"))
-    packs = packs.join(own, key, "left")
-    out = packs.select(key, "rows", "own")
-    blocks = list(bank_blocks(totals, "v", extra=["n"]))
-    key_type = trials.schema[key].dataType.simpleString()
-    trial_type = trials.schema[trial].dataType.simpleString()
-    state_cols = ", ".join(f"{k} {t}" for k, t in STATE.items())
-    shared = sc.broadcast(blocks)
 
-    def run(batches):
-        for pdf in batches:
-            for k, rows, own_rows in zip(pdf[key], pdf["rows"], pdf["own"]):
-                x = np.array([r["v"] for r in rows], dtype=float)
-                x = x / np.linalg.norm(x, axis=1, keepdims=True)
-                y = np.array([r["concept"] for r in rows])
-                st = empty_state(len(y))
-                mine = {r["concept"]: (r["n"], np.asarray(r["s"], dtype=float)) for r in own_rows} if own_rows is not None else {}
-                for first in (True, False):
-                    for ids, total, n in shared.value:
-                        held = np.zeros_like(total)
-                        left = np.zeros_like(n)
-                        for i, c in enumerate(ids):
-                            if c in mine:
-                                left[i], held[i] = mine[c]
-                        s, count = (held, left) if arm == "within" else (total - held, n - left)
-                        c = s / np.maximum(count, 1)[:, None]
-                        c = c / (np.linalg.norm(c, axis=1, keepdims=True) + eps)
-                        fold_block(st, y, np.where(count > 0, x @ c.T, -2.0), ids, 1.0, first)
-                yield pd.DataFrame({key: k, "trial": [r["trial"] for r in rows], "concept": y, **st})
-
-    return ranked(out.mapInPandas(run, f"`{key}` {key_type}, trial {trial_type}, concept bigint, {state_cols}"))
+def _true_score(arm: str, v: str, eps: float):
+    """Score of a trial's own concept from its totals (_ts, _tn) and its key's own part (_os, _on); −2 without training rows of the arm,
+    null for a concept that nothing was trained on."""
+    n = F.coalesce("_on", F.lit(0))
+    if arm == "within":
+        total, count = F.col("_os"), n
+    else:
+        total, count = F.when(n > 0, F.zip_with("_ts", "_os", lambda a, b: a - b)).otherwise(F.col("_ts")), F.col("_tn") - n
+    c = F.transform(total, lambda a: a / count)
+    score = F.when(count > 0, let(c, lambda m: dot(v, m) / (F.sqrt(dot(m, m)) + eps))).otherwise(-2.0)
+    return F.when(F.col("_tn").isNotNull(), score)
+
+
+def keyed_states(trials: DataFrame, train: DataFrame, key: str, arms: tuple[str, ...], keep: list[str], v: str = "v", eps: float = 1e-8) -> DataFrame:
+    """Retrieval against centroids that depend on ``key``: ``cross`` = all training rows of other keys, ``within`` = the key's own ones.
+    (key, keep…, concept, arm, STATE…, rank), a row per trial and arm.
+
+    Trials lie in packs and concepts in blocks, both of bounded size, and a task scores one pack against one block. The block's
+    shared totals are scored once for all keys; where a key has training rows of its own, and only there, the score is corrected. The
+    states of a trial's blocks are then merged by sums and maxima. No vector reaches the driver, and nothing is gathered per
+    key. Scores closer than ``TIE`` to the true one don't beat it.
+    """
+    sums = checkpointed(concept_sums(train, [key, "concept"], v).withColumn("concept", F.col("concept").cast("bigint")))
+    totals = checkpointed(sums.groupBy("concept").agg(vector_sum("s").alias("s"), F.sum("n").alias("n")))
+    blocks = max(1, -(-totals.count() // BLOCK))
+    own = sums.select(key, "concept", F.col("s").alias("_os"), F.col("n").alias("_on"))
+    rows = trials.select(key, *keep, F.col("concept").cast("bigint").alias("concept"), unit(v).alias("v"))
+    rows = rows.join(totals.select("concept", F.col("s").alias("_ts"), F.col("n").alias("_tn")), "concept", "left").join(own, [key, "concept"], "left")
+    rows = rows.select(key, *keep, "concept", "v", *[_true_score(arm, "v", eps).alias(f"_true_{arm}") for arm in arms])
+    # small keys share packs, a large key has several
+    size = trials.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / PACK).cast("int").alias("_m"))
+    packs = max(1, -(-trials.count() // PACK))
+    salt = F.when(F.col("_m") > 1, F.concat(F.col(key).cast("string"), F.lit(":"), F.pmod(F.monotonically_increasing_id(), "_m"))).otherwise(F.lit(""))
+    pack = F.xxhash64(F.pmod(F.xxhash64(key), F.lit(packs)), salt)
+    rows = checkpointed(rows.join(size, key).withColumn("_pack", pack).drop("_m"))
+    met = rows.select(key, "_pack").distinct()
+    block = F.pmod(F.xxhash64("concept"), F.lit(blocks)).cast("int")
+    every = met.select("_pack").distinct().withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    key_type = trials.schema[key].dataType
+    shared = every.join(totals.withColumn("_block", block), "_block").select("_pack", "_block", F.lit(None).cast(key_type).alias("_of"), "concept", "n", "s")
+    parts = met.join(sums, key).select("_pack", block.alias("_block"), F.col(key).alias("_of"), "concept", "n", "s")
+    right = shared.unionByName(parts).toDF("r_pack", "r_block", "r_of", "r_concept", "r_n", "r_s")
+    left = rows.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    names = [key, *keep, "concept"]
+    kept_schema, kept_fields = foldwise.arrow_schema(rows, names)
+    schema = pa.schema([*kept_schema, ("arm", pa.string()), ("s_true", pa.float64()), *[(c, pa.int64() if t == "bigint" else pa.float64()) for c, t in PART.items()]])
+
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        if not a.num_rows or not b.num_rows:
+            return schema.empty_table()
+        bank = b.filter(pc.is_null(b.column("r_of"))).sort_by("r_concept")
+        if not bank.num_rows:
+            return schema.empty_table()
+        cells = b.filter(pc.is_valid(b.column("r_of")))
+        d = len(bank.column("r_s")[0])
+        ids, total, n = bank.column("r_concept").to_numpy(), kernels.matrix(bank.column("r_s").combine_chunks(), d), bank.column("r_n").to_numpy()
+        base = _centroids(total, n, eps)
+        a = a.sort_by(key)
+        keys, of = foldwise.values(a.column(key)), foldwise.values(cells.column("r_of"))
+        x, y = kernels.matrix(a.column("v").combine_chunks(), d), a.column("concept").to_numpy()
+        at = np.searchsorted(ids, y)
+        mine = (at < len(ids)) & (ids[np.minimum(at, len(ids) - 1)] == y)
+        out = {arm: {c: [] for c in PART} for arm in arms}
+        true = {arm: a.column(f"_true_{arm}").to_numpy() for arm in arms}
+        change = np.flatnonzero(keys[1:] != keys[:-1]) + 1
+        for lo, hi in zip(np.r_[0, change], np.r_[change, len(keys)]):
+            held = np.flatnonzero(of == keys[lo])
+            some = cells.take(pa.array(held))
+            place = np.searchsorted(ids, some.column("r_concept").to_numpy())
+            s, k = kernels.matrix(some.column("r_s").combine_chunks(), d), some.column("r_n").to_numpy()
+            for p in range(lo, hi, SLICE):
+                q = slice(p, min(p + SLICE, hi))
+                for arm in arms:
+                    if arm == "within":
+                        score = np.full((q.stop - p, len(ids)), -2.0)
+                        score[:, place] = x[q] @ _centroids(s, k, eps).T
+                    else:
+                        score = x[q] @ base.T
+                        left_over = n[place] - k
+                        score[:, place] = np.where(left_over > 0, x[q] @ _centroids(total[place] - s, left_over, eps).T, -2.0)
+                    beat = score > true[arm][q, None] + TIE
+                    rows_of = np.flatnonzero(mine[q])
+                    beat[rows_of, at[q][rows_of]] = False
+                    top = score.argmax(axis=1)
+                    for c, value in zip(PART, (beat.sum(axis=1), score[np.arange(len(top)), top], ids[top], score.sum(axis=1), np.exp(score).sum(axis=1),
+                                               np.full(len(top), len(ids)))):
+                        out[arm][c].append(value)
+        tables = []
+        for arm in arms:
+            columns = [a.column(c) for c in names] + [pa.array([arm] * a.num_rows), pa.array(true[arm], from_pandas=True)] + [pa.array(np.concatenate(out[arm][c])) for c in PART]
+            tables.append(pa.table(columns, names=schema.names).cast(schema))
+        return pa.concat_tables(tables)
+
+    fields = f"{kept_fields}, arm string, s_true double, " + ", ".join(f"{c} {t}" for c, t in PART.items())
+    found = left.groupBy("_pack", "_block").cogroup(right.groupBy("r_pack", "r_block")).applyInArrow(run, fields)
+    if blocks > 1:
+        found = found.groupBy(*names, "arm").agg(
+            F.max("s_true").alias("s_true"), F.sum("better").alias("better"), F.max("best").alias("best"),
+            F.min_by("pred", F.struct(-F.col("best"), "pred")).alias("pred"), F.sum("total").alias("total"), F.sum("mass").alias("mass"), F.sum("n_cand").alias("n_cand"))
+    # scores of unit vectors are bounded, so the softmax needs no running maximum
+    found = found.withColumn("z", F.col("mass") * F.exp(-F.col("best"))).drop("mass")
+    return found.withColumn("rank", F.when(F.col("s_true").isNotNull(), F.col("better") + 1))
+
+
+def keyed_state(trials: DataFrame, train: DataFrame, key: str, arm: str = "cross", trial: str = "trial", v: str = "v", eps: float = 1e-8) -> DataFrame:
+    """``keyed_states`` of one arm: (key, trial, concept, STATE…, rank)."""
+    named = trials.withColumnRenamed(trial, "trial") if trial != "trial" else trials
+    return keyed_states(named, train, key, (arm,), ["trial"], v, eps).drop("arm")
 
 
 def robustness_rows(df: DataFrame, key: str = "subject", calib: str = "calib", ks=(1, 5)) -> DataFrame:
-    """Accuracy per (held-out key, cell, k): within or cross training rows, single trials or concept averages."""
+    """Accuracy per (held-out key, cell, k): within or cross training rows, single trials or concept averages; one pass for all four."""
     train, test = df.filter(calib), df.filter(~F.col(calib))
     means = concept_prototypes(test, [key, "concept"]).withColumn("trial", F.col("concept").cast("bigint"))
-    out = None
-    for arm in ("within", "cross"):
-        for kind, trials in (("single", test), ("avg", means)):
-            state = keyed_state(trials.select(key, "trial", "concept", "v"), train, key, arm)
-            acc = state.groupBy(key).agg(*[F.avg(hit_at(k)).alias(f"k{k}") for k in ks])
-            pairs = F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"k{k}").alias("acc")) for k in ks])
-            rows = acc.select(key, F.lit(f"{arm}_{kind}").alias("cell"), F.explode(pairs).alias("p")).select(
-                key, "cell", "p.k", "p.acc")
-            out = rows if out is None else out.unionByName(rows)
-    return out
+    cols = [key, "trial", "concept", "v"]
+    both = test.select(*cols, F.lit("single").alias("kind")).unionByName(means.select(*cols, F.lit("avg").alias("kind")))
+    state = keyed_states(both, train, key, ("within", "cross"), ["kind", "trial"])
+    acc = state.groupBy(key, F.concat_ws("_", "arm", "kind").alias("cell")).agg(*[F.avg(hit_at(k)).alias(f"k{k}") for k in ks])
+    pairs = F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"k{k}").alias("acc")) for k in ks])
+    return acc.select(key, "cell", F.explode(pairs).alias("p")).select(key, "cell", "p.k", "p.acc")
