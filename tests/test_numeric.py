@@ -300,12 +300,21 @@ def test_pair_statistics_equal_the_pairs(spark):
     assert abs(got["random_mean"] - off.mean()) < 1e-12 and abs(got["random_std"] - off.std(ddof=1)) < 1e-12
 
 
-def test_pr_auc_with_ties(spark):
-    s = [0.9, 0.8, 0.8, 0.7, 0.5, 0.5, 0.1]
-    h = [1, 0, 1, 0, 1, 0, 0]
-    df = spark.createDataFrame(list(zip(s, h)), "s double, hit int")
-    want = (1 * 1 + 1 * (2 / 3) + 1 * (3 / 6)) / 3
-    assert abs(R.pr_auc(df).head()[0] - want) < 1e-12
+@pytest.mark.parametrize(("block", "true"), [(4096, 65_536), (3, 4)])
+def test_pr_auc_with_ties_equals_all_pairs(spark, monkeypatch, block, true):
+    rng = np.random.default_rng(20)
+    x, m = rng.integers(-2, 3, (60, 3)).astype(float), rng.integers(-2, 3, (9, 3)).astype(float)
+    y = rng.integers(0, 10, 60)  # the bank lacks concept 9
+    s = x @ m.T
+    hit = y[:, None] == np.arange(9)[None, :]
+    want = sum(np.sum(hit & (s == v)) * np.sum(hit & (s >= v)) / np.sum(s >= v) for v in np.unique(s[hit])) / hit.sum()
+    monkeypatch.setattr(R, "BLOCK", block)
+    monkeypatch.setattr(R, "TRUE_SCORES", true)
+    trials = spark.createDataFrame(pd.DataFrame({"concept": y, "v": x.tolist()})).repartition(3)
+    bank = spark.createDataFrame(pd.DataFrame({"concept": np.arange(9), "v": m.tolist()}))
+    assert abs(R.pr_auc(trials, bank).head()[0] - want) < 1e-12
+    assert R.pr_auc(trials.filter("concept = 9"), bank).head()[0] is None
+    assert R.pr_auc(trials.filter("false"), bank).head()[0] is None
 
 
 def test_known_ranks(spark):

@@ -26,6 +26,8 @@ from trialframe.session import checkpointed
 BLOCK = 4096
 PACK = 4096
 SLICE = 512
+#: True scores that a task searches.
+TRUE_SCORES = 65_536
 #: A candidate beats the true concept by more than this.
 TIE = 1e-12
 #: What a task returns for a trial and a block.
@@ -177,20 +179,67 @@ def retrieval_metrics(state: DataFrame, by: list[str], ks=(1, 5)) -> DataFrame:
                                   F.percentile("rank", F.lit(0.5)).alias("median_rank"))
 
 
-def pr_auc(scores: DataFrame, hit: str = "hit", s: str = "s", buckets: int = 4096) -> DataFrame:
-    """Average precision over all scored pairs. Pairs are combined by score, cut in score buckets, and the counts above
-    a bucket are joined in, so no task sees all pairs."""
-    g = scores.groupBy(s).agg(F.sum(hit).alias("p"), F.count(F.lit(1)).alias("n"))
-    g = g.withColumn("_b", F.floor(-F.col(s) * (buckets / 2)))
-    sizes = g.groupBy("_b").agg(F.sum("p").alias("_p"), F.sum("n").alias("_n"))
-    prior = W.partitionBy(F.lit(1)).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
-    zero = F.lit(0).cast("bigint")
-    sizes = sizes.select("_b", F.coalesce(F.sum("_p").over(prior), zero).alias("_p0"),
-                         F.coalesce(F.sum("_n").over(prior), zero).alias("_n0"))
-    w = W.partitionBy("_b").orderBy(F.desc(s)).rowsBetween(W.unboundedPreceding, 0)
-    run = g.withColumns({"_cp": F.sum("p").over(w), "_cn": F.sum("n").over(w)}).filter("p > 0").join(sizes, "_b")
-    precision = (F.col("_cp") + F.col("_p0")) / (F.col("_cn") + F.col("_n0"))
-    return run.agg((F.sum(precision * F.col("p")) / F.sum("p")).alias("pr_auc"))
+def pr_auc(trials: DataFrame, bank: DataFrame, label: str = "concept", v: str = "v") -> DataFrame:
+    """Average precision over all trial × concept scores, with a trial's own concept as the hit: (pr_auc).
+
+    Only where true scores lie among all scores matters. A task scores one chunk of trials against one block of concepts, finds each
+    score's place among a block of sorted true scores by binary search, and returns one count per true score. No score leaves a
+    task, and ties cost nothing. Scores within ``TIE`` of a true score count as equal to it. A trial whose concept the bank
+    lacks has misses only; without any hit the result is null.
+    """
+    rows = trials.select(F.col(label).cast("bigint").alias("_y"), F.col(v).cast("array<double>").alias("x"))
+    held = checkpointed(bank.select(F.col("concept").cast("bigint").alias("concept"), F.col(v).cast("array<double>").alias("c")))
+    width = held.select(F.size("c")).head()
+    if width is None:
+        raise ValueError("empty bank")
+    chunks = foldwise.chunked(rows, 8 * width[0])
+    true = chunks.df.join(held, F.col("_y") == F.col("concept")).select(dot("x", "c").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("p"))
+    true = checkpointed(true)
+    parts = max(1, -(-true.count() // TRUE_SCORES))
+    edges = true.approxQuantile("s", [i / parts for i in range(1, parts)], 0.25 / parts) if parts > 1 else []
+    part = F.size(F.filter(F.array(*[F.lit(e) for e in edges]), lambda e: e <= F.col("s"))) if edges else F.lit(0)
+    packed = true.withColumn("_part", part).groupBy("_part").agg(F.sort_array(F.collect_list(F.struct("s", "p"))).alias("_t"))
+    packed = packed.select("_part", F.transform("_t", lambda t: t["s"]).alias("s"), F.transform("_t", lambda t: t["p"]).alias("p"))
+    packed = checkpointed(packed)
+    blocks = max(1, -(-held.count() // BLOCK))
+    each = held.sparkSession.range(chunks.pieces).select(F.col("id").cast("int").alias("r_chunk"))
+    grid = lambda df, name, n: df.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    places = grid(grid(each, "r_block", blocks), "r_part", parts)
+    candidates = held.withColumn("r_block", F.pmod(F.xxhash64("concept"), F.lit(blocks)).cast("int"))
+    right = places.join(candidates, "r_block").select("r_chunk", "r_block", "r_part", "concept", "c").unionByName(
+        places.join(packed.select(F.col("_part").alias("r_part"), F.col("s").alias("c")), "r_part").select("r_chunk", "r_block", "r_part", F.lit(None).cast("bigint").alias("concept"), "c"))
+    left = grid(grid(chunks.df, "_block", blocks), "_part", parts)
+    schema = pa.schema([("_part", pa.int32()), ("n", pa.list_(pa.float64()))])
+
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        known = pc.is_valid(b.column("concept")) if b.num_rows else None
+        if not a.num_rows or not b.num_rows or pc.all(known).as_py() or not pc.any(known).as_py():
+            return schema.empty_table()
+        scores = np.asarray(b.filter(pc.invert(known)).column("c")[0].as_py()) - TIE
+        some = b.filter(known)
+        ids, m = some.column("concept").to_numpy(), kernels.matrix(some.column("c").combine_chunks(), width[0])
+        x, y = kernels.matrix(a.column("x").combine_chunks(), width[0]), a.column("_y").to_numpy()
+        n = np.zeros(len(scores) + 1, np.int64)
+        for p in range(0, len(x), SLICE):
+            s = x[p:p + SLICE] @ m.T
+            s[y[p:p + SLICE, None] == ids[None, :]] = -np.inf  # hits are counted from the true scores themselves
+            n += np.bincount(np.searchsorted(scores, s.ravel(), "right"), minlength=len(n))
+        return pa.table([pa.array([int(a.column("_part")[0].as_py())], pa.int32()), kernels.to_list([n[1:].astype(float)])], schema=schema)
+
+    counted = left.groupBy("_chunk", "_block", "_part").cogroup(right.groupBy("r_chunk", "r_block", "r_part")).applyInArrow(run, "_part int, n array<double>")
+    counted = counted.groupBy("_part").agg(vector_sum("n").alias("n"))
+    hits = packed.select("_part", F.aggregate("p", F.lit(0).cast("bigint"), lambda x, y: x + y).alias("_h"))
+    above = hits.select("_part", F.coalesce(F.sum("_h").over(W.partitionBy(F.lit(1)).orderBy(F.desc("_part")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_above"))
+    each = counted.join(packed, "_part").join(above, "_part")
+
+    def precision(batches):
+        for pdf in batches:
+            for n, p, over in zip(pdf["n"], pdf["p"], pdf["_above"]):
+                upward = lambda x: np.cumsum(np.asarray(x)[::-1])[::-1]
+                got = upward(p) + over
+                yield pd.DataFrame({"a": [float((np.asarray(p) * got / (upward(n) + got)).sum())], "p": [int(np.sum(p))]})
+
+    return each.select("n", "p", "_above").mapInPandas(precision, "a double, p bigint").agg(F.try_divide(F.sum("a"), F.sum("p")).alias("pr_auc"))
 
 
 def with_confidence(state: DataFrame) -> DataFrame:

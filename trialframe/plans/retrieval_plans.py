@@ -77,9 +77,7 @@ def _(v):
        c AS (SELECT p, sum(p) OVER w AS cp, sum(n) OVER w AS cn FROM g WINDOW w AS (ORDER BY s DESC))
        SELECT {r('sum(p * cp / cn) / sum(p)')} AS pr_auc FROM c""")
 def _(v):
-    u = units(v).select("trial", F.col("concept").cast("bigint").alias("label"), "v")
-    pairs = R.score_matrix(u, bank(v), ["trial", "label"]).withColumn("hit", (F.col("cand") == F.col("label")).cast("int"))
-    return R.pr_auc(pairs).withColumn("pr_auc", rnd("pr_auc"))
+    return R.pr_auc(units(v), bank(v)).withColumn("pr_auc", rnd("pr_auc"))
 
 
 SQL_CONF = """cf AS (SELECT k.trial % 4 AS grp, label AS y, pred AS yhat, 1 / sum(exp(12 * (s - best))) AS conf
