@@ -391,10 +391,20 @@ def test_filter_bank_keeps_a_band_that_ends_on_the_edge():
     assert len(filter_bank_bands(0.4, 1.0, 0.2)) == 3 and len(filter_bank_bands(4, 40, 4)) == 9 and len(filter_bank_bands(4, 39, 4)) == 8
 
 
-def test_name_buckets_are_even(spark):
-    names = spark.range(1, 10_001).selectExpr("format_string('sub-%05d', id) AS subject")
-    sizes = [r["count"] for r in names.groupBy(splits.name_bucket(names).alias("b")).count().collect()]
-    assert max(sizes) <= 500
+@pytest.mark.parametrize("odd", [None, "x", "sub-1"])
+def test_range_buckets_are_even_and_rise_whatever_the_names(spark, odd):
+    from trialframe.operators.ordinal import ordinal, range_bucket
+    names = spark.range(100_000).select(F.format_string("sub-%07d", F.col("id") * 17).alias("subject"))
+    if odd:
+        names = names.union(spark.createDataFrame([(odd,), ("",), ("y" * 1000,)], "subject string"))
+    bucket = range_bucket(names, "subject")
+    sizes = names.groupBy(bucket.alias("b")).agg(F.count("*").alias("n"), F.min("subject").alias("lo"), F.max("subject").alias("hi")).orderBy("lo").collect()
+    assert len(sizes) > 15 and max(r["n"] for r in sizes) < 0.1 * 100_000
+    assert [r["b"] for r in sizes] == sorted(r["b"] for r in sizes) and all(x["hi"] < y["lo"] for x, y in zip(sizes, sizes[1:]))
+    got = ordinal(names, [], ["subject"], bucket, "pos").toPandas().sort_values("subject")
+    assert got["pos"].tolist() == list(range(len(got)))
+    few = spark.createDataFrame([(None,), ("b",), ("a",)], "subject string")
+    assert ordinal(few, [], ["subject"], range_bucket(few, "subject"), "pos").orderBy("pos").toPandas()["subject"].tolist() == [None, "a", "b"]
 
 
 def test_single_precision_epochs_keep_their_type(spark):

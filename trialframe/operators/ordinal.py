@@ -18,6 +18,9 @@ from trialframe.functions.columns import col, hash_key
 
 HASH_BUCKET_CHARS = 3          # 16^3 = 4096 buckets per group
 
+#: Rows of a range bucket, buckets at most (beyond, buckets hold more rows), sampled values per bucket, characters of a splitter.
+RANGE_ROWS, RANGE_BUCKETS, RANGE_SAMPLE, SPLITTER_CHARS = 4096, 1024, 32, 256
+
 
 def ordinal(df: DataFrame, keys: list[str], order: list[str | Column], bucket: Column, name: str = "pos",
             size: str | None = None) -> DataFrame:
@@ -48,6 +51,29 @@ def hash_ordinal(df: DataFrame, keys: list[str], seed, by: list[str], name: str
     return ordinal(hashed, keys, ["_h"], F.substring("_h", 1, HASH_BUCKET_CHARS), name, size).drop("_h")
 
 
+def range_bucket(df: DataFrame, c: str) -> Column:
+    """Bucket that rises with ``c`` and holds a similar number of rows whatever the values look like.
+
+    The splitters are quantiles of the values with the smallest hashes, a sample whose size is bounded by the number of buckets; a
+    row's bucket is the number of splitters up to its value. Only the sizes of tasks depend on the sample.
+    """
+    wanted = min(RANGE_BUCKETS, df.count() // RANGE_ROWS)
+    if wanted < 2:
+        return F.lit(0)
+    value = F.substring(c, 1, SPLITTER_CHARS) if df.schema[c].dataType.simpleString() == "string" else F.col(c)
+    hashed = df.filter(F.col(c).isNotNull()).select(value.alias("v"), F.xxhash64(c).alias("h"))
+    sample = sorted(r["v"] for r in hashed.orderBy("h").limit(wanted * RANGE_SAMPLE).collect())
+    edges = sorted({sample[len(sample) * i // wanted] for i in range(1, wanted)}) if sample else []
+    # binary search, a comparison per level
+    def search(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(F.col(c) >= F.lit(edges[mid]), search(mid + 1, hi)).otherwise(search(lo, mid))
+
+    return F.when(F.col(c).isNotNull(), search(0, len(edges)))
+
+
 def time_bucket(ts: str | Column, seconds: int = 3600) -> Column:
     """Time cut in fixed steps, a bucket for streams ordered by timestamp. Counted on the wall clock of the column, so a
     session time zone with daylight saving cannot make it fall."""

@@ -6,23 +6,15 @@ Random choices are ranks of an md5 hash, so they do not depend on partitioning.
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trialframe.functions.columns import hash_key
-from trialframe.operators.ordinal import hash_ordinal, ordinal
+from trialframe.operators.ordinal import hash_ordinal, ordinal, range_bucket
 
 KEY = ["epoch"]
 
 
-def name_bucket(df: DataFrame, c: str = "subject", more: int = 3) -> Column:
-    """Leading characters up to ``more`` beyond what all names share: rises with the string order, so it can bucket a sort."""
-    low, high = df.agg(F.min(c), F.max(c)).head()
-    return F.substring(c, 1, len(os.path.commonprefix([low or "", high or ""])) + more)
-
-
 def held_out(test_subjects=(), test_sessions=()) -> Column:
     return (F.col("subject").isin([str(s) for s in test_subjects])
             | F.col("session").isin([str(s) for s in test_sessions]))
@@ -69,7 +61,7 @@ def subject_folds(df: DataFrame, k: int = 5, keys: list[str] | None = None, name
     """Fold of each distinct subject: position in descending subject order modulo k."""
     keys = keys or []
     subjects = df.select(*keys, "subject").distinct()
-    d = ordinal(subjects, keys, ["subject"], name_bucket(subjects), "_pos", "_n")
+    d = ordinal(subjects, keys, ["subject"], range_bucket(subjects, "subject"), "_pos", "_n")
     return d.select(*keys, "subject", ((F.col("_n") - 1 - F.col("_pos")) % k).cast("int").alias(name))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from trialframe.functions.columns import rnd
 from trialframe.operators import joins, labels, splits
-from trialframe.operators.ordinal import hash_ordinal, time_bucket
+from trialframe.operators.ordinal import hash_ordinal, range_bucket, time_bucket
 from trialframe.plans.registry import query, r
 from trialframe.plans.views import EVENT_TYPES
 
@@ -109,7 +109,7 @@ def _(v):
        FROM orders""")
 def _(v):
     o = v.table("orders").select("o_orderkey", F.col("o_custkey").cast("string").alias("c"))
-    return labels.dense_ids(o, "c", splits.name_bucket(o, "c")).select("o_orderkey", "dense_id")
+    return labels.dense_ids(o, "c", range_bucket(o, "c")).select("o_orderkey", "dense_id")
 
 
 # ---- joins -----------------------------------------------------------------------------------------------------
