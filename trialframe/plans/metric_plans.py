@@ -13,6 +13,7 @@ from trialframe.operators import fusion as FU
 from trialframe.operators import metrics as M
 from trialframe.operators.labels import restrict_classes
 from trialframe.plans.registry import query, r
+from trialframe.session import checkpointed
 
 
 def pred_a(v, *extra):
@@ -217,11 +218,11 @@ def _(v):
 
 # ---- temperature -----------------------------------------------------------------------------------------------
 
-def sql_temperature(by: str, logits: str, points: int = 32, rounds: int = 3) -> str:
+def sql_temperature(by: str, logits: str, points: int = 32, rounds: int = 3, src: str = "preds") -> str:
     """CTEs z, b0, f1, b1, … fitting the temperature per ``by``; the result is f<rounds>."""
     lo, hi = float(np.log(0.05)), float(np.log(20.0))
     nll = f"ln(list_sum(list_transform(z, lambda q: exp(q / t)))) - z[y + 1] / t"
-    out = [f"z AS (SELECT {by}, y, list_transform({logits}, lambda q: q - list_max({logits})) AS z FROM preds)",
+    out = [f"z AS (SELECT {by}, y, list_transform({logits}, lambda q: q - list_max({logits})) AS z FROM {src})",
            f"b0 AS (SELECT DISTINCT {by}, {lo!r}::DOUBLE AS lo, {hi!r}::DOUBLE AS hi FROM z)"]
     for i in range(1, rounds + 1):
         out.append(f"""e{i} AS (SELECT {by}, k, any_value(lo) AS lo, any_value(hi) AS hi, avg({nll}) AS m FROM (SELECT z.*, k, lo, hi,
@@ -255,24 +256,27 @@ def _(v):
 def sql_ece_rows(name: str, cond: str, t: str) -> str:
     p = sql_soft("za", t)
     src = (f"(SELECT fold, y, CAST(list_position(p, list_max(p)) - 1 AS INTEGER) AS yhat, list_max(p) AS conf FROM "
-           f"(SELECT fold, y, {p} AS p FROM preds WHERE {cond}))")
+           f"(SELECT fold, y, {p} AS p FROM fitted WHERE {cond}))")
     return f"{name} AS ({sql_ece(src, 'fold,')})"
 
 
-@query("calibration_transfer", f"""WITH {sql_temperature('fold', 'za', 32, 1)}, {sql_ece_rows('a', 'year < 1998', '1')},
-       {sql_ece_rows('b', 'year < 1998', '3')}, {sql_ece_rows('c', 'year >= 1998', '1')}, {sql_ece_rows('d', 'year >= 1998', '3')},
+@query("calibration_transfer", f"""WITH {sql_temperature('fold', 'za', src='(SELECT * FROM preds WHERE year < 1998)')},
+       fitted AS (SELECT preds.*, exp(tbest) AS t FROM preds JOIN f3 USING (fold)), {sql_ece_rows('a', 'year < 1998', '1')},
+       {sql_ece_rows('b', 'year < 1998', 't')}, {sql_ece_rows('c', 'year >= 1998', '1')}, {sql_ece_rows('d', 'year >= 1998', 't')},
        m AS (SELECT avg(exp(tbest)) AS temperature, avg(a.ece) AS va, avg(b.ece) AS vb, avg(c.ece) AS ta, avg(d.ece) AS tb,
-             count(*) AS n FROM f1 JOIN a USING (fold) JOIN b USING (fold) JOIN c USING (fold) JOIN d USING (fold)),
+             count(*) AS n FROM f3 JOIN a USING (fold) JOIN b USING (fold) JOIN c USING (fold) JOIN d USING (fold)),
        q AS (SELECT *, CASE WHEN va - vb > 1e-6 THEN round((ta - tb) / (va - vb), 3) END AS ratio FROM m)
        SELECT {r('temperature')} AS temperature, {r('va')} AS val_ece_uncal, {r('vb')} AS val_ece_temp, {r('ta')} AS test_ece_uncal,
        {r('tb')} AS test_ece_temp, n, ratio, CASE WHEN ratio IS NULL THEN 'already calibrated' WHEN ratio < 0.5 THEN 'limited'
        WHEN ratio < 1.2 THEN 'partial' ELSE 'transfers' END AS verdict FROM q""")
 def _(v):
-    rows = M.temperature_fit(v.preds, ["fold"], "za", rounds=1).select("fold", "temperature")
+    """The temperature is fitted on the validation years alone; the test years only show what is left of the gain."""
     val = F.col("year") < 1998
-    for name, cond, t in (("val_ece_uncal", val, 1.0), ("val_ece_temp", val, 3.0), ("test_ece_uncal", ~val, 1.0),
-                          ("test_ece_temp", ~val, 3.0)):
-        p = M.predict_label(v.preds.filter(cond).select("fold", "y", softmax("za", 1 / t).alias("probs")))
+    t = checkpointed(M.temperature_fit(v.preds.filter(val), ["fold"], "za").select("fold", "temperature"))
+    rows, both = t, v.preds.join(t, "fold")
+    for name, cond, scale in (("val_ece_uncal", val, 1.0), ("val_ece_temp", val, 1.0 / F.col("temperature")), ("test_ece_uncal", ~val, 1.0),
+                              ("test_ece_temp", ~val, 1.0 / F.col("temperature"))):
+        p = M.predict_label(both.filter(cond).select("fold", "y", softmax("za", scale).alias("probs")))
         e = M.ece(M.contingency(p, ["fold"]), ["fold"]).withColumnRenamed("ece", name)
         rows = rows.join(e, "fold")
     out = M.calibration_transfer(rows)

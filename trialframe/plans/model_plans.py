@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from trialframe.functions.columns import rnd
@@ -15,7 +17,7 @@ from trialframe.operators import sampling as S
 from trialframe.operators import splits
 from trialframe.operators.spatial import trial_covariance, upper_cells
 from trialframe.plans.registry import query, r
-from trialframe.plans.signal_plans import BANK, CELL, EPOCH, FULL_CELLS, full_cells, long_epochs
+from trialframe.plans.signal_plans import ALL_CELLS, BANK, CELL, EPOCH, FULL_CELLS, full_cells, long_epochs
 from trialframe.session import checkpointed, fresh_table_path
 from trialframe.sources import cloud, tables
 from trialframe.streaming import epochs as ST
@@ -25,13 +27,22 @@ FOLD5 = """fo AS (SELECT subject, CAST((row_number() OVER (ORDER BY subject DESC
 
 
 def model_epochs(v):
-    e = v.epochs.filter("n = 8").select(*EPOCH, F.col("label_id").alias("y"), "session", "x")
+    """Epochs of at least two samples: a single sample has no covariance."""
+    e = v.epochs.filter("n >= 2").select(*EPOCH, F.col("label_id").alias("y"), "session", "x")
     return e.join(splits.subject_folds(v.trials, 5), "subject")
 
 
-def two_channel_cov(v, *extra):
-    e = v.epochs.filter("n = 8").select(*EPOCH, *extra, F.slice("x", 1, 2).alias("x"))
-    return trial_covariance(e, [*EPOCH, *extra])
+PAIR = [*EPOCH, "pair"]
+
+
+def channel_pairs(v, *extra):
+    """Every epoch of at least two samples once per pair of channels, (0, 1) and (2, 3)."""
+    pair = F.posexplode(F.array(F.slice("x", 1, 2), F.slice("x", 3, 2))).alias("pair", "x")
+    return v.epochs.filter("n >= 2").select(*EPOCH, *extra, pair)
+
+
+def pair_cov(v, *extra):
+    return trial_covariance(channel_pairs(v, *extra), [*PAIR, *extra])
 
 
 def cov4(v, estimator="oas"):
@@ -39,9 +50,9 @@ def cov4(v, estimator="oas"):
 
 
 # closed forms for 2 × 2 matrices: f(C) = a·I + b·C from the two eigenvalues
-SQL_C2 = """c2 AS (SELECT subject, blk, any_value(session) AS session, sum(x0 * x0) / 8 AS p, sum(x0 * x1) / 8 AS q, sum(x1 * x1) / 8 AS r
-       FROM (SELECT subject, blk, session, unnest(x[1]) AS x0, unnest(x[2]) AS x1 FROM epochs WHERE n = 8) GROUP BY subject, blk),
-       e2 AS (SELECT *, (p + r) / 2 + sqrt(power((p - r) / 2, 2) + q * q) AS l1, (p + r) / 2 - sqrt(power((p - r) / 2, 2) + q * q) AS l2
+SQL_C2 = """c2 AS (SELECT subject, blk, pair, any_value(session) AS session, sum(x0 * x0) / any_value(n) AS p, sum(x0 * x1) / any_value(n) AS q, sum(x1 * x1) / any_value(n) AS r
+       FROM (SELECT subject, blk, session, n, CAST(k AS INTEGER) AS pair, unnest(x[2 * k + 1]) AS x0, unnest(x[2 * k + 2]) AS x1 FROM epochs, range(0, 2) q(k) WHERE n >= 2) GROUP BY subject, blk, pair),
+       e2 AS (SELECT *, greatest((p + r) / 2 + sqrt(power((p - r) / 2, 2) + q * q), 1e-12) AS l1, greatest((p * r - q * q) / ((p + r) / 2 + sqrt(power((p - r) / 2, 2) + q * q)), 1e-12) AS l2
               FROM c2)"""
 
 
@@ -53,24 +64,24 @@ def sql_fn2(f: str) -> str:
 
 
 @query("tangent_features", f"""WITH {SQL_C2}, g AS (SELECT *, {sql_fn2('ln(#)')} FROM e2)
-       SELECT subject, blk, {r('a + b * p', 5)} AS f0, {r('sqrt(2) * b * q', 5)} AS f1, {r('a + b * r', 5)} AS f2 FROM g""")
+       SELECT subject, blk, pair, {r('a + b * p', 4)} AS f0, {r('sqrt(2) * b * q', 4)} AS f1, {r('a + b * r', 4)} AS f2 FROM g""")
 def _(v):
-    t = A.tangent_features(two_channel_cov(v), 2)
-    return t.select(*EPOCH, *[rnd(F.col("f")[i], 5).alias(f"f{i}") for i in range(3)])
+    t = A.tangent_features(pair_cov(v), 2)
+    return t.select(*PAIR, *[rnd(F.col("f")[i], 4).alias(f"f{i}") for i in range(3)])
 
 
-@query("scale_dispersion", f"""WITH {SQL_C2}, w AS (SELECT *, sqrt(1 / avg(power(ln(l1), 2) + power(ln(l2), 2)) OVER (PARTITION BY session)) AS pw
+@query("scale_dispersion", f"""WITH {SQL_C2}, w AS (SELECT *, sqrt(1 / avg(power(ln(l1), 2) + power(ln(l2), 2)) OVER (PARTITION BY session, pair)) AS pw
        FROM e2), g AS (SELECT *, {sql_fn2('power(#, pw)')} FROM w)
-       SELECT subject, blk, {r('a + b * p', 5)} AS c0, {r('b * q', 5)} AS c1, {r('a + b * r', 5)} AS c2 FROM g""")
+       SELECT subject, blk, pair, {r('a + b * p', 4)} AS c0, {r('b * q', 4)} AS c1, {r('a + b * r', 4)} AS c2 FROM g""")
 def _(v):
-    c = A.scale_dispersion(two_channel_cov(v, "session"), ["session"], 2)
-    return c.select(*EPOCH, *[rnd(F.col("cov")[i], 5).alias(f"c{j}") for j, i in enumerate((0, 1, 3))])
+    c = A.scale_dispersion(pair_cov(v, "session"), ["session", "pair"], 2)
+    return c.select(*PAIR, *[rnd(F.col("cov")[i], 4).alias(f"c{j}") for j, i in enumerate((0, 1, 3))])
 
 
 @query("riemannian_mean")
 def _(v):
-    m = A.riemannian_mean(two_channel_cov(v, "session"), ["session"], 2)
-    return m.select("session", *[rnd(F.col("mean")[i]).alias(f"m{i}") for i in range(4)])
+    m = A.riemannian_mean(cov4(v), ["session"], 4)
+    return upper_cells(m.select("session", F.col("mean").alias("cov")), ["session"], 4).withColumn("c", rnd("c"))
 
 
 @query("recenter_covariances")
@@ -81,7 +92,7 @@ def _(v):
 
 @query("recenter_signals")
 def _(v):
-    e = v.epochs.filter("n = 8").select(*EPOCH, "x")
+    e = v.epochs.select(*EPOCH, "x")
     out = A.recenter_signals(e, ["subject"], ["blk"], F.floor(F.col("blk") / 64), 4, shrinkage=0.1)
     return long_epochs(out, EPOCH)
 
@@ -130,7 +141,9 @@ def _(v):
 def _(v):
     c = A.scale_dispersion(A.recenter_covariances(cov4(v), ["session"], 4), ["session"], 4)
     c = checkpointed(c)
-    out = A.rotate_alignment(c.filter("session <> 's2'"), c.filter("session = 's2' AND blk % 2 = 0"), c.filter("session = 's2'"), "y", 4)
+    calib = F.col("blk") % 2 == 0  # the rows that fit the rotation are no target
+    target = c.filter("session = 's2'")
+    out = A.rotate_alignment(c.filter("session <> 's2'"), target.filter(calib), target.filter(~calib), "y", 4)
     return upper_cells(out.select(*EPOCH, "cov"), EPOCH, 4).withColumn("c", rnd("c"))
 
 
@@ -230,10 +243,16 @@ TASK = ME.Task(n_ch=4, n_samples=8, fs=4.0, n_classes=5, csp_filters=3, fb_bands
                bands=(("slow", 0.5, 1.0), ("fast", 1.0, 1.9)), task_dur=1.0)
 
 
+def method_epochs(v, name: str):
+    """The regression of whole epochs on a response needs equal lengths; every other method takes epochs of any length."""
+    e = model_epochs(v).select(*EPOCH, "y", "fold", "x")
+    return e.filter(F.size(F.col("x")[0]) == TASK.n_samples) if name == "fnirs_glm" else e
+
+
 def _method(name: str):
     @query(f"method_{name}")
     def _(v):
-        e = model_epochs(v).select(*EPOCH, "y", "fold", "x")
+        e = method_epochs(v, name)
         return probs_out(ME.get_method(name)(e, TASK), [*EPOCH, "fold"])
 
 
@@ -243,8 +262,8 @@ for _name in ME.METHODS:
 
 @query("run_matrix")
 def _(v):
-    e = model_epochs(v).select(*EPOCH, "y", "fold", "x")
-    rep = ME.matrix_report(ME.run_matrix(e, TASK, list(ME.METHODS)))
+    runs = [ME.run_matrix(method_epochs(v, name), TASK, [name]) for name in ME.METHODS]
+    rep = ME.matrix_report(reduce(lambda a, b: a.unionByName(b), runs))
     return rep.select("run", *[rnd(c).alias(c) for c in ("acc", "kappa", "ece")], "n")
 
 
@@ -371,31 +390,31 @@ def sql_normal(tag: str) -> str:
 SQL_WAVE = " + ".join(f"sin(2 * pi() * {hz} / 4 * i + 2 * pi() * ph{j})" for j, hz in enumerate(S.SYSTEMIC_HZ))
 
 
-@query("domain_randomize", f"""WITH {FULL_CELLS}, tr AS (SELECT fc.subject, fc.blk, ch, CAST(i AS INTEGER) AS i, x, session FROM fc
+@query("domain_randomize", f"""WITH {ALL_CELLS}, tr AS (SELECT ac.subject, ac.blk, n, ch, CAST(i AS INTEGER) AS i, v AS x, session FROM ac
        JOIN (SELECT subject, blk, session FROM epochs) e USING (subject, blk)),
        c AS (SELECT *, CAST(copy AS INTEGER) AS copy FROM tr, (VALUES (1), (2)) q(copy) WHERE session <> 's2'),
        g AS (SELECT *, exp(0.2 * {sql_normal('gain')}) AS g, {sql_normal('drift')} AS dr, {sql_hash('phase0')} AS ph0, {sql_hash('phase1')} AS ph1,
              {sql_hash('phase2')} AS ph2, CAST(floor({sql_hash('shift', False)} * 9) AS BIGINT) - 4 AS sh FROM c),
-       m AS (SELECT subject, blk, copy, ch, CAST((i + sh + 8) % 8 AS INTEGER) AS i, x * g + 0.3 / 3 * ({SQL_WAVE} + dr * i / 7) AS v FROM g)
+       m AS (SELECT subject, blk, copy, ch, CAST((i + sh + 8 * n) % n AS INTEGER) AS i, x * g + 0.3 / 3 * ({SQL_WAVE} + dr * i / greatest(n - 1, 1)) AS v FROM g)
        SELECT subject, blk, copy, ch, i, {r('v')} AS v FROM m UNION ALL SELECT subject, blk, 0, ch, i, {r('x')} FROM tr""")
 def _(v):
-    e = v.epochs.filter("n = 8").select(*EPOCH, F.when(F.col("session") == "s2", "test").otherwise("train").alias("part"), "x")
+    e = v.epochs.select(*EPOCH, F.when(F.col("session") == "s2", "test").otherwise("train").alias("part"), "x")
     return long_epochs(S.domain_randomize(e, EPOCH, 4.0, 2, 5), [*EPOCH, "copy"])
 
 
 # ---- coupling --------------------------------------------------------------------------------------------------
 
 def drive_resp(v):
-    return v.epochs.filter("n = 8").select(*EPOCH, F.col("x")[0].alias("drive"), F.col("x")[2].alias("resp"))
+    return v.epochs.filter("n >= 2").select(*EPOCH, F.col("x")[0].alias("drive"), F.col("x")[2].alias("resp"))
 
 
-@query("shift_scan", f"""WITH {FULL_CELLS}, d AS (SELECT subject, blk, i, x AS d FROM fc WHERE ch = 0), q AS (SELECT subject, blk, i, x AS q FROM fc WHERE ch = 2),
-       l AS (SELECT q.subject, q.blk, lag_s, d, q FROM q CROSS JOIN range(0, 4) t(lag_s) JOIN d ON d.subject = q.subject AND d.blk = q.blk
+@query("shift_scan", f"""WITH {ALL_CELLS}, d AS (SELECT subject, blk, i, v AS d FROM ac WHERE ch = 0 AND n >= 2), q AS (SELECT subject, blk, i, v AS q FROM ac WHERE ch = 2 AND n >= 2),
+       l AS (SELECT q.subject, q.blk, lag_s, d, q FROM q CROSS JOIN range(0, 12) t(lag_s) JOIN d ON d.subject = q.subject AND d.blk = q.blk
              AND d.i = greatest(q.i - lag_s * 2, 0)),
        c AS (SELECT subject, blk, lag_s, (avg(d * q) - avg(d) * avg(q)) / ((stddev_pop(d) + 1e-9) * (stddev_pop(q) + 1e-9)) AS r FROM l GROUP BY ALL)
        SELECT CAST(lag_s AS INTEGER) AS lag_s, {r('avg(r)', 5)} AS r FROM c GROUP BY lag_s""")
 def _(v):
-    return K.shift_scan(drive_resp(v), 2.0, range(4)).withColumn("r", rnd("r", 5))
+    return K.shift_scan(drive_resp(v), 2.0).withColumn("r", rnd("r", 5))
 
 
 @query("estimate_coupling")
@@ -412,19 +431,19 @@ def _(v):
 
 @query("channel_series")
 def _(v):
-    e = v.epochs.filter("n = 8").select(*EPOCH, F.slice("x", 1, 2).alias("xe"), "x").withColumnRenamed("x", "xf")
+    e = v.epochs.filter("n >= 2").select(*EPOCH, F.slice("x", 1, 2).alias("xe"), "x").withColumnRenamed("x", "xf")
     s = K.channel_series(e, 4.0, 4.0, -0.5, 4.0, 2.0, 0.25, {"slow": (0.3, 0.9), "fast": (0.9, 1.8)})
-    out = s.select(*EPOCH, F.posexplode("neural").alias("ch", "s"), F.col("env_slow"))
-    out = out.select(*EPOCH, "ch", F.posexplode(F.arrays_zip("s", F.col("env_slow")[F.col("ch")].alias("e"))).alias("i", "z"))
-    return out.select(*EPOCH, "ch", "i", rnd("z.s").alias("neural"), rnd("z.e").alias("env"))
+    bands = ("env_slow", "env_fast")
+    out = s.select(*EPOCH, F.posexplode("neural").alias("ch", "s"), *bands)
+    out = out.select(*EPOCH, "ch", F.posexplode(F.arrays_zip("s", *[F.col(b)[F.col("ch")].alias(b) for b in bands])).alias("i", "z"))
+    return out.select(*EPOCH, "ch", "i", rnd("z.s").alias("neural"), *[rnd(f"z.{b}").alias(b) for b in bands])
 
 
-@query("sign_aligned_product", f"""WITH {FULL_CELLS}, e AS (SELECT *, x - avg(x) OVER (PARTITION BY subject, blk, ch) AS m FROM fc)
-       SELECT a.subject, a.blk, a.ch, CAST(a.i AS INTEGER) AS i, {r('-1 * a.m * b.x * CASE a.ch WHEN 0 THEN 0.75 ELSE 0.5 END')} AS v
+@query("sign_aligned_product", f"""WITH {ALL_CELLS}, e AS (SELECT *, v - avg(v) OVER (PARTITION BY subject, blk, ch) AS m FROM ac)
+       SELECT a.subject, a.blk, a.ch, CAST(a.i AS INTEGER) AS i, {r('-1 * a.m * b.v * CASE a.ch WHEN 0 THEN 0.75 ELSE 0.5 END')} AS v
        FROM e a JOIN e b ON a.subject = b.subject AND a.blk = b.blk AND a.i = b.i AND b.ch = a.ch + 2""")
 def _(v):
-    e = v.epochs.filter("n = 8").select(*EPOCH, F.slice("x", 1, 2).alias("env"), F.slice("x", 3, 2).alias("neural"),
-                                        F.array(F.lit(0.75), F.lit(0.5)).alias("cov"))
+    e = v.epochs.select(*EPOCH, F.slice("x", 1, 2).alias("env"), F.slice("x", 3, 2).alias("neural"), F.array(F.lit(0.75), F.lit(0.5)).alias("cov"))
     out = K.sign_aligned_product(e, "env", "neural", "cov", -1.0, "x")
     return long_epochs(out.select(*EPOCH, "x"), EPOCH)
 

@@ -13,7 +13,7 @@ EPOCH = ["subject", "blk"]
 
 
 def stream(v):
-    return v.samples.select(F.col("subject").alias("rec"), "t", F.array("c0", "c1").alias("c"))
+    return v.samples.select(F.col("subject").alias("rec"), "t", F.array("c0", "c1", "c2", "c3").alias("c"))
 
 
 def onsets(v, onset="t"):
@@ -36,8 +36,8 @@ def full_cells(v):
 SQL_EPOCH_LONG = """SELECT e.event, e.label, s.ch, CAST(s.t - e.lo AS INTEGER) AS i, s.v - avg(s.v) FILTER
        (s.t - e.lo < {nb}) OVER (PARTITION BY e.event, s.ch) AS v,
        count(*) OVER (PARTITION BY e.event, s.ch) AS n
-       FROM ev e JOIN (SELECT subject, t, 0 AS ch, c0 AS v FROM samples UNION ALL
-                       SELECT subject, t, 1, c1 FROM samples) s
+       FROM ev e JOIN (SELECT subject, t, 0 AS ch, c0 AS v FROM samples UNION ALL SELECT subject, t, 1, c1 FROM samples UNION ALL
+                       SELECT subject, t, 2, c2 FROM samples UNION ALL SELECT subject, t, 3, c3 FROM samples) s
        ON s.subject = e.subject AND s.t >= e.lo AND s.t < e.lo + {n}"""
 
 
@@ -83,56 +83,52 @@ def _(v):
     return E.resample_linear(s, 21600.0, 124).withColumn("v", rnd("v"))
 
 
-# ---- spectral kernels: on eight-sample blocks the linear operator is a small explicit matrix ---------------------
+# ---- spectral kernels: on blocks of up to eight samples the linear operator is a small explicit matrix per length ----
 
-FULL = """full8 AS (SELECT subject, blk, u.ch, u.i, u.v FROM epochs, LATERAL (
-          SELECT 0 AS ch, unnest(range(8)) AS i, unnest(x[1]) AS v UNION ALL
-          SELECT 1, unnest(range(8)), unnest(x[2])) u WHERE n = 8)"""
-GAIN = """bins AS (SELECT k, least(k, 8 - k) * 4.0 / 8 AS f FROM range(0, 8) t(k)),
-          warp AS (SELECT k, f, tan(pi() * least(f, 0.4999999 * 4) / 4) AS w, tan(pi() * 0.3 / 4) AS a,
+ALL_CELLS = """ac AS (SELECT subject, blk, n, CAST(c.ch AS INTEGER) AS ch, unnest(range(0, n)) AS i, unnest(x[c.ch + 1]) AS v FROM epochs, range(0, 4) c(ch))"""
+GAIN = """bins AS (SELECT n, k, least(k, n - k) * 4.0 / n AS f FROM range(1, 9) l(n), range(0, 8) t(k) WHERE k < n),
+          warp AS (SELECT n, k, f, tan(pi() * least(f, 0.4999999 * 4) / 4) AS w, tan(pi() * 0.3 / 4) AS a,
                    tan(pi() * 1.2 / 4) AS b FROM bins),
-          gain AS (SELECT k, CASE WHEN f = 0 THEN 0 ELSE 1 / (1 + power((w * w - a * b) / (w * (b - a)), 8)) END AS g
+          gain AS (SELECT n, k, CASE WHEN f = 0 THEN 0 ELSE 1 / (1 + power((w * w - a * b) / (w * (b - a)), 8)) END AS g
                    FROM warp)"""
 
 
-def two_channels(v):
-    return v.epochs.filter("n = 8").select(*EPOCH, F.slice("x", 1, 2).alias("x"))
-
-
-@query("bandpass_epochs", f"""WITH {FULL}, {GAIN},
-       kern AS (SELECT m, i, sum(g * cos(2 * pi() * k * (m - i) / 8)) / 8 AS w FROM gain, range(0, 8) a(m), range(0, 8) b(i)
-                GROUP BY m, i)
-       SELECT subject, blk, ch, CAST(m AS INTEGER) AS i, {r('sum(v * w)')} AS v FROM full8 JOIN kern USING (i)
+@query("bandpass_epochs", f"""WITH {ALL_CELLS}, {GAIN},
+       kern AS (SELECT n, m, i, sum(g * cos(2 * pi() * k * (m - i) / n)) / n AS w FROM gain, range(0, 8) a(m), range(0, 8) b(i)
+                WHERE m < n AND i < n GROUP BY n, m, i)
+       SELECT subject, blk, ch, CAST(m AS INTEGER) AS i, {r('sum(v * w)')} AS v FROM ac JOIN kern USING (n, i)
        GROUP BY subject, blk, ch, m""")
 def _(v):
-    return long_epochs(E.bandpass_epochs(two_channels(v), 0.3, 1.2, 4.0), EPOCH)
+    return long_epochs(E.bandpass_epochs(v.epochs.select(*EPOCH, "x"), 0.3, 1.2, 4.0), EPOCH)
 
 
-@query("band_envelope", f"""WITH {FULL}, {GAIN},
-       kern AS (SELECT m, i, sum(h * cos(2 * pi() * k * (m - i) / 8)) / 8 AS re,
-                sum(h * sin(2 * pi() * k * (m - i) / 8)) / 8 AS im
-                FROM (SELECT k, g * CASE WHEN k BETWEEN 1 AND 3 THEN 2 WHEN k IN (0, 4) THEN 1 ELSE 0 END AS h FROM gain),
-                range(0, 8) a(m), range(0, 8) b(i) GROUP BY m, i)
+@query("band_envelope", f"""WITH {ALL_CELLS}, {GAIN},
+       kern AS (SELECT n, m, i, sum(h * cos(2 * pi() * k * (m - i) / n)) / n AS re,
+                sum(h * sin(2 * pi() * k * (m - i) / n)) / n AS im
+                FROM (SELECT n, k, g * CASE WHEN k BETWEEN 1 AND (n - 1) // 2 THEN 2 WHEN k = 0 OR 2 * k = n THEN 1 ELSE 0 END AS h FROM gain),
+                range(0, 8) a(m), range(0, 8) b(i) WHERE m < n AND i < n GROUP BY n, m, i)
        SELECT subject, blk, ch, CAST(m AS INTEGER) AS i, {r('sqrt(power(sum(v * re), 2) + power(sum(v * im), 2))')} AS v
-       FROM full8 JOIN kern USING (i) GROUP BY subject, blk, ch, m""")
+       FROM ac JOIN kern USING (n, i) GROUP BY subject, blk, ch, m""")
 def _(v):
-    return long_epochs(E.band_envelope(two_channels(v), 0.3, 1.2, 4.0), EPOCH)
+    return long_epochs(E.band_envelope(v.epochs.select(*EPOCH, "x"), 0.3, 1.2, 4.0), EPOCH)
 
 
-@query("resample_fft", f"""WITH {FULL},
-       kern AS (SELECT m, i, sum(CASE WHEN k = 0 THEN 1 WHEN k = 2.5 THEN 1 ELSE 2 END
-                * cos(2 * pi() * k * (m / 5.0 - i / 8.0))) / 8 AS w FROM range(0, 3) t(k), range(0, 5) a(m), range(0, 8) b(i)
-                GROUP BY m, i)
-       SELECT subject, blk, ch, CAST(m AS INTEGER) AS i, {r('sum(v * w)')} AS v FROM full8 JOIN kern USING (i)
+@query("resample_fft", f"""WITH {ALL_CELLS},
+       kern AS (SELECT n, m, i, sum(CASE WHEN k = 0 OR (n < 5 AND 2 * k = n) THEN 1 ELSE 2 END
+                * cos(2 * pi() * k * (m / 5.0 - i / n::DOUBLE))) / n AS w FROM range(1, 9) l(n), range(0, 3) t(k), range(0, 5) a(m), range(0, 8) b(i)
+                WHERE i < n AND k <= least(n, 5) // 2 GROUP BY n, m, i)
+       SELECT subject, blk, ch, CAST(m AS INTEGER) AS i, {r('sum(v * w)')} AS v FROM ac JOIN kern USING (n, i)
        GROUP BY subject, blk, ch, m""")
 def _(v):
-    return long_epochs(E.resample_fft(two_channels(v), 5), EPOCH)
+    return long_epochs(E.resample_fft(v.epochs.select(*EPOCH, "x"), 5), EPOCH)
 
 
 @query("bandpass_stream")
 def _(v):
-    s = v.samples.select(F.col("subject").alias("rec"), "t", "c0")
-    return E.bandpass_stream(s, "c0", 0.3, 1.2, 4.0, chunk=32, halo=16).withColumn("y", rnd("y"))
+    """All four channels of every recording; a channel is a stream of its own."""
+    ch = F.posexplode(F.array("c0", "c1", "c2", "c3")).alias("ch", "c")
+    s = v.samples.select("subject", "t", ch).select(F.concat_ws("/", "subject", "ch").alias("rec"), "t", "c")
+    return E.bandpass_stream(s, "c", 0.3, 1.2, 4.0, chunk=32, halo=16).withColumn("y", rnd("y"))
 
 
 # ---- windows, crops, embeddings --------------------------------------------------------------------------------
@@ -149,13 +145,14 @@ def _(v):
                     rnd(total).alias("total"), rnd(mean2).alias("mean2"))
 
 
-@query("crops", f"""WITH e AS (SELECT subject, blk, x, unnest([0, 1, 2]) AS crop FROM epochs WHERE n = 8),
-       s AS (SELECT *, CAST(round_even(crop * 3 / 2.0, 0) AS INTEGER) AS start FROM e)
-       SELECT subject, blk, crop, start, {r('list_sum(x[1][start + 1:start + 5])')} AS total FROM s""")
+@query("crops", f"""WITH e AS (SELECT subject, blk, x, n, unnest([0, 1, 2]) AS crop FROM epochs WHERE n >= 5),
+       s AS (SELECT *, CAST(round_even(crop * (n - 5) / 2.0, 0) AS INTEGER) AS start FROM e)
+       SELECT subject, blk, crop, start, CAST(ch AS INTEGER) AS ch, {r('list_sum(x[ch + 1][start + 1:start + 5])')} AS total FROM s, range(0, 4) c(ch)""")
 def _(v):
-    c = E.crops(v.epochs.filter("n = 8").select(*EPOCH, "x"), 5, 3)
-    return c.select(*EPOCH, "crop", "start",
-                    rnd(F.aggregate(F.col("x")[0], F.lit(0.0), lambda s, a: s + a)).alias("total"))
+    """Epochs of at least the crop's five samples; shorter ones have no crop."""
+    c = E.crops(v.epochs.filter("n >= 5").select(*EPOCH, "x"), 5, 3)
+    c = c.select(*EPOCH, "crop", "start", F.posexplode("x").alias("ch", "s"))
+    return c.select(*EPOCH, "crop", "start", "ch", rnd(F.aggregate("s", F.lit(0.0), lambda s, a: s + a)).alias("total"))
 
 
 @query("crop_average", f"""WITH u AS (SELECT subject, unnest([0, 1, 2]) AS cls, unnest(pa) AS p FROM preds)
@@ -172,18 +169,16 @@ def _(v):
     return long_epochs(E.time_delay_embed(v.epochs.filter("n >= 5"), 3, 2), EPOCH)
 
 
-@query("roll", f"""WITH u AS (SELECT subject, blk, n, x, unnest(range(0, n)) AS i FROM epochs)
-       SELECT subject, blk, CAST(i AS INTEGER) AS i, {r('x[1][(i - 3 + 8 * n) % n + 1]')} AS v FROM u""")
+@query("roll", f"""WITH {ALL_CELLS} SELECT a.subject, a.blk, a.ch, CAST(a.i AS INTEGER) AS i, {r('b.v')} AS v FROM ac a JOIN ac b
+       ON b.subject = a.subject AND b.blk = a.blk AND b.ch = a.ch AND b.i = (a.i - 3 + 8 * a.n) % a.n""")
 def _(v):
-    e = v.epochs.select(*EPOCH, F.posexplode(E.roll(F.col("x")[0], 3)).alias("i", "v"))
-    return e.withColumn("v", rnd("v"))
+    return long_epochs(v.epochs.select(*EPOCH, F.transform("x", lambda s: E.roll(s, 3)).alias("x")), EPOCH)
 
 
-@query("shift_fill", f"""WITH u AS (SELECT subject, blk, n, x, unnest(range(0, n)) AS i FROM epochs)
-       SELECT subject, blk, CAST(i AS INTEGER) AS i, {r('x[1][greatest(i - 3, 0) + 1]')} AS v FROM u""")
+@query("shift_fill", f"""WITH {ALL_CELLS} SELECT a.subject, a.blk, a.ch, CAST(a.i AS INTEGER) AS i, {r('b.v')} AS v FROM ac a JOIN ac b
+       ON b.subject = a.subject AND b.blk = a.blk AND b.ch = a.ch AND b.i = greatest(a.i - 3, 0)""")
 def _(v):
-    e = v.epochs.select(*EPOCH, F.posexplode(E.shift_fill(F.col("x")[0], 3)).alias("i", "v"))
-    return e.withColumn("v", rnd("v"))
+    return long_epochs(v.epochs.select(*EPOCH, F.transform("x", lambda s: E.shift_fill(s, 3)).alias("x")), EPOCH)
 
 
 FULL_CELLS = """fc AS (SELECT label, subject, blk, u.ch, u.i, u.x FROM epochs, LATERAL (
