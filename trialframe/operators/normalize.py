@@ -79,26 +79,41 @@ def compose_normalization(df: DataFrame, links: list[Link]) -> DataFrame:
 
 # ---- exponential moving standardization -----------------------------------------------------------------------
 
-def _ewm_starts(ends: DataFrame, q: float, chunk: int) -> DataFrame:
-    """Carry into every chunk: fold of the chunk end sums in order. A recording contributes one number per chunk, so its
-    whole list is a short array."""
-    lists = ends.groupBy("rec").agg(F.sort_array(F.collect_list(F.struct("chunk", "s_end"))).alias("e"))
-    lists = lists.select("rec", F.col("e.chunk").alias("chunk"), F.col("e.s_end").alias("s_end"))
+def _ewm_weights(t: np.ndarray, q: float) -> np.ndarray:
+    return (1.0 - q ** (t + 1.0)) / (1.0 - q)
 
-    def fold(batches):
-        for pdf in batches:
-            starts = []
-            for row in pdf["s_end"]:
-                carry, out = 0.0, []
-                for end in row:
-                    out.append(carry)
-                    carry = end + carry * q**chunk
-                starts.append(out)
-            yield pdf[["rec", "chunk"]].assign(s0=starts)
 
-    rec_type = ends.schema["rec"].dataType.simpleString()
-    out = lists.mapInPandas(fold, f"rec {rec_type}, chunk array<bigint>, s0 array<double>")
-    return out.select("rec", F.explode(F.arrays_zip("chunk", "s0")).alias("z")).select("rec", "z.chunk", "z.s0")
+def _chunk_summary(v: np.ndarray, t0: int, q: float, init: int) -> tuple:
+    """(length, sum, a, b, c, n, mean, m2) of a chunk that starts without a carry.
+
+    With a carry s at its start the deviations are (v − L/w) − s·qᵏ⁺¹/w, so the weighted sum of their squares at its end is a − 2bs + cs².
+    n, mean and m2 (squared deviations) are those of the samples before ``init``.
+    """
+    t = t0 + np.arange(len(v))
+    local, w = kernels.ewm_sums(v, q), _ewm_weights(t, q)
+    fixed, moved = v - local / w, q ** (np.arange(len(v)) + 1.0) / w
+    down = q ** np.arange(len(v) - 1, -1, -1.0)
+    head = v[t < init]
+    mean = head.mean() if len(head) else 0.0
+    return (len(v), local[-1], (down * fixed * fixed).sum(), (down * fixed * moved).sum(), (down * moved * moved).sum(), len(head), mean, ((head - mean) ** 2).sum())
+
+
+def _carries(rows: list, q: float) -> tuple[list, list, float, float]:
+    """Carries (s, q) at the start of every chunk of a recording, and mean and deviation of its first samples."""
+    s = sq = m2 = mean = 0.0
+    n, firsts, seconds = 0, [], []
+    for r in rows:
+        firsts.append(s)
+        seconds.append(sq)
+        down = q ** r["len"]
+        sq = r["a"] - 2 * r["b"] * s + r["c"] * s * s + down * sq
+        s = r["sum"] + down * s
+        if r["n"]:
+            gap, total = r["mean"] - mean, n + r["n"]
+            m2 += r["m2"] + gap * gap * n * r["n"] / total
+            mean += gap * r["n"] / total
+            n = total
+    return firsts, seconds, mean, float(np.sqrt(m2 / n)) if n else 0.0
 
 
 def ewm_standardize(samples: DataFrame, value: str, factor: float = 1e-3, init: int = 1000, eps: float = 1e-4,
@@ -106,39 +121,29 @@ def ewm_standardize(samples: DataFrame, value: str, factor: float = 1e-3, init:
     """Exponential moving mean and variance over each recording ``(rec, t, value)``; the first ``init`` samples are
     standardized by their own mean and deviation.
 
-    The weighted sum is a linear recurrence, so a chunk only needs the carry at its start: chunks are scanned in
-    parallel, their end sums are folded (one number per chunk), and the carries are joined back.
+    Both weighted sums are linear recurrences, the second one quadratic in the first one's carry. So chunks are summed up in one scan,
+    a few numbers per chunk are folded into both carries of every chunk, and one join brings these back to the samples.
     """
     q = 1.0 - factor
     pieces = stream_chunks(samples, value, chunk)
-    ends_schema = f"rec {samples.schema['rec'].dataType.simpleString()}, chunk bigint, s_end double"
-
-    def weights(t):
-        return (1.0 - q ** (t + 1.0)) / (1.0 - q)
-
-    def mean_of(v, t, s0):
-        return kernels.ewm_sums(v, q, s0) / weights(t)
-
-    def ends(column):
-        def run(batches):
-            for pdf in batches:
-                rows = []
-                for rec, c, t0, v, *s0 in zip(*[pdf[k] for k in column]):
-                    v = np.asarray(v, dtype=float)
-                    if s0:
-                        t = t0 + np.arange(len(v))
-                        v = (v - mean_of(v, t, s0[0])) ** 2
-                    rows.append((rec, c, kernels.ewm_sums(v, q)[-1]))
-                yield pd.DataFrame(rows, columns=["rec", "chunk", "s_end"])
-        return run
-
-    first = _ewm_starts(pieces.mapInPandas(ends(["rec", "chunk", "t0", "v"]), ends_schema),
-                        q, chunk)
-    with_mean = pieces.join(first, ["rec", "chunk"])
-    second = _ewm_starts(with_mean.mapInPandas(ends(["rec", "chunk", "t0", "v", "s0"]),
-                                               ends_schema), q, chunk)
-    head = samples.filter(F.col("t") < init).groupBy("rec").agg(F.avg(value).alias("hm"), F.stddev_pop(value).alias("hs"))
-    ready = with_mean.join(second.withColumnRenamed("s0", "q0"), ["rec", "chunk"]).join(head, "rec")
+    rec = samples.schema["rec"].dataType.simpleString()
+    names = ["len", "sum", "a", "b", "c", "n", "mean", "m2"]
+
+    def summaries(batches):
+        for pdf in batches:
+            rows = [(rec, c, *_chunk_summary(np.asarray(v, dtype=float), t0, q, init)) for rec, c, t0, v in zip(*[pdf[k] for k in ("rec", "chunk", "t0", "v")])]
+            yield pd.DataFrame(rows, columns=["rec", "chunk", *names])
+
+    def fold(batches):
+        for pdf in batches:
+            found = [_carries(rows, q) for rows in pdf["rows"]]
+            yield pd.DataFrame({"rec": pdf["rec"], "chunk": [[r["chunk"] for r in rows] for rows in pdf["rows"]], "s0": [f[0] for f in found],
+                                "q0": [f[1] for f in found], "hm": [f[2] for f in found], "hs": [f[3] for f in found]})
+
+    fields = f"rec {rec}, chunk bigint, len bigint, sum double, a double, b double, c double, n bigint, mean double, m2 double"
+    listed = pieces.mapInPandas(summaries, fields).groupBy("rec").agg(F.sort_array(F.collect_list(F.struct("chunk", *names))).alias("rows"))
+    carries = listed.mapInPandas(fold, f"rec {rec}, chunk array<bigint>, s0 array<double>, q0 array<double>, hm double, hs double")
+    carries = carries.select("rec", "hm", "hs", F.explode(F.arrays_zip("chunk", "s0", "q0")).alias("x")).select("rec", "x.*", "hm", "hs")
 
     def apply(batches):
         for pdf in batches:
@@ -148,11 +153,11 @@ def ewm_standardize(samples: DataFrame, value: str, factor: float = 1e-3, init:
             for t0, v, s0, q0, hm, hs in zip(*[pdf[k] for k in ("t0", "v", "s0", "q0", "hm", "hs")]):
                 v = np.asarray(v, dtype=float)
                 t = t0 + np.arange(len(v))
-                d = v - mean_of(v, t, s0)
-                z = d / np.maximum(eps, np.sqrt(mean_of(d * d, t, q0)))
+                w = _ewm_weights(t, q)
+                d = v - kernels.ewm_sums(v, q, s0) / w
+                z = d / np.maximum(eps, np.sqrt(kernels.ewm_sums(d * d, q, q0) / w))
                 ts.append(t)
                 zs.append(np.where(t < init, (v - hm) / max(eps, hs), z))
-            rec = np.repeat(pdf["rec"].to_numpy(), [len(t) for t in ts])
-            yield pd.DataFrame({"rec": rec, "t": np.concatenate(ts), "z": np.concatenate(zs)})
+            yield pd.DataFrame({"rec": np.repeat(pdf["rec"].to_numpy(), [len(t) for t in ts]), "t": np.concatenate(ts), "z": np.concatenate(zs)})
 
-    return ready.mapInPandas(apply, f"rec {samples.schema['rec'].dataType.simpleString()}, t bigint, z double")
+    return pieces.join(carries, ["rec", "chunk"]).mapInPandas(apply, f"rec {rec}, t bigint, z double")

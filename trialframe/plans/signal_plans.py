@@ -69,17 +69,16 @@ def _(v):
     return E.trigger_onsets(v.samples.select(F.col("subject").alias("rec"), "t", code), "code", 3)
 
 
-@query("resample_linear", f"""WITH s AS (SELECT subject AS rec, t, epoch_us(ts - TIMESTAMP '2024-01-01') / 1e6 AS sec,
-       c0 AS v FROM samples),
-       p AS (SELECT rec, sec AS s0, v AS v0, lead(sec) OVER w AS s1, lead(v) OVER w AS v1 FROM s
-             WINDOW w AS (PARTITION BY rec ORDER BY t)),
-       g AS (SELECT rec, CAST(g AS BIGINT) AS g FROM (SELECT DISTINCT rec FROM s), range(0, 124) k(g)),
-       j AS (SELECT g.rec, g.g, p.v0 + (g.g * 21600 - p.s0) / (p.s1 - p.s0) * (p.v1 - p.v0) AS v
-             FROM g JOIN p ON g.rec = p.rec AND p.s0 <= g.g * 21600 AND g.g * 21600 < p.s1)
-       SELECT g.rec, g.g, {r('coalesce(j.v, 0)')} AS v FROM g LEFT JOIN j ON g.rec = j.rec AND g.g = j.g""")
+@query("resample_linear", f"""WITH s AS MATERIALIZED (SELECT subject, epoch_us(ts - TIMESTAMP '2024-01-01') / 1e6 AS sec, unnest([0, 1, 2, 3]) AS ch, unnest([c0, c1, c2, c3]) AS v FROM samples),
+       p AS MATERIALIZED (SELECT subject, ch, sec AS s0, v AS v0, lead(sec) OVER w AS s1, lead(v) OVER w AS v1 FROM s WINDOW w AS (PARTITION BY subject, ch ORDER BY sec)),
+       g AS (SELECT subject, ch, CAST(g AS BIGINT) AS g, CAST(g * 21600 AS DOUBLE) AS at FROM (SELECT DISTINCT subject, ch FROM s), range(0, 124) k(g))
+       SELECT g.subject || '/' || g.ch AS rec, g.g, {r('coalesce(CASE WHEN g.at = p.s0 THEN p.v0 ELSE p.v0 + (g.at - p.s0) / (p.s1 - p.s0) * (p.v1 - p.v0) END, 0)')} AS v
+       FROM g ASOF LEFT JOIN p ON g.subject = p.subject AND g.ch = p.ch AND g.at >= p.s0""")
 def _(v):
+    """All four channels of every recording; a channel is a stream of its own."""
     sec = F.timestamp_diff("MICROSECOND", F.expr("timestamp_ntz'2024-01-01 00:00:00'"), F.col("ts")) / 1e6
-    s = v.samples.select(F.col("subject").alias("rec"), "t", F.round(sec, 6).alias("sec"), F.col("c0").alias("v"))
+    s = v.samples.select("subject", "t", F.round(sec, 6).alias("sec"), F.posexplode(F.array("c0", "c1", "c2", "c3")).alias("ch", "v"))
+    s = s.select(F.concat_ws("/", "subject", "ch").alias("rec"), "t", "sec", "v")
     return E.resample_linear(s, 21600.0, 124).withColumn("v", rnd("v"))
 
 
