@@ -473,6 +473,16 @@ def _(v):
     return out.select("subject", "session", "run", "label_id", "label", "epoch", rnd("x").alias("x"))
 
 
+@query("load_cloud_subjects", f"""SELECT subject, session, label_id, epoch, {r('x')} AS x FROM trials WHERE session = 's1'
+       AND subject IN (SELECT DISTINCT subject FROM trials WHERE label_id = 0 AND x > 5.9)""")
+def _(v):
+    """Only the buckets of the wanted subjects are read."""
+    path = fresh_table_path(v.spark, "cloud")
+    cloud.build_cloud(cloud_rows(v), path)
+    wanted = [row[0] for row in v.trials.filter("label_id = 0 AND x > 5.9").select("subject").distinct().collect()]
+    return cloud.load_cloud(v.spark, path, ["ev"], "k1", wanted).select("subject", "session", "label_id", "epoch", rnd("x").alias("x"))
+
+
 @query("recipe_key", """SELECT l_orderkey, l_linenumber, 'b' || replace(replace(CAST(-l_linenumber / 2 AS VARCHAR), '.', 'p'), '-', 'm') || '-' ||
        replace(CAST(l_quantity AS VARCHAR), '.', 'p') || '_t' || replace(replace(CAST(-l_tax AS VARCHAR), '.', 'p'), '-', 'm') || '-' ||
        CASE WHEN l_returnflag = 'R' THEN 'full' ELSE replace(CAST(l_discount AS VARCHAR), '.', 'p') END || '_r' ||

@@ -27,15 +27,22 @@ def haemo_recipe_key(l_freq, h_freq, tmin, tmax, resample, cleaners: list[str] |
                     F.lit("_r"), F.coalesce(_part(resample), F.lit("native")), F.lit("_c"), F.lit("+".join(names) or "none"))
 
 
-def subject_bucket(buckets: int = 16) -> Column:
-    return F.pmod(F.xxhash64("subject"), F.lit(buckets)).cast("int")
+#: Subjects of a bucket, and the limits of the number of buckets.
+BUCKET_SUBJECTS, FEWEST_BUCKETS, MOST_BUCKETS = 32, 16, 4096
+#: Subjects that a read names in its filter; a longer list is joined.
+NAMED_SUBJECTS = 1000
 
 
-def write_epochs(df: DataFrame, path: str, mode: str = "append", buckets: int = 16) -> None:
-    """Partitioned by dataset, recipe and a subject bucket, so a read of a few subjects opens few files. The rebalance
-    hint lets AQE cut a bucket that holds a very large subject into files of even size and merge small ones."""
-    keyed = df.withColumn("bucket", subject_bucket(buckets))
-    (keyed.hint("rebalance", "dataset", "recipe", "bucket").write.mode(mode)
+def subject_bucket(buckets: int = FEWEST_BUCKETS) -> Column:
+    return F.pmod(F.xxhash64(F.col("subject").cast("string")), F.lit(buckets)).cast("int")
+
+
+def write_epochs(df: DataFrame, path: str, mode: str = "append", buckets: int = FEWEST_BUCKETS) -> None:
+    """Partitioned by dataset, recipe and a subject bucket, so a read of a few subjects opens few files; inside a file rows are
+    sorted by subject, so that its row groups can be skipped too. The rebalance hint lets AQE cut a bucket that holds a very large
+    subject into files of even size and merge small ones."""
+    keyed = df.withColumn("bucket", subject_bucket(buckets)).hint("rebalance", "dataset", "recipe", "bucket")
+    (keyed.sortWithinPartitions("dataset", "recipe", "bucket", "subject").write.mode(mode)
      .option("partitionOverwriteMode", "dynamic").partitionBy("dataset", "recipe", "bucket").parquet(path))
 
 
@@ -46,10 +53,35 @@ def _read(spark: SparkSession, path: str) -> DataFrame | None:
         return None
 
 
-def load_cloud(spark: SparkSession, path: str, datasets: list[str], recipe: str) -> DataFrame:
-    """Epoch rows of several datasets under one recipe; both filters prune partitions."""
+def table_buckets(spark: SparkSession, path: str, epochs: DataFrame | None = None) -> int:
+    """Number of subject buckets of the table. A new table gets it from the number of subjects in ``epochs`` and keeps it in
+    ``_layout``; one without that note has the fewest."""
+    note = _read(spark, f"{path.rstrip('/')}/_layout")
+    if note is not None:
+        return note.head()["buckets"]
+    if epochs is None or _read(spark, path) is not None:
+        return FEWEST_BUCKETS
+    subjects = epochs.select("subject").distinct().count()
+    buckets = min(MOST_BUCKETS, max(FEWEST_BUCKETS, subjects // BUCKET_SUBJECTS))
+    spark.range(1).select(F.lit(buckets).alias("buckets")).coalesce(1).write.mode("overwrite").parquet(f"{path.rstrip('/')}/_layout")
+    return buckets
+
+
+def load_cloud(spark: SparkSession, path: str, datasets: list[str], recipe: str, subjects: list | None = None) -> DataFrame:
+    """Epoch rows of several datasets under one recipe, of all or of the named subjects. Dataset, recipe and the buckets of
+    the subjects prune partitions, so only their files are opened."""
     df = spark.read.parquet(path)
-    return df.filter(F.col("dataset").isin(list(datasets)) & (F.col("recipe") == recipe)).drop("bucket")
+    df = df.filter(F.col("dataset").isin(list(datasets)) & (F.col("recipe") == recipe))
+    if subjects is not None:
+        names = sorted({str(s) for s in subjects})
+        if not names:
+            return df.filter("false").drop("bucket")
+        wanted = spark.createDataFrame([(n,) for n in names], "subject string")
+        found = wanted.select(subject_bucket(table_buckets(spark, path)).alias("b")).distinct().collect()
+        df = df.filter(F.col("bucket").isin([r["b"] for r in found]))
+        name = F.col("subject").cast("string")
+        df = df.filter(name.isin(names)) if len(names) <= NAMED_SUBJECTS else df.join(wanted.withColumnRenamed("subject", "_s"), name == F.col("_s"), "left_semi")
+    return df.drop("bucket")
 
 
 def build_cloud(epochs: DataFrame, path: str, rebuild: bool = False) -> DataFrame:
@@ -57,17 +89,17 @@ def build_cloud(epochs: DataFrame, path: str, rebuild: bool = False) -> DataFram
     table. The subjects on disk come from the partition columns and one pruned column. A rebuild replaces whole partitions, so
     the rows of other subjects in them are carried over."""
     spark = epochs.sparkSession
-    old = _read(spark, path)
+    buckets, old = table_buckets(spark, path, epochs), _read(spark, path)
     if old is not None and rebuild:
         keys = ["dataset", "recipe", "subject"]
         new = epochs.select(*keys).distinct()
-        touched = new.withColumn("bucket", subject_bucket()).select("dataset", "recipe", "bucket").distinct()
+        touched = new.withColumn("bucket", subject_bucket(buckets)).select("dataset", "recipe", "bucket").distinct()
         others = old.join(touched, ["dataset", "recipe", "bucket"], "left_semi").join(new, keys, "left_anti")
         epochs = epochs.unionByName(others.select(*epochs.columns))
     elif old is not None:
         have = old.select("dataset", "recipe", F.col("subject")).distinct()
         epochs = epochs.join(have, ["dataset", "recipe", "subject"], "left_anti")
-    write_epochs(epochs, path, "overwrite" if rebuild else "append")
+    write_epochs(epochs, path, "overwrite" if rebuild else "append", buckets)
     return spark.read.parquet(path).drop("bucket")
 
 
