@@ -17,11 +17,11 @@ def read_events_tsv(spark: SparkSession, path: str, schema: str = EVENTS_SCHEMA)
     return spark.read.csv(path, sep="\t", header=True, schema=schema)
 
 
-def read_run_aggregates(spark: SparkSession, path: str) -> DataFrame:
-    """One row per run folder below ``path``, the folder name as ``run``."""
-    df = spark.read.schema(AGGREGATE_SCHEMA).option("multiLine", True).json(f"{path.rstrip('/')}/*/aggregate.json")
+def read_run_aggregates(spark: SparkSession, path: str, files: str = "aggregate.json") -> DataFrame:
+    """One row per run folder below ``path``, the folder name as ``run``; ``files`` is the name, or a pattern of names, of the JSON inside."""
+    df = spark.read.schema(AGGREGATE_SCHEMA).option("multiLine", True).json(f"{path.rstrip('/')}/*/{files}")
     parts = F.split(F.col("_metadata.file_path"), "/")
-    return df.select("*", F.element_at(parts, -2).alias("run"))
+    return df.select("*", F.url_decode(F.element_at(parts, -2)).alias("run"))
 
 
 def split_run_name(run: str, datasets: list[str]) -> dict[str, Column]:
