@@ -34,8 +34,11 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, with their number of copies and the words taken."""
-    return mixing.mixed_documents(docs).select("doc.*", "size", "source_size", "target", "copies", "taken")
+    """The documents that the mix takes, with their number of copies and the words taken. A column of the documents that has the name of
+    one of these five gives way to it. Null and empty texts are chosen like others and bring no words; rows that repeat an id are
+    chosen together; an empty table gives no rows."""
+    own = ["size", "source_size", "target", "copies", "taken"]
+    return mixing.mixed_documents(docs).select(*[F.col("doc")[c].alias(c) for c in docs.columns if c.lower() not in own], *own)
 
 
 STAGES = [
