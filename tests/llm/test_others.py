@@ -189,6 +189,9 @@ def test_pipeline_on_awkward_rows(spark, documents, tmp_path):
         docs = out
     ids = [r["doc_id"] for r in docs.collect()]
     assert 41 not in ids and 23 not in ids and {30, 31, 33} <= set(ids)
+    mixed = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path))
+    mixed.write.parquet(str(tmp_path / "mixed"))  # the documents' own column size gives way
+    assert mixed.columns == [c for c in documents.columns if c != "size"] + ["size", "source_size", "target", "copies", "taken"]
     assert corpus_pipeline.STAGES[-1][1](spark, documents.where("false"), str(tmp_path)).count() == 0
 
 
