@@ -142,11 +142,12 @@ def get_method(name: str) -> Callable[[DataFrame, Task], DataFrame]:
     return METHODS[name]
 
 
-def run_matrix(epochs: DataFrame, task: Task, names: list[str], run_prefix: str = "") -> DataFrame:
-    """Predictions of several methods stacked with a ``run`` key; one grouping then evaluates all of them."""
+def run_matrix(epochs: DataFrame | Callable[[str], DataFrame], task: Task, names: list[str], run_prefix: str = "") -> DataFrame:
+    """Predictions of several methods stacked with a ``run`` key; one grouping then evaluates all of them. ``epochs`` may depend on
+    the method's name, as one method may need what another doesn't."""
     out = None
     for name in names:
-        p = get_method(name)(epochs, task).withColumn("run", F.lit(f"{run_prefix}{name}"))
+        p = get_method(name)(epochs(name) if callable(epochs) else epochs, task).withColumn("run", F.lit(f"{run_prefix}{name}"))
         out = p if out is None else out.unionByName(p)
     return out
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import functions as F
 
 from trialframe.functions.columns import rnd
@@ -262,8 +260,7 @@ for _name in ME.METHODS:
 
 @query("run_matrix")
 def _(v):
-    runs = [ME.run_matrix(method_epochs(v, name), TASK, [name]) for name in ME.METHODS]
-    rep = ME.matrix_report(reduce(lambda a, b: a.unionByName(b), runs))
+    rep = ME.matrix_report(ME.run_matrix(lambda name: method_epochs(v, name), TASK, list(ME.METHODS)))
     return rep.select("run", *[rnd(c).alias(c) for c in ("acc", "kappa", "ece")], "n")
 
 
