@@ -59,7 +59,7 @@ def range_bucket(df: DataFrame, c: str) -> Column:
     """
     wanted = min(RANGE_BUCKETS, df.count() // RANGE_ROWS)
     if wanted < 2:
-        return F.lit(0)
+        return F.least(F.length(F.col(c).cast("string")), F.lit(0))  # one bucket, as a column: a join on a literal would have no key
     value = F.substring(c, 1, SPLITTER_CHARS) if df.schema[c].dataType.simpleString() == "string" else F.col(c)
     hashed = df.filter(F.col(c).isNotNull()).select(value.alias("v"), F.xxhash64(c).alias("h"))
     sample = sorted(r["v"] for r in hashed.orderBy("h").limit(wanted * RANGE_SAMPLE).collect())
