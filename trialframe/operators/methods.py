@@ -16,7 +16,7 @@ from trialframe.functions.columns import softmax
 from trialframe.operators import classify as C
 from trialframe.operators import descriptors as D
 from trialframe.operators import metrics, spectral
-from trialframe.operators.epoching import subwindows, time_delay_embed
+from trialframe.operators.epoching import time_delay_embed, window_length
 from trialframe.operators.spatial import trial_covariance
 from trialframe.session import checkpointed
 
@@ -40,6 +40,7 @@ class Task:
     win_s: float = 1.0
     hop_s: float = 0.5
     pool: str = "mean"
+    add_position: bool = True
     tmin: float = 0.0
     task_dur: float = 10.0
 
@@ -58,11 +59,7 @@ def _cov(df: DataFrame, t: Task) -> DataFrame:
 
 def _bank_vectors(df: DataFrame, t: Task, families: list[str], keys: list[str], x: str = "x") -> DataFrame:
     """Descriptors of all channels as one vector per key, channel-major."""
-    cells = df.select(*keys, F.posexplode(x).alias("ch", "_s")).select(*keys, "ch", F.posexplode("_s").alias("i", "x"))
-    bank = D.extract_bank(cells, [*keys, "ch"], families)
-    vec = F.array(*[F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in families])
-    g = bank.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("ch", vec.alias("v")))).alias("s"))
-    return g.select(*keys, F.flatten(F.transform("s", lambda e: e["v"])).alias("f"))
+    return D.array_bank(df, keys, families, x).select(*keys, D.bank_vector().alias("f"))
 
 
 def csp_lda(df: DataFrame, t: Task) -> DataFrame:
@@ -109,10 +106,20 @@ def fnirs_lda(df: DataFrame, t: Task) -> DataFrame:
     return _lda(_bank_vectors(df, t, D.RECIPES["amplitude"], t.columns), t)
 
 
+def window_features(df: DataFrame, t: Task) -> DataFrame:
+    """Task columns, ``win`` and ``f``: the descriptors of every window and, unless windows are concatenated, the place of its
+    centre within the epoch."""
+    length, hop = window_length(t.win_s, t.fs), max(1, round(t.hop_s * t.fs))
+    rows = df.select(*t.columns, F.size(F.col("x")[0]).alias("_t"), "x")
+    win = D.window_bank(rows, [*t.columns, "_t"], length, hop, D.RECIPES["amplitude"]).withColumn("f", D.bank_vector())
+    if t.add_position and t.pool != "concat":
+        win = win.withColumn("f", F.concat("f", F.array((F.col("win") * hop + length / 2.0) / F.col("_t"))))
+    return win.select(*t.columns, "win", "f")
+
+
 def fnirs_windowed(df: DataFrame, t: Task) -> DataFrame:
     """Window rows inherit the epoch's label for the first stage; their outputs are pooled per epoch."""
-    win = subwindows(df.select(*t.columns, "x"), t.win_s, t.hop_s, t.fs)
-    f = _bank_vectors(win, t, D.RECIPES["amplitude"], [*t.columns, "win"])
+    f = window_features(df, t)
     if t.pool == "concat":
         return _lda(C.window_concat(f, t.columns), t)
     scored = C.linear_scores(f, C.lda_models(f, "fold", t.n_classes), "fold").withColumn("probs", softmax("scores"))

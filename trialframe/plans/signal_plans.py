@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from trialframe.functions.columns import rnd
+from trialframe.operators import classify as C
 from trialframe.operators import descriptors as D
 from trialframe.operators import epoching as E
 from trialframe.plans.registry import query, r
@@ -272,17 +273,34 @@ def _(v):
     return out.withColumn("f", rnd("f"))
 
 
+@query("array_bank", f"WITH {BANK} SELECT subject, blk, ch, {BANK_COLS} FROM bank")
+def _(v):
+    b = D.bank_cells(D.array_bank(v.epochs, EPOCH), EPOCH, D.FAMILIES)
+    return b.select(*CELL, *[rnd(f).alias(f) for f in D.FAMILIES])
+
+
 @query("select_recipe", f"WITH {BANK} {unpivot_sql(D.RECIPES['dynamics'])}")
 def _(v):
     out = D.to_long(D.extract_bank(v.cells, CELL, D.RECIPES["dynamics"]), CELL, D.RECIPES["dynamics"])
     return D.select_recipe(out, "dynamics").withColumn("f", rnd("f"))
 
 
-@query("window_bank", f"""WITH n AS (SELECT *, count(*) OVER (PARTITION BY subject, blk, ch) AS n FROM cells),
+SQL_WINDOWS = f"""WITH n AS (SELECT *, count(*) OVER (PARTITION BY subject, blk, ch) AS n FROM cells),
        w AS (SELECT subject, blk, ch, x, win, CAST(i - win * 2 AS INTEGER) AS i FROM n, range(0, 4) k(win)
              WHERE i >= win * 2 AND i < win * 2 + 4 AND win <= CASE WHEN n <= 4 THEN 0 ELSE (n - 4) // 2 END),
-       bank AS ({BANK_BODY.format(keys='subject, blk, ch, win', src='w')})
+       bank AS ({BANK_BODY.format(keys='subject, blk, ch, win', src='w')})"""
+
+
+@query("window_bank", f"""{SQL_WINDOWS}
        SELECT subject, blk, ch, win, {r('mean')} AS mean, {r('slope')} AS slope, {r('peak')} AS peak FROM bank""")
 def _(v):
-    b = D.window_bank(v.cells, CELL, 4, 2, D.RECIPES["amplitude"])
+    b = D.bank_cells(D.window_bank(v.epochs, EPOCH, 4, 2, D.RECIPES["amplitude"]), [*EPOCH, "win"], D.RECIPES["amplitude"])
     return b.select(*CELL, "win", *[rnd(f).alias(f) for f in ("mean", "slope", "peak")])
+
+
+@query("window_concat", f"""{SQL_WINDOWS}, v AS (SELECT subject, blk, win, ch, 0 AS k, mean AS f FROM bank UNION ALL SELECT subject, blk, win, ch, 1, slope FROM bank
+       UNION ALL SELECT subject, blk, win, ch, 2, peak FROM bank)
+       SELECT subject, blk, CAST(row_number() OVER (PARTITION BY subject, blk ORDER BY win, ch, k) - 1 AS INTEGER) AS place, {r('coalesce(f, 0)')} AS f FROM v""")
+def _(v):
+    f = D.window_bank(v.epochs, EPOCH, 4, 2, D.RECIPES["amplitude"]).select(*EPOCH, "win", D.bank_vector().alias("f"))
+    return C.window_concat(f, EPOCH).select(*EPOCH, F.posexplode("f").alias("place", "f")).withColumn("f", rnd("f"))
