@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from trialframe.operators.epoching import block_epochs
 from trialframe.operators.normalize import ewm_standardize
-from trialframe.streaming.epochs import run_to_table, stream_epochs, stream_standardize
+from trialframe.streaming.epochs import run_to_table, stream_epochs, stream_standardize, unfinished
 
 
 def written(spark, tmp_path, name, frames, schema):
@@ -31,6 +31,42 @@ def test_stream_standardize_equals_batch(spark, tmp_path):
     assert len(got) == 240 and np.allclose(got["z"], want["z"])
 
 
+def short_and_long():
+    """Recordings of 5, 49, 50, 51 and 120 samples; the one of 5 comes over three micro-batches."""
+    rng = np.random.default_rng(2)
+    rows = [(f"r{n}", i, datetime(2024, 1, 1) + timedelta(seconds=i), float(rng.standard_normal())) for n in (5, 49, 50, 51, 120) for i in range(n)]
+    rows.append(("one", 0, datetime(2024, 1, 1), 2.5))
+    frame = pd.DataFrame(rows, columns=["rec", "t", "at", "v"])
+    part = np.where(frame["rec"] == "r5", frame["t"] // 2, frame["t"] // 40)
+    return frame, [frame[part == k] for k in range(3)]
+
+
+def standardized(df):
+    return df.orderBy("rec", "t").toPandas()
+
+
+def test_recordings_shorter_than_the_start_come_out_at_the_end_of_input(spark, tmp_path):
+    frame, parts = short_and_long()
+    s = written(spark, tmp_path, "s", parts, "rec string, t bigint, at timestamp, v double")
+    out = run_to_table(stream_standardize(s, ["t"], "v", 0.05, 50), str(tmp_path / "out"))
+    assert {r["rec"] for r in out.select("rec").distinct().collect()} == {"r50", "r51", "r120"}
+    got = standardized(out.unionByName(unfinished(spark, str(tmp_path / "out-progress"), 50)))
+    want = standardized(ewm_standardize(spark.createDataFrame(frame.drop(columns="at")), "v", 0.05, 50, chunk=32))
+    assert len(got) == len(want) == 276 and (got[["rec", "t"]] == want[["rec", "t"]]).all(axis=None) and np.allclose(got["z"], want["z"])
+
+
+def test_recordings_shorter_than_the_start_come_out_when_idle(spark, tmp_path):
+    frame, parts = short_and_long()
+    end = pd.DataFrame([("end", 0, datetime(2024, 1, 2), 0.0)], columns=["rec", "t", "at", "v"])     # moves the watermark past all
+    s = written(spark, tmp_path, "s", [*parts, end], "rec string, t bigint, at timestamp, v double")
+    out = run_to_table(stream_standardize(s, ["t"], "v", 0.05, 50, at="at", idle=60.0, late="5 minutes"), str(tmp_path / "out"))
+    got = standardized(out)
+    want = standardized(ewm_standardize(spark.createDataFrame(frame.drop(columns="at")), "v", 0.05, 50, chunk=32))
+    assert len(got) == len(want) and (got[["rec", "t"]] == want[["rec", "t"]]).all(axis=None) and np.allclose(got["z"], want["z"])
+    rest = unfinished(spark, str(tmp_path / "out-progress"), 50).collect()
+    assert [(r["rec"], r["t"]) for r in rest] == [("end", 0)]
+
+
 @pytest.mark.parametrize("files", [1, 4])
 def test_stream_epochs_equals_batch(spark, tmp_path, files):
     n = 60

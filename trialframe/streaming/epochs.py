@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
@@ -38,15 +38,34 @@ def stream_epochs(samples: DataFrame, events: DataFrame, fs: float, tmin: float,
                     F.transform(channels, lambda k: F.transform("s", lambda e: e["c"][k])).alias("x"))
 
 
+def _short(held: list[float], eps: float) -> pd.DataFrame:
+    """The standardized samples of a recording that ended within its start-up window."""
+    head = np.array(held, dtype=float)
+    return pd.DataFrame({"t": np.arange(len(head)), "z": (head - head.mean()) / max(eps, head.std())})
+
+
 def stream_standardize(samples: DataFrame, order: list[str], value: str, factor: float = 1e-3, init: int = 1000,
-                       eps: float = 1e-4) -> DataFrame:
+                       eps: float = 1e-4, at: str | None = None, idle: float = 60.0, late: str = "0 seconds") -> DataFrame:
     """Exponential moving standardization per recording: (rec, t, z). The state is the sample count, the two weighted
     sums and, until ``init`` samples have come, those samples. Samples of a recording must arrive in order across
-    micro-batches; inside one they are sorted."""
+    micro-batches; inside one they are sorted.
+
+    A recording shorter than ``init`` is standardized when it is known to be over: with event times ``at``, when the watermark
+    passes its last sample by ``idle`` seconds (its state goes then, rows later than the watermark are dropped); else, or
+    when the input ends before that, by ``unfinished``.
+    """
     q = 1.0 - factor
     rec_type = samples.schema["rec"].dataType.simpleString()
+    if at is not None:
+        samples = samples.withWatermark(at, late).withColumn("_ms", F.unix_millis(at))
 
     def step(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            n, _, _, held = state.get
+            state.remove()
+            if n < init:
+                yield _short(held, eps).assign(rec=key[0])[["rec", "t", "z"]]
+            return
         pdf = pd.concat(list(batches)).sort_values(order)
         n, s, sq, held = state.get if state.exists else (0, 0.0, 0.0, [])
         held = list(held)
@@ -57,19 +76,33 @@ def stream_standardize(samples: DataFrame, order: list[str], value: str, factor:
         d = v - sums / w
         squares = kernels.ewm_sums(d * d, q, sq)
         z = d / np.maximum(eps, np.sqrt(squares / w))
-        state.update((n + len(v), float(sums[-1]), float(squares[-1]),
-                      held + v[: max(0, init - n)].tolist() if n < init else []))
+        head = held + v[: max(0, init - n)].tolist() if n < init else []
+        state.update((n + len(v), float(sums[-1]), float(squares[-1]), head if n + len(v) < init else []))
+        if at is not None:
+            over = int(pdf["_ms"].max()) + round(1000 * idle)
+            state.setTimeoutTimestamp(max(over, state.getCurrentWatermarkMs() + 1))
         keep = t >= init
         out = [pd.DataFrame({"t": t[keep], "z": z[keep]})]
-        if n < init:
-            head = np.array(held + v[: init - n].tolist())
-            if len(head) == init:
-                out.insert(0, pd.DataFrame({"t": np.arange(init), "z": (head - head.mean()) / max(eps, head.std())}))
+        if n < init <= n + len(v):
+            out.insert(0, _short(head, eps))
         yield pd.concat(out).assign(rec=key[0])[["rec", "t", "z"]]
 
+    timeout = GroupStateTimeout.NoTimeout if at is None else GroupStateTimeout.EventTimeTimeout
     return samples.groupBy("rec").applyInPandasWithState(
-        step, f"rec {rec_type}, t bigint, z double", "n bigint, s double, q double, held array<double>", "append",
-        GroupStateTimeout.NoTimeout)
+        step, f"rec {rec_type}, t bigint, z double", "n bigint, s double, q double, held array<double>", "append", timeout)
+
+
+def unfinished(spark: SparkSession, progress: str, init: int = 1000, eps: float = 1e-4) -> DataFrame:
+    """(rec, t, z) of the recordings that a stopped ``stream_standardize`` still holds, from the state in its checkpoint folder: those
+    whose input ended within the start-up window. The state stays, so only a stream that isn't resumed is finished by this."""
+    held = (spark.read.format("statestore").load(progress)
+            .select("key.rec", F.col("value.groupState.n").alias("n"), F.col("value.groupState.held").alias("held")).filter(F.col("n") < init))
+    n = F.size("held")
+    mean = F.aggregate("held", F.lit(0.0), lambda a, x: a + x) / n
+    sd = F.sqrt(F.aggregate("held", F.lit(0.0), lambda a, x: a + (x - F.col("_m")) * (x - F.col("_m"))) / n)
+    e = held.withColumn("_m", mean).withColumn("_sd", F.greatest(F.lit(eps), sd))
+    return (e.select("rec", "_m", "_sd", F.posexplode("held").alias("t", "x"))
+            .select("rec", F.col("t").cast("bigint").alias("t"), ((F.col("x") - F.col("_m")) / F.col("_sd")).alias("z")))
 
 
 def run_to_table(stream: DataFrame, path: str) -> DataFrame:
