@@ -438,3 +438,20 @@ def test_run_matrix_query_runs_every_method(monkeypatch):
     with pytest.raises(Seen):
         QUERIES["run_matrix"](None, "")
     assert asked == list(model_plans.ME.METHODS)
+
+
+def test_held_out_concepts_are_remapped_row_by_row(spark):
+    rows = [(t, c, [float(c or 0), 1.0]) for t, c in enumerate([7, 7, 40, 3, 3, 3, 12, None, 90, 51])]
+    df = frame(spark, rows, "trial bigint, concept bigint, v array<double>")
+    got = splits.concept_holdout_rows(df, frac=0.5).toPandas().sort_values("trial")
+    assert len(got) == 9 and got["trial"].tolist() == [0, 1, 2, 3, 4, 5, 6, 8, 9]      # the row without a concept goes
+    val = got[got["part"] == "val"]
+    held = sorted(set(val["concept"]))
+    assert len(held) == 3 and not set(held) & set(got.loc[got["part"] == "train", "concept"])
+    assert val["val_label"].tolist() == [held.index(c) for c in val["concept"]]
+    assert got.loc[got["part"] == "train", "val_label"].isna().all()
+    proto = retrieval.validation_prototypes(splits.concept_holdout_rows(df, frac=0.5)).orderBy("val_label").toPandas()
+    assert proto["concept"].tolist() == held
+    for c, v in zip(proto["concept"], proto["v"]):
+        assert np.allclose(v, np.array([c, 1.0]) / np.hypot(c, 1.0), atol=1e-6)
+    assert splits.concept_holdout_rows(df.limit(0)).count() == 0

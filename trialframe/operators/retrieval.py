@@ -44,6 +44,16 @@ def concept_prototypes(emb: DataFrame, keys: list[str], v: str = "v", eps: float
     return g.withColumn("_m", F.transform("_s", lambda x: x / F.col("n"))).select(*keys, unit("_m", eps).alias(v))
 
 
+def validation_prototypes(rows: DataFrame, concept: str = "concept", v: str = "v", eps: float = 1e-8) -> DataFrame:
+    """val_label, concept and prototype of every held-out concept; ``rows`` come from ``splits.concept_holdout_rows``."""
+    return concept_prototypes(rows.filter(F.col("part") == "val"), ["val_label", concept], v, eps)
+
+
+def concept_average(trials: DataFrame, bank: DataFrame) -> DataFrame:
+    """Retrieval state of every concept's mean test vector, which counts as one trial of that name."""
+    return retrieval_state(concept_prototypes(trials, ["concept"]).withColumn("trial", F.col("concept")), bank, ["trial"])
+
+
 def bank_blocks(bank: DataFrame, v: str = "v", block: int | None = None, extra: list[str] | None = None) -> Iterator[tuple]:
     """(concept ids, [k, d] vectors, extra columns…) of about ``block`` concepts at a time, each block in concept order.
 

@@ -124,6 +124,14 @@ def concept_holdout(df: DataFrame, concept: str = "concept", frac: float = 0.1,
     return ordinal(d, ["part"], [concept], F.floor(F.col(concept) / 1024), "dense_id")
 
 
+def concept_holdout_rows(df: DataFrame, concept: str = "concept", frac: float = 0.1, seed=0) -> DataFrame:
+    """The rows with ``part`` and ``val_label``, the dense id of a held-out concept (null in the train part, where concepts keep their own
+    ids). Rows without a concept are in neither part and go. Only the table of concepts is shuffled to be numbered."""
+    parts = concept_holdout(df.filter(F.col(concept).isNotNull()), concept, frac, seed)
+    label = F.when(F.col("part") == "val", F.col("dense_id")).alias("val_label")
+    return df.join(parts.select(concept, "part", label), concept)
+
+
 def folds_for(df: DataFrame, regime: str, k: int = 5, test_sessions=("s2",)) -> DataFrame:
     """Rows with ``fold`` (the fold that tests the row, or the subject's own fold) and ``part``."""
     if regime == "within":

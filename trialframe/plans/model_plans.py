@@ -572,7 +572,9 @@ def _(v):
     s = event_stream(v).select(F.col("user_id").cast("string").alias("rec"), "ts", "event_id",
                                (F.log(1 + F.col("value")) - 4.0).alias("v"))
     z = ST.stream_standardize(s, ["ts", "event_id"], "v", 0.05, 10)
-    return ST.run_to_table(z, fresh_table_path(v.spark, "stream")).withColumn("z", rnd("z"))
+    path = fresh_table_path(v.spark, "stream")
+    out = ST.run_to_table(z, path)
+    return out.unionByName(ST.unfinished(v.spark, f"{path}-progress", 10)).withColumn("z", rnd("z"))
 
 
 @query("stream_epochs", """WITH n AS (SELECT count(*) AS n FROM events),

@@ -118,8 +118,7 @@ def _(v):
 def _(v):
     h = splits.calibration_half(v.emb, 0, ["trial"])
     b = R.concept_prototypes(h.filter("calib"), ["concept"])
-    t = R.concept_prototypes(h.filter("NOT calib"), ["concept"])
-    m = R.retrieval_metrics(R.retrieval_state(t.withColumn("trial", F.col("concept")), b, ["trial"]), [])
+    m = R.retrieval_metrics(R.concept_average(h.filter("NOT calib"), b), [])
     k = b.agg((1.0 / F.count(F.lit(1))).alias("c")).scalar()
     return m.select(rnd("recall1").alias("recall1"), rnd("recall5").alias("recall5"), F.round(k, 6).alias("chance"))
 

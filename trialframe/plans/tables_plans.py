@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from trialframe.functions.columns import rnd
-from trialframe.operators import joins, labels, splits
+from trialframe.operators import joins, labels, retrieval, splits
 from trialframe.operators.ordinal import hash_ordinal, range_bucket, time_bucket
 from trialframe.plans.registry import query, r
 from trialframe.plans.views import EVENT_TYPES
@@ -323,14 +323,30 @@ def _(v):
     return splits.calibration_half(v.trials, 6).select("epoch", "calib")
 
 
-@query("concept_holdout", """WITH k AS (SELECT concept, row_number() OVER (ORDER BY md5('0:' || concept)) - 1 AS pos,
+SQL_HOLDOUT = """k AS (SELECT concept, row_number() OVER (ORDER BY md5('0:' || concept)) - 1 AS pos,
        count(*) OVER () AS k FROM (SELECT DISTINCT concept FROM emb)),
-       p AS (SELECT concept, CASE WHEN pos < greatest(1, floor(k * 0.3)) THEN 'val' ELSE 'train' END AS part FROM k)
-       SELECT concept, part, row_number() OVER (PARTITION BY part ORDER BY concept) - 1 AS dense_id FROM p""")
+       p AS (SELECT concept, CASE WHEN pos < greatest(1, floor(k * 0.3)) THEN 'val' ELSE 'train' END AS part FROM k),
+       ho AS (SELECT concept, part, row_number() OVER (PARTITION BY part ORDER BY concept) - 1 AS dense_id FROM p)"""
+
+
+@query("concept_holdout", f"WITH {SQL_HOLDOUT} SELECT concept, part, dense_id FROM ho")
 def _(v):
     return splits.concept_holdout(v.emb, frac=0.3)
 
 
+@query("concept_holdout_rows", f"WITH {SQL_HOLDOUT} SELECT trial, concept, part, CASE WHEN part = 'val' THEN dense_id END AS val_label FROM emb JOIN ho USING (concept)")
+def _(v):
+    return splits.concept_holdout_rows(v.emb, frac=0.3).select("trial", "concept", "part", "val_label")
+
+
+@query("validation_prototypes", f"""WITH {SQL_HOLDOUT}, m AS (SELECT dense_id AS val_label, concept, i, avg(v[i]) AS m FROM emb JOIN ho USING (concept), range(1, 65) t(i)
+       WHERE part = 'val' GROUP BY dense_id, concept, i)
+       SELECT val_label, concept, CAST(i - 1 AS INTEGER) AS i, {r('m / (sqrt(sum(m * m) OVER (PARTITION BY val_label)) + 1e-8)')} AS x FROM m""")
+def _(v):
+    out = retrieval.validation_prototypes(splits.concept_holdout_rows(v.emb, frac=0.3))
+    return out.select("val_label", "concept", F.posexplode("v").alias("i", "x")).withColumn("x", rnd("x"))
+
+
 @query("folds_for", f"""WITH k AS (SELECT epoch, subject, session = 's2' AS test,
        row_number() OVER (PARTITION BY subject, session = 's2' ORDER BY md5('0:' || epoch)) - 1 AS pos,
        count(*) OVER (PARTITION BY subject, session = 's2') AS n FROM trials),
