@@ -3,6 +3,7 @@
 import base64
 import gzip
 import hashlib
+import time
 
 import numpy as np
 import pytest
@@ -48,6 +49,40 @@ def test_archives_of_many_members_and_without_compression(spark, tmp_path):
         warc.whole(gzip.compress(record(1)) + gzip.compress(record(2))[:-9])
 
 
+def test_archives_of_other_writers(spark, tmp_path):
+    """Any version, values without a blank after the colon, folded lines, unknown record types, lines of a megabyte."""
+    def record(i, version=b"1.0", blank=b" "):
+        head = b"WARC-Type:%sresponse\r\nWARC-Record-ID:%s<urn:page:%d>\r\nX-Note: a\r\n b\r\nX-Long: %s\r\n" % (blank, blank, i, b"y" * (1 << 20 if i == 3 else 1))
+        return b"WARC/%s\r\n%sContent-Length:%s%d\r\n\r\nhead\r\n\r\n%s\r\n\r\n" % (version, head, blank, 8 + i, b"x" * i)
+
+    info = b"WARC/1.0\r\nWARC-Type: warcinfo\r\nContent-Length: 3\r\n\r\na:b\r\n\r\n"
+    (tmp_path / "old.warc").write_bytes(info + b"".join(record(i) for i in range(5)))
+    (tmp_path / "mixed.warc").write_bytes(record(5, b"1.1") + record(6, b"0.18", b"") + record(7, b"2.0", b"\t") + record(8))
+    got = warc.read_archives(spark, str(tmp_path)).where("record_type = 'response'").select("page_id", "payload_bytes").collect()
+    assert sorted(map(tuple, got)) == [(i, i) for i in range(9)]
+
+
+def test_a_broken_chain_is_told(spark, tmp_path):
+    def record(i):
+        return b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:%d>\r\nContent-Length: 9\r\n\r\nhead\r\n\r\nx\r\n\r\n" % i
+
+    (tmp_path / "cut.warc").write_bytes(b"".join(record(i) for i in range(10))[:-5])
+    (tmp_path / "empty.warc").write_bytes(b"")
+    with pytest.raises(Exception, match="no record starts at byte"):
+        warc.read_archives(spark, str(tmp_path)).collect()
+    kept = warc.read_archives(spark, str(tmp_path), damaged="keep").select("page_id").collect()
+    assert sorted(r["page_id"] for r in kept) == list(range(9))
+    with pytest.raises(ValueError):
+        warc.read_archives(spark, str(tmp_path), damaged="drop")
+
+
+def test_marks_in_a_payload_cost_linear_time():
+    data = b"WARC/1.1\r\nContent-Length: 9\r\n" * 100_000
+    start = time.perf_counter()
+    assert all(warc.parse_candidate(data, m.end()) is None for m in warc.VERSION.finditer(data))
+    assert time.perf_counter() - start < 5
+
+
 def test_archives_are_bounded_by_bytes(spark, monkeypatch, tmp_path):
     monkeypatch.setattr(warc, "RECORDS_PER_FILE", 16)
     monkeypatch.setattr(warc, "BYTES_PER_FILE", 16_000)
@@ -153,6 +188,20 @@ def test_layouts(spark):
         chat_format.turns_of(spark.createDataFrame([(1,)], "foo int"))
 
 
+def test_of_repeated_rows_the_same_is_taken(spark):
+    """Equal texts with two labels, and equal ids with two vectors, in any order of the rows."""
+    docs = [(i, f"text {i // 2}") for i in range(12)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(12)], "doc_id bigint, toxic int")
+    vectors = [(i % 6, [float(i), 1.0]) for i in range(12)]
+    for order in (1, -1):
+        d = spark.createDataFrame(docs[::order], "doc_id bigint, text string").repartition(3)
+        got = toxicity.labelled(d, labels, F.lit(True), 100, "doc_id", "text", "toxic").orderBy("doc_id").collect()
+        assert [(r["doc_id"], r["toxic"]) for r in got] == [(i, 1) for i in range(0, 12, 2)]
+        v = spark.createDataFrame(vectors[::order], "vec_id bigint, embedding array<double>").repartition(3)
+        near = ann.nearest(v, F.col("vec_id") == 0, k=5).orderBy("rank").collect()
+        assert [(r["vec_id"], r["score"]) for r in near] == [(i, 1.0) for i in range(1, 6)]
+
+
 def test_toxicity_learns_marks(spark, documents, no_documents):
     rng = np.random.default_rng(1)
     plain = ["".join(rng.choice(list("aeioustrnl"), rng.integers(3, 8))) for _ in range(300)]

@@ -82,12 +82,12 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, trees: int = 96, s
     ``queries`` selects the query rows of ``vectors``. Trees ascend until their ranges sum to ``share`` of the shard, ``100 * k`` at least. Vectors
     that are null, zero or hold null or non-finite components take no part, nor do rows with a null id; a query with fewer
     than ``k`` candidates found gets those. Of equal vectors only the k + 1 smallest ids can be among a query's nearest, so the
-    others aren't indexed. Rows that repeat an id are taken once. An empty table gives no rows; all vectors of one call have
+    others aren't indexed. Of rows that repeat an id the least vector is taken. An empty table gives no rows; all vectors of one call have
     one length.
     """
     rows = vectors.where(usable(F.col(vector_col)) & F.col(id_col).isNotNull()).select(
         F.col(id_col).cast("bigint").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"), queries.alias("is_query"))
-    rows = stored(rows.dropDuplicates(["vec_id"]), "ann-vectors")
+    rows = stored(rows.groupBy("vec_id").agg(F.min("v").alias("v"), F.max("is_query").alias("is_query")), "ann-vectors")
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
     n, most, dim = rows.agg(F.count("*"), F.max(norm), F.max(F.size("v"))).first()
     n_queries = rows.where("is_query").count()

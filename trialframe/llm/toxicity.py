@@ -160,7 +160,7 @@ class Model:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, keep: Column, sample: int, id_col: str, text_col: str, label_col: str) -> DataFrame:
-    """doc_id, toxic, text of at most ``sample`` documents per class, in the order of their ids' hashes; equal texts once."""
+    """doc_id, toxic, text of at most ``sample`` documents per class, in the order of their ids' hashes; equal texts once, toxic if any of them is."""
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & keep).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("toxic"))
     picks = None
     for c in (0, 1):
@@ -168,7 +168,7 @@ def labelled(docs: DataFrame, labels: DataFrame, keep: Column, sample: int, id_c
         picks = part if picks is None else picks.union(part)
     # at most 2 * sample rows
     found = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).join(F.broadcast(picks), "id")
-    return found.dropDuplicates(["text"]).select(F.col("id").alias("doc_id"), "toxic", "text")
+    return found.groupBy("text").agg(F.min("id").alias("doc_id"), F.max("toxic").alias("toxic")).select("doc_id", "toxic", "text")
 
 
 def choose_landmarks(train: DataFrame, marked: int = MARKED, plain: int = PLAIN) -> list[str]:

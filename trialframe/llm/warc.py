@@ -11,6 +11,7 @@ import base64
 import gzip
 import hashlib
 import io
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,6 +24,7 @@ from trialframe.session import fresh_table_path
 
 CRLF = "\r\n"
 MAGIC = b"WARC/1.1\r\n"
+VERSION = re.compile(rb"WARC/[0-9]+\.[0-9]+\r\n")
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 #: Records and payload bytes per archive file, which bound what a reading task holds; one record may have more bytes.
 RECORDS_PER_FILE, BYTES_PER_FILE = 4000, 1 << 28
@@ -95,21 +97,29 @@ def whole(content: bytes) -> bytes:
 
 
 def parse_candidate(data: bytes, at: int) -> tuple[int, dict[str, str], int] | None:
-    """Successor's offset, header fields and block start of the record that could start at ``at``; None if it can't."""
-    end = data.find(b"\r\n\r\n", at)
-    if end < 0:
-        return None
+    """Successor's offset, header fields and block start of the record whose version line ends before ``at``; None if it can't be one.
+
+    A field's value may follow its colon at once or after blanks and go on in lines that begin with a blank. Reading stops at the
+    first line that is none of this, so marks in a row cost no more than one.
+    """
     head: dict[str, str] = {}
-    for line in data[at + len(MAGIC):end].split(b"\r\n"):
-        k, colon, v = line.partition(b": ")
-        if not colon:
+    name = ""
+    while (end := data.find(b"\r\n", at)) > at:
+        line = data[at:end]
+        at = end + 2
+        if line[:1] in b" \t" and name:
+            head[name] += " " + line.decode("utf-8", "replace").strip()
+            continue
+        k, colon, v = line.partition(b":")
+        if not colon or not k or k != k.strip():
             return None
-        head[k.decode("latin-1").lower()] = v.decode("utf-8", "replace")
+        name = k.decode("latin-1").lower()
+        head[name] = v.decode("utf-8", "replace").strip()
     size = head.get("content-length", "")
-    if not (size.isascii() and size.isdigit()):
+    if end < 0 or not (size.isascii() and size.isdigit()):
         return None
-    after = end + 4 + int(size) + 4
-    return (after, head, end + 4) if after <= len(data) else None
+    after = end + 2 + int(size) + 4
+    return (after, head, end + 2) if after <= len(data) and data[after - 4:after] == b"\r\n\r\n" else None
 
 
 def candidate_records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,9 +129,10 @@ def candidate_records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
     for b in batches:
         for path, content in zip(b.column("path"), b.column("content"), strict=True):
             data = whole(content.as_py())
-            rows, at = [], data.find(MAGIC)
-            while at >= 0:
-                if (found := parse_candidate(data, at)) is not None:
+            rows = [(path.as_py(), len(data), None, None, None, None, None, None)]  # the end, which the chain has to reach
+            for mark in VERSION.finditer(data):
+                at = mark.start()
+                if (found := parse_candidate(data, mark.end())) is not None:
                     after, head, start = found
                     payload = data[start:after - 4].partition(b"\r\n\r\n")[2]
                     kind = head.get("warc-type", "")
@@ -130,8 +141,7 @@ def candidate_records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
                     rows.append((path.as_py(), at, after, number(head.get("warc-record-id", "")[len("<urn:page:"):-1]), kind, number(refers),
                                  len(payload) if response else number(head.get("x-payload-bytes", "")),
                                  base64.b32encode(hashlib.sha1(payload).digest()).decode() if response else head.get("warc-payload-digest", "").removeprefix("sha1:")))
-                at = data.find(MAGIC, at + 1)
-            cols = list(zip(*rows, strict=True)) if rows else [()] * 8
+            cols = list(zip(*rows, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], names=names)
 
 
@@ -150,19 +160,31 @@ def on_chain(offset: np.ndarray, successor: np.ndarray) -> np.ndarray:
     return reach[:n]
 
 
-def chained(table: pa.Table) -> pa.Table:
+def chained(table: pa.Table, damaged: str) -> pa.Table:
     table = table.sort_by("offset")
-    return table.filter(pa.array(on_chain(table.column("offset").to_numpy(), table.column("successor").to_numpy())))
+    offset, successor = table.column("offset").to_numpy(), table.column("successor").fill_null(-1).to_numpy()
+    reached = on_chain(offset, successor)
+    if not reached[-1] and damaged == "raise":
+        last = int(successor[reached].max()) if reached.any() else 0
+        raise ValueError(f"{table.column('path')[0]}: no record starts at byte {last} of {offset[-1]}")
+    reached[-1] = False
+    return table.filter(pa.array(reached))
 
 
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
+def read_archives(spark: SparkSession, path: str, damaged: str = "raise") -> DataFrame:
     """The records of all archives under ``path``, gzip of one or many members or uncompressed; columns as in ``RECORD``.
 
+    Records of any version are read, with or without blanks after the colons of their header. Where the chain of records breaks
+    before the archive's end, as in one that is cut off, ``damaged`` tells whether to raise (the default) or to ``keep`` the records
+    before the break. A gzip member that is cut off raises always.
+
     An archive is read whole by one task (the writer bounds its records); its candidates, some 100 bytes each, meet in one
     group to be chained. A folder without archives has no records.
     """
+    if damaged not in ("raise", "keep"):
+        raise ValueError(f"damaged is raise or keep, not {damaged!r}")
     files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInArrow(candidate_records, RECORD).groupBy("path").applyInArrow(chained, RECORD)
+    return files.mapInArrow(candidate_records, RECORD).groupBy("path").applyInArrow(lambda archive: chained(archive, damaged), RECORD)
 
 
 def round_trip(pages: DataFrame, **columns) -> DataFrame:
