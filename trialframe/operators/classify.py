@@ -389,7 +389,10 @@ def csp_filters(cov: DataFrame, d: int, k: int) -> np.ndarray:
     """k spatial filters [k, d] from class-mean covariances (one d × d problem per class): generalized eigenvectors of
     each class against the others, most discriminative first. Exact for two classes, one-vs-rest beyond."""
     g = cov.groupBy("y").agg(vector_sum("cov").alias("s"), F.count(F.lit(1)).alias("n")).collect()
-    means = {r["y"]: np.asarray(r["s"]).reshape(d, d) / r["n"] for r in g}
+    return csp_from_means({r["y"]: np.asarray(r["s"]).reshape(d, d) / r["n"] for r in g}, k)
+
+
+def csp_from_means(means: dict[int, np.ndarray], k: int) -> np.ndarray:
     classes = sorted(means)
     found = []
     for c in classes[:1] if len(classes) == 2 else classes:
@@ -432,17 +435,23 @@ def filter_bank_bands(fmin: float, fmax: float, width: float) -> list[tuple[floa
 
 def filter_bank_csp(epochs: DataFrame, train, n_ch: int, fs: float, bands: list[tuple[float, float]], k: int,
                     k_features: int, keep: list[str], order: int = 4) -> DataFrame:
-    """CSP per band on the train rows, features of all bands side by side, the k_features most informative kept."""
-    from trialframe.operators.epoching import bandpass_epochs
-    from trialframe.operators.spatial import trial_covariance
-    out = None
-    for lo, hi in bands:
-        cov = trial_covariance(bandpass_epochs(epochs.select(*keep, "x"), lo, hi, fs, order), keep)
-        f = csp_features(cov, csp_filters(cov.filter(train), n_ch, k), n_ch)
-        f = f.withColumnRenamed("f", f"_f{lo}".replace(".", "_"))
-        out = f if out is None else out.join(f, keep)
-    names = [c for c in out.columns if c not in keep]
-    feats = align.checkpointed(out.select(*keep, F.concat(*[F.col(f"`{c}`") for c in names]).alias("f")))
+    """CSP per band on the train rows, features of all bands side by side, the k_features most informative kept. One pass gives the
+    covariances of all bands; their class means are one small matrix per class and band."""
+    from trialframe.operators import foldcsp
+    n_b = len(bands)
+    cov = align.checkpointed(foldcsp.band_covariances(epochs, keep, bands, fs, order))
+    g = cov.filter(train).groupBy("y").agg(vector_sum("cov").alias("s"), F.count(F.lit(1)).alias("n")).collect()
+    means = {r["y"]: np.asarray(r["s"]).reshape(n_b, n_ch, n_ch) / r["n"] for r in g}
+    w = np.stack([csp_from_means({y: m[b] for y, m in means.items()}, k) for b in range(n_b)])
+    schema = f"{align._keys_schema(cov, keep)}, f array<double>"
+
+    def features(batches):
+        for pdf in batches:
+            if len(pdf):
+                stack = np.stack([np.asarray(c) for c in pdf["cov"]]).reshape(-1, n_b, n_ch, n_ch)
+                yield pdf[keep].assign(f=list(foldcsp.log_variances(stack, w)))
+
+    feats = align.checkpointed(cov.select(*keep, "cov").mapInPandas(features, schema))
     long = feats.filter(train).select("y", F.posexplode("f").alias("feature", "f"))
     chosen = [r["feature"] for r in mutual_information_rank(long).filter(F.col("place") < k_features).orderBy("place").collect()]
     return feats.withColumn("f", F.array(*[F.col("f")[i] for i in chosen]))

@@ -111,7 +111,7 @@ def own_rows(rows: Chunks, state: DataFrame, fold: str, keep: list[str], name: s
 
 # ---- logistic regression ---------------------------------------------------------------------------------------
 
-def _softmax(z: np.ndarray) -> np.ndarray:
+def softmax_rows(z: np.ndarray) -> np.ndarray:
     e = np.exp(z - z.max(axis=1, keepdims=True))
     return e / e.sum(axis=1, keepdims=True)
 
@@ -123,7 +123,7 @@ def _padded(x: np.ndarray) -> np.ndarray:
 def newton_sums(x: np.ndarray, y: np.ndarray, theta: np.ndarray, present: np.ndarray) -> np.ndarray:
     """[loss, gradient, curvature] of a multinomial model on its present classes; curvature by pairs of classes."""
     x = _padded(x)
-    p = _softmax(x @ theta[present].T)
+    p = softmax_rows(x @ theta[present].T)
     place = np.cumsum(present) - 1
     at = place[y]
     loss = -np.log(np.maximum(p[np.arange(len(y)), at], 1e-300)).sum()
@@ -230,7 +230,7 @@ def logistic_folds(rows: Chunks, fold: str, n_classes: int, keep: list[str], fea
             present = np.asarray(seen) > 0.5
             theta = np.asarray(one.column("s_theta")[0].as_py()).reshape(n_classes, m)[present]
             out[:] = 0.0
-            out[:, present] = _softmax(_padded(features(part, np.asarray(one.column("s_ref")[0].as_py(), dtype=float))) @ theta.T)
+            out[:, present] = softmax_rows(_padded(features(part, np.asarray(one.column("s_ref")[0].as_py(), dtype=float))) @ theta.T)
         return out
 
     out = own_rows(rows, state, fold, keep, "probs", probs, size)

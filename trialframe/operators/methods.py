@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from trialframe.functions.columns import softmax
 from trialframe.operators import classify as C
 from trialframe.operators import descriptors as D
-from trialframe.operators import metrics, spectral
+from trialframe.operators import foldcsp, metrics, spectral
 from trialframe.operators.epoching import time_delay_embed, window_length
 from trialframe.operators.spatial import trial_covariance
 from trialframe.session import checkpointed
@@ -63,27 +63,12 @@ def _bank_vectors(df: DataFrame, t: Task, families: list[str], keys: list[str],
 
 
 def csp_lda(df: DataFrame, t: Task) -> DataFrame:
-    cov = _cov(df, t)
-
-    def fit(train, test):
-        w = C.csp_filters(train, t.n_ch, t.csp_filters)
-        both = C.csp_features(train.withColumn("_g", F.lit(1)).unionByName(test.withColumn("_g", F.lit(0))), w, t.n_ch)
-        models = C.lda_models(both, "_g", t.n_classes, "auto", F.col("_g") == 1)
-        return C.linear_scores(both.filter("_g = 0"), models, "_g").select(*t.columns, softmax("scores").alias("probs"))
-
-    return C.by_fold(cov, "fold", fit)
+    return foldcsp.csp_lda_folds(_cov(df, t), "fold", 1, t.n_ch, t.csp_filters, t.n_classes, t.columns)
 
 
 def fbcsp(df: DataFrame, t: Task) -> DataFrame:
-    out = None
-    for row in df.select("fold").distinct().orderBy("fold").collect():
-        train = F.col("fold") != row[0]
-        f = C.filter_bank_csp(df, train, t.n_ch, t.fs, list(t.fb_bands), t.csp_filters, t.fb_features, t.columns, order=t.fb_order)
-        f = f.withColumn("_g", train.cast("int"))
-        models = C.lda_models(f, "_g", t.n_classes, "auto", F.col("_g") == 1)
-        p = C.linear_scores(f.filter("_g = 0"), models, "_g").select(*t.columns, softmax("scores").alias("probs"))
-        out = p if out is None else out.unionByName(p)
-    return out
+    cov = foldcsp.band_covariances(df, t.columns, list(t.fb_bands), t.fs, t.fb_order)
+    return foldcsp.csp_lda_folds(cov, "fold", len(t.fb_bands), t.n_ch, t.csp_filters, t.n_classes, t.columns, t.fb_features)
 
 
 def riemann(df: DataFrame, t: Task) -> DataFrame:
