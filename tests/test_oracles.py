@@ -5,8 +5,8 @@ from oracle_check import compare
 
 from trialframe.plans.catalog import ORACLES, QUERIES
 
-# a pass per band and fold: covered by tests/oracle_check.py
-SLOW = {"method_fbcsp", "run_matrix"}
+# all ten methods at once: covered by tests/oracle_check.py
+SLOW = {"run_matrix"}
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
