@@ -16,7 +16,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 HEADLINE = ["loso_centroid_retrieval", "block_epochs", "extract_bank", "band_powers", "cbsi", "trial_covariance", "zscore_subject",
             "ewm_standardize", "within_subject_sessions", "gather_aligned", "evaluate_folds", "bootstrap_ci", "temperature_fit",
             "aggregation_sweep", "retrieval_metrics", "robustness_grid", "balanced_batches", "shrinkage_lda", "noise_whitener",
-            "riemannian_mean", "bootstrap_kappa", "zero_shot_transfer", "method_riemann"]
+            "riemannian_mean", "bootstrap_kappa", "zero_shot_transfer", "method_riemann", "method_fbcsp", "window_bank"]
 
 
 def main() -> None:
