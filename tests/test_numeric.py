@@ -14,6 +14,8 @@ from trialframe.operators import normalize as N
 from trialframe.operators import retrieval as R
 from trialframe.operators import spatial as SP
 
+SF = "/root/testdata/sf0.001"
+
 
 def spd(rng, n, d, scale=1.0):
     a = rng.standard_normal((n, d, 3 * d))
@@ -139,6 +141,24 @@ def test_noise_whitener_whitens_planted_noise(spark):
     assert np.allclose(cov, np.eye(3), atol=0.05)
 
 
+def test_whitener_of_a_subject_without_noise(spark):
+    rows = [("a", k, [[float(k), 1.0], [2.0, 3.0]]) for k in range(3)] + [("b", 0, [[1.0, 4.0], [2.0, 0.0]]), ("b", 0, [[2.0, 1.0], [0.0, 5.0]])]
+    df = spark.createDataFrame(rows, "s string, cond int, x array<array<double>>")
+    said = {r["s"]: r["isqrt"] for r in A.noise_whitener(df, ["s"], "cond", 2, no_noise=float("inf")).collect()}
+    assert said["a"] == [float("inf"), 0.0, 0.0, float("inf")] and np.isfinite(said["b"]).all()
+    assert {r["s"]: r["isqrt"] for r in A.noise_whitener(df, ["s"], "cond", 2).collect()}["a"] == [1e6, 0.0, 0.0, 1e6]
+
+
+def test_whitener_query_equals_its_sql_for_users_of_one_block(spark, tmp_path):
+    from oracle_check import compare, duck
+
+    from trialframe.plans.catalog import ORACLES, QUERIES
+    con = duck(SF)
+    con.execute(f"COPY (SELECT event_id, ts, event_id % 45 AS user_id, event_type, value, props FROM events) TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    got, want = QUERIES["noise_whitener"](spark, str(tmp_path)).toPandas(), duck(str(tmp_path)).execute(ORACLES["noise_whitener"]).fetchdf()
+    assert np.isinf(want["w0"]).any() and np.isfinite(want["w0"]).any() and compare(got, want) is None
+
+
 def test_unfitted_subject_raises(spark):
     df = spark.createDataFrame([("a", [[1.0]]), ("b", [[2.0]])], "s string, x array<array<double>>")
     w = spark.createDataFrame([("a", [1.0])], "s string, isqrt array<double>")

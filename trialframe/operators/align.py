@@ -276,9 +276,10 @@ def condition_residual(cells: DataFrame, subject: str, condition: str) -> DataFr
     return cells.join(m, by).withColumn("x", F.col("x") - F.col("_m")).drop("_m")
 
 
-def noise_whitener(epochs: DataFrame, by: list[str], condition: str, n_ch: int, x: str = "x") -> DataFrame:
+def noise_whitener(epochs: DataFrame, by: list[str], condition: str, n_ch: int, x: str = "x", no_noise: float = 1e6) -> DataFrame:
     """Σ^{-1/2} per subject from within-condition residuals, Ledoit-Wolf shrunk, over all rows: the batches add
-    Σ r, Σ rrᵀ and Σ‖r‖⁴ and only these sums are shuffled. Returns (by…, isqrt)."""
+    Σ r, Σ rrᵀ and Σ‖r‖⁴ and only these sums are shuffled. A subject whose residuals are all 0, as with one row per condition,
+    has the diagonal ``no_noise``; infinity says so, the finite default keeps signals finite. Returns (by…, isqrt)."""
     means = epochs.groupBy(*by, condition).agg(vector_sum(F.flatten(x)).alias("_s"), F.count(F.lit(1)).alias("_n"))
     means = means.select(*by, condition, F.transform("_s", lambda v: v / F.col("_n")).alias("_m"))
     j = epochs.select(*by, condition, F.flatten(x).alias("_x")).join(means, [*by, condition])
@@ -300,12 +301,14 @@ def noise_whitener(epochs: DataFrame, by: list[str], condition: str, n_ch: int,
 
     sums = j.mapInPandas(partial, f"{keys}, _s array<double>").groupBy(*by).agg(vector_sum("_s").alias("_s"))
 
+    def whitener(s):
+        c = kernels.shrink_lw(np.asarray(s[2:]).reshape(n_ch, n_ch) / s[0], s[1], s[0])
+        return (kernels.powm(c, -0.5) if c.any() else np.where(np.eye(n_ch) > 0, no_noise, 0.0)).reshape(-1)
+
     def solve(batches):
         for pdf in batches:
             if len(pdf):
-                w = [kernels.powm(kernels.shrink_lw(np.asarray(s[2:]).reshape(n_ch, n_ch) / s[0], s[1], s[0]), -0.5).reshape(-1)
-                     for s in pdf["_s"]]
-                yield pdf[by].assign(isqrt=w)
+                yield pdf[by].assign(isqrt=[whitener(s) for s in pdf["_s"]])
 
     return sums.mapInPandas(solve, f"{keys}, isqrt array<double>")
 
