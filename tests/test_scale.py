@@ -116,3 +116,19 @@ def test_filters_and_columns_reach_the_scan(spark, sf_dir):
     assert "GreaterThan(c_acctbal,0.0)" in text
     acc = plan(QUERIES["accuracy"](spark, sf_dir))
     assert "o_custkey" not in acc.split("ReadSchema")[1]
+
+
+def test_calibration_rows_are_not_gathered_by_fold(spark, sf_dir):
+    plan = QUERIES["calibration_transfer"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastHashJoin") >= 4 and plan.count("SortMergeJoin") <= 4
+
+
+def test_temperature_is_the_same_by_shuffle(spark, sf_dir, monkeypatch):
+    from trialframe import session
+    from trialframe.operators import metrics as M
+    from trialframe.plans.views import Views
+    shipped = M.temperature_fit(Views(spark, sf_dir).preds, ["fold"], "za").orderBy("fold").collect()
+    monkeypatch.setattr(session, "FEW_ROWS", 2)
+    shuffled = M.temperature_fit(Views(spark, sf_dir).preds, ["fold"], "za").orderBy("fold").collect()
+    assert [tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in shipped] == [
+        tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in shuffled]

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from trialframe.functions.columns import argmax0, asum, edges_above, let, safe_div
 from trialframe.operators.ordinal import ordinal
+from trialframe.session import few_rows
 
 # fixed values: verdict limits of the calibration transfer and the invariant tolerance
 TRANSFER_LIMITED, TRANSFER_GOOD, TOLERANCE, EPS = 0.5, 1.2, 1e-6, 1e-6
@@ -162,14 +163,16 @@ def _loss_sums(by: list[str], points: int):
 def temperature_fit(df: DataFrame, by: list[str], logits: str, y: str = "y", lo: float = 0.05, hi: float = 20.0,
                     points: int = 32, rounds: int = 3) -> DataFrame:
     """T minimizing the mean loss of every group at once: a log grid, then the bracket of its best point. A round sums
-    the losses of the whole grid inside the Arrow batches and adds the partial sums per group."""
+    the losses of the whole grid inside the Arrow batches and adds the partial sums per group; few groups are shipped to the rows."""
     d = df.select(*by, F.col(y).cast("int").alias("_y"),
                   let(F.array_max(logits), lambda m: F.transform(logits, lambda v: v - m)).alias("_z"))
     keys = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in d.select(*by).schema)
     schema = f"{keys}, _lo double, _hi double, _s array<double>, _c bigint"
-    bracket = d.select(*by).distinct().withColumns({"_lo": F.lit(float(np.log(lo))), "_hi": F.lit(float(np.log(hi)))})
+    groups = d.select(*by).distinct()
+    place = F.broadcast if few_rows(groups) else (lambda side: side)
+    bracket = groups.withColumns({"_lo": F.lit(float(np.log(lo))), "_hi": F.lit(float(np.log(hi)))})
     for _ in range(rounds):
-        part = d.join(bracket, by).mapInPandas(_loss_sums(by, points), schema)
+        part = d.join(place(bracket), by).mapInPandas(_loss_sums(by, points), schema)
         means = [F.sum(F.col("_s")[k]) / F.sum("_c") for k in range(points)]
         g = part.groupBy(*by, "_lo", "_hi").agg(F.array(*means).alias("_m"))
         best = F.array_position("_m", F.array_min("_m")) - 1

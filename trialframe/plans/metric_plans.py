@@ -13,7 +13,7 @@ from trialframe.operators import fusion as FU
 from trialframe.operators import metrics as M
 from trialframe.operators.labels import restrict_classes
 from trialframe.plans.registry import query, r
-from trialframe.session import checkpointed
+from trialframe.session import checkpointed, shipped
 
 
 def pred_a(v, *extra):
@@ -273,7 +273,7 @@ def _(v):
     """The temperature is fitted on the validation years alone; the test years only show what is left of the gain."""
     val = F.col("year") < 1998
     t = checkpointed(M.temperature_fit(v.preds.filter(val), ["fold"], "za").select("fold", "temperature"))
-    rows, both = t, v.preds.join(t, "fold")
+    rows, both = t, v.preds.join(shipped(t), "fold")
     for name, cond, scale in (("val_ece_uncal", val, 1.0), ("val_ece_temp", val, 1.0 / F.col("temperature")), ("test_ece_uncal", ~val, 1.0),
                               ("test_ece_temp", ~val, 1.0 / F.col("temperature"))):
         p = M.predict_label(both.filter(cond).select("fold", "y", softmax("za", scale).alias("probs")))

@@ -6,6 +6,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: A side that is joined on few keys is shipped to every task up to so many rows; beyond, the join shuffles.
+FEW_ROWS = 100_000
 
 
 def local_session(cpus: int | str = 8, shuffle_partitions: int = 8) -> SparkSession:
@@ -44,6 +48,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def few_rows(df: DataFrame) -> bool:
+    """Whether a table was counted small enough for every task."""
+    return df.limit(FEW_ROWS + 1).count() <= FEW_ROWS
+
+
+def shipped(df: DataFrame) -> DataFrame:
+    """``df`` with a broadcast hint when it has few rows. A shuffle on a handful of keys would give as many tasks, each with all rows of its key."""
+    return F.broadcast(df) if few_rows(df) else df
+
+
 def fresh_table_path(spark: SparkSession, name: str) -> str:
     """A new path for a written table inside the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
