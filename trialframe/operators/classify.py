@@ -265,7 +265,7 @@ def nearest_means(rows: foldwise.Chunks, means: DataFrame, fold: str, d: int, n_
     return distance_probs(foldwise.own_rows(rows, state, fold, keep, "d2", distances, 8 * d * d * (n_classes + 2)), keep)
 
 
-def mdm_folds(cov: DataFrame, fold: str, d: int, n_classes: int, keep: list[str]) -> DataFrame:
+def mdm_folds(cov: DataFrame | foldwise.Chunks, fold: str, d: int, n_classes: int, keep: list[str]) -> DataFrame:
     """Nearest class mean for every fold of a k-fold split; probabilities are the softmax of the negative squared distances."""
     rows = foldwise.chunked(cov, 8 * d * d)
     return nearest_means(rows, align.train_means(rows, fold, d, "y"), fold, d, n_classes, keep)
@@ -322,7 +322,7 @@ def train_refs(rows: foldwise.Chunks, fold: str, d: int) -> DataFrame:
     return align.checkpointed(align.train_means(rows, fold, d).select(fold, F.col("isqrt").alias("ref")))
 
 
-def fgmdm_folds(cov: DataFrame, fold: str, d: int, n_classes: int, keep: list[str]) -> DataFrame:
+def fgmdm_folds(cov: DataFrame | foldwise.Chunks, fold: str, d: int, n_classes: int, keep: list[str]) -> DataFrame:
     """Project tangent vectors on the discriminant directions, map back, then nearest class mean, all folds together."""
     rows = foldwise.chunked(cov, 8 * d * d)
     refs = discriminant_projection(rows, train_refs(rows, fold, d), fold, d)
@@ -334,7 +334,7 @@ def fgmdm(train: DataFrame, test: DataFrame, d: int, n_classes: int, keep: list[
     return test_part(fgmdm_folds(tagged(train, test, list(dict.fromkeys([*keep, "y", "cov"]))), "_test", d, n_classes, [*keep, "_test"]), keep)
 
 
-def riemann_folds(cov: DataFrame, fold: str, d: int, n_classes: int, keep: list[str]) -> DataFrame:
+def riemann_folds(cov: DataFrame | foldwise.Chunks, fold: str, d: int, n_classes: int, keep: list[str]) -> DataFrame:
     """Tangent vectors at the training mean, then logistic regression, all folds together."""
     rows = foldwise.chunked(cov, 8 * d * d)
     return foldwise.logistic_folds(rows, fold, n_classes, keep, _tangent(d), d * (d + 1) // 2, train_refs(rows, fold, d), ref_bytes=8 * d * d)

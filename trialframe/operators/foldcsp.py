@@ -136,10 +136,11 @@ def chosen_features(rows: foldwise.Chunks, filters: DataFrame, fold: str, bands:
     return checkpointed(filters.join(picks, fold))
 
 
-def csp_lda_folds(cov: DataFrame, fold: str, bands: int, d: int, n_filters: int, n_classes: int, keep: list[str], k_features: int | None = None) -> DataFrame:
+def csp_lda_folds(cov: DataFrame | foldwise.Chunks, fold: str, bands: int, d: int, n_filters: int, n_classes: int, keep: list[str], k_features: int | None = None) -> DataFrame:
     """(keep…, probs) of every fold's own rows: filters per band, the ``k_features`` most informative log-variances (all if None), and a
     discriminant with automatic shrinkage, each fitted on the rows of all other folds. The number of jobs depends on neither folds nor bands."""
-    rows = foldwise.chunked(cov.filter(F.col("cov").isNotNull()), 8 * bands * d * d)
+    some = F.col("cov").isNotNull()
+    rows = foldwise.Chunks(cov.df.filter(some), cov.pieces) if isinstance(cov, foldwise.Chunks) else foldwise.chunked(cov.filter(some), 8 * bands * d * d)
     width = bands * min(n_filters, d * n_classes)
     state_bytes = 8 * (width * (d + 4 + n_classes))
     filters = fold_filters(rows, fold, bands, d, n_filters)

@@ -34,8 +34,10 @@ class Chunks:
     pieces: int
 
 
-def chunked(df: DataFrame, row_bytes: int) -> Chunks:
-    """Deals rows evenly to chunks, whatever their keys: at least one per core, more where there are many rows."""
+def chunked(df: DataFrame | Chunks, row_bytes: int) -> Chunks:
+    """Deals rows evenly to chunks, whatever their keys: at least one per core, more where there are many rows. Chunks stay as they are."""
+    if isinstance(df, Chunks):
+        return df
     data = checkpointed(df)
     pieces = max(data.sparkSession.sparkContext.defaultParallelism, -(-data.count() * row_bytes // CHUNK_BYTES))
     return Chunks(checkpointed(data.withColumn("_chunk", F.pmod(F.monotonically_increasing_id(), F.lit(pieces)).cast("int")).repartition(pieces, "_chunk")), pieces)

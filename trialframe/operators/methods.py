@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from trialframe.functions.columns import softmax
 from trialframe.operators import classify as C
 from trialframe.operators import descriptors as D
-from trialframe.operators import foldcsp, metrics, spectral
+from trialframe.operators import foldcsp, foldwise, metrics, spectral
 from trialframe.operators.epoching import time_delay_embed, window_length
 from trialframe.operators.spatial import trial_covariance
 from trialframe.session import checkpointed
@@ -50,20 +50,26 @@ class Task:
 
 
 def _lda(features: DataFrame, t: Task, shrinkage="auto") -> DataFrame:
-    return C.shrinkage_lda(features, "fold", t.n_classes, shrinkage, t.columns)
+    """Features are read by a pass each for their mean, their sums and the scores, so they are kept."""
+    return C.shrinkage_lda(checkpointed(features), "fold", t.n_classes, shrinkage, t.columns)
 
 
 def _cov(df: DataFrame, t: Task) -> DataFrame:
     return checkpointed(trial_covariance(df, t.columns, t.estimator))
 
 
+def covariance_rows(df: DataFrame, t: Task) -> foldwise.Chunks:
+    """Covariances dealt to chunks, as all methods on plain covariances read them."""
+    return foldwise.chunked(trial_covariance(df, t.columns, t.estimator), 8 * t.n_ch**2)
+
+
 def _bank_vectors(df: DataFrame, t: Task, families: list[str], keys: list[str], x: str = "x") -> DataFrame:
     """Descriptors of all channels as one vector per key, channel-major."""
     return D.array_bank(df, keys, families, x).select(*keys, D.bank_vector().alias("f"))
 
 
-def csp_lda(df: DataFrame, t: Task) -> DataFrame:
-    return foldcsp.csp_lda_folds(_cov(df, t), "fold", 1, t.n_ch, t.csp_filters, t.n_classes, t.columns)
+def csp_lda(df: DataFrame, t: Task, rows: foldwise.Chunks | None = None) -> DataFrame:
+    return foldcsp.csp_lda_folds(rows or covariance_rows(df, t), "fold", 1, t.n_ch, t.csp_filters, t.n_classes, t.columns)
 
 
 def fbcsp(df: DataFrame, t: Task) -> DataFrame:
@@ -71,20 +77,20 @@ def fbcsp(df: DataFrame, t: Task) -> DataFrame:
     return foldcsp.csp_lda_folds(cov, "fold", len(t.fb_bands), t.n_ch, t.csp_filters, t.n_classes, t.columns, t.fb_features)
 
 
-def riemann(df: DataFrame, t: Task) -> DataFrame:
-    return C.riemann_folds(_cov(df, t), "fold", t.n_ch, t.n_classes, t.columns)
+def riemann(df: DataFrame, t: Task, rows: foldwise.Chunks | None = None) -> DataFrame:
+    return C.riemann_folds(rows or covariance_rows(df, t), "fold", t.n_ch, t.n_classes, t.columns)
 
 
 def riemann_acm(df: DataFrame, t: Task) -> DataFrame:
     return C.riemann_folds(_cov(time_delay_embed(df, t.acm_order, t.acm_lag), t), "fold", t.n_ch * t.acm_order, t.n_classes, t.columns)
 
 
-def riemann_mdm(df: DataFrame, t: Task) -> DataFrame:
-    return C.mdm_folds(_cov(df, t), "fold", t.n_ch, t.n_classes, t.columns)
+def riemann_mdm(df: DataFrame, t: Task, rows: foldwise.Chunks | None = None) -> DataFrame:
+    return C.mdm_folds(rows or covariance_rows(df, t), "fold", t.n_ch, t.n_classes, t.columns)
 
 
-def riemann_fgmdm(df: DataFrame, t: Task) -> DataFrame:
-    return C.fgmdm_folds(_cov(df, t), "fold", t.n_ch, t.n_classes, t.columns)
+def riemann_fgmdm(df: DataFrame, t: Task, rows: foldwise.Chunks | None = None) -> DataFrame:
+    return C.fgmdm_folds(rows or covariance_rows(df, t), "fold", t.n_ch, t.n_classes, t.columns)
 
 
 def fnirs_lda(df: DataFrame, t: Task) -> DataFrame:
@@ -104,9 +110,9 @@ def window_features(df: DataFrame, t: Task) -> DataFrame:
 
 def fnirs_windowed(df: DataFrame, t: Task) -> DataFrame:
     """Window rows inherit the epoch's label for the first stage; their outputs are pooled per epoch."""
-    f = window_features(df, t)
+    f = checkpointed(window_features(df, t))
     if t.pool == "concat":
-        return _lda(C.window_concat(f, t.columns), t)
+        return C.shrinkage_lda(C.window_concat(f, t.columns), "fold", t.n_classes, "auto", t.columns)
     scored = C.linear_scores(f, C.lda_models(f, "fold", t.n_classes), "fold").withColumn("probs", softmax("scores"))
     return C.windowed_pool(scored, t.columns, t.pool)
 
@@ -128,6 +134,10 @@ METHODS: dict[str, Callable[[DataFrame, Task], DataFrame]] = {
 }
 
 
+#: Methods that read the same covariances.
+ON_COVARIANCES = {"csp_lda", "riemann", "riemann_mdm", "riemann_fgmdm"}
+
+
 def get_method(name: str) -> Callable[[DataFrame, Task], DataFrame]:
     if name not in METHODS:
         raise ValueError(f"unknown method {name!r}; known: {sorted(METHODS)}")
@@ -136,10 +146,20 @@ def get_method(name: str) -> Callable[[DataFrame, Task], DataFrame]:
 
 def run_matrix(epochs: DataFrame | Callable[[str], DataFrame], task: Task, names: list[str], run_prefix: str = "") -> DataFrame:
     """Predictions of several methods stacked with a ``run`` key; one grouping then evaluates all of them. ``epochs`` may depend on
-    the method's name, as one method may need what another doesn't."""
-    out = None
+    the method's name, as one method may need what another doesn't. Epochs are kept, and the covariances of one frame are made once."""
+    if not callable(epochs):
+        kept = checkpointed(epochs)
+        epochs = lambda name: kept
+    out, shared = None, {}
     for name in names:
-        p = get_method(name)(epochs(name) if callable(epochs) else epochs, task).withColumn("run", F.lit(f"{run_prefix}{name}"))
+        method, e = get_method(name), epochs(name)
+        if name in ON_COVARIANCES:
+            if id(e) not in shared:
+                shared[id(e)] = e, covariance_rows(e, task)
+            p = method(e, task, shared[id(e)][1])
+        else:
+            p = method(e, task)
+        p = p.withColumn("run", F.lit(f"{run_prefix}{name}"))
         out = p if out is None else out.unionByName(p)
     return out
 
