@@ -10,7 +10,7 @@ from trialframe.operators import classify as C
 from trialframe.operators import descriptors as D
 from trialframe.operators import epoching as E
 from trialframe.operators import fusion as FU
-from trialframe.operators import joins, labels, metrics, normalize, retrieval, spectral, splits
+from trialframe.operators import coupling, joins, labels, metrics, normalize, retrieval, spectral, splits
 from trialframe.operators import methods
 from trialframe.sources import cloud, tables
 
@@ -337,6 +337,20 @@ def test_methods_decode_planted_classes(spark):
     assert (rep["acc"] > 0.8).all(), rep
 
 
+def test_windows_are_slices_of_pieces_and_events_named_twice_go(spark):
+    v = [float(i * i % 17) for i in range(40)]
+    gap = spark.createDataFrame([("g", t, [float(t)]) for t in range(20) if t != 9], "rec string, t bigint, c array<double>")
+    onsets = [("r", k, k, "a") for k in range(-2, 42)] + [("r", 100, 12, "a"), ("r", 100, 20, "a")] + [("g", 200 + k, k, "b") for k in range(20)]
+    ev = spark.createDataFrame(onsets, "rec string, event bigint, onset bigint, label string")
+    out = E.block_epochs(recording(spark, v, "r").unionByName(gap), ev, 1.0, -1, 3)
+    got = {(e["rec"], e["event"]): e["x"][0] for e in out.collect()}
+    want = {("r", k): v[k - 1:k + 3] for k in range(1, 38)}
+    want |= {("g", 200 + k): [float(t) for t in range(k - 1, k + 3)] for k in range(1, 18) if not k - 1 <= 9 < k + 3}
+    assert got == want
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("Aggregate")      # nothing is gathered per window after the join
+
+
 def test_matrix_makes_covariances_once_and_predicts_as_each_method(spark, monkeypatch):
     rng = np.random.default_rng(5)
     rows = [(str(e % 4), e // 4, e % 3, e % 2, (rng.standard_normal((3, 12)) * np.where(np.arange(3) == e % 3, 2.0, 1.0)[:, None]).tolist()) for e in range(60)]

@@ -20,35 +20,39 @@ from trialframe.functions.columns import asum, let
 from trialframe.operators.ordinal import with_previous
 
 
-# ---- event-locked windows --------------------------------------------------------------------------------------
+#: Length of a piece of a recording in windows.
+WINDOWS_PER_PIECE = 4
 
-def range_join(events: DataFrame, samples: DataFrame, lo: Column, hi: Column, width: int) -> DataFrame:
-    """Samples with lo ≤ t < hi per event, as an equi-join on (rec, time bucket). Buckets are one window wide, so
-    an event meets two of them and a long recording is spread over all tasks."""
-    ev = events.withColumns({"_lo": lo, "_hi": hi})
-    touched = F.sequence(F.floor(F.col("_lo") / width), F.floor((F.col("_hi") - 1) / width))
-    ev = ev.withColumn("_b", F.explode(touched))
-    sm = samples.withColumn("_b", F.floor(F.col("t") / width))
-    j = ev.join(sm, ["rec", "_b"]).filter("t >= _lo AND t < _hi")
-    return j.drop("_b", "_lo", "_hi")
 
+# ---- event-locked windows --------------------------------------------------------------------------------------
 
 def block_epochs(samples: DataFrame, events: DataFrame, fs: float, tmin: float, tmax: float,
                  baseline_s: float = 0.0) -> DataFrame:
     """Windows [onset + tmin, onset + tmax) per event; windows off the recording are dropped and the mean of the
-    first ``baseline_s`` of the window is subtracted per channel. ``events(rec, event, onset, label)``."""
+    first ``baseline_s`` of the window is subtracted per channel. ``events(rec, event, onset, label)``; an event named twice in a
+    recording has no window of its own and is dropped.
+
+    A sample is shuffled once, or twice near the end of a piece, and never once per window: pieces of a few window lengths reach
+    one window beyond their end, so every window is a slice of the piece in which it begins."""
     a, b = round(tmin * fs), round(tmax * fs)
     n, nb = b - a, round(baseline_s * fs)
-    j = range_join(events, samples, F.col("onset") + a, F.col("onset") + b, n)
-    g = j.groupBy("rec", "event").agg(F.first("onset").alias("onset"), F.first("label").alias("label"),
-                                      F.sort_array(F.collect_list(F.struct("t", "c"))).alias("s"))
-    g = g.filter(F.size("s") == n)
+    width = WINDOWS_PER_PIECE * n
+    homes = F.sequence(F.floor((F.col("t") - (n - 1)) / width), F.floor(F.col("t") / width))
+    cut = samples.select("rec", F.explode(homes).alias("_b"), F.struct(F.col("t").cast("bigint").alias("t"), "c").alias("s"))
+    pieces = cut.groupBy("rec", "_b").agg(F.sort_array(F.collect_list("s")).alias("s"))
     channels = F.sequence(F.lit(0), F.size(F.col("s")[0]["c"]) - 1)
-    x = F.transform(channels, lambda k: F.transform("s", lambda e: e["c"][k]))
+    pieces = pieces.select("rec", "_b", F.col("s.t").alias("_t"), F.transform(channels, lambda k: F.transform("s", lambda e: e["c"][k])).alias("_x"))
+    once = events.groupBy("rec", "event").agg(F.first("onset").alias("onset"), F.first("label").alias("label"), F.count(F.lit(1)).alias("_n"))
+    once = once.filter("_n = 1").withColumn("_lo", (F.col("onset") + a).cast("bigint")).withColumn("_b", F.floor(F.col("_lo") / width))
+    j = once.join(pieces, ["rec", "_b"]).withColumn("_at", F.array_position("_t", F.col("_lo")).cast("int"))
+    last, after = F.get("_t", F.col("_at") + (n - 2)), F.get("_t", F.col("_at") + (n - 1))
+    j = j.filter((F.col("_at") > 0) & (last == F.col("_lo") + (n - 1)) & (after.isNull() | (after != last)))
+    at = F.greatest(F.col("_at"), F.lit(1))  # a slice from 0 raises, and it may be tried before the filter
+    x = F.transform("_x", lambda row: F.slice(row, at, n))
     if nb > 0:
         x = F.transform(x, lambda row: let(asum(F.slice(row, 1, nb)) / nb,
                                            lambda base: F.transform(row, lambda v: v - base)))
-    return g.select("rec", "event", "onset", "label", x.alias("x"))
+    return j.select("rec", "event", "onset", "label", x.alias("x"))
 
 
 def event_epochs(samples: DataFrame, events: DataFrame, fs: float, tmin: float, tmax: float,
