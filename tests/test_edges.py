@@ -351,6 +351,22 @@ def test_windows_are_slices_of_pieces_and_events_named_twice_go(spark):
     assert plan.index("Join") < plan.index("Aggregate")      # nothing is gathered per window after the join
 
 
+def test_series_of_all_bands_are_made_in_one_pass(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.standard_normal((2, t)).tolist(), rng.standard_normal((4, t)).tolist()) for i, t in enumerate([8, 8, 2, 5, 11])]
+    df = frame(spark, rows, "id int, xe array<array<double>>, xf array<array<double>>")
+    bands = {"slow": (0.3, 0.9), "fast": (0.9, 1.8)}
+    out = coupling.channel_series(df, 4.0, 4.0, -0.5, 4.0, 2.0, 0.25, bands)
+    assert out.columns == ["id", "env_slow", "env_fast", "neural"]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    for name, (lo, hi) in bands.items():
+        want = coupling.regrid(E.band_envelope(df.select("id", F.col("xe").alias("x")), lo, hi, 4.0), "x", 0.0, 4.0, 0.25, 8)
+        assert [r[0] for r in out.orderBy("id").select(f"env_{name}").collect()] == [r[0] for r in want.orderBy("id").select("x").collect()]
+    x = np.array(coupling.regrid(df.select("id", F.col("xf").alias("x")), "x", -0.75, 4.0, 0.25, 8).orderBy("id").first()["x"])
+    want = 0.5 * (x[:2] - x[:2].std(axis=1, keepdims=True) / (x[2:].std(axis=1, keepdims=True) + 1e-9) * x[2:])
+    assert np.allclose(out.orderBy("id").first()["neural"], want, atol=1e-9)
+
+
 def test_matrix_makes_covariances_once_and_predicts_as_each_method(spark, monkeypatch):
     rng = np.random.default_rng(5)
     rows = [(str(e % 4), e // 4, e % 3, e % 2, (rng.standard_normal((3, 12)) * np.where(np.arange(3) == e % 3, 2.0, 1.0)[:, None]).tolist()) for e in range(60)]

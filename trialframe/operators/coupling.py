@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -125,37 +126,53 @@ def pooled_vs_subject_lag(df: DataFrame, subject: str, fs: float, **kw) -> DataF
     return g.withColumn("pooled_lag", pooled.select("lag").scalar())
 
 
+def interpolated(s: np.ndarray, t0: float, fs: float, grid: np.ndarray) -> np.ndarray:
+    """Last axis read linearly at ``grid`` from t0 + i/fs; 0 outside."""
+    src = t0 + np.arange(s.shape[-1]) / fs
+    return np.stack([np.interp(grid, src, row, left=0.0, right=0.0) for row in s.reshape(-1, s.shape[-1])]).reshape(*s.shape[:-1], len(grid))
+
+
 def regrid(df: DataFrame, x: str, t0: float, fs: float, step: float, n: int) -> DataFrame:
     """Linear interpolation of the nested array from t0 + i/fs to 0, step, …; 0 outside."""
     from trialframe.operators.epoching import map_epochs
     grid = np.arange(n) * step
-
-    def run(s):
-        src = t0 + np.arange(s.shape[-1]) / fs
-        flat = s.reshape(-1, s.shape[-1])
-        return np.stack([np.interp(grid, src, row, left=0.0, right=0.0) for row in flat]).reshape(*s.shape[:-1], n)
-
-    return map_epochs(df, run, x)
+    return map_epochs(df, lambda s: interpolated(s, t0, fs, grid), x)
 
 
 def channel_series(df: DataFrame, fs_e: float, fs_f: float, tmin_f: float, fps: float, t_end: float, lag_s: float,
                    bands: dict = SERIES_BANDS) -> DataFrame:
     """Paired epochs (``xe``, ``xf``) on one grid: band envelopes ``env_<band>`` and the haemodynamic map ``neural``,
-    the blood read ``lag_s`` later and 0 beyond the recording."""
-    from trialframe.operators.epoching import band_envelope
-    n = int(np.ceil(t_end * fps - 1e-9))
-    out = df
-    for name, (lo, hi) in bands.items():
-        env = out.withColumn("x", F.col("xe")).transform(lambda d: band_envelope(d, lo, hi, fs_e))
-        out = regrid(env, "x", 0.0, fs_e, 1 / fps, n).withColumnRenamed("x", f"env_{name}")
-    out = regrid(out.withColumn("x", F.col("xf")), "x", tmin_f - lag_s, fs_f, 1 / fps, n)
+    the blood read ``lag_s`` later and 0 beyond the recording. All series of a batch are made in one pass, so a task has one Python worker
+    whatever the number of bands."""
+    grid = np.arange(int(np.ceil(t_end * fps - 1e-9))) * (1 / fps)
+    keep = [c for c in df.columns if c not in ("x", "xe", "xf")]
+    made = [(f"env_{name}", len(keep), lambda s, lo=lo, hi=hi: interpolated(kernels.envelope(s, lo, hi, fs_e), 0.0, fs_e, grid))
+            for name, (lo, hi) in bands.items()]
+    made.append(("x", len(keep) + 1, lambda s: interpolated(s, tmin_f - lag_s, fs_f, grid)))
+    types = [df.schema["xf" if name == "x" else "xe"].dataType.simpleString() for name, _, _ in made]
+    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema],
+                        *[f"`{name}` {kind}" for (name, _, _), kind in zip(made, types)]])
+
+    def run(batches):
+        for b in batches:
+            split = {at: kernels.stacks(b.column(at)) for at in (len(keep), len(keep) + 1)}
+            cols = [b.column(i) for i in range(len(keep))]
+            for _, at, fn in made:
+                rows = [None] * b.num_rows
+                for where, stack in split[at]:
+                    for i, e in zip(where, fn(stack)):
+                        rows[i] = e
+                cols.append(kernels.to_nested(rows).cast(b.schema.field(at).type))
+            yield pa.RecordBatch.from_arrays(cols, names=[*keep, *[name for name, _, _ in made]])
+
+    out = df.select(*keep, "xe", "xf").mapInArrow(run, schema)
     half = (F.size("x") / 2).cast("int")
 
     def neural(c):
         return let(F.struct(F.col("x")[c].alias("o"), F.col("x")[c + half].alias("r")), lambda p: let(
             astd(p["o"]) / (astd(p["r"]) + 1e-9), lambda a: F.zip_with(p["o"], p["r"], lambda o, r: 0.5 * (o - a * r))))
 
-    return out.withColumn("neural", F.transform(F.sequence(F.lit(0), half - 1), neural)).drop("x", "xe", "xf")
+    return out.withColumn("neural", F.transform(F.sequence(F.lit(0), half - 1), neural)).drop("x")
 
 
 def sign_aligned_product(df: DataFrame, env: str, neural: str, coverage: str, sign: float, name: str = "joint") -> DataFrame:
