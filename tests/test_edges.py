@@ -367,6 +367,17 @@ def test_series_of_all_bands_are_made_in_one_pass(spark):
     assert np.allclose(out.orderBy("id").first()["neural"], want, atol=1e-9)
 
 
+def test_randomized_copies_read_the_epochs_once(spark):
+    from trialframe.operators import sampling
+    rows = [(k, p, [[float(k + t + 3 * c) for t in range(k + 1)] for c in range(4)]) for k, p in enumerate(["train", "test", None, "train"])]
+    out = sampling.domain_randomize(frame(spark, rows, "id int, part string, x array<array<double>>"), ["id"], 4.0, 2, 5)
+    assert "Union" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r["id"], r["copy"]): r["x"] for r in out.collect()}
+    assert sorted(got) == [(0, 0), (0, 1), (0, 2), (1, 0), (2, 0), (3, 0), (3, 1), (3, 2)]
+    assert all(got[(k, 0)] == x for k, _, x in rows)
+    assert got[(3, 1)] != got[(3, 2)] and all(len(ch) == 4 for ch in got[(3, 1)])
+
+
 def test_matrix_makes_covariances_once_and_predicts_as_each_method(spark, monkeypatch):
     rng = np.random.default_rng(5)
     rows = [(str(e % 4), e // 4, e % 3, e % 2, (rng.standard_normal((3, 12)) * np.where(np.arange(3) == e % 3, 2.0, 1.0)[:, None]).tolist()) for e in range(60)]

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from trialframe.functions.columns import hash_normal, hash_unit
+from trialframe.functions.columns import hash_normal, hash_unit, let
 from trialframe.operators.ordinal import hash_ordinal, ordinal
 
 
@@ -109,29 +109,31 @@ def domain_randomize(df: DataFrame, key: list[str], fs: float, copies: int, seed
     """Randomized copies of the train rows, appended (``copy`` = 0 is the original). Per copy: a log-normal gain per
     channel, common-mode oscillations at random phase with a linear drift that is the same in both chromophores (channel c and c + C/2), and a
     circular shift of at most ``max_shift_s``."""
-    made = df.filter(F.col("part") == "train").withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(copies))))
+    numbers = F.when(F.col("part") == "train", F.sequence(F.lit(0), F.lit(copies))).otherwise(F.array(F.lit(0)))
+    rows = df.withColumn("copy", F.explode(numbers))
     half = (F.size(x) / 2).cast("int")
     n = F.size(F.col(x)[0])
     k = int(max_shift_s * fs)
     shift = (F.floor(hash_unit(f"{seed}/shift", *key, "copy") * (2 * k + 1)) - k).cast("int")
+    span = F.greatest(n - 1, F.lit(1))
 
-    def channel(ch, c):
-        pair = c % half
-        gain = F.exp(gain_sigma * hash_normal(f"{seed}/gain", *key, "copy", pair))
+    def mode(pair):
+        """What both chromophores of a place share: the gain, and the oscillations with their drift over time."""
         phases = [2 * F.pi() * hash_unit(f"{seed}/phase{j}", *key, "copy", pair) for j in range(len(SYSTEMIC_HZ))]
         drift = hash_normal(f"{seed}/drift", *key, "copy", pair)
-        q = F.struct(gain.alias("g"), drift.alias("d"), *[p.alias(f"p{j}") for j, p in enumerate(phases)])
 
-        def move(s):
-            wave = sum((F.sin(2 * F.pi() * hz / fs * s["i"] + s["q"][f"p{j}"]) for j, hz in enumerate(SYSTEMIC_HZ)), F.lit(0.0))
-            span = F.greatest(n - 1, F.lit(1))
-            return s["v"] * s["q"]["g"] + systemic_amp / 3.0 * (wave + s["q"]["d"] * s["i"] / span)
+        def added(h, i):
+            wave = sum((F.sin(2 * F.pi() * hz / fs * i + h[f"p{j}"]) for j, hz in enumerate(SYSTEMIC_HZ)), F.lit(0.0))
+            return systemic_amp / 3.0 * (wave + h["d"] * i / span)
 
-        return F.transform(F.transform(F.array(q), lambda one: F.transform(
-            ch, lambda v, i: F.struct(v.alias("v"), i.alias("i"), one.alias("q"))))[0], move)
+        wave = let(F.struct(drift.alias("d"), *[p.alias(f"p{j}") for j, p in enumerate(phases)]),
+                   lambda h: F.transform(F.col(x)[0], lambda _, i: added(h, i)))
+        return F.struct(F.exp(gain_sigma * hash_normal(f"{seed}/gain", *key, "copy", pair)).alias("g"), wave.alias("w"))
 
-    made = made.withColumn("_k", F.pmod(-shift, n)).withColumn(x, F.transform(x, channel))
-    rolled = F.transform(x, lambda ch: F.concat(F.slice(ch, F.col("_k") + 1, n), F.slice(ch, F.lit(1), F.col("_k"))))
-    made = made.withColumn(x, rolled).drop("_k")
-    return df.withColumn("copy", F.lit(0)).unionByName(made)
+    def channel(modes):
+        return lambda ch, c: let(modes[c % half], lambda m: F.zip_with(ch, m["w"], lambda v, w: v * m["g"] + w))
 
+    noisy = let(F.transform(F.sequence(F.lit(0), half - 1), mode), lambda modes: F.transform(x, channel(modes)))
+    rows = rows.withColumn("_k", F.pmod(-shift, n)).withColumn(x, F.when(F.col("copy") == 0, F.col(x)).otherwise(noisy))
+    rolled = F.transform(x, lambda ch: F.concat(F.slice(ch, F.col("_k") + 1, n), F.slice(ch, F.lit(1), F.col("_k"))))
+    return rows.withColumn(x, F.when(F.col("copy") == 0, F.col(x)).otherwise(rolled)).drop("_k")
