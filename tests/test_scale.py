@@ -132,3 +132,11 @@ def test_temperature_is_the_same_by_shuffle(spark, sf_dir, monkeypatch):
     shuffled = M.temperature_fit(Views(spark, sf_dir).preds, ["fold"], "za").orderBy("fold").collect()
     assert [tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in shipped] == [
         tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in shuffled]
+
+
+def test_long_form_computes_its_arrays_once(spark):
+    from trialframe.plans.signal_plans import long_epochs
+    df = spark.createDataFrame([(1, [[1.0, 2.0], []]), (2, []), (3, None), (4, [None, [3.0]])], "id int, x array<array<double>>")
+    out = long_epochs(df.withColumn("x", F.transform("x", lambda ch: F.transform(ch, lambda v: v + 1))), ["id"])
+    assert "size(" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, out.collect())) == [(1, 0, 0, 2.0), (1, 0, 1, 3.0), (4, 1, 0, 4.0)]

@@ -23,8 +23,9 @@ def onsets(v, onset="t"):
 
 
 def long_epochs(df, keys):
-    e = df.select(*keys, F.posexplode("x").alias("ch", "_s"))
-    e = e.select(*keys, "ch", F.posexplode("_s").alias("i", "v"))
+    # an inner explode makes the optimizer ask for the size of x below its projection, which computes x twice
+    e = df.select(*keys, F.posexplode_outer("x").alias("ch", "_s"))
+    e = e.select(*keys, "ch", F.posexplode_outer("_s").alias("i", "v")).filter("i IS NOT NULL")
     return e.withColumn("v", rnd("v"))
 
 
