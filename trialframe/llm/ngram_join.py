@@ -2,7 +2,7 @@
 
 Equal sets are merged first. A small set enumerates its subsets of every size that a similar partner could share; two sets with
 a common subset are linked if its size is the overlap they need. A large set puts the rarest part of its n-grams into inverted
-lists; sets that meet in a list are candidates if the n-grams they share there leave the needed overlap possible, and are then
+lists; sets that meet in a list are candidates if their sizes and the parities of their n-grams leave the needed overlap possible, and are then
 compared whole. The size up to which sets enumerate is the one with the least estimated cost.
 
 Groups of similar sets aren't expanded into pairs: each list first compares its members with a few of them, and afterwards only
@@ -32,8 +32,10 @@ CELL_BITS = 21
 CHUNK = 500_000
 #: Rows of an Arrow batch that are worked on at once.
 PIECE = 1000
-#: 64-bit words of a list member's bitmap.
-BITMAP = 4
+#: 64-bit words of a set's parities, at least and at most; between them one bit an n-gram.
+PARITIES, MOST_PARITIES = 8, 1024
+#: Members of a list up to which its first comparisons are all it needs.
+SETTLED = 3
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -79,6 +81,14 @@ def prefix_size(size: Column, t: int) -> Column:
     return size - F.ceil(t * size / F.lit(100)) + 1
 
 
+def parities(grams: np.ndarray, words: int = 0) -> np.ndarray:
+    """Bit p tells whether an odd number of n-grams falls on it. Where two sets differ in d n-grams, at most d bits differ. Twice as many
+    words fold to these by an exclusive or of their halves."""
+    words = words or min(MOST_PARITIES, max(PARITIES, 1 << max(0, -(-len(grams) // 64) - 1).bit_length()))
+    odd = np.bincount(grams & (64 * words - 1), minlength=64 * words) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def _batch(schema: pa.Schema, columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
@@ -178,14 +188,14 @@ def _small_links(keys: DataFrame, t: int) -> DataFrame:
 
 
 def _prefixes(docs: DataFrame, n: int, t: int, boundary: int, weights) -> DataFrame:
-    """token, sid, size: the rarest n-grams of the sets that can have a partner above ``boundary``."""
-    schema = pa.schema([("token", pa.int64()), ("sid", pa.int64()), ("size", pa.int32())])
+    """token, sid, size: the rarest n-grams of the sets that can have a partner above ``boundary``. A row without token per set has its parities, ``bits`` and, if it has more, ``all``."""
+    schema = pa.schema([("token", pa.int64()), ("sid", pa.int64()), ("size", pa.int32()), ("bits", pa.list_(pa.int64())), ("all", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heavy = weights.value
         seen: set[int] = set()
         for b in _in_pieces(batches):
-            tokens, sids, sizes = [], [], []
+            tokens, sids, sizes, bits, more = [], [], [], [], []
             for text in b.column(0):
                 g = gram_set(text.as_py(), n)
                 size = len(g)
@@ -201,10 +211,15 @@ def _prefixes(docs: DataFrame, n: int, t: int, boundary: int, weights) -> DataFr
                 tokens.append(g[take])
                 sids.append(sid)
                 sizes.append(size)
+                p = parities(g)
+                bits.append(np.bitwise_xor.reduce(p.reshape(-1, PARITIES)))
+                more.append(p if len(p) > PARITIES else None)
             k = [len(x) for x in tokens]
-            yield _batch(schema, [np.concatenate(tokens) if tokens else [], np.repeat(np.array(sids, np.int64), k), np.repeat(np.array(sizes, np.int32), k)])
+            none = [None] * sum(k)
+            yield _batch(schema, [np.concatenate(tokens) if tokens else [], np.repeat(np.array(sids, np.int64), k), np.repeat(np.array(sizes, np.int32), k), none, none])
+            yield _batch(schema, [[None] * len(k), sids, sizes, bits, more])
 
-    return docs.mapInArrow(run, "token bigint, sid bigint, size int")
+    return docs.mapInArrow(run, "token bigint, sid bigint, size int, bits array<bigint>, all array<bigint>")
 
 
 def _sets(docs: DataFrame, n: int) -> DataFrame:
@@ -228,19 +243,41 @@ def _need(a: Column, b: Column, t: int) -> Column:
     return F.ceil(t * (a + b) / F.lit(100 + t))
 
 
-def _possible(a: str, b: str, t: int, boundary: int) -> Column:
-    """Whether two list members can be similar, by their sizes and by the bitmaps of their k listed n-grams.
+def _fit(a: str, b: str, t: int, boundary: int) -> Column:
+    """Whether two list members can be similar, by their sizes and numbers of listed n-grams k.
 
-    Every common n-gram up to the end of the prefix that ends first stands in both prefixes, so it is listed and has its bit in
-    both; the others are in that set's rest. Of the other prefix, n-grams beyond that end can be common without being listed,
-    so a set's listed n-grams and its own rest don't bound the overlap.
+    Every common n-gram up to the end of the prefix that ends first stands in both prefixes, so it is listed in both; the others
+    are in that set's rest. Of the other prefix, n-grams beyond that end can be common without being listed, so a set's listed
+    n-grams and its own rest don't bound the overlap.
     """
     na, nb, ka, kb = (F.col(f"{x}.{c}") for c in ("size", "k") for x in (a, b))
-    only_a, only_b = (sum(F.bit_count(F.col(f"{x}.bits{j}").bitwiseAND(F.bitwise_not(F.col(f"{y}.bits{j}")))) for j in range(BITMAP)) for x, y in ((a, b), (b, a)))
-    ra, rb = (F.ceil(t * x / F.lit(100)) - 1 for x in (na, nb))
-    need = _need(na, nb, t)
-    return (F.greatest(na, nb) > boundary) & (100 * F.least(na, nb) >= t * F.greatest(na, nb)) & (
-        F.least(ka - only_a, kb - only_b) + F.greatest(ra, rb) >= need)
+    rest = F.ceil(t * F.greatest(na, nb) / F.lit(100)) - 1
+    return (F.greatest(na, nb) > boundary) & (100 * F.least(na, nb) >= t * F.greatest(na, nb)) & (F.least(ka, kb) + rest >= _need(na, nb, t))
+
+
+def _most_apart(na: Column, nb: Column, t: int) -> Column:
+    """n-grams that similar sets of these sizes can have in only one of them."""
+    return na + nb - 2 * _need(na, nb, t)
+
+
+def _near(a: str, b: str, t: int) -> Column:
+    """Whether the parities ``bits`` leave it possible that two sets are similar."""
+    differ = sum(F.bit_count(F.col(f"{a}.bits")[j].bitwiseXOR(F.col(f"{b}.bits")[j])) for j in range(PARITIES))
+    return differ <= _most_apart(F.col(f"{a}.size"), F.col(f"{b}.size"), t)
+
+
+def _nearer(pairs: DataFrame, known: DataFrame, t: int) -> DataFrame:
+    """The pairs (a, b) that all their parities leave possible. ``known``: sid, size, bits, all. Sizes of a pair are within a factor of two, so lengths are as well."""
+    a, b = (known.select(F.col("sid").alias(x), F.struct("size", "bits", F.coalesce("all", "bits").alias("all")).alias(f"of_{x}")) for x in "ab")
+
+    def folded(x: Column, other: Column) -> Column:
+        half = (F.size(x) / 2).cast("int")
+        return F.when(F.size(x) > F.size(other), F.zip_with(F.slice(x, 1, half), F.slice(x, half + 1, half), lambda u, v: u.bitwiseXOR(v))).otherwise(x)
+
+    pa_, pb_ = F.col("of_a.all"), F.col("of_b.all")
+    differ = F.aggregate(F.zip_with(folded(pa_, pb_), folded(pb_, pa_), lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda total, x: total + x)
+    close = pairs.join(a, "a").join(b, "b").where(_near("of_a", "of_b", t))
+    return close.where(differ <= _most_apart(F.col("of_a.size"), F.col("of_b.size"), t)).select("a", "b")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, texts: DataFrame, n: int, t: int) -> DataFrame:
@@ -253,35 +290,38 @@ def _verified(pairs: DataFrame, docs: DataFrame, texts: DataFrame, n: int, t: in
     return both.where(100 * o >= t * (F.size("ga") + F.size("gb") - o)).select("a", "b")
 
 
-def _large_links(docs: DataFrame, lists: DataFrame, texts: DataFrame, n: int, t: int, boundary: int, links: DataFrame) -> DataFrame:
-    """a, b: enough links among list members to join all that links connect. ``lists``: token, sid, size; ``links``: those known."""
-    h = F.xxhash64("token")
-    place = F.expr("shiftleft(1L, cast(pmod(shiftright(xxhash64(token), 8), 64) as int))")
-    bits = [F.bit_or(F.when(F.pmod(h, F.lit(BITMAP)) == j, place).otherwise(F.lit(0).cast("bigint"))).alias(f"bits{j}") for j in range(BITMAP)]
-    members = stored(lists.groupBy("sid", "size").agg(F.count("*").alias("k"), *bits), "join-of")
-    fields = ["sid", "size", "k", *[f"bits{j}" for j in range(BITMAP)]]
-    place_in_set = F.row_number().over(Window.partitionBy("sid").orderBy("token")) - 1  # a set has a prefix of them at most
-    rows = stored(lists.select("token", "sid", place_in_set.alias("place")).join(members, "sid").select("token", "place", *fields), "join-lists")
-    # every list's members meet a few of them: those with the largest listed share, and one at random
+def _large_links(docs: DataFrame, lists: DataFrame, known: DataFrame, texts: DataFrame, n: int, t: int, boundary: int, links: DataFrame) -> DataFrame:
+    """a, b: enough links among list members to join all that links connect. ``lists``: token, sid, size; ``known``: parities of their sets; ``links``: those known."""
+    listed = lists.groupBy("sid").agg(F.count("*").alias("k"))
+    rows = stored(lists.join(listed, "sid").select("token", "sid", "size", "k"), "join-lists")
+    # every list's members meet a few of them: that with the largest listed share, and two at random
     own = prefix_size(F.col("size"), t) - F.col("k")
-    picks = rows.groupBy("token").agg(F.min(F.struct(own.alias("own"), "sid"))["sid"].alias("p0"), F.min("sid").alias("p1"), F.max("sid").alias("p2"))
-    picks = picks.select("token", F.explode(F.array_distinct(F.array("p0", "p1", "p2"))).alias("sid")).join(members, "sid").select("token", *fields)
-    met = rows.alias("r").join(picks.alias("q"), (F.col("r.token") == F.col("q.token")) & (F.col("r.sid") != F.col("q.sid")) & _possible("r", "q", t, boundary))
-    first = stored(met.select(F.greatest("r.sid", "q.sid").alias("a"), F.least("r.sid", "q.sid").alias("b")).distinct(), "join-first")
+    member = F.struct("sid", "size", "k")
+    picks = rows.groupBy("token").agg(F.min(F.struct(own.alias("own"), member.alias("p")))["p"].alias("p0"), F.min(member).alias("p1"), F.max(member).alias("p2"))
+    picks = picks.select("token", F.explode(F.array_distinct(F.array("p0", "p1", "p2"))).alias("p")).select("token", "p.*")
+    met = rows.alias("r").join(picks.alias("q"), (F.col("r.token") == F.col("q.token")) & (F.col("r.sid") != F.col("q.sid")) & _fit("r", "q", t, boundary))
+    met = met.select(F.greatest("r.sid", "q.sid").alias("a"), F.least("r.sid", "q.sid").alias("b")).distinct()
+    first = stored(_nearer(met, known, t), "join-first")
     links = stored(links.union(_verified(first, docs, texts, n, t)), "join-links")
-    # where a list has several components: members outside its largest one meet those of all others
+    # where a larger list has several components: members outside its largest one meet those of all others
     comp = stored(components(links), "join-comp")
-    placed = rows.join(comp, rows["sid"] == comp["node"], "left").select("token", "place", *fields, F.coalesce("comp", "sid").alias("comp"))
+    large = rows.groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") > SETTLED).select("token")
+    placed = rows.join(large, "token", "left_semi").join(comp, F.col("sid") == comp["node"], "left").select("token", "sid", "size", F.coalesce("comp", "sid").alias("comp"))
+    placed = stored(placed, "join-placed")
     counts = placed.groupBy("token", "comp").agg(F.count("*").alias("k")).groupBy("token").agg(F.count("*").alias("comps"), F.max(F.struct("k", "comp")).alias("m")).where("comps > 1")
-    open_ = stored(placed.join(counts.select("token", F.col("m.comp").alias("largest")), "token"), "join-open")
+    open_ = placed.join(counts.select("token", F.col("m.comp").alias("largest")), "token")
+    # what two sets have in common and did not meet before stands in these lists alone
+    one_set = Window.partitionBy("sid")  # its prefix at most
+    open_ = open_.withColumn("place", F.row_number().over(one_set.orderBy("token")) - 1).withColumn("k", F.count("*").over(one_set))
+    open_ = stored(open_.join(known.select("sid", "bits"), "sid"), "join-open")
     few = open_.where("comp <> largest")
     # a pair that shares enough listed n-grams shares one with that many of its own behind it, in either set
     enough = _need(F.col("f.size"), F.col("r.size"), t) - F.ceil(t * F.greatest("f.size", "r.size") / F.lit(100)) + 1
     early = (F.col("f.place") <= F.col("f.k") - enough) & (F.col("r.place") <= F.col("r.k") - enough)
     pairs = few.alias("f").join(open_.alias("r"), (F.col("f.token") == F.col("r.token")) & early & (F.col("f.comp") != F.col("r.comp"))
-                                & ((F.col("r.comp") == F.col("r.largest")) | (F.col("f.sid") < F.col("r.sid"))) & _possible("f", "r", t, boundary))
+                                & ((F.col("r.comp") == F.col("r.largest")) | (F.col("f.sid") < F.col("r.sid"))) & _fit("f", "r", t, boundary) & _near("f", "r", t))
     far = pairs.select(F.greatest("f.sid", "r.sid").alias("a"), F.least("f.sid", "r.sid").alias("b")).distinct()
-    far = stored(far.join(first, ["a", "b"], "left_anti"), "join-rest")
+    far = stored(_nearer(far.join(first, ["a", "b"], "left_anti"), known, t), "join-rest")
     return links.union(_verified(far, docs, texts, n, t))
 
 
@@ -318,11 +358,14 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: int = 80, id_col: st
     prefixes = stored(_prefixes(only, n, t, boundary, docs.sparkSession.sparkContext.broadcast(weights)), "join-prefixes")
     # n-grams met by two sets; half the hash is enough to leave the others out
     half = F.shiftright("token", 32).cast("int")
-    shared = prefixes.groupBy(half.alias("half")).agg(F.count("*").alias("k")).where("k > 1").select("half")
-    lists = stored(prefixes.withColumn("half", half).join(shared, "half", "left_semi").drop("half"), "join-shared")
+    tokens = prefixes.where("token is not null").select("token", "sid", "size")
+    shared = tokens.groupBy(half.alias("half")).agg(F.count("*").alias("k")).where("k > 1").select("half")
+    lists = stored(tokens.withColumn("half", half).join(shared, "half", "left_semi").drop("half"), "join-shared")
     met = lists.groupBy("token").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).where("lo <> hi").select("token")
     lists = stored(lists.join(met, "token", "left_semi").distinct(), "join-members")
-    comp = components(stored(_large_links(texts, lists, sets.select("sid", "one.thash", "one.low"), n, t, boundary, links), "join-all"))
+    known = prefixes.where("token is null").join(lists.select("sid").distinct(), "sid", "left_semi").dropDuplicates(["sid"])
+    known = stored(known.select("sid", "size", "bits", "all"), "join-parities")
+    comp = components(stored(_large_links(texts, lists, known, sets.select("sid", "one.thash", "one.low"), n, t, boundary, links), "join-all"))
     comp = stored(comp, "join-comp")
     placed = sets.join(comp, sets["sid"] == comp["node"], "left").select("sid", "lowest", "n_copies", F.coalesce("comp", "sid").alias("comp"))
     lowest = placed.groupBy("comp").agg(F.min("lowest").alias("component_id"))
