@@ -31,6 +31,8 @@ POWER = 2
 SAMPLE, PER_DOCUMENT, MARKED, PLAIN = 2500, 6, 112, 16
 #: Distinct words a worker remembers.
 CACHE = 300_000
+#: Characters of the texts whose words are looked up together.
+TOGETHER = 1_000_000
 TABLE = 1 << 18
 STOPS = frozenset(".!?")
 
@@ -89,7 +91,12 @@ class Landmarks:
             for x, v in own.items():
                 self.matrix[codes[x], m] = v / norm
         self.most = self.matrix.max(axis=1)[self.index]  # by feature number
-        self.held: dict[str, np.ndarray | None] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        """Known tokens: 4 times the row of ``rows`` (0: no landmark is close), 2 more if it ends a sentence, 1 more if it is a single character."""
+        self.held: dict[str, int] = {}
+        self.rows, self.used = np.zeros((1024, len(self.words)), np.float32), 1
 
     def kernel(self, words: list[str]) -> np.ndarray:
         """(words, landmarks); words of one length."""
@@ -103,48 +110,68 @@ class Landmarks:
         return np.where(out >= LEAST, np.minimum(out, 1) ** POWER, 0)
 
     def learn(self, tokens: set[str]) -> None:
-        """Put the kernels of unknown tokens into the cache; None where no landmark is close."""
+        """Put the kernels of unknown tokens into the cache."""
         by_length: dict[int, list[tuple[str, str]]] = {}
         for t in tokens:
-            if t not in self.held:
-                self.held[t] = None
-                inner = bare(t)
-                letters = "^" + "".join(c for c in inner if c.isalnum()) if not inner[1:].isalnum() else inner
-                for p in {*pieces(inner), *pieces(letters)}:
-                    if len(p) >= 3:
-                        by_length.setdefault(len(p), []).append((t, p))
+            self.held[t] = 2 * (t[-1] in STOPS) + (len(t) == 1)
+            inner = bare(t)
+            letters = "^" + "".join(c for c in inner if c.isalnum()) if not inner[1:].isalnum() else inner
+            for p in {*pieces(inner), *pieces(letters)}:
+                if len(p) >= 3:
+                    by_length.setdefault(len(p), []).append((t, p))
         for group in by_length.values():
             for a in range(0, len(group), 4096):
                 part = group[a:a + 4096]
                 k = self.kernel([p for _, p in part])
                 for i in np.nonzero(k.any(axis=1))[0]:
-                    old = self.held[part[i][0]]
-                    self.held[part[i][0]] = k[i] if old is None else np.maximum(old, k[i])
-
-    def sentences(self, text: str) -> np.ndarray:
-        """(sentences, landmarks) of those that have a word close to a landmark. A sentence ends with a word that ends in a stop."""
-        words = text.lower().split()
-        tokens = set(words)
-        single = [i for i, w in enumerate(words) if len(w) == 1] if any(len(t) == 1 for t in tokens) else []
-        spelled = {}  # three or more single characters in a row are one word
-        for run in np.split(single, np.nonzero(np.diff(single) != 1)[0] + 1) if len(single) > 2 else []:
-            if len(run) > 2:
-                spelled[int(run[0])] = "".join(words[i] for i in run)
-        if len(self.held) > CACHE:
-            self.held.clear()
-        new = {t for t in tokens.union(spelled.values()) if t not in self.held}
-        if new:
-            self.learn(new)
-        close = {t: k for t in tokens if (k := self.held[t]) is not None}
-        found = [(i, close[w]) for i, w in enumerate(words) if w in close] if close else []
-        found += [(i, k) for i, w in spelled.items() if (k := self.held[w]) is not None]
-        if not found:
+                    t = part[i][0]
+                    if self.held[t] < 4:
+                        if self.used == len(self.rows):
+                            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+                        self.held[t] += 4 * self.used
+                        self.used += 1
+                    row = self.rows[self.held[t] >> 2]
+                    np.maximum(row, k[i], out=row)
+
+    def sentences(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """Per text (sentences, landmarks) of those that have a word close to a landmark. A sentence ends with a word that ends in a stop."""
+        at = 0
+        while at < len(texts):
+            split, size = [], 0
+            while at < len(texts) and size < TOGETHER:
+                split.append(texts[at].lower().split())
+                size += len(texts[at])
+                at += 1
+            if len(self.held) > CACHE:
+                self.forget()
+            # unknown words of all these texts are compared with the landmarks at once
+            self.learn(set().union(*split).difference(self.held))
+            codes = [np.fromiter(map(self.held.__getitem__, words), np.int64, len(words)) for words in split]
+            spelled = [self._spelled(words, c) for words, c in zip(split, codes, strict=True)]
+            self.learn({w for own in spelled for w in own.values()}.difference(self.held))
+            yield from map(self._of_text, codes, spelled)
+
+    def _spelled(self, words: list[str], codes: np.ndarray) -> dict[int, str]:
+        """Three or more single characters in a row are one word, at the place of the first."""
+        single = np.nonzero(codes & 1)[0]
+        if len(single) < 3:
+            return {}
+        runs = np.split(single, np.nonzero(np.diff(single) != 1)[0] + 1)
+        return {int(run[0]): "".join(words[i] for i in run) for run in runs if len(run) > 2}
+
+    def _of_text(self, codes: np.ndarray, spelled: dict[int, str]) -> np.ndarray:
+        found, ends = np.nonzero(codes >> 2)[0], np.nonzero(codes & 2)[0]
+        rows = codes[found] >> 2
+        if spelled:
+            more = [(i, row) for i, w in spelled.items() if (row := self.held[w] >> 2)]
+            found = np.append(found, [i for i, _ in more]).astype(np.int64)
+            rows = np.append(rows, [row for _, row in more]).astype(np.int64)
+        if not len(found):
             return np.zeros((0, len(self.words)), np.float32)
-        ends = [i for i, w in enumerate(words) if w[-1] in STOPS]
-        of = np.searchsorted(ends, [i for i, _ in found])
-        order = np.argsort(of, kind="stable")
-        starts = np.nonzero(np.diff(of[order], prepend=-1))[0]
-        return np.maximum.reduceat(np.stack([found[i][1] for i in order]), starts, axis=0)
+        # each row once a sentence, sentences in order
+        both = np.unique(np.searchsorted(ends, found) * self.used + rows)
+        starts = np.nonzero(np.diff(both // self.used, prepend=-1))[0]
+        return np.maximum.reduceat(self.rows[both % self.used], starts, axis=0)
 
 
 @dataclass
@@ -189,8 +216,8 @@ def _sentences(train: DataFrame, words: list[str]) -> DataFrame:
         marks = Landmarks(words)
         for b in batches:
             ids, toxic, rows = [], [], []
-            for i, y, text in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
-                own = np.unique(marks.sentences(text), axis=0)
+            for i, y, own in zip(*(b.column(k).to_pylist() for k in range(2)), marks.sentences(b.column(2).to_pylist()), strict=True):
+                own = np.unique(own, axis=0)
                 own = own[np.argsort(-own[:, :MARKED].sum(axis=1), kind="stable")[:PER_DOCUMENT]] if len(own) else np.zeros((1, len(words)), np.float32)
                 ids += [i] * len(own)
                 toxic += [y] * len(own)
@@ -273,8 +300,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
         marks = Landmarks(m.landmarks)
         for b in batches:
             worst = np.full(b.num_rows, m.bias)
-            for i, text in enumerate(b.column(1)):
-                rows = marks.sentences(text.as_py())
+            for i, rows in enumerate(marks.sentences(b.column(1).to_pylist())):
                 if len(rows):
                     worst[i] = max(m.bias, float((rows @ m.weights).max()) + m.bias)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(m.probability(worst))], names=["doc", "toxic_score"])
