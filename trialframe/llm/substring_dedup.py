@@ -4,8 +4,9 @@ Every window of ``length`` words has a key: the least hash of the shorter word r
 consecutive windows mostly share one, so a text is cut into contexts (windows with one key at one place), about two for ``length``
 words. Keys with a single occurrence can't hold a repeated window. Where all contexts of a key are equal, all their windows
 repeat. The other contexts are the reference: they are dealt to shards by key, each shard's suffix automaton is built with
-the number of occurrences of every state, and its contexts are streamed through it for matching statistics. Windows that
-occur twice are found word by word. The automata travel with their shards instead of to every document, since each document
+the number of occurrences of every state, and its contexts are streamed through it for matching statistics. Passages that a
+shard holds only as a whole are one letter of its automaton, so its states are as many as the places where contexts part or meet.
+Windows that occur twice are found word by word. The automata travel with their shards instead of to every document, since each document
 against each shard would be quadratic; a key with very many contexts is dealt by single windows, so that no shard gets
 large.
 """
@@ -13,7 +14,9 @@ large.
 from __future__ import annotations
 
 import hashlib
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +31,10 @@ from trialframe.llm.ngram_join import mixed
 CONTEXT = 24
 #: Words whose automaton one task holds.
 SHARD_WORDS = 40_000
+#: Words of the runs from which letters are made (a power of two; fewer for shorter windows).
+RUN = 8
+#: Rows of words that leave a task in one batch.
+TOGETHER = 4096
 #: Contexts from which a key is dealt by single windows.
 HOT = 2048
 BASE = 0x9E3779B97F4A7C15 | 1
@@ -144,6 +151,63 @@ class Automaton:
                 yield i - length + 1
 
 
+    def repeats(self, letters: list[int], spans: list[tuple[int, int]]) -> list[bool]:
+        """Whether the reference holds letters[a:b + 1] more than once, for spans (a, b) of one of its texts; neither end ever falls."""
+        v, at, out = 0, 0, []
+        for b, w in enumerate(letters):
+            v = self.next[v][w]
+            while at < len(spans) and spans[at][1] == b:
+                while self.length[self.link[v]] >= b - spans[at][0] + 1:
+                    v = self.link[v]
+                out.append(self.count[v] > 1)
+                at += 1
+        return out
+
+
+def lettered(texts: list[list[int]], length: int) -> tuple[list[list[int]], list[list[tuple[int, int]]], list[list[int]]]:
+    """Texts of at least ``length`` numbered words as sequences of letters; per text the spans (a, b) of letters under its windows and the
+    first window of each span, in order.
+
+    A letter stands for runs of words each of which has only the next one behind and only the one before in front, in all texts, so a
+    letter occurs as a whole or not at all, and a window as often as the letters under it.
+    """
+    run = 1
+    while 2 * run <= min(RUN, length):
+        run *= 2
+    sizes = np.array([len(t) for t in texts])
+    r, width = np.concatenate([np.asarray(t, np.int64) for t in texts]), 1
+    while width < run:
+        r = np.unique(r[:-width] * (r.max() + 1) + r[width:], return_inverse=True)[1]
+        width *= 2
+    n, text = sizes - run + 1, np.arange(len(texts))
+    ends = np.cumsum(n)
+    first = ends - n
+    g = np.unique(r[np.arange(ends[-1]) + np.repeat(text * (run - 1), n)], return_inverse=True)[1]  # runs within texts
+    order = np.argsort(g, kind="stable")
+    groups = np.nonzero(np.diff(g[order], prepend=-1))[0]
+
+    def one(neighbours: np.ndarray) -> np.ndarray:
+        x = neighbours[order]
+        return np.minimum.reduceat(x, groups) == np.maximum.reduceat(x, groups)
+
+    behind, before = np.append(g[1:], 0), np.append(0, g[:-1])
+    behind[ends - 1] = before[first] = -1 - text
+    joined = one(behind)[g[:-1]] & one(before)[g[1:]]
+    joined[ends[:-1] - 1] = False
+    begins = np.append(True, ~joined)
+    letter = np.cumsum(begins) - 1
+    low = letter[first]
+    letters = [x.tolist() for x in np.split(g[begins], low[1:])]
+    count = sizes - length + 1
+    of = np.repeat(text, count)
+    window = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    a, b = letter[first[of] + window] - low[of], letter[first[of] + window + length - run] - low[of]
+    new = np.nonzero((np.diff(of, prepend=-1) != 0) | (np.diff(a, prepend=-1) != 0) | (np.diff(b, prepend=-1) != 0))[0]
+    cuts = np.searchsorted(of[new], text[1:])
+    spans = [list(zip(x.tolist(), y.tolist(), strict=True)) for x, y in zip(np.split(a[new], cuts), np.split(b[new], cuts), strict=True)]
+    return letters, spans, [x.tolist() for x in np.split(window[new], cuts)]
+
+
 def _rows(schema: pa.Schema, columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
@@ -181,22 +245,27 @@ def _context_words(texts: DataFrame, length: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        fields = ("key", "ctx", "start", "windows", "hot", "weight")
         for b in batches:
-            for thash, text, wanted in zip(*(b.column(i) for i in range(3)), strict=True):
-                if thash.as_py() in seen:
+            out = []
+            for k in range(b.num_rows):
+                if (thash := b.column(0)[k].as_py()) in seen:
                     continue
-                seen.add(thash.as_py())
-                words, out = text.as_py().encode().split(), []
-                for x in wanted.as_py():
-                    own = words[x["start"]:x["start"] + x["windows"] + length - 1]
-                    if x["hot"]:
-                        for i in range(x["windows"]):
+                seen.add(thash)
+                words, wanted = b.column(1)[k].as_py().encode().split(), b.column(2)[k].values
+                for key, ctx, start, windows, is_hot, weight in zip(*(wanted.field(f).to_pylist() for f in fields), strict=True):
+                    own = words[start:start + windows + length - 1]
+                    if is_hot:
+                        for i in range(windows):
                             line = b" ".join(own[i:i + length])
-                            out.append((x["key"], x["ctx"], i, np.uint64(xxhash.xxh3_64_intdigest(line)).astype(np.int64), x["weight"], line.decode()))
+                            out.append((key, ctx, i, np.uint64(xxhash.xxh3_64_intdigest(line)).astype(np.int64), weight, line.decode()))
                     else:
-                        out.append((x["key"], x["ctx"], None, None, x["weight"], b" ".join(own).decode()))
-                if out:
+                        out.append((key, ctx, None, None, weight, b" ".join(own).decode()))
+                if len(out) >= TOGETHER:
                     yield _rows(schema, [list(c) for c in zip(*out, strict=True)])
+                    out = []
+            if out:
+                yield _rows(schema, [list(c) for c in zip(*out, strict=True)])
 
     return texts.mapInArrow(run, "key bigint, ctx bigint, window int, whash bigint, weight int, words string")
 
@@ -206,13 +275,19 @@ def _masks(reference: DataFrame, length: int) -> DataFrame:
     schema = pa.schema([("key", pa.int64()), ("ctx", pa.int64()), ("mask", pa.int64())])
 
     def shard(table: pa.Table) -> pa.Table:
-        number: dict[str, int] = {}
+        number = defaultdict(count().__next__)
         once = {k: i for i, k in enumerate(zip(*(table.column(c).to_pylist() for c in ("key", "ctx", "origin")), strict=True))}
         table = table.take(pa.array(sorted(once.values()), pa.int64()))
-        texts = [[number.setdefault(w, len(number)) for w in line.split(" ")] for line in table.column("words").to_pylist()]
-        automaton = Automaton(texts, table.column("weight").to_pylist())
-        # contexts of weight 2 repeat as a whole and are there for the others
-        masks = [sum(1 << i for i in automaton.repeated(t, length)) if w == 1 or s else 0 for t, w, s in zip(texts, *(table.column(c).to_pylist() for c in ("weight", "origin")), strict=True)]
+        texts = [list(map(number.__getitem__, line.split(" "))) for line in table.column("words").to_pylist()]
+        letters, spans, starts = lettered(texts, length)
+        automaton = Automaton(letters, table.column("weight").to_pylist())
+        masks = []
+        for t, x, own, at, w, s in zip(texts, letters, spans, starts, *(table.column(c).to_pylist() for c in ("weight", "origin")), strict=True):
+            mask = 0
+            if w == 1 or s:  # contexts of weight 2 repeat as a whole and are there for the others
+                for i, j, twice in zip(at, [*at[1:], len(t) - length + 1], automaton.repeats(x, own), strict=True):
+                    mask |= ((1 << j) - (1 << i)) * twice
+            masks.append(mask)
         return pa.Table.from_arrays([table.column("key"), table.column("ctx"), pa.array(masks, pa.int64())], schema=schema)
 
     return reference.groupBy("shard").applyInArrow(shard, "key bigint, ctx bigint, mask bigint")
