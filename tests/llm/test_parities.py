@@ -29,8 +29,8 @@ def test_a_group_of_near_copies_below_the_threshold_is_not_compared_in_pairs(spa
     rows = []
     for d in range(60):
         words = list(base)
-        for k in range(6):
-            words[50 * k + rng.randrange(45)] = f"own{d}x{k}"
+        for k in range(4):
+            words[75 * k + rng.randrange(70)] = f"own{d}x{k}"
         rows.append((d, " ".join(words)))
     rows += [(100, rows[7][1] + " more"), (101, "more " + rows[7][1]), (102, "other " + rows[31][1])]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
