@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from contextvars import ContextVar
+from weakref import WeakKeyDictionary
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,12 +18,46 @@ WORD = r"[^\x20\x09-\x0D]+"
 BROADCAST_ROWS = 200_000
 
 
+#: Where the tables of ``stored`` are, and those written since the innermost ``only_stored`` began.
+_PATHS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+_WRITTEN: ContextVar[list[str]] = ContextVar("written")
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write to a new table in the shared folder and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = fresh_table_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    _WRITTEN.get([]).append(path)
+    return out
+
+
+def only_stored(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """``make()`` stored. The tables that were stored on the way to it are deleted, so only what ``make`` returns may read them."""
+    written: list[str] = []
+    before = _WRITTEN.set(written)
+    try:
+        out = stored(make(), name)
+    finally:
+        _WRITTEN.reset(before)
+    _WRITTEN.get([]).append(_PATHS[out])
+    _delete(out.sparkSession, [path for path in written if path != _PATHS[out]])
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``stored`` that nothing will read any more; other data frames are left alone."""
+    for table in tables:
+        if table in _PATHS:
+            _delete(table.sparkSession, [_PATHS.pop(table)])
+
+
+def _delete(spark: SparkSession, paths: list[str]) -> None:
+    sc = spark.sparkContext
+    for path in (sc._jvm.org.apache.hadoop.fs.Path(p) for p in paths):
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:

@@ -14,18 +14,17 @@ large.
 from __future__ import annotations
 
 import hashlib
-from collections import defaultdict
 from collections.abc import Iterator
-from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trialframe.llm.common import small_side, stored, text_or_empty
-from trialframe.llm.ngram_join import mixed
+from trialframe.llm.common import discard, only_stored, small_side, stored, text_or_empty
+from trialframe.llm.ngram_join import M1, mixed
 
 #: Windows of one context at most.
 CONTEXT = 24
@@ -33,6 +32,11 @@ CONTEXT = 24
 SHARD_WORDS = 40_000
 #: Words of the runs from which letters are made (a power of two; fewer for shorter windows).
 RUN = 8
+#: Texts that are cut at once.
+TEXTS = 500
+#: Bytes of a word up to which words are hashed together, and masks of the first bytes of eight.
+LONG_WORD = 64
+FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 #: Rows of words that leave a task in one batch.
 TOGETHER = 4096
 #: Contexts from which a key is dealt by single windows.
@@ -78,21 +82,56 @@ def sliding_argmin(a: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def contexts(words: list[bytes], length: int) -> tuple[np.ndarray, ...]:
-    """key, start, windows, hash of the contexts of a text."""
-    none = np.zeros(0, np.int64)
-    if len(words) < length:
-        return none, none, none, none
-    c = sums(np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)))
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts one behind the other, and their number per text."""
+    bare = pc.ascii_trim_whitespace(texts)
+    lines = pc.ascii_split_whitespace(pc.if_else(pc.equal(bare, ""), pa.scalar(None, bare.type), bare))
+    return lines.flatten(), pc.fill_null(pc.list_value_length(lines), 0).to_numpy().astype(np.int64)
+
+
+def word_hashes(words: pa.Array) -> np.ndarray:
+    """Eight bytes of all words at a time; long words one by one."""
+    words = words.cast(pa.large_binary())
+    if not len(words):
+        return np.zeros(0, np.uint64)
+    ends = np.frombuffer(words.buffers()[1], np.int64)[words.offset:words.offset + len(words) + 1]
+    start, size = ends[:-1] - ends[0], np.diff(ends)
+    letters = np.zeros(ends[-1] - ends[0] + 8, np.uint8)
+    letters[:-8] = np.frombuffer(words.buffers()[2], np.uint8)[ends[0]:ends[-1]]
+    eight = np.ndarray(len(letters) - 7, "<u8", letters, strides=(1,))
+    h, live, at = size.astype(np.uint64), np.nonzero(size <= LONG_WORD)[0], 0
+    while len(live):
+        x = eight[start[live] + at] & FIRST[np.minimum(size[live] - at, 8)]
+        h[live] = mixed(h[live] * M1 + x)
+        at += 8
+        live = live[size[live] > at]
+    for k in np.nonzero(size > LONG_WORD)[0]:
+        h[k] = xxhash.xxh3_64_intdigest(letters[start[k]:start[k] + size[k]].tobytes())
+    return h
+
+
+def contexts(hashes: np.ndarray, sizes: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """text, key, start, windows, hash of the contexts of several texts, whose hashed words stand one behind the other."""
+    window = np.maximum(sizes - length + 1, 0)
+    text = np.repeat(np.arange(len(sizes)), window)
+    if not len(text):
+        none = np.zeros(0, np.int64)
+        return none, none, none, none, none
+    base = np.cumsum(sizes) - sizes
+    at = np.arange(len(text)) + (base - np.cumsum(window) + window)[text]  # first words of the windows, none of which spans two texts
+    c = sums(hashes)
     run = max(1, length // 3)
-    at = np.arange(len(words) - run + 1)
-    hashes = run_hashes(c, at, at + run)
-    least = sliding_argmin(hashes, length - run + 1)  # a window that recurs in its own text has its least run at another place there
-    key = hashes[least]
-    change = np.concatenate([[0], np.nonzero(least[1:] != least[:-1])[0] + 1, [len(key)]])
-    starts = np.concatenate([np.arange(a, b, CONTEXT) for a, b in zip(change[:-1], change[1:], strict=True)]) if (np.diff(change) > CONTEXT).any() else change[:-1]
-    count = np.diff(np.append(starts, len(key)))
-    return key[starts].view(np.int64), starts, count, run_hashes(c, starts, starts + count + length - 1).view(np.int64)
+    first = np.arange(len(hashes) - run + 1)
+    runs = run_hashes(c, first, first + run)
+    least = sliding_argmin(runs, length - run + 1)[at]  # a window that recurs in its own text has its least run at another place there
+    change = np.nonzero(np.diff(least, prepend=-1))[0]  # texts have no run in common
+    many = np.diff(np.append(change, len(at)))
+    parts = -(-many // CONTEXT)
+    step = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+    begin = np.repeat(change, parts) + CONTEXT * step
+    count = np.minimum(np.repeat(change + many, parts) - begin, CONTEXT)
+    start, of = at[begin], text[begin]
+    return of, runs[least[begin]].view(np.int64), start - base[of], count, run_hashes(c, start, start + count + length - 1).view(np.int64)
 
 
 class Automaton:
@@ -164,7 +203,18 @@ class Automaton:
         return out
 
 
-def lettered(texts: list[list[int]], length: int) -> tuple[list[list[int]], list[list[tuple[int, int]]], list[list[int]]]:
+def numbered(values: np.ndarray | pa.Array) -> np.ndarray:
+    """The values as numbers from 0, equal ones alike."""
+    return pa.array(values).dictionary_encode().indices.to_numpy().astype(np.int64)
+
+
+def parted(values: np.ndarray | list, sizes: np.ndarray) -> list:
+    """Consecutive parts of these sizes."""
+    ends = np.cumsum(sizes).tolist()
+    return [values[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+
+
+def lettered(texts: list[list[int]] | list[np.ndarray], length: int) -> tuple[list[list[int]], list[list[tuple[int, int]]], list[list[int]]]:
     """Texts of at least ``length`` numbered words as sequences of letters; per text the spans (a, b) of letters under its windows and the
     first window of each span, in order.
 
@@ -177,18 +227,21 @@ def lettered(texts: list[list[int]], length: int) -> tuple[list[list[int]], list
     sizes = np.array([len(t) for t in texts])
     r, width = np.concatenate([np.asarray(t, np.int64) for t in texts]), 1
     while width < run:
-        r = np.unique(r[:-width] * (r.max() + 1) + r[width:], return_inverse=True)[1]
+        if int(r.max()) >= 1 << 31:
+            r = numbered(r)
+        r = r[:-width] * (r.max() + 1) + r[width:]
         width *= 2
     n, text = sizes - run + 1, np.arange(len(texts))
     ends = np.cumsum(n)
     first = ends - n
-    g = np.unique(r[np.arange(ends[-1]) + np.repeat(text * (run - 1), n)], return_inverse=True)[1]  # runs within texts
-    order = np.argsort(g, kind="stable")
-    groups = np.nonzero(np.diff(g[order], prepend=-1))[0]
+    g = numbered(r[np.arange(ends[-1]) + np.repeat(text * (run - 1), n)])  # runs within texts
 
     def one(neighbours: np.ndarray) -> np.ndarray:
-        x = neighbours[order]
-        return np.minimum.reduceat(x, groups) == np.maximum.reduceat(x, groups)
+        """Whether all places of a run have the same neighbour: that of any one of them."""
+        some, same = np.empty(g.max() + 1, np.int64), np.ones(g.max() + 1, bool)
+        some[g] = neighbours
+        same[g[neighbours != some[g]]] = False
+        return same
 
     behind, before = np.append(g[1:], 0), np.append(0, g[:-1])
     behind[ends - 1] = before[first] = -1 - text
@@ -197,15 +250,14 @@ def lettered(texts: list[list[int]], length: int) -> tuple[list[list[int]], list
     begins = np.append(True, ~joined)
     letter = np.cumsum(begins) - 1
     low = letter[first]
-    letters = [x.tolist() for x in np.split(g[begins], low[1:])]
+    letters = parted(g[begins].tolist(), np.diff(np.append(low, letter[-1] + 1)))
     count = sizes - length + 1
     of = np.repeat(text, count)
     window = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
     a, b = letter[first[of] + window] - low[of], letter[first[of] + window + length - run] - low[of]
     new = np.nonzero((np.diff(of, prepend=-1) != 0) | (np.diff(a, prepend=-1) != 0) | (np.diff(b, prepend=-1) != 0))[0]
-    cuts = np.searchsorted(of[new], text[1:])
-    spans = [list(zip(x.tolist(), y.tolist(), strict=True)) for x, y in zip(np.split(a[new], cuts), np.split(b[new], cuts), strict=True)]
-    return letters, spans, [x.tolist() for x in np.split(window[new], cuts)]
+    many = np.bincount(of[new], minlength=len(texts))
+    return letters, parted(list(zip(a[new].tolist(), b[new].tolist(), strict=True)), many), parted(window[new].tolist(), many)
 
 
 def _rows(schema: pa.Schema, columns: list) -> pa.RecordBatch:
@@ -218,23 +270,19 @@ def _cut(docs: DataFrame, length: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for b in batches:
-            n, whole, of, parts = [], [], [], []
-            for thash, text in zip(b.column(1).to_pylist(), b.column(2), strict=True):
-                words = text.as_py().encode().split()
-                n.append(len(words))
-                whole.append(hashlib.sha256(b" ".join(words)).hexdigest())
-                if thash not in seen:
-                    seen.add(thash)
-                    parts.append(contexts(words, length))
-                    of.append(np.full(len(parts[-1][0]), thash, np.int64))
+        for b in (b.slice(at, TEXTS) for b in batches for at in range(0, b.num_rows, TEXTS)):
+            words, sizes = split_words(b.column(2))
+            lines = pa.ListArray.from_arrays(np.append(0, np.cumsum(sizes)).astype(np.int32), words)
+            whole = [hashlib.sha256(line).hexdigest() for line in pc.binary_join(lines, " ").cast(pa.binary()).to_pylist()]
+            none = [None] * b.num_rows
+            yield _rows(schema, [b.column(0), b.column(1), sizes, whole, none, none, none, none])
+            thash = b.column(1).to_numpy()
+            new = [k for k, t in enumerate(thash.tolist()) if t not in seen and not seen.add(t)]
             if len(seen) > 200_000:
                 seen.clear()
-            none = [None] * b.num_rows
-            yield _rows(schema, [b.column(0), b.column(1), n, whole, none, none, none, none])
-            key, start, count, ctx = (np.concatenate(x) if parts else [] for x in (zip(*parts, strict=True) if parts else [()] * 4))
+            of, key, start, count, ctx = contexts(word_hashes(lines.take(pa.array(new, pa.int32())).flatten()), sizes[new], length)
             none = [None] * len(key)
-            yield _rows(schema, [none, np.concatenate(of) if of else [], none, none, key, start, count, ctx])
+            yield _rows(schema, [none, thash[new][of], none, none, key, start, count, ctx])
 
     return docs.mapInArrow(run, "doc_id bigint, thash bigint, n_words bigint, whole string, key bigint, start int, windows int, ctx bigint")
 
@@ -275,10 +323,10 @@ def _masks(reference: DataFrame, length: int) -> DataFrame:
     schema = pa.schema([("key", pa.int64()), ("ctx", pa.int64()), ("mask", pa.int64())])
 
     def shard(table: pa.Table) -> pa.Table:
-        number = defaultdict(count().__next__)
         once = {k: i for i, k in enumerate(zip(*(table.column(c).to_pylist() for c in ("key", "ctx", "origin")), strict=True))}
         table = table.take(pa.array(sorted(once.values()), pa.int64()))
-        texts = [list(map(number.__getitem__, line.split(" "))) for line in table.column("words").to_pylist()]
+        lines = pc.split_pattern(table.column("words").combine_chunks(), " ")
+        texts = parted(numbered(lines.flatten()), pc.list_value_length(lines).to_numpy())
         letters, spans, starts = lettered(texts, length)
         automaton = Automaton(letters, table.column("weight").to_pylist())
         masks = []
@@ -321,37 +369,47 @@ def _kept(texts: DataFrame, length: int) -> DataFrame:
 def repeated_windows(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
     """(rows of the documents, marks): marks has thash and an array of (start, mask) of repeated windows. ``docs``: doc_id, thash, text."""
     cut = stored(_cut(docs, length), "sub-cut")
-    rows = cut.where("n_words is not null").select("doc_id", "thash", "n_words", "whole")
+    rows = stored(cut.where("n_words is not null").select("doc_id", "thash", "n_words", "whole"), "sub-rows")
     ctx = cut.where("key is not null").select("thash", "key", "start", "windows", "ctx")
     place = F.xxhash64("thash", "start")
     # half of the key is enough to leave out what occurs once
     half, short = F.shiftright("key", 32).cast("int"), F.shiftright(place, 32).cast("int")
     twice = ctx.groupBy(half.alias("half")).agg(F.min(short).alias("lo"), F.max(short).alias("hi")).where("lo <> hi").select("half")
     found = stored(ctx.withColumn("half", half).join(twice, "half", "left_semi").drop("half"), "sub-found")
+    discard(cut)
     each = found.groupBy("key", "ctx").agg(F.min(place).alias("lo"), F.max(place).alias("hi"), F.min(F.struct("thash", "start", "windows")).alias("x"))
     each = stored(each.select("key", "ctx", (F.col("lo") != F.col("hi")).alias("full"), "x.*"), "sub-contexts")
+    whole = F.expr("shiftleft(1L, windows) - 1")
+    full = each.where("full").select("key", "ctx", whole.alias("mask"))
+    masks = only_stored(lambda: _parted_masks(docs, each, length), "sub-masks")
+    final = stored(full.union(masks).groupBy("key", "ctx").agg(F.bit_or("mask").alias("mask")), "sub-final")
+    discard(each, masks)
+    marks = found.distinct().join(final, ["key", "ctx"]).groupBy("thash").agg(F.collect_list(F.struct("start", "mask")).alias("marks"))
+    marks = stored(marks, "sub-marks")
+    discard(found, final)
+    return rows, marks
+
+
+def _parted_masks(docs: DataFrame, each: DataFrame, length: int) -> DataFrame:
+    """key, ctx, mask of the contexts that have windows in common with others of their key. ``each``: key, ctx, full, thash, start, windows."""
     keys = each.groupBy("key").agg(F.count("*").alias("n"), F.min("full").alias("settled")).where("n > 1 and not settled")
     reference = stored(each.join(keys, "key").select("key", "ctx", "full", "thash", "start", "windows", (F.col("n") > HOT).alias("hot")), "sub-reference")
+    total = reference.agg(F.sum(F.col("windows") + length)).first()[0] or 0
+    shards = max(1, -(-total // SHARD_WORDS))
+    shard = lambda *c: F.pmod(F.xxhash64(*c), F.lit(shards))
     wanted = reference.groupBy("thash").agg(F.collect_list(F.struct("key", "ctx", "start", "windows", "hot", F.when(F.col("full"), 2).otherwise(1).alias("weight"))).alias("wanted"))
     some = docs.join(small_side(stored(wanted.select("thash"), "sub-wanted")), "thash", "left_semi").select("thash", "text")
     lines = stored(_context_words(some.join(wanted, "thash").select("thash", "text", "wanted"), length), "sub-lines")
+    discard(reference)
     cold = lines.where("window is null").select("key", "ctx", F.lit(0).cast("bigint").alias("origin"), "weight", "words")
     # of a hot key's equal windows two are evidence enough; those that occur once need none
     hot = lines.where("window is not null").withColumn("origin", F.xxhash64("ctx", "window"))
     again = hot.groupBy("key", "whash").agg(F.min("origin").alias("lo"), F.max("origin").alias("hi"), F.max("weight").alias("w")).where("lo <> hi or w > 1")
     evidence = hot.join(again.select("key", "whash", "lo", "hi"), ["key", "whash"]).where("origin in (lo, hi)").select("key", F.col("whash").alias("ctx"), "origin", "weight", "words")
-    total = reference.agg(F.sum(F.col("windows") + length)).first()[0] or 0
-    shards = max(1, -(-total // SHARD_WORDS))
-    shard = lambda *c: F.pmod(F.xxhash64(*c), F.lit(shards))
     cold_masks = _masks(cold.withColumn("shard", shard("key")), length)
     hot_masks = _masks(evidence.withColumn("shard", shard("key", "ctx")), length).where("mask <> 0").select("key", F.col("ctx").alias("whash")).distinct()
     hot_masks = hot.join(hot_masks, ["key", "whash"], "left_semi").select("key", "ctx", F.expr("shiftleft(1L, window)").alias("mask"))
-    masks = stored(cold_masks.where("mask <> 0").union(hot_masks).groupBy("key", "ctx").agg(F.bit_or("mask").alias("mask")), "sub-masks")
-    whole = F.expr("shiftleft(1L, windows) - 1")
-    full = each.where("full").select("key", "ctx", whole.alias("mask"))
-    final = stored(full.union(masks).groupBy("key", "ctx").agg(F.bit_or("mask").alias("mask")), "sub-final")
-    marks = found.distinct().join(final, ["key", "ctx"]).groupBy("thash").agg(F.collect_list(F.struct("start", "mask")).alias("marks"))
-    return rows, stored(marks, "sub-marks")
+    return cold_masks.where("mask <> 0").union(hot_masks).groupBy("key", "ctx").agg(F.bit_or("mask").alias("mask"))
 
 
 def without_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -368,6 +426,7 @@ def without_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", t
     partial = stored(marks.join(copies, "thash", "left_anti"), "sub-partial")
     some = texts.join(small_side(partial.select("thash")), "thash", "left_semi").select("thash", "text").join(partial, "thash")
     kept = stored(_kept(some.select("thash", "text", "marks"), length), "sub-kept")
+    discard(marks, partial)
     out = rows.join(copies, "thash", "left").join(kept, "thash", "left")
     return out.select(
         "doc_id", "n_words", F.when(F.col("copied"), F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("bigint").alias("n_removed"),
