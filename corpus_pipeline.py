@@ -1,6 +1,7 @@
 """A corpus from raw documents in five stages: toxicity, near duplicates, benchmark decontamination, personal data, source mix.
 
-Each stage takes the documents that the one before kept and is written as Parquet in the shared folder before the next reads it.
+Each stage takes the documents that the one before kept and is written as Parquet in the shared folder before the next reads it;
+the tables on the way to it are deleted then.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trialframe.llm import decontam, mixing, ngram_join, pii, toxicity
-from trialframe.llm.common import read, stored
+from trialframe.llm.common import only_stored, read
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +55,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+    def after(stages: list) -> DataFrame:
+        if not stages:
+            return read(spark, sf_dir, "documents")
+        *before, (name, stage) = stages
+        return only_stored(lambda: stage(spark, after(before), sf_dir), f"pipeline-{name}")
+
+    return STAGES[-1][1](spark, after(STAGES[:-1]), sf_dir)

@@ -6,7 +6,7 @@ import random
 import numpy as np
 import pyarrow as pa
 
-from trialframe.llm import common, substring_dedup
+from trialframe.llm import common, decontam, ngram_join, substring_dedup
 from trialframe.session import shared_dir
 
 
@@ -41,6 +41,15 @@ def test_passages_leave_what_their_rows_need(spark, documents):
     assert out.count() == documents.count()
 
 
+def test_joins_and_verdicts_leave_what_their_rows_need(spark, documents):
+    before = tables(spark)
+    ngram_join.one_of_each(documents, 3, 80).collect()
+    assert left(spark, before) == ["join-kept"]
+    items = spark.createDataFrame([("i", "small birds watch from the old red barn near a quiet river")], "item_id string, text string")
+    decontam.clean(documents, items).collect()
+    assert left(spark, before) == ["decontam-verdict", "join-kept"]
+
+
 def test_contexts_of_texts_cut_together():
     rng = random.Random(3)
     texts = ["".join(rng.choice("abé\x1c\x85\xa0 \t\n\x0b\x0c\r  ") for _ in range(rng.randrange(200))) for _ in range(60)]

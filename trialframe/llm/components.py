@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trialframe.llm.common import stored
+from trialframe.llm.common import discard, stored
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -24,7 +24,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x"))
-        e = stored(small.select("x.u", "x.v").where("u <> v").distinct(), "cc-edges")
+        before, e = e, stored(small.select("x.u", "x.v").where("u <> v").distinct(), "cc-edges")
+        discard(before)
         now = _state(e)
         if now == seen:
             break

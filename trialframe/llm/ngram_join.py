@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trialframe.llm.common import small_side, stored, text_or_empty
+from trialframe.llm.common import discard, only_stored, small_side, stored, text_or_empty
 from trialframe.llm.components import components
 
 #: Sets of more n-grams never enumerate; the cost decides below.
@@ -290,10 +290,11 @@ def _verified(pairs: DataFrame, docs: DataFrame, texts: DataFrame, n: int, t: in
     return both.where(100 * o >= t * (F.size("ga") + F.size("gb") - o)).select("a", "b")
 
 
-def _large_links(docs: DataFrame, lists: DataFrame, known: DataFrame, texts: DataFrame, n: int, t: int, boundary: int, links: DataFrame) -> DataFrame:
-    """a, b: enough links among list members to join all that links connect. ``lists``: token, sid, size; ``known``: parities of their sets; ``links``: those known."""
+def _large_links(docs: DataFrame, lists: DataFrame, known: DataFrame, texts: DataFrame, n: int, t: int, boundary: int, known_links: DataFrame) -> DataFrame:
+    """a, b: enough links among list members to join all that links connect. ``lists``: token, sid, size, deleted on the way; ``known``: parities of their sets; ``known_links``: those known."""
     listed = lists.groupBy("sid").agg(F.count("*").alias("k"))
     rows = stored(lists.join(listed, "sid").select("token", "sid", "size", "k"), "join-lists")
+    discard(lists)
     # every list's members meet a few of them: that with the largest listed share, and two at random
     own = prefix_size(F.col("size"), t) - F.col("k")
     member = F.struct("sid", "size", "k")
@@ -302,18 +303,20 @@ def _large_links(docs: DataFrame, lists: DataFrame, known: DataFrame, texts: Dat
     met = rows.alias("r").join(picks.alias("q"), (F.col("r.token") == F.col("q.token")) & (F.col("r.sid") != F.col("q.sid")) & _fit("r", "q", t, boundary))
     met = met.select(F.greatest("r.sid", "q.sid").alias("a"), F.least("r.sid", "q.sid").alias("b")).distinct()
     first = stored(_nearer(met, known, t), "join-first")
-    links = stored(links.union(_verified(first, docs, texts, n, t)), "join-links")
+    links = only_stored(lambda: known_links.union(_verified(first, docs, texts, n, t)), "join-links")
     # where a larger list has several components: members outside its largest one meet those of all others
-    comp = stored(components(links), "join-comp")
+    comp = only_stored(lambda: components(links), "join-comp")
     large = rows.groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") > SETTLED).select("token")
     placed = rows.join(large, "token", "left_semi").join(comp, F.col("sid") == comp["node"], "left").select("token", "sid", "size", F.coalesce("comp", "sid").alias("comp"))
     placed = stored(placed, "join-placed")
+    discard(rows)
     counts = placed.groupBy("token", "comp").agg(F.count("*").alias("k")).groupBy("token").agg(F.count("*").alias("comps"), F.max(F.struct("k", "comp")).alias("m")).where("comps > 1")
     open_ = placed.join(counts.select("token", F.col("m.comp").alias("largest")), "token")
     # what two sets have in common and did not meet before stands in these lists alone
     one_set = Window.partitionBy("sid")  # its prefix at most
     open_ = open_.withColumn("place", F.row_number().over(one_set.orderBy("token")) - 1).withColumn("k", F.count("*").over(one_set))
     open_ = stored(open_.join(known.select("sid", "bits"), "sid"), "join-open")
+    discard(placed)
     few = open_.where("comp <> largest")
     # a pair that shares enough listed n-grams shares one with that many of its own behind it, in either set
     enough = _need(F.col("f.size"), F.col("r.size"), t) - F.ceil(t * F.greatest("f.size", "r.size") / F.lit(100)) + 1
@@ -322,6 +325,7 @@ def _large_links(docs: DataFrame, lists: DataFrame, known: DataFrame, texts: Dat
                                 & ((F.col("r.comp") == F.col("r.largest")) | (F.col("f.sid") < F.col("r.sid"))) & _fit("f", "r", t, boundary) & _near("f", "r", t))
     far = pairs.select(F.greatest("f.sid", "r.sid").alias("a"), F.least("f.sid", "r.sid").alias("b")).distinct()
     far = stored(_nearer(far.join(first, ["a", "b"], "left_anti"), known, t), "join-rest")
+    discard(open_, first)
     return links.union(_verified(far, docs, texts, n, t))
 
 
@@ -353,23 +357,27 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: int = 80, id_col: st
     histogram = {r["size"]: r["count"] for r in sets.where(F.col("size") <= MOST_ENUMERATED).groupBy("size").count().collect()}
     boundary = choose_boundary(histogram, (repeats or 0) / max(1, grams or 0), t)
 
-    small = stored(_subset_keys(only, n, t, boundary), "join-subsets")
-    links = _small_links(small, t)
-    prefixes = stored(_prefixes(only, n, t, boundary, docs.sparkSession.sparkContext.broadcast(weights)), "join-prefixes")
-    # n-grams met by two sets; half the hash is enough to leave the others out
-    half = F.shiftright("token", 32).cast("int")
-    tokens = prefixes.where("token is not null").select("token", "sid", "size")
-    shared = tokens.groupBy(half.alias("half")).agg(F.count("*").alias("k")).where("k > 1").select("half")
-    lists = stored(tokens.withColumn("half", half).join(shared, "half", "left_semi").drop("half"), "join-shared")
-    met = lists.groupBy("token").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).where("lo <> hi").select("token")
-    lists = stored(lists.join(met, "token", "left_semi").distinct(), "join-members")
-    known = prefixes.where("token is null").join(lists.select("sid").distinct(), "sid", "left_semi").dropDuplicates(["sid"])
-    known = stored(known.select("sid", "size", "bits", "all"), "join-parities")
-    comp = components(stored(_large_links(texts, lists, known, sets.select("sid", "one.thash", "one.low"), n, t, boundary, links), "join-all"))
-    comp = stored(comp, "join-comp")
+    def linked() -> DataFrame:
+        small = stored(_subset_keys(only, n, t, boundary), "join-subsets")
+        prefixes = stored(_prefixes(only, n, t, boundary, docs.sparkSession.sparkContext.broadcast(weights)), "join-prefixes")
+        # n-grams met by two sets; half the hash is enough to leave the others out
+        half = F.shiftright("token", 32).cast("int")
+        tokens = prefixes.where("token is not null").select("token", "sid", "size")
+        shared = tokens.groupBy(half.alias("half")).agg(F.count("*").alias("k")).where("k > 1").select("half")
+        some = stored(tokens.withColumn("half", half).join(shared, "half", "left_semi").drop("half"), "join-shared")
+        met = some.groupBy("token").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).where("lo <> hi").select("token")
+        lists = stored(some.join(met, "token", "left_semi").distinct(), "join-members")
+        discard(some)
+        known = prefixes.where("token is null").join(lists.select("sid").distinct(), "sid", "left_semi").dropDuplicates(["sid"])
+        known = stored(known.select("sid", "size", "bits", "all"), "join-parities")
+        discard(prefixes)
+        return _large_links(texts, lists, known, sets.select("sid", "one.thash", "one.low"), n, t, boundary, _small_links(small, t))
+
+    comp = only_stored(lambda: components(only_stored(linked, "join-all")), "join-comp")
     placed = sets.join(comp, sets["sid"] == comp["node"], "left").select("sid", "lowest", "n_copies", F.coalesce("comp", "sid").alias("comp"))
     lowest = placed.groupBy("comp").agg(F.min("lowest").alias("component_id"))
     known = stored(placed.join(lowest, "comp").select("sid", "component_id", "n_copies", F.col("comp").alias("group")), "join-known")
+    discard(sets, comp)
     out = rows.where("size > 0").join(known, "sid").select("doc_id", F.col("size").alias("n_shingles"), "component_id", "n_copies", "group", "thash")
     none = F.lit(None).cast("bigint")
     return out.union(rows.where("size = 0").select("doc_id", F.lit(0).cast("bigint"), F.col("doc_id"), F.lit(1).cast("bigint"), none, F.col("thash")))
@@ -377,13 +385,14 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: int = 80, id_col: st
 
 def one_of_each(docs: DataFrame, n: int = 5, threshold: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` without near-duplicates: of each component the row with the smallest id (null last) stays, once. Rows without words stay."""
-    found = stored(near_duplicates(docs, n, threshold, id_col, text_col), "join-found")
+    found = only_stored(lambda: near_duplicates(docs, n, threshold, id_col, text_col), "join-found")
     empty = found.where("group is null").select("doc_id", "thash").distinct().withColumn("_rows", F.lit(1))
     best = found.where("group is not null").groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "thash")).alias("b")).select("b.doc_id", "b.thash")
     again = found.groupBy("doc_id", "thash").agg(F.count("*").alias("_rows"))
     same = lambda a, b: F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & (F.col(f"{a}.thash") == F.col(f"{b}.thash"))
     kept = best.alias("b").join(again.alias("a"), same("a", "b")).select("b.doc_id", "b.thash", "a._rows").union(empty)
     kept = stored(kept.select(F.col("doc_id").alias("_id"), F.col("thash").alias("_thash"), "_rows"), "join-kept")
+    discard(found)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.col(id_col).cast("bigint").alias("_id1"), F.xxhash64(text_or_empty(text_col)).alias("_thash1"))
     out = rows.join(small_side(kept), F.col("_id").eqNullSafe(F.col("_id1")) & (F.col("_thash") == F.col("_thash1")))
     # a row that is repeated as a whole stays once
