@@ -140,3 +140,33 @@ def test_long_form_computes_its_arrays_once(spark):
     out = long_epochs(df.withColumn("x", F.transform("x", lambda ch: F.transform(ch, lambda v: v + 1))), ["id"])
     assert "size(" not in out._jdf.queryExecution().optimizedPlan().toString()
     assert sorted(map(tuple, out.collect())) == [(1, 0, 0, 2.0), (1, 0, 1, 3.0), (4, 1, 0, 4.0)]
+
+
+def test_stacking_sums_its_features_beside_no_other_python_worker(spark, sf_dir, monkeypatch):
+    from trialframe.operators import classify
+    plans, statistics = [], classify.lda_statistics
+
+    def seen(df, *args, **kwargs):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return statistics(df, *args, **kwargs)
+
+    monkeypatch.setattr(classify, "lda_statistics", seen)
+    QUERIES["stacking"](spark, sf_dir)
+    assert len(plans) == 3 and not any("InArrow" in p or "InPandas" in p for p in plans)
+
+
+def test_temperature_losses_of_a_full_batch_stay_small():
+    import tracemalloc
+
+    from trialframe.operators import metrics as M
+    n, rng = 10_000, np.random.default_rng(0)
+    z = rng.normal(size=(n, 5))
+    batch = pd.DataFrame({"g": np.arange(n) % 5, "_y": np.arange(n) % 5, "_z": list(z), "_lo": -3.0, "_hi": 3.0})
+    tracemalloc.start()
+    out = pd.concat(list(M._loss_sums(["g"], 32)([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20 << 20
+    t = np.exp(-3.0 + 6.0 * np.arange(32) / 31)[:, None, None]
+    want = (np.log(np.exp(z / t).sum(axis=-1)) - z[np.arange(n), batch["_y"]] / t[:, :, 0]).T
+    assert np.allclose(np.stack(out.sort_values("g")["_s"]), [want[batch["g"] == g].sum(axis=0) for g in range(5)])

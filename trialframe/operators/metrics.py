@@ -133,6 +133,10 @@ def boundary_accuracy(conf: DataFrame, by: list[str]) -> DataFrame:
 
 # ---- temperature -----------------------------------------------------------------------------------------------
 
+#: Scaled logits that a task holds at once.
+LOSS_CELLS = 200_000
+
+
 def _loss_sums(by: list[str], points: int):
     """Per batch and group: Σ −log softmax(z/T)[y] for every point of the group's grid."""
     grid = np.arange(points) / (points - 1)
@@ -148,7 +152,7 @@ def _loss_sums(by: list[str], points: int):
                 continue
             z, y = np.stack(pdf["_z"]), pdf["_y"].to_numpy()
             lo, hi = pdf["_lo"].to_numpy(), pdf["_hi"].to_numpy()
-            step = max(1, 2_000_000 // (points * z.shape[1]))
+            step = max(1, LOSS_CELLS // (points * z.shape[1]))
             loss = np.concatenate([losses(z[i:i + step], y[i:i + step], lo[i:i + step], hi[i:i + step])
                                    for i in range(0, len(y), step)])
             part = pd.DataFrame(loss).groupby([pdf[c].to_numpy() for c in [*by, "_lo", "_hi"]])
